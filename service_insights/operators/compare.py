@@ -22,18 +22,26 @@ _PAYLOAD = ["classification", "reasoning", "service_performed"]
 
 def _side(rows: DataFrame, side: int, seq_col: str | None) -> DataFrame:
     seq = F.col(seq_col) if seq_col else F.lit(0)
-    return rows.select("service_id", "component_key",
-                       F.struct(*[F.col(c) for c in _PAYLOAD]).alias("v"),
-                       _order_key(seq, F.col("pos")).alias("o"),
-                       F.lit(side).alias("side"))
+    return rows.select("service_id", "component_key", "service_performed", "classification",
+                       "reasoning", "pos", seq.alias("seq"), F.lit(side).alias("side"))
 
 
 def compare_rows(a_rows: DataFrame, b_rows: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Row-level comparison; both inputs need service_id, component_key,
-    service_performed, classification, reasoning and pos (answer position)."""
-    u = _side(a_rows, 0, seq_col).unionByName(_side(b_rows, 1, seq_col))
+    """Row-level comparison of two assessment frames; both need service_id,
+    component_key, service_performed, classification, reasoning and pos
+    (position in the answer)."""
+    return compare_tagged(_side(a_rows, 0, seq_col).unionByName(_side(b_rows, 1, seq_col)))
+
+
+def compare_tagged(rows: DataFrame) -> DataFrame:
+    """Compare rows that carry ``side`` (0 = A, 1 = B), ``pos`` and
+    optionally ``seq``; one group-by on (service_id, component_key)."""
+    seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
+    t = rows.select("service_id", "component_key", "side",
+                    F.struct(*[F.col(c) for c in _PAYLOAD]).alias("v"),
+                    _order_key(seq, F.col("pos")).alias("o"))
     is_a, is_b = F.col("side") == 0, F.col("side") == 1
-    g = (u.groupBy("service_id", "component_key")
+    g = (t.groupBy("service_id", "component_key")
          .agg(F.max_by(F.when(is_a, F.col("v")), F.when(is_a, F.col("o"))).alias("a"),
               F.max_by(F.when(is_b, F.col("v")), F.when(is_b, F.col("o"))).alias("b"),
               F.count_if(is_a).alias("na")))

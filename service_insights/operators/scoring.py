@@ -103,6 +103,25 @@ class EndpointScorer:
         return lambda batch: [one(n) for n in batch]
 
 
+@dataclass
+class CannedScorer:
+    """Offline stand-in for an endpoint: a fixed answer per notes text
+    (``default`` otherwise). ``calls`` is an optional accumulator counting
+    rows sent, to check that each row is scored exactly once."""
+    answers: dict
+    default: str | None = None
+    calls: object = None
+
+    def client(self) -> Callable[[list[str]], list[str | None]]:
+        answers, default, calls = self.answers, self.default, self.calls
+
+        def call(batch: list[str]) -> list[str | None]:
+            if calls is not None:
+                calls.add(len(batch))
+            return [answers.get(n, default) for n in batch]
+        return call
+
+
 def sample_partitions(limit: int) -> int:
     """Fan-out for a sample of ``limit`` rows: one row per task, capped."""
     return max(1, min(int(limit), MAX_TEST_PARTITIONS))
@@ -129,7 +148,8 @@ def score_python(df: DataFrame, factory: Callable[[], Callable[[list[str]], list
 
 
 def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service_performed",
-          partitions: int | None = None, clean: bool = False) -> DataFrame:
+          partitions: int | None = None, clean: bool = False, result_col: str = "result",
+          raw_col: str = "raw") -> DataFrame:
     """Add ``result`` (parsed answer) to every row of ``df``.
 
     ``keys`` are the component keys the answer must cover, in config order.
@@ -140,10 +160,10 @@ def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service
     notes = F.col(notes_col)
     if isinstance(scorer, RuleScorer) and not scorer.as_text:
         return df.withColumn(
-            "result", F.struct(assessments(keys, notes, scorer.thresholds).alias("assessments")))
+            result_col, F.struct(assessments(keys, notes, scorer.thresholds).alias("assessments")))
     if isinstance(scorer, RuleScorer):
-        out = df.withColumn("raw", scorer.raw(keys, notes))
+        out = df.withColumn(raw_col, scorer.raw(keys, notes))
     else:
-        out = score_python(df, scorer.client, notes_col, partitions)
-    raw = json_text.strip_fence(F.col("raw")) if clean else F.col("raw")
-    return out.withColumn("result", F.from_json(raw, schemas.RESPONSE))
+        out = score_python(df, scorer.client, notes_col, partitions, out_col=raw_col)
+    raw = json_text.strip_fence(F.col(raw_col)) if clean else F.col(raw_col)
+    return out.withColumn(result_col, F.from_json(raw, schemas.RESPONSE))

@@ -77,11 +77,30 @@ def run_config(service: DataFrame, config: Config, limit: int | None = 50, score
 
 
 def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None = 50,
-                    scorer_a=None, scorer_b=None) -> DataFrame:
-    """C2: both configs on the same sample, compared row by row."""
-    ra = run_config(service, a, limit, scorer_a, with_pos=True)
-    rb = run_config(service, b, limit, scorer_b, with_pos=True)
-    return compare.compare_rows(ra, rb)
+                    scorer_a=None, scorer_b=None, partitions: int | None = None) -> DataFrame:
+    """C2: both configs score the same sampled rows in one pass (the sample
+    is read once), both answers are exploded together with a side tag, and
+    one group-by compares them."""
+    scorer_a = scorer_a or scoring.RuleScorer(a.thresholds)
+    scorer_b = scorer_b or scoring.RuleScorer(b.thresholds)
+    python = not (isinstance(scorer_a, scoring.RuleScorer) and isinstance(scorer_b, scoring.RuleScorer))
+    if partitions is None and python:
+        partitions = scoring.sample_partitions(limit) if limit else FULL_RUN_PARTITIONS
+    base = sample(service, limit)
+    if python and partitions:
+        base = base.repartition(int(partitions))
+    sa = scoring.score(base, a.keys, scorer_a, result_col="result_a", raw_col="raw_a")
+    sb = scoring.score(sa, b.keys, scorer_b, result_col="result_b", raw_col="raw_b")
+    empty = F.array().cast("array<struct<component:string,classification:string,reasoning:string>>")
+
+    def tag(col: str, side: int):
+        return F.transform(F.coalesce(F.col(f"{col}.assessments"), empty), lambda x, i: F.struct(
+            F.lit(side).alias("side"), i.alias("pos"), x["component"].alias("component_key"),
+            x["classification"].alias("classification"), x["reasoning"].alias("reasoning")))
+
+    rows = sb.select("service_id", "service_performed",
+                     F.explode(F.concat(tag("result_a", 0), tag("result_b", 1))).alias("e"))
+    return compare.compare_tagged(rows.select("service_id", "service_performed", "e.*"))
 
 
 def recommendations(service: DataFrame, config: Config, scorer=None,

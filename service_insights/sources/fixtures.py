@@ -97,11 +97,17 @@ def _pieces(ln: Column, q: Column, d: Column, t: Column, pk: Column, sk: Column,
 def service(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``service`` table, one row per distinct (l_orderkey, l_linenumber)."""
     li = read_table(spark, sf_dir, "lineitem")
+    # min(l_returnflag) is taken over the flag's code point: equal to the
+    # string minimum for the CHAR(1) flag column, and a fixed-width buffer
+    # keeps the aggregation a HashAggregate (a string min forces a sort-based
+    # aggregate, i.e. an extra full sort of lineitem before the shuffle).
     g = (li.groupBy("l_orderkey", "l_linenumber")
          .agg(F.min("l_quantity").alias("mq"), F.min("l_discount").alias("md"),
               F.min("l_tax").alias("mt"), F.min("l_partkey").alias("pk"),
-              F.min("l_suppkey").alias("sk"), F.min("l_returnflag").alias("rf"),
-              F.min("l_shipdate").alias("ship")))
+              F.min("l_suppkey").alias("sk"), F.min(F.ascii("l_returnflag")).alias("rf_code"),
+              F.min("l_shipdate").alias("ship"))
+         .withColumn("rf", F.when(F.col("rf_code") == 0, F.lit(""))
+                     .otherwise(F.chr(F.col("rf_code")))))
     ln = F.col("l_linenumber")
     q = F.col("mq").cast("int")
     d = F.round(F.col("md") * 100).cast("int")
