@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import NO_SIGNAL_REASONING, PHRASES
+from .lookup import pick
 
 # Patterns of the measured components. Written so Java regex and RE2 agree.
 TIRES_RE = r"Tread depth \(32nds\): LF (\d+), RF (\d+), LR (\d+), RR (\d+)\."
@@ -59,27 +60,89 @@ def _num(s: Column, typ: str) -> Column:
     return F.nullif(s, F.lit("")).cast(typ)
 
 
-def sentence(notes: Column, pattern: str) -> Column:
-    """The matched reading sentence, NULL when absent."""
-    return F.nullif(F.regexp_extract(notes, pattern, 0), F.lit(""))
-
-
-def readings(notes: Column) -> dict[str, Column]:
-    """All numeric readings of a notes column (NULL when not present)."""
-    tires = F.regexp_extract(notes, TIRES_RE, 0)
-    brakes = F.regexp_extract(notes, BRAKES_RE, 0)
-    battery = F.regexp_extract(notes, BATTERY_RE, 0)
-    return {
-        "tread_lf": _num(F.regexp_extract(tires, TIRES_RE, 1), "int"),
-        "tread_rf": _num(F.regexp_extract(tires, TIRES_RE, 2), "int"),
-        "tread_lr": _num(F.regexp_extract(tires, TIRES_RE, 3), "int"),
-        "tread_rr": _num(F.regexp_extract(tires, TIRES_RE, 4), "int"),
-        "pad_front_mm": _num(F.regexp_extract(brakes, BRAKES_RE, 1), "double"),
-        "pad_rear_mm": _num(F.regexp_extract(brakes, BRAKES_RE, 2), "double"),
-        "battery_volts": _num(F.regexp_extract(battery, BATTERY_RE, 1), "double"),
-        "battery_age_yr": _num(F.regexp_extract(battery, BATTERY_RE, 2), "int"),
-        "ac_vent_f": _num(F.regexp_extract(notes, AC_RE, 1), "int"),
+# The scorer runs in three projections, so that each regex scans the notes
+# once per row. Subexpression elimination does not reach into CASE
+# branches, and a reading used by a threshold band would otherwise be
+# re-extracted for every use. CollapseProject keeps the layers apart
+# because it never duplicates a non-cheap expression such as a regex.
+#   1. signals:  per component, the matched reading sentence (measured) or
+#                the matched phrase's level 0/1/2 (phrase components);
+#   2. readings: numbers parsed out of the short sentences;
+#   3. classes:  threshold bands over plain columns, one set per config.
+SIGNAL_PREFIX = "_sig_"
+READING_PREFIX = "_val_"
+_PATTERNS = {"tires": TIRES_RE, "brakes": BRAKES_RE, "battery": BATTERY_RE, "ac": AC_RE}
+_LEVELS = ("Good", "Upcoming", "Urgent")
+
+
+def _sig(key: str) -> str:
+    return SIGNAL_PREFIX + key
+
+
+def _val(name: str) -> str:
+    return READING_PREFIX + name
+
+
+def _signal(key: str, notes: Column) -> Column:
+    if key in MEASURED:
+        return F.regexp_extract(notes, _PATTERNS[key], 0)
+    good, upcoming, urgent = PHRASES[key]
+    # Most severe phrase first when a note holds several.
+    return (F.when(notes.contains(urgent), F.lit(2))
+            .when(notes.contains(upcoming), F.lit(1))
+            .when(notes.contains(good), F.lit(0)))
+
+
+def _readings_of(key: str) -> dict[str, Column]:
+    s = F.col(_sig(key))
+    pat = _PATTERNS[key]
+    if key == "tires":
+        return {"tires": F.least(*[_num(F.regexp_extract(s, pat, i), "int") for i in range(1, 5)])}
+    if key == "brakes":
+        return {"brakes": F.least(*[_num(F.regexp_extract(s, pat, i), "double") for i in (1, 2)])}
+    if key == "battery":
+        return {"battery_volts": _num(F.regexp_extract(s, pat, 1), "double"),
+                "battery_age": _num(F.regexp_extract(s, pat, 2), "int")}
+    return {"ac": _num(F.regexp_extract(s, pat, 1), "int")}
+
+
+def with_signals(df: DataFrame, keys: list[str], notes_col: str) -> tuple[DataFrame, list[str]]:
+    """Add the hidden signal and reading columns the rule classes of
+    ``keys`` need; returns the frame and the names it added (columns
+    already present are kept, so two configs share one extraction)."""
+    notes = F.col(notes_col)
+    have = set(df.columns)
+    wanted = [k for k in dict.fromkeys(keys) if k in MEASURED or k in PHRASES]
+    sig = {_sig(k): _signal(k, notes) for k in wanted if _sig(k) not in have}
+    if sig:
+        df = df.withColumns(sig)
+    vals = {}
+    for k in wanted:
+        if k in MEASURED:
+            vals.update({_val(n): c for n, c in _readings_of(k).items() if _val(n) not in have})
+    if vals:
+        df = df.withColumns(vals)
+    return df, [*sig, *vals]
+
+
+def readings(df: DataFrame, notes_col: str = "service_performed") -> DataFrame:
+    """All numeric readings of a notes column (NULL when not present), added
+    as columns; each sentence is found by one regex scan of the notes."""
+    notes = F.col(notes_col)
+    sent = {_sig(k): F.regexp_extract(notes, _PATTERNS[k], 0) for k in MEASURED}
+    df = df.withColumns(sent)
+
+    def grp(k: str, i: int, typ: str) -> Column:
+        return _num(F.regexp_extract(F.col(_sig(k)), _PATTERNS[k], i), typ)
+
+    out = {
+        "tread_lf": grp("tires", 1, "int"), "tread_rf": grp("tires", 2, "int"),
+        "tread_lr": grp("tires", 3, "int"), "tread_rr": grp("tires", 4, "int"),
+        "pad_front_mm": grp("brakes", 1, "double"), "pad_rear_mm": grp("brakes", 2, "double"),
+        "battery_volts": grp("battery", 1, "double"), "battery_age_yr": grp("battery", 2, "int"),
+        "ac_vent_f": grp("ac", 1, "int"),
     }
+    return df.withColumns(out).drop(*sent)
 
 
 def _band(value: Column, urgent: Column, upcoming: Column) -> Column:
@@ -114,57 +177,53 @@ def ac_class(temp: Column, th: Thresholds) -> Column:
             .otherwise(F.lit("Urgent")))
 
 
-def _measured(key: str, notes: Column, th: Thresholds) -> tuple[Column, Column]:
-    """(class, reasoning) of a measured component; NULLs when absent."""
+def _measured(key: str, th: Thresholds) -> tuple[Column, Column]:
+    """(class, reasoning) of a measured component from its reading
+    columns; NULLs when absent."""
+    why = F.nullif(F.col(_sig(key)), F.lit(""))
+    v = F.col
     if key == "tires":
-        s = F.regexp_extract(notes, TIRES_RE, 0)
-        vals = [_num(F.regexp_extract(s, TIRES_RE, i), "int") for i in range(1, 5)]
-        return tires_class(*vals, th), F.nullif(s, F.lit(""))
-    if key == "brakes":
-        s = F.regexp_extract(notes, BRAKES_RE, 0)
-        vals = [_num(F.regexp_extract(s, BRAKES_RE, i), "double") for i in (1, 2)]
-        return brakes_class(*vals, th), F.nullif(s, F.lit(""))
-    if key == "battery":
-        s = F.regexp_extract(notes, BATTERY_RE, 0)
-        return (battery_class(_num(F.regexp_extract(s, BATTERY_RE, 1), "double"),
-                              _num(F.regexp_extract(s, BATTERY_RE, 2), "int"), th),
-                F.nullif(s, F.lit("")))
-    s = F.regexp_extract(notes, AC_RE, 0)
-    return ac_class(_num(F.regexp_extract(s, AC_RE, 1), "int"), th), F.nullif(s, F.lit(""))
+        mn = v(_val("tires"))
+        cls = _band(mn, mn < F.lit(th.tires_urgent_below), mn <= F.lit(th.tires_upcoming_max))
+    elif key == "brakes":
+        mn = v(_val("brakes"))
+        cls = _band(mn, mn < F.lit(th.brakes_urgent_below), mn <= F.lit(th.brakes_upcoming_max))
+    elif key == "battery":
+        cls = battery_class(v(_val("battery_volts")), v(_val("battery_age")), th)
+    else:
+        cls = ac_class(v(_val("ac")), th)
+    return cls, why
 
 
-def _phrase(key: str, notes: Column) -> tuple[Column, Column]:
-    good, upcoming, urgent = PHRASES[key]
-    # Most severe phrase first when a note holds several.
-    order = ((urgent, "Urgent"), (upcoming, "Upcoming"), (good, "Good"))
-    cls = F.when(notes.contains(order[0][0]), F.lit(order[0][1]))
-    why = F.when(notes.contains(order[0][0]), F.lit(order[0][0]))
-    for phrase, label in order[1:]:
-        cls = cls.when(notes.contains(phrase), F.lit(label))
-        why = why.when(notes.contains(phrase), F.lit(phrase))
+def _phrase(key: str) -> tuple[Column, Column]:
+    level = F.col(_sig(key))
+    cls = pick(_LEVELS, level + 1)
+    why = pick(PHRASES[key], level + 1)
     return cls, why
 
 
-def component_rule(key: str, notes: Column, th: Thresholds = BALANCED) -> tuple[Column, Column]:
-    """(classification, reasoning) for one component; no signal -> Good."""
+def component_rule(key: str, th: Thresholds = BALANCED) -> tuple[Column, Column]:
+    """(classification, reasoning) for one component over the columns of
+    :func:`with_signals`; no signal -> Good."""
     if key in MEASURED:
-        cls, why = _measured(key, notes, th)
+        cls, why = _measured(key, th)
     elif key in PHRASES:
-        cls, why = _phrase(key, notes)
+        cls, why = _phrase(key)
     else:
         return F.lit("Good"), F.lit(NO_SIGNAL_REASONING)
     return (F.coalesce(cls, F.lit("Good")),
             F.when(cls.isNull(), F.lit(NO_SIGNAL_REASONING)).otherwise(why))
 
 
-def assessment(key: str, notes: Column, th: Thresholds = BALANCED) -> Column:
+def assessment(key: str, th: Thresholds = BALANCED) -> Column:
     """One assessment struct (component, classification, reasoning)."""
-    cls, why = component_rule(key, notes, th)
+    cls, why = component_rule(key, th)
     return F.struct(F.lit(key).alias("component"), cls.alias("classification"),
                     why.alias("reasoning"))
 
 
-def assessments(keys: list[str], notes: Column, th: Thresholds = BALANCED) -> Column:
-    """Array of assessments, one per requested key in the given order. Built
-    per row, so scoring a table never shuffles."""
-    return F.array(*[assessment(k, notes, th) for k in keys])
+def assessments(keys: list[str], th: Thresholds = BALANCED) -> Column:
+    """Array of assessments, one per requested key in the given order, over
+    the columns of :func:`with_signals`. Built per row: scoring a table
+    never shuffles."""
+    return F.array(*[assessment(k, th) for k in keys])

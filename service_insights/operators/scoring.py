@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from ..constants import (MAX_TEST_PARTITIONS, NOTES_SEPARATOR, SCORING_OPTIONS)
 from ..functions import json_text
-from ..functions.rules import BALANCED, Thresholds, assessments
+from ..functions.rules import BALANCED, Thresholds, assessments, with_signals
 
 
 @dataclass
@@ -46,8 +46,9 @@ class RuleScorer:
     max_chars: int | None = None
     fence: bool = False
 
-    def raw(self, keys: list[str], notes: Column) -> Column:
-        txt = F.to_json(F.struct(assessments(keys, notes, self.thresholds).alias("assessments")))
+    def raw(self, keys: list[str]) -> Column:
+        """The answer text over the columns of ``rules.with_signals``."""
+        txt = F.to_json(F.struct(assessments(keys, self.thresholds).alias("assessments")))
         if self.max_chars is not None:
             txt = F.substring(txt, 1, int(self.max_chars))
         if self.fence:
@@ -157,12 +158,13 @@ def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service
     plain parser loses fenced answers, and that loss is reported, not hidden).
     """
     scorer = scorer or RuleScorer()
-    notes = F.col(notes_col)
-    if isinstance(scorer, RuleScorer) and not scorer.as_text:
-        return df.withColumn(
-            result_col, F.struct(assessments(keys, notes, scorer.thresholds).alias("assessments")))
     if isinstance(scorer, RuleScorer):
-        out = df.withColumn(raw_col, scorer.raw(keys, notes))
+        base, added = with_signals(df, keys, notes_col)
+        if not scorer.as_text:
+            out = base.withColumn(
+                result_col, F.struct(assessments(keys, scorer.thresholds).alias("assessments")))
+            return out.drop(*added)
+        out = base.withColumn(raw_col, scorer.raw(keys)).drop(*added)
     else:
         out = score_python(df, scorer.client, notes_col, partitions, out_col=raw_col)
     raw = json_text.strip_fence(F.col(raw_col)) if clean else F.col(raw_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENT_KEYS, FULL_RUN_PARTITIONS, SEED_COMPONENTS
-from ..functions.rules import BALANCED, STRICT, Thresholds
+from ..functions.rules import BALANCED, STRICT, Thresholds, with_signals
 from ..operators import assess, compare, outreach, scoring
 from ..operators.prompts import compose_full_prompt, default_prompt
 
@@ -89,6 +89,9 @@ def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None
     base = sample(service, limit)
     if python and partitions:
         base = base.repartition(int(partitions))
+    if not python:
+        # Both rule configs read one extraction of the notes.
+        base, _ = with_signals(base, [*a.keys, *b.keys], "service_performed")
     sa = scoring.score(base, a.keys, scorer_a, result_col="result_a", raw_col="raw_a")
     sb = scoring.score(sa, b.keys, scorer_b, result_col="result_b", raw_col="raw_b")
     empty = F.array().cast("array<struct<component:string,classification:string,reasoning:string>>")

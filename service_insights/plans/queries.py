@@ -34,9 +34,8 @@ def sample_services(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extract_readings(spark, sf):
-    s = _service(spark, sf)
-    r = rules.readings(F.col("service_performed"))
-    return s.select("service_id", *[c.alias(k) for k, c in r.items()])
+    s = _service(spark, sf).select("service_id", "service_performed")
+    return rules.readings(s).drop("service_performed")
 
 
 def rule_severity(spark, sf):

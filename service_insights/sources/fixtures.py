@@ -24,8 +24,11 @@ from ..constants import (AC_VENT_TEMPS, DEMO_DATE, DEMO_SERVICE_TYPE, DEMO_SERVI
                          MODEL_TYPES, PHRASES, SERVICE_TYPES, SPECIALIZATIONS, VEHICLE_MAKE)
 from ..functions.rules import (BALANCED, ac_class, battery_class, brakes_class,
                                tires_class)
+from ..functions.lookup import pick
 from .tables import read_table
 
+_LEVELS = ("Good", "Upcoming", "Urgent")
+
 # Presence rule and class selector of each phrase component, over the
 # per-line numbers ln (line number), q (quantity), d (discount %), t (tax %)
 # and rf (return flag). ln = 6 carries no piece, which gives empty notes.
@@ -47,7 +50,7 @@ def _pieces(ln: Column, q: Column, d: Column, t: Column, pk: Column, sk: Column,
     volts = (v.cast("double") / 10.0)
     volts_txt = F.concat(F.when(v < 120, F.lit("11.")).otherwise(F.lit("12.")), s(v % 10))
     age = F.lit(1) + sk % 7
-    temp = F.element_at(F.array(*[F.lit(x) for x in AC_VENT_TEMPS]), (q % 6 + 1).cast("int"))
+    temp = pick(AC_VENT_TEMPS, q % 6 + 1)
 
     measured = {
         "tires": (ln % 3 != 0,
@@ -81,15 +84,14 @@ def _pieces(ln: Column, q: Column, d: Column, t: Column, pk: Column, sk: Column,
     order = ["tires", "brakes", "battery", "suspension", "engine_oil", "coolant",
              "transmission_fluid", "belts_hoses", "lights_electrical", "wipers", "exhaust", "ac"]
     out = []
-    labels = F.array(F.lit("Good"), F.lit("Upcoming"), F.lit("Urgent"))
     for key in order:
         if key in measured:
             present, text, sev = measured[key]
         else:
             present, idx = phrase_rules[key]
             idx1 = (idx + 1).cast("int")
-            text = F.element_at(F.array(*[F.lit(p) for p in PHRASES[key]]), idx1)
-            sev = F.element_at(labels, idx1)
+            text = pick(PHRASES[key], idx1)
+            sev = pick(_LEVELS, idx1)
         out.append((key, F.when(present, text), F.when(present, sev)))
     return out
 
@@ -124,7 +126,7 @@ def service(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("vehicle_id"),
         F.col("sk").cast("int").alias("technician_id"),
         F.col("ship").cast("date").alias("service_date"),
-        F.element_at(F.array(*[F.lit(x) for x in SERVICE_TYPES]), (q % 6 + 1).cast("int"))
+        pick(SERVICE_TYPES, q % 6 + 1)
          .alias("service_type"),
         F.concat_ws(" ", *[text for _, text, _ in pieces]).alias("service_performed"),
         F.when(flag1.isNull(), F.lit(None).cast("array<string>"))
@@ -145,7 +147,7 @@ def vehicle_from_orders(o: DataFrame) -> DataFrame:
         k.alias("vehicle_id"),
         F.col("o_custkey").alias("customer_id"),
         F.lit(VEHICLE_MAKE).alias("make"),
-        F.element_at(F.array(*[F.lit(m) for m in MODEL_TYPES]), (k % 6 + 1).cast("int")).alias("model"),
+        pick(MODEL_TYPES, k % 6 + 1).alias("model"),
         (F.lit(2018) + k % 7).cast("int").alias("year"),
         F.concat(F.lit("1HGBH41JX"), F.lpad(k.cast("string"), 8, "0")).alias("vin"),
     )
@@ -171,7 +173,7 @@ def technician(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.cast("int").alias("technician_id"),
         F.lit("Supplier").alias("first_name"),
         F.regexp_extract("s_name", r"[0-9]+", 0).alias("last_name"),
-        F.element_at(F.array(*[F.lit(x) for x in SPECIALIZATIONS]), (k % 5 + 1).cast("int"))
+        pick(SPECIALIZATIONS, k % 5 + 1)
          .alias("specialization"),
     )
 

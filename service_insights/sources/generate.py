@@ -20,6 +20,7 @@ from ..constants import (AC_VENT_TEMPS, BATTERY_AGE_YEARS, BATTERY_VOLTS, COMPON
                          PHRASES, REAR_PAD_CHOICES, SERVICE_DAYS_BACK, SERVICE_TYPES,
                          SERVICES_PER_VEHICLE, SPECIALIZATIONS, TREAD_CHOICES, VEHICLE_MAKE,
                          VEHICLE_YEARS, VEHICLES_PER_CUSTOMER)
+from ..functions.lookup import pick
 from ..functions.rules import BALANCED, ac_class, battery_class, brakes_class, tires_class
 from .fixtures import demo_services
 
@@ -33,7 +34,7 @@ def _h(seed: int, *parts) -> Column:
 
 def _pick(choices: list, seed: int, *parts) -> Column:
     idx = F.pmod(_h(seed, *parts), F.lit(len(choices))) + 1
-    return F.element_at(F.array(*[F.lit(c) for c in choices]), idx.cast("int"))
+    return pick(choices, idx)
 
 
 def _between(lo: int, hi: int, seed: int, *parts) -> Column:
@@ -83,8 +84,8 @@ def _observation(key: str, sid: Column, seed: int) -> Column:
         sev = tires_class(*tr, BALANCED)
     elif key == "brakes":
         i = F.pmod(_h(seed, sid, key, "front"), F.lit(len(FRONT_PAD_CHOICES))) + 1
-        front = F.element_at(F.array(*[F.lit(float(x)) for x in FRONT_PAD_CHOICES]), i.cast("int"))
-        front_txt = F.element_at(F.array(*[F.lit(str(x)) for x in FRONT_PAD_CHOICES]), i.cast("int"))
+        front = pick([float(x) for x in FRONT_PAD_CHOICES], i)
+        front_txt = pick([str(x) for x in FRONT_PAD_CHOICES], i)
         rear = _pick(REAR_PAD_CHOICES, seed, sid, key, "rear")
         text = F.concat(F.lit("Brake pad thickness: front "), front_txt, F.lit("mm, rear "),
                         txt(rear), F.lit("mm."))
@@ -102,8 +103,8 @@ def _observation(key: str, sid: Column, seed: int) -> Column:
         sev = ac_class(t, BALANCED)
     else:
         i = (F.pmod(_h(seed, sid, key), F.lit(3)) + 1).cast("int")
-        text = F.element_at(F.array(*[F.lit(p) for p in PHRASES[key]]), i)
-        sev = F.element_at(F.array(F.lit("Good"), F.lit("Upcoming"), F.lit("Urgent")), i)
+        text = pick(PHRASES[key], i)
+        sev = pick(("Good", "Upcoming", "Urgent"), i)
     return F.struct(F.lit(key).alias("key"), text.alias("text"), sev.alias("sev"))
 
 
