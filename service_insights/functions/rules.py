@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import NO_SIGNAL_REASONING, PHRASES
-from .lookup import pick
+from .lookup import jvm_cached, pick
 
 # Patterns of the measured components. Written so Java regex and RE2 agree.
 TIRES_RE = r"Tread depth \(32nds\): LF (\d+), RF (\d+), LR (\d+), RR (\d+)\."
@@ -106,20 +106,25 @@ def _readings_of(key: str) -> dict[str, Column]:
     return {"ac": _num(F.regexp_extract(s, pat, 1), "int")}
 
 
+@jvm_cached
+def _layers(keys: tuple[str, ...], notes_col: str) -> tuple[dict, dict]:
+    notes = F.col(notes_col)
+    wanted = [k for k in dict.fromkeys(keys) if k in MEASURED or k in PHRASES]
+    sig = {_sig(k): _signal(k, notes) for k in wanted}
+    vals = {_val(n): c for k in wanted if k in MEASURED for n, c in _readings_of(k).items()}
+    return sig, vals
+
+
 def with_signals(df: DataFrame, keys: list[str], notes_col: str) -> tuple[DataFrame, list[str]]:
     """Add the hidden signal and reading columns the rule classes of
     ``keys`` need; returns the frame and the names it added (columns
     already present are kept, so two configs share one extraction)."""
-    notes = F.col(notes_col)
     have = set(df.columns)
-    wanted = [k for k in dict.fromkeys(keys) if k in MEASURED or k in PHRASES]
-    sig = {_sig(k): _signal(k, notes) for k in wanted if _sig(k) not in have}
+    sig, vals = _layers(tuple(keys), notes_col)
+    sig = {k: c for k, c in sig.items() if k not in have}
+    vals = {k: c for k, c in vals.items() if k not in have}
     if sig:
         df = df.withColumns(sig)
-    vals = {}
-    for k in wanted:
-        if k in MEASURED:
-            vals.update({_val(n): c for n, c in _readings_of(k).items() if _val(n) not in have})
     if vals:
         df = df.withColumns(vals)
     return df, [*sig, *vals]
@@ -226,4 +231,9 @@ def assessments(keys: list[str], th: Thresholds = BALANCED) -> Column:
     """Array of assessments, one per requested key in the given order, over
     the columns of :func:`with_signals`. Built per row: scoring a table
     never shuffles."""
+    return _assessments(tuple(keys), th)
+
+
+@jvm_cached
+def _assessments(keys: tuple[str, ...], th: Thresholds) -> Column:
     return F.array(*[assessment(k, th) for k in keys])

@@ -19,13 +19,21 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# The fixture derivation and the rule scorer are wide projections; fused
+# into the aggregate's output method they pass the JVM's 8000-byte JIT
+# limit and would run interpreted. Cluster jobs set the same flag in
+# spark.driver/executor.extraJavaOptions.
+JAVA_OPTIONS = "-XX:-DontCompileHugeMethods"
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "service_insights") -> SparkSession:
     """A local session for tests and benches (never used on a cluster)."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", os.environ.get("SI_DRIVER_MEMORY", "8g")))
+               .config("spark.driver.memory", os.environ.get("SI_DRIVER_MEMORY", "8g"))
+               .config("spark.driver.extraJavaOptions", JAVA_OPTIONS)
+               .config("spark.executor.extraJavaOptions", JAVA_OPTIONS))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -24,7 +24,7 @@ from ..constants import (AC_VENT_TEMPS, DEMO_DATE, DEMO_SERVICE_TYPE, DEMO_SERVI
                          MODEL_TYPES, PHRASES, SERVICE_TYPES, SPECIALIZATIONS, VEHICLE_MAKE)
 from ..functions.rules import (BALANCED, ac_class, battery_class, brakes_class,
                                tires_class)
-from ..functions.lookup import pick
+from ..functions.lookup import jvm_cached, pick
 from .tables import read_table
 
 _LEVELS = ("Good", "Upcoming", "Urgent")
@@ -110,6 +110,11 @@ def service(spark: SparkSession, sf_dir: str) -> DataFrame:
               F.min("l_shipdate").alias("ship"))
          .withColumn("rf", F.when(F.col("rf_code") == 0, F.lit(""))
                      .otherwise(F.chr(F.col("rf_code")))))
+    return g.select(*_service_columns())
+
+
+@jvm_cached
+def _service_columns() -> list[Column]:
     ln = F.col("l_linenumber")
     q = F.col("mq").cast("int")
     d = F.round(F.col("md") * 100).cast("int")
@@ -121,19 +126,18 @@ def service(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.lit("")))
     truth = F.concat(F.lit("{"), F.concat_ws(", ", *[
         F.concat(F.lit(f'"{k}": "'), sev, F.lit('"')) for k, _, sev in pieces]), F.lit("}"))
-    return g.select(
+    return [
         (F.col("l_orderkey") * 10 + ln).alias("service_id"),
         F.col("l_orderkey").alias("vehicle_id"),
         F.col("sk").cast("int").alias("technician_id"),
         F.col("ship").cast("date").alias("service_date"),
-        pick(SERVICE_TYPES, q % 6 + 1)
-         .alias("service_type"),
+        pick(SERVICE_TYPES, q % 6 + 1).alias("service_type"),
         F.concat_ws(" ", *[text for _, text, _ in pieces]).alias("service_performed"),
         F.when(flag1.isNull(), F.lit(None).cast("array<string>"))
          .when(flag1 == "", F.array().cast("array<string>"))
          .otherwise(F.array(flag1)).alias("flagged_components"),
         truth.alias("ground_truth"),
-    )
+    ]
 
 
 def vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
