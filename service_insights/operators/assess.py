@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES
+from ..functions.arrays import explode_rows
 
 CATCH_CLASSES = ["Urgent", "Upcoming"]
 
@@ -28,8 +29,8 @@ def explode_assessments(scored: DataFrame, keep: list[str] | None = None,
     lists give no rows (``parse_status`` counts them)."""
     keep = keep if keep is not None else ["service_id", "service_performed"]
     flagged = flagged_array()
-    rows = scored.select(*keep, flagged.alias("_flagged"),
-                         F.posexplode(F.col("result.assessments")).alias("pos", "a"))
+    rows = explode_rows(scored, [*keep, flagged.alias("_flagged")], F.col("result.assessments"),
+                        val="a", pos="pos")
     cols = [F.col(k) for k in keep] + [
         F.col("a.component").alias("component_key"),
         F.col("a.classification").alias("classification"),
@@ -120,7 +121,7 @@ def contract_violations(scored: DataFrame, keys: list[str]) -> DataFrame:
     bad = F.transform(F.filter(got, lambda a: ~F.coalesce(a["classification"].isin(*CLASSES), F.lit(False))),
                       lambda a: F.struct(a["component"].alias("component_key"),
                                          F.lit("bad_class").alias("violation")))
-    return (scored.select("service_id", F.explode(F.concat(missing, extra, bad)).alias("v"))
+    return (explode_rows(scored, ["service_id"], F.concat(missing, extra, bad), val="v")
             .select("service_id", "v.component_key", "v.violation"))
 
 
@@ -133,6 +134,6 @@ def confusion(scored: DataFrame) -> DataFrame:
         a["component"].alias("component_key"),
         F.coalesce(F.element_at(truth, a["component"]), F.lit("Good")).alias("truth"),
         a["classification"].alias("predicted")))
-    return (scored.select(F.explode(pairs).alias("p"))
+    return (explode_rows(scored, [], pairs, val="p")
             .groupBy("p.component_key", "p.truth", "p.predicted")
             .agg(F.count(F.lit(1)).alias("n")))

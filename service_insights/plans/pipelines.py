@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import COMPONENT_KEYS, FULL_RUN_PARTITIONS, SEED_COMPONENTS
 from ..functions.rules import BALANCED, STRICT, Thresholds, with_signals
-from ..operators import assess, compare, outreach, scoring
+from ..operators import answers, assess, outreach, scoring
 from ..operators.prompts import compose_full_prompt, default_prompt
 
 
@@ -79,8 +79,7 @@ def run_config(service: DataFrame, config: Config, limit: int | None = 50, score
 def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None = 50,
                     scorer_a=None, scorer_b=None, partitions: int | None = None) -> DataFrame:
     """C2: both configs score the same sampled rows in one pass (the sample
-    is read once), both answers are exploded together with a side tag, and
-    one group-by compares them."""
+    is read once) and the two answers are compared on each row."""
     scorer_a = scorer_a or scoring.RuleScorer(a.thresholds)
     scorer_b = scorer_b or scoring.RuleScorer(b.thresholds)
     python = not (isinstance(scorer_a, scoring.RuleScorer) and isinstance(scorer_b, scoring.RuleScorer))
@@ -94,16 +93,11 @@ def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None
         base, _ = with_signals(base, [*a.keys, *b.keys], "service_performed")
     sa = scoring.score(base, a.keys, scorer_a, result_col="result_a", raw_col="raw_a")
     sb = scoring.score(sa, b.keys, scorer_b, result_col="result_b", raw_col="raw_b")
-    empty = F.array().cast("array<struct<component:string,classification:string,reasoning:string>>")
-
-    def tag(col: str, side: int):
-        return F.transform(F.coalesce(F.col(f"{col}.assessments"), empty), lambda x, i: F.struct(
-            F.lit(side).alias("side"), i.alias("pos"), x["component"].alias("component_key"),
-            x["classification"].alias("classification"), x["reasoning"].alias("reasoning")))
-
-    rows = sb.select("service_id", "service_performed",
-                     F.explode(F.concat(tag("result_a", 0), tag("result_b", 1))).alias("e"))
-    return compare.compare_tagged(rows.select("service_id", "service_performed", "e.*"))
+    # Both answers sit on the service's row: compared there, no shuffle.
+    out = answers.compare_answers(sb, "result_a.assessments", "result_b.assessments",
+                                  keep=["service_id", "service_performed"])
+    return out.select("service_id", "component_key", "service_performed", "a_classification",
+                      "a_reasoning", "b_classification", "b_reasoning", "differs")
 
 
 def recommendations(service: DataFrame, config: Config, scorer=None,

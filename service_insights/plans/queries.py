@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import assess, compare, outreach, scoring, summarize
+from ..operators import answers, assess, compare, outreach, scoring, summarize
 from ..sources import fixtures, generate, registry
 from ..sources.tables import read_table
 from . import pipelines
@@ -85,13 +85,13 @@ def distribution_pivot(spark, sf):
 
 def dedupe_assessments(spark, sf):
     """Latest assessment per (service, component) over two runs: a full
-    balanced run, then a strict run of tires and brakes that overrides it."""
-    s = _service(spark, sf)
-    first = pipelines.run_config(s, CONFIGS["all_components"], None, with_pos=True) \
-        .withColumn("seq", F.lit(0))
-    second = pipelines.run_config(s, CONFIGS["strict"], None, with_pos=True) \
-        .withColumn("seq", F.lit(1))
-    return assess.dedupe_latest(first.unionByName(second), seq_col="seq")
+    balanced run, then a strict run of tires and brakes that overrides it.
+    Both runs score the same scan, so the dedupe is row-local."""
+    s = pipelines.sample(_service(spark, sf), None)
+    first, second = CONFIGS["all_components"], CONFIGS["strict"]
+    s1 = scoring.score(s, first.keys, scoring.RuleScorer(first.thresholds), result_col="r1")
+    s2 = scoring.score(s1, second.keys, scoring.RuleScorer(second.thresholds), result_col="r2")
+    return answers.dedupe_runs(s2, ["r1.assessments", "r2.assessments"], keep=["service_id"])
 
 
 def compare_rows(spark, sf):
