@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES
-from ..functions.arrays import explode_rows
+from ..functions.arrays import explode_rows  # noqa: F401 (re-exported)
 
 CATCH_CLASSES = ["Urgent", "Upcoming"]
 
