@@ -128,12 +128,15 @@ def contract_violations(scored: DataFrame, keys: list[str]) -> DataFrame:
 def confusion(scored: DataFrame) -> DataFrame:
     """Predicted vs ground-truth class per component. Truth is the JSON in
     ``ground_truth``; a component absent from it had no signal, i.e. Good.
-    Paired inside each row, then one small aggregation."""
+    The truth map is parsed once per row, below the explode (inside a
+    lambda it would be parsed again for every component), then one small
+    aggregation."""
     truth = F.from_json(F.col("ground_truth"), "map<string,string>")
-    pairs = F.transform(F.col("result.assessments"), lambda a: F.struct(
-        a["component"].alias("component_key"),
-        F.coalesce(F.element_at(truth, a["component"]), F.lit("Good")).alias("truth"),
-        a["classification"].alias("predicted")))
-    return (explode_rows(scored, [], pairs, val="p")
-            .groupBy("p.component_key", "p.truth", "p.predicted")
+    rows = explode_rows(scored.select(truth.alias("_truth"), "result"), ["_truth"],
+                        F.col("result.assessments"), val="a")
+    comp = F.col("a.component")
+    return (rows.select(comp.alias("component_key"),
+                        F.coalesce(F.element_at(F.col("_truth"), comp), F.lit("Good")).alias("truth"),
+                        F.col("a.classification").alias("predicted"))
+            .groupBy("component_key", "truth", "predicted")
             .agg(F.count(F.lit(1)).alias("n")))

@@ -119,14 +119,15 @@ def services(spark: SparkSession, customer_keys: DataFrame, seed: int = 42,
     sid = F.col("vehicle_id") * hi + F.col("si") + N_DEMO
     s = s.select(sid.alias("service_id"), "vehicle_id")
     sid = F.col("service_id")
-    # 3..6 distinct components: sort all keys by a per-service hash, keep a prefix.
-    keys = F.array(*[F.lit(k) for k in COMPONENT_KEYS])
-    ranked = F.array_sort(F.transform(keys, lambda k: F.struct(
-        F.xxhash64(F.lit(seed), sid, k).alias("h"), k.alias("k"))))
+    # 3..6 distinct components: sort all observations by a per-service hash
+    # of their key (the key breaks ties), keep a prefix. Each observation is
+    # built once per service.
+    ranked = F.array_sort(F.array(*[
+        F.struct(F.xxhash64(F.lit(seed), sid, F.lit(k)).alias("h"), F.lit(k).alias("k"),
+                 _observation(k, sid, seed).alias("o"))
+        for k in COMPONENT_KEYS]))
     n = _between(*COMPONENTS_PER_SERVICE, seed, sid, "n")
-    picked = F.slice(F.transform(ranked, lambda r: r["k"]), 1, n)
-    every = F.array(*[_observation(k, sid, seed) for k in COMPONENT_KEYS])
-    obs = F.transform(picked, lambda k: F.filter(every, lambda o: o["key"] == k)[0])
+    obs = F.transform(F.slice(ranked, 1, n), lambda r: r["o"])
     s = s.select("service_id", "vehicle_id", obs.alias("obs"))
     urgent = F.filter(F.col("obs"), lambda o: o["sev"] == "Urgent")
     flag_i = (F.pmod(_h(seed, sid, "flag"), F.greatest(F.size(urgent), F.lit(1))) + 1).cast("int")
