@@ -24,13 +24,21 @@ def technician_flagged(flagged: Column, component: Column) -> Column:
 
 
 def explode_assessments(scored: DataFrame, keep: list[str] | None = None,
-                        with_pos: bool = False) -> DataFrame:
+                        with_pos: bool = False, components: list[str] | None = None) -> DataFrame:
     """One row per returned assessment. Unparsed answers, NULL and empty
     lists give no rows (``parse_status`` counts them)."""
     keep = keep if keep is not None else ["service_id", "service_performed"]
     flagged = flagged_array()
-    rows = explode_rows(scored, [*keep, flagged.alias("_flagged")], F.col("result.assessments"),
-                        val="a", pos="pos")
+    answer = F.col("result.assessments")
+    if components is not None:
+        # Restricting inside the answer, before the explode, keeps positions
+        # and drops the other components' rows before they exist.
+        answer = F.filter(F.transform(answer, lambda a, i: F.struct(i.alias("i"), a.alias("a"))),
+                          lambda e: F.coalesce(e["a"]["component"].isin(*components), F.lit(False)))
+        rows = explode_rows(scored, [*keep, flagged.alias("_flagged")], answer, val="e")
+        rows = rows.select(*keep, "_flagged", F.col("e.i").alias("pos"), F.col("e.a").alias("a"))
+    else:
+        rows = explode_rows(scored, [*keep, flagged.alias("_flagged")], answer, val="a", pos="pos")
     cols = [F.col(k) for k in keep] + [
         F.col("a.component").alias("component_key"),
         F.col("a.classification").alias("classification"),

@@ -2,7 +2,7 @@
 (C2) and the full-table run with outreach (C5)."""
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +55,12 @@ def seed_configs() -> dict[str, Config]:
     }
 
 
+def restrict_config(config: Config, selected: list[str]) -> Config:
+    """The config with only the selected components, in config order."""
+    keep = set(selected)
+    return replace(config, components=[c for c in config.components if c["component_key"] in keep])
+
+
 def sample(service: DataFrame, limit: int | None) -> DataFrame:
     """``ORDER BY service_id LIMIT n`` (a top-n, no global sort) or the
     whole table when ``limit`` is None; NULL flags become []."""
@@ -64,7 +70,8 @@ def sample(service: DataFrame, limit: int | None) -> DataFrame:
 
 
 def run_config(service: DataFrame, config: Config, limit: int | None = 50, scorer=None,
-               partitions: int | None = None, with_pos: bool = False) -> DataFrame:
+               partitions: int | None = None, with_pos: bool = False,
+               components: list[str] | None = None) -> DataFrame:
     """C1: sample -> score -> parse -> explode -> flag. Unordered; order at
     the edge with ``orderBy('service_id', 'component_key')``."""
     if not config.components:
@@ -73,7 +80,7 @@ def run_config(service: DataFrame, config: Config, limit: int | None = 50, score
     if partitions is None and not isinstance(scorer, scoring.RuleScorer):
         partitions = scoring.sample_partitions(limit) if limit else FULL_RUN_PARTITIONS
     scored = scoring.score(sample(service, limit), config.keys, scorer, partitions=partitions)
-    return assess.explode_assessments(scored, with_pos=with_pos)
+    return assess.explode_assessments(scored, with_pos=with_pos, components=components)
 
 
 def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None = 50,

@@ -132,8 +132,11 @@ def run_results(spark, sf):
 
 
 def selected_components(spark, sf):
-    return assess.restrict_components(assessments(spark, sf), SELECTED).select(
-        "service_id", "component_key", "classification", "reasoning")
+    """P7: only the selected components are scored (the selection is the
+    config's component list), so the other nine are never evaluated."""
+    cfg = pipelines.restrict_config(CONFIGS["all_components"], SELECTED)
+    rows = pipelines.run_config(_service(spark, sf), cfg, limit=None)
+    return rows.select("service_id", "component_key", "classification", "reasoning")
 
 
 # Vehicle-dimension batches for the merge operators: the table as loaded up

@@ -24,10 +24,9 @@ def _keys_not_null(keys: list[str]):
 
 def merge_insert_only(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Insert update rows whose key is not in the target; matched target rows
-    stay untouched. NULL keys never match, so such update rows are inserted."""
-    batch_keys = updates.select(*keys)
-    matched = target.select(*keys).join(batch_keys, keys, "left_semi")
-    new_rows = updates.join(matched, keys, "left_anti")
+    stay untouched. NULL keys never match, so such update rows are inserted.
+    One anti-join of the batch against the target's keys."""
+    new_rows = updates.join(target.select(*keys), keys, "left_anti")
     return target.unionByName(new_rows.select(*target.columns))
 
 

@@ -102,3 +102,15 @@ def test_generator_shape(spark):
     from service_insights.operators import scoring
     scored = scoring.score(pipelines.sample(s, None), cfg.keys)
     assert assess.confusion(scored).filter("truth != predicted").count() == 0
+
+
+def test_restrict_inside_answer_equals_filter_after_explode(spark):
+    s = fixtures.service(spark, SF0001)
+    sel = ["battery", "ac", "wipers"]
+    cols = ["service_id", "component_key", "classification", "reasoning", "pos"]
+    inside = pipelines.run_config(s, CFG["all_components"], None, with_pos=True, components=sel)
+    after = assess.restrict_components(
+        pipelines.run_config(s, CFG["all_components"], None, with_pos=True), sel)
+    restricted = pipelines.run_config(s, pipelines.restrict_config(CFG["all_components"], sel), None)
+    assert sorted(inside.select(*cols).collect()) == sorted(after.select(*cols).collect())
+    assert sorted(inside.select(*cols[:4]).collect()) == sorted(restricted.select(*cols[:4]).collect())
