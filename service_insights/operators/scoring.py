@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..constants import (MAX_TEST_PARTITIONS, NOTES_SEPARATOR, SCORING_OPTIONS)
+from ..constants import (FULL_RUN_PARTITIONS, MAX_TEST_PARTITIONS, NOTES_SEPARATOR,
+                         SCORING_OPTIONS)
 from ..functions import json_text
 from ..functions.rules import BALANCED, Thresholds, assessments, with_signals
 
@@ -123,6 +124,15 @@ class CannedScorer:
         return call
 
 
+def full_run_partitions(df: DataFrame) -> int:
+    """Fan-out for scoring a whole table: at least the reference's 32
+    tasks, and never fewer than the input already has -- the input's split
+    count grows with the data (scan splits of maxPartitionBytes, or the
+    shuffle partitions of a derived table), so tasks keep a bounded size at
+    any scale. Reading the count plans the frame; it runs nothing."""
+    return max(FULL_RUN_PARTITIONS, df.rdd.getNumPartitions())
+
+
 def sample_partitions(limit: int) -> int:
     """Fan-out for a sample of ``limit`` rows: one row per task, capped."""
     return max(1, min(int(limit), MAX_TEST_PARTITIONS))

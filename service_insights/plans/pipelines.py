@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import COMPONENT_KEYS, FULL_RUN_PARTITIONS, SEED_COMPONENTS
+from ..constants import COMPONENT_KEYS, SEED_COMPONENTS
 from ..functions.rules import BALANCED, STRICT, Thresholds, with_signals
 from ..operators import answers, assess, outreach, scoring
 from ..operators.prompts import compose_full_prompt, default_prompt
@@ -77,9 +77,10 @@ def run_config(service: DataFrame, config: Config, limit: int | None = 50, score
     if not config.components:
         raise ValueError("select at least one component")
     scorer = scorer or scoring.RuleScorer(config.thresholds)
+    base = sample(service, limit)
     if partitions is None and not isinstance(scorer, scoring.RuleScorer):
-        partitions = scoring.sample_partitions(limit) if limit else FULL_RUN_PARTITIONS
-    scored = scoring.score(sample(service, limit), config.keys, scorer, partitions=partitions)
+        partitions = scoring.sample_partitions(limit) if limit else scoring.full_run_partitions(base)
+    scored = scoring.score(base, config.keys, scorer, partitions=partitions)
     return assess.explode_assessments(scored, with_pos=with_pos, components=components)
 
 
@@ -90,9 +91,9 @@ def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None
     scorer_a = scorer_a or scoring.RuleScorer(a.thresholds)
     scorer_b = scorer_b or scoring.RuleScorer(b.thresholds)
     python = not (isinstance(scorer_a, scoring.RuleScorer) and isinstance(scorer_b, scoring.RuleScorer))
-    if partitions is None and python:
-        partitions = scoring.sample_partitions(limit) if limit else FULL_RUN_PARTITIONS
     base = sample(service, limit)
+    if partitions is None and python:
+        partitions = scoring.sample_partitions(limit) if limit else scoring.full_run_partitions(base)
     if python and partitions:
         base = base.repartition(int(partitions))
     if not python:
@@ -112,7 +113,7 @@ def recommendations(service: DataFrame, config: Config, scorer=None,
     """First half of C5: every service row scored, one row per component."""
     scorer = scorer or scoring.RuleScorer(config.thresholds)
     if partitions is None and not isinstance(scorer, scoring.RuleScorer):
-        partitions = FULL_RUN_PARTITIONS
+        partitions = scoring.full_run_partitions(service)
     scored = scoring.score(service, config.keys, scorer, partitions=partitions)
     return assess.explode_assessments(
         scored, keep=["service_id", "vehicle_id", "service_performed"])

@@ -75,3 +75,10 @@ def test_scorer_is_not_inlined_into_filters(spark):
         analyzed, optimized = qe.analyzed().toString(), qe.optimizedPlan().toString()
         assert optimized.count("regexp_extract") <= analyzed.count("regexp_extract"), name
         assert len(optimized) < 100_000, name
+
+
+def test_full_run_fan_out_grows_with_input(spark):
+    s = fixtures.service(spark, SF0001)
+    assert scoring.full_run_partitions(s) >= 32
+    wide = s.repartition(80)
+    assert scoring.full_run_partitions(wide) == 80
