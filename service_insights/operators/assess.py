@@ -24,17 +24,26 @@ def technician_flagged(flagged: Column, component: Column) -> Column:
 
 
 def explode_assessments(scored: DataFrame, keep: list[str] | None = None,
-                        with_pos: bool = False, components: list[str] | None = None) -> DataFrame:
+                        with_pos: bool = False, components: list[str] | None = None,
+                        where=None) -> DataFrame:
     """One row per returned assessment. Unparsed answers, NULL and empty
     lists give no rows (``parse_status`` counts them)."""
     keep = keep if keep is not None else ["service_id", "service_performed"]
     flagged = flagged_array()
     answer = F.col("result.assessments")
-    if components is not None:
+    if components is not None or where is not None:
         # Restricting inside the answer, before the explode, keeps positions
-        # and drops the other components' rows before they exist.
+        # and drops the unwanted rows before they exist. ``where`` maps an
+        # assessment struct to a boolean Column (NULL drops the entry).
+        def wanted(a):
+            ok = F.lit(True)
+            if components is not None:
+                ok = ok & a["component"].isin(*components)
+            if where is not None:
+                ok = ok & where(a)
+            return F.coalesce(ok, F.lit(False))
         answer = F.filter(F.transform(answer, lambda a, i: F.struct(i.alias("i"), a.alias("a"))),
-                          lambda e: F.coalesce(e["a"]["component"].isin(*components), F.lit(False)))
+                          lambda e: wanted(e["a"]))
         rows = explode_rows(scored, [*keep, flagged.alias("_flagged")], answer, val="e")
         rows = rows.select(*keep, "_flagged", F.col("e.i").alias("pos"), F.col("e.a").alias("a"))
     else:

@@ -109,14 +109,14 @@ def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None
 
 
 def recommendations(service: DataFrame, config: Config, scorer=None,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, where=None) -> DataFrame:
     """First half of C5: every service row scored, one row per component."""
     scorer = scorer or scoring.RuleScorer(config.thresholds)
     if partitions is None and not isinstance(scorer, scoring.RuleScorer):
         partitions = scoring.full_run_partitions(service)
     scored = scoring.score(service, config.keys, scorer, partitions=partitions)
     return assess.explode_assessments(
-        scored, keep=["service_id", "vehicle_id", "service_performed"])
+        scored, keep=["service_id", "vehicle_id", "service_performed"], where=where)
 
 
 def full_run(spark: SparkSession, service: DataFrame, vehicle: DataFrame, customer: DataFrame,

@@ -112,7 +112,10 @@ def recommendations(spark, sf):
 
 
 def urgent_findings(spark, sf):
-    return outreach.urgent_findings(recommendations(spark, sf), fixtures.vehicle(spark, sf),
+    # Only Urgent entries leave the answer array; the rest are never exploded.
+    urgent = pipelines.recommendations(_service(spark, sf), CONFIGS["all_components"],
+                                       where=lambda a: a["classification"] == "Urgent")
+    return outreach.urgent_findings(urgent, fixtures.vehicle(spark, sf),
                                     fixtures.customer(spark, sf))
 
 
