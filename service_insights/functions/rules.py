@@ -67,10 +67,18 @@ def _num(s: Column, typ: str) -> Column:
 # because it never duplicates a non-cheap expression such as a regex.
 #   1. signals:  per component, the matched reading sentence (measured) or
 #                the matched phrase's level 0/1/2 (phrase components);
-#   2. readings: numbers parsed out of the short sentences;
+#   2. readings: the numbers of each short sentence, found by one
+#                ``regexp_extract_all`` scan (one scan per sentence instead of
+#                one full match per number), then picked out by position;
 #   3. classes:  threshold bands over plain columns, one set per config.
 SIGNAL_PREFIX = "_sig_"
+NUMBERS_PREFIX = "_num_"
 READING_PREFIX = "_val_"
+# A number in a reading sentence. Every number of a matched sentence is a
+# capture group of its pattern except the "32" of "(32nds)", which is why
+# the tire numbers start at position 1.
+NUMBER_RE = r"[0-9]+(?:\.[0-9]+)?"
+_FIRST_NUMBER = {"tires": 1, "brakes": 0, "battery": 0, "ac": 0}
 _PATTERNS = {"tires": TIRES_RE, "brakes": BRAKES_RE, "battery": BATTERY_RE, "ac": AC_RE}
 _LEVELS = ("Good", "Upcoming", "Urgent")
 
@@ -83,6 +91,15 @@ def _val(name: str) -> str:
     return READING_PREFIX + name
 
 
+def _nums(key: str) -> str:
+    return NUMBERS_PREFIX + key
+
+
+def _numbers(key: str) -> Column:
+    """All numbers of the matched sentence of a measured component, as text."""
+    return F.regexp_extract_all(F.col(_sig(key)), F.lit(NUMBER_RE), 0)
+
+
 def _signal(key: str, notes: Column) -> Column:
     if key in MEASURED:
         return F.regexp_extract(notes, _PATTERNS[key], 0)
@@ -93,26 +110,31 @@ def _signal(key: str, notes: Column) -> Column:
             .when(notes.contains(good), F.lit(0)))
 
 
+def _group(key: str, i: int, typ: str) -> Column:
+    """Capture group ``i`` (1-based) of a measured pattern, from the numbers
+    column; NULL when the sentence is absent."""
+    return _num(F.get(F.col(_nums(key)), _FIRST_NUMBER[key] + i - 1), typ)
+
+
 def _readings_of(key: str) -> dict[str, Column]:
-    s = F.col(_sig(key))
-    pat = _PATTERNS[key]
     if key == "tires":
-        return {"tires": F.least(*[_num(F.regexp_extract(s, pat, i), "int") for i in range(1, 5)])}
+        return {"tires": F.least(*[_group("tires", i, "int") for i in range(1, 5)])}
     if key == "brakes":
-        return {"brakes": F.least(*[_num(F.regexp_extract(s, pat, i), "double") for i in (1, 2)])}
+        return {"brakes": F.least(*[_group("brakes", i, "double") for i in (1, 2)])}
     if key == "battery":
-        return {"battery_volts": _num(F.regexp_extract(s, pat, 1), "double"),
-                "battery_age": _num(F.regexp_extract(s, pat, 2), "int")}
-    return {"ac": _num(F.regexp_extract(s, pat, 1), "int")}
+        return {"battery_volts": _group("battery", 1, "double"),
+                "battery_age": _group("battery", 2, "int")}
+    return {"ac": _group("ac", 1, "int")}
 
 
 @jvm_cached
-def _layers(keys: tuple[str, ...], notes_col: str) -> tuple[dict, dict]:
+def _layers(keys: tuple[str, ...], notes_col: str) -> tuple[dict, dict, dict]:
     notes = F.col(notes_col)
     wanted = [k for k in dict.fromkeys(keys) if k in MEASURED or k in PHRASES]
     sig = {_sig(k): _signal(k, notes) for k in wanted}
+    nums = {_nums(k): _numbers(k) for k in wanted if k in MEASURED}
     vals = {_val(n): c for k in wanted if k in MEASURED for n, c in _readings_of(k).items()}
-    return sig, vals
+    return sig, nums, vals
 
 
 def with_signals(df: DataFrame, keys: list[str], notes_col: str) -> tuple[DataFrame, list[str]]:
@@ -120,13 +142,16 @@ def with_signals(df: DataFrame, keys: list[str], notes_col: str) -> tuple[DataFr
     ``keys`` need; returns the frame and the names it added (columns
     already present are kept, so two configs share one extraction)."""
     have = set(df.columns)
-    sig, vals = _layers(tuple(keys), notes_col)
+    sig, nums, vals = _layers(tuple(keys), notes_col)
     sig = {k: c for k, c in sig.items() if k not in have}
     vals = {k: c for k, c in vals.items() if k not in have}
+    nums = {k: c for k, c in nums.items() if k not in have} if vals else {}
     if sig:
         df = df.withColumns(sig)
+    if nums:
+        df = df.withColumns(nums)
     if vals:
-        df = df.withColumns(vals)
+        df = df.withColumns(vals).drop(*nums)
     return df, [*sig, *vals]
 
 
@@ -135,10 +160,9 @@ def readings(df: DataFrame, notes_col: str = "service_performed") -> DataFrame:
     as columns; each sentence is found by one regex scan of the notes."""
     notes = F.col(notes_col)
     sent = {_sig(k): F.regexp_extract(notes, _PATTERNS[k], 0) for k in MEASURED}
-    df = df.withColumns(sent)
-
-    def grp(k: str, i: int, typ: str) -> Column:
-        return _num(F.regexp_extract(F.col(_sig(k)), _PATTERNS[k], i), typ)
+    nums = {_nums(k): _numbers(k) for k in MEASURED}
+    df = df.withColumns(sent).withColumns(nums)
+    grp = _group
 
     out = {
         "tread_lf": grp("tires", 1, "int"), "tread_rf": grp("tires", 2, "int"),
@@ -147,7 +171,7 @@ def readings(df: DataFrame, notes_col: str = "service_performed") -> DataFrame:
         "battery_volts": grp("battery", 1, "double"), "battery_age_yr": grp("battery", 2, "int"),
         "ac_vent_f": grp("ac", 1, "int"),
     }
-    return df.withColumns(out).drop(*sent)
+    return df.withColumns(out).drop(*sent, *nums)
 
 
 def _band(value: Column, urgent: Column, upcoming: Column) -> Column:
