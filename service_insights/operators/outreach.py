@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import EMAIL_PROMPT_INTRO, EMAIL_PROMPT_OUTRO
+from ..functions.arrays import explode_rows
 
 
 def urgent_reasons(recommendations: DataFrame) -> DataFrame:
@@ -27,9 +28,34 @@ def urgent_reasons(recommendations: DataFrame) -> DataFrame:
             .agg(F.array_join(F.array_sort(F.collect_list(piece)), "; ").alias("urgent_reasons")))
 
 
+def urgent_reasons_on_row(scored: DataFrame, answer: str = "result.assessments",
+                          keep: tuple[str, ...] = ("service_id", "vehicle_id")) -> DataFrame:
+    """:func:`urgent_reasons` from answers held on the service's row, for a
+    frame with one row per service (the derived ``service`` table): same
+    pieces, same order, same rows, with no explode and no shuffle.
+
+    The Urgent entries are one column in their own projection (the lambda
+    is not re-run for each use). Visits without one are dropped through
+    ``explode_rows`` of a 0-or-1 element array, which the optimizer cannot
+    push below the scorer as it would a plain Filter."""
+    urgent = F.filter(F.col(answer),
+                      lambda a: F.coalesce(a["classification"] == "Urgent", F.lit(False)))
+    u = scored.select(*keep, urgent.alias("_urgent"))
+    pieces = F.filter(F.transform(F.col("_urgent"), lambda a: F.concat(
+        a["component"], F.lit(": "), a["reasoning"])), lambda p: p.isNotNull())
+    text = F.when(F.size(F.col("_urgent")) > 0,
+                  F.array(F.array_join(F.array_sort(pieces), "; ")))
+    return explode_rows(u.select(*keep, text.alias("_text")), list(keep), F.col("_text"),
+                        val="urgent_reasons")
+
+
 def urgent_findings(recommendations: DataFrame, vehicle: DataFrame, customer: DataFrame) -> DataFrame:
     """Urgent visits joined through vehicle to customer."""
-    u = urgent_reasons(recommendations)
+    return join_findings(urgent_reasons(recommendations), vehicle, customer)
+
+
+def join_findings(u: DataFrame, vehicle: DataFrame, customer: DataFrame) -> DataFrame:
+    """(service_id, vehicle_id, urgent_reasons) joined through vehicle to customer."""
     v = vehicle.select("vehicle_id", "customer_id", "make", "model")
     c = customer.select("customer_id", "first_name", "last_name", "email")
     return (u.join(v, "vehicle_id", "inner").join(c, "customer_id", "inner")

@@ -112,11 +112,13 @@ def recommendations(spark, sf):
 
 
 def urgent_findings(spark, sf):
-    # Only Urgent entries leave the answer array; the rest are never exploded.
-    urgent = pipelines.recommendations(_service(spark, sf), CONFIGS["all_components"],
-                                       where=lambda a: a["classification"] == "Urgent")
-    return outreach.urgent_findings(urgent, fixtures.vehicle(spark, sf),
-                                    fixtures.customer(spark, sf))
+    # The derived service table has one row per service, so the Urgent
+    # reasons are joined on the service's row: no explode, no group-by
+    # shuffle. (``outreach.urgent_findings`` groups stored recommendations.)
+    cfg = CONFIGS["all_components"]
+    scored = scoring.score(_service(spark, sf), cfg.keys, scoring.RuleScorer(cfg.thresholds))
+    return outreach.join_findings(outreach.urgent_reasons_on_row(scored),
+                                  fixtures.vehicle(spark, sf), fixtures.customer(spark, sf))
 
 
 def email_prompts(spark, sf):

@@ -58,3 +58,15 @@ def test_explode_rows_keeps_null_elements_drops_empty(spark):
     df = spark.createDataFrame([(1, ["x", None]), (2, []), (3, None)], "id int, v array<string>")
     got = sorted(assess.explode_rows(df, ["id"], F.col("v"), val="e").collect(), key=lambda r: (r.id, r.e is None))
     assert [(r.id, r.e) for r in got] == [(1, "x"), (1, None)]
+
+
+def test_urgent_reasons_on_row_equals_grouped(spark):
+    from service_insights.operators import outreach
+    for seed in range(3):
+        df = _frame(spark, seed).withColumn("vehicle_id", F.col("service_id") % 7)
+        recs = assess.explode_rows(df, ["service_id", "vehicle_id"], F.col("a"), val="x").select(
+            "service_id", "vehicle_id", F.col("x.component").alias("component_key"),
+            F.col("x.classification").alias("classification"), F.col("x.reasoning").alias("reasoning"))
+        want = sorted(tuple(r) for r in outreach.urgent_reasons(recs).collect())
+        got = sorted(tuple(r) for r in outreach.urgent_reasons_on_row(df, answer="a").collect())
+        assert got == want and want
