@@ -82,3 +82,12 @@ def test_full_run_fan_out_grows_with_input(spark):
     assert scoring.full_run_partitions(s) >= 32
     wide = s.repartition(80)
     assert scoring.full_run_partitions(wide) == 80
+
+
+def test_urgent_reasons_do_not_shuffle(spark):
+    plan = _plan(queries.QUERIES["urgent_findings"](spark, SF0001))
+    # no group-by of exploded rows; the joins are broadcast at this size
+    assert "collect_list" not in plan, plan
+    assert plan.count("Exchange hashpartitioning") == 1, plan
+    # the scorer is never inlined into a filter below the projection
+    assert not [line for line in plan.split("\n") if "Filter" in line and "regexp" in line], plan
