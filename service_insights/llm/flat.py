@@ -152,8 +152,8 @@ def window_rows(bounds: np.ndarray, k: int) -> np.ndarray:
     return first + np.arange(total)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the column has about ``limit`` bytes in each, one row at least. Texts stay whole."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLAB_BYTES, rows: int = 4095) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the column has about ``limit`` bytes in each, with 1 to ``rows`` rows. Texts stay whole."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -163,7 +163,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLAB_BYT
         ends, at = np.cumsum(size), 0
         while at < n:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
 
