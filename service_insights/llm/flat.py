@@ -122,7 +122,7 @@ class Words:
         np.cumsum(values * p[:n], out=acc[1:])
         for k in lengths:
             ends = np.minimum(self.starts + k, self.ends)
-            h = mix((acc[ends] - acc[self.starts]) * inv[self.starts] + _U(k) * _M1)
+            h = mix((acc[ends] - acc[self.starts]) * inv[self.starts] + np.full(1, k, _U) * _M1)
             out.append(np.where(self.ends - self.starts >= k, h, _U(0)))
         return out
 

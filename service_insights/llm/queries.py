@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, substring, token_files
+from . import bpe, decontaminate, jaccard, substring, token_files, toxicity
 from .common import documents, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "cosines")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     manifest = token_files.write(documents(spark, sf_dir), folder, public_tokenizers.path(TOKENIZER))
@@ -34,6 +41,16 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, sf_dir))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -41,7 +58,9 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_jaccard": op5_jaccard,
+    "op6_decontaminate": op6_decontaminate,
     "op8_substring": op8_substring,
 }
