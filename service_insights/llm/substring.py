@@ -128,7 +128,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    block, buckets = (window + 1) // 2, 4 * n
+    block, buckets = (window + 1) // 2, n
     plain = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(column, F.lit("")).alias("text"))
     frequent_blocks, frequent_windows = _frequent(plain, window, block)
     frequent_windows, smallest = _smallest(plain, window, block, frequent_windows)
@@ -136,10 +136,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
     # Whole texts that a smaller id has too: their digest meets in an aggregation, then goes back to the copies.
     digest = plain.select("id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2"))
     first = digest.groupBy("d1", "d2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    copies = digest.join(first, ["d1", "d2"]).where("id > low").select("id", F.lit(True).alias("copy"), "d1").distinct()
+    copies = digest.join(first, ["d1", "d2"]).where("id > low").groupBy("id").agg(F.collect_set("d1").alias("copied"))
 
-    base = plain.withColumn("d1", F.xxhash64("text")).repartition(n, "id")
-    base = base.join(copies, ["id", "d1"], "left").select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    base = plain.repartition(n, "id").join(copies, "id", "left")
+    base = base.select("id", "text", F.coalesce(F.array_contains("copied", F.xxhash64("text")), F.lit(False)).alias("copy"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
