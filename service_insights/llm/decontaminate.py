@@ -81,9 +81,10 @@ def _windows(benchmark: DataFrame, window: int, shingle: int, item_column: str,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, id_column: str = "doc_id", item_column: str = "item_id", column: str = "text") -> DataFrame:
-    """One row per document: doc_id, tag, n_words, n_hit (words inside an occurring window), items (array<string>, sorted)."""
+    """One row per document: doc_id, tag (hash of the text), n_words, n_hit (words inside an occurring window), items (array<string>, sorted)."""
     ship(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(column, F.lit("")).alias("text"))
+    tagged = plain.withColumn("tag", F.xxhash64("text"))
     all_windows = saved(_windows(benchmark, window, shingle, item_column, column))
     kinds = all_windows.select("size", "h", "c", "q", "keys").dropDuplicates(["h", "c", "size"])
     keyed = kinds.select("size", "h", "c", F.size("keys").alias("n_keys"), F.posexplode("keys").alias("offset", "key"))
@@ -117,7 +118,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             ids = batch.column(0).to_numpy()
             words = flat.Words(batch.column(1), flat.ALNUM_LOWER)
             h, counts = words.hashes(), words.counts()
-            tags = flat.range_hash(h, words.bounds[:-1], words.bounds[1:]).view(np.int64)
             cands = batch.column(2)
             if isinstance(cands, pa.ChunkedArray):
                 cands = cands.combine_chunks()
@@ -139,9 +139,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:words.n] > 0)])
             n_hit = np.diff(hit[words.bounds])
             bounds = np.concatenate([[0], np.cumsum(np.bincount(row[good], minlength=len(per)))])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(counts), pa.array(n_hit), flat.list_array(ch[good], bounds, pa.int64())], names=["id", "tag", "n_words", "n_hit", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(3), pa.array(counts), pa.array(n_hit), flat.list_array(ch[good], bounds, pa.int64())], names=["id", "tag", "n_words", "n_hit", "found"])
 
-    out = saved(plain.join(by_doc, "id", "left").select("id", "text", "cands").mapInArrow(verify, "id long, tag long, n_words long, n_hit long, found array<long>"))
+    out = saved(tagged.join(by_doc, "id", "left").select("id", "text", "cands", "tag").mapInArrow(verify, "id long, tag long, n_words long, n_hit long, found array<long>"))
     named = out.select("id", "tag", F.explode("found").alias("h")).distinct().join(all_windows.where("item is not null").select("h", "item").distinct(), "h")
     named = named.groupBy("id", "tag").agg(F.array_sort(F.collect_set("item")).alias("items"))
     done = out.join(named, ["id", "tag"], "left")

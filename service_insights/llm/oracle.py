@@ -1,3 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
+from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from . import licenses, line_dedup
+
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_licenses": licenses.oracle_sql(),
+}

@@ -7,12 +7,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, jaccard, pii, substring, token_files, toxicity
+from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, pii, substring, token_files, toxicity
 from .common import documents, scratch
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = bpe.encode_decode(docs, public_tokenizers.path(TOKENIZER))
@@ -51,6 +56,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(documents(spark, sf_dir))
+    return out.select("doc_id", "canonical_sha256", "licence", F.array_join("notices", ",").alias("notices"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -74,11 +84,13 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op4_token_files": op4_token_files,
     "op5_jaccard": op5_jaccard,
     "op6_decontaminate": op6_decontaminate,
+    "op7_licenses": op7_licenses,
     "op8_substring": op8_substring,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
