@@ -3,7 +3,76 @@ from __future__ import annotations
 
 from . import licenses, line_dedup
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_JACCARD = f"""
+with recursive w as (
+  select doc_id, regexp_extract_all({_LOWER}, {_BLANKS}) as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as g from w
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by all
+), l as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)
+), e as (
+  select a, b from l union all select b, a from l
+), r(doc_id, m) as (
+  select doc_id, doc_id from w union select r.doc_id, e.b from r join e on r.m = e.a
+)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.m as component_id
+from w left join n on w.doc_id = n.doc_id join (select doc_id, min(m) as m from r group by doc_id) c on w.doc_id = c.doc_id
+"""
+
+_DECONTAMINATE = f"""
+with d as (
+  select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from documents
+), b as (
+  select item_id::varchar as item, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from benchmark
+), bw as (
+  select distinct item, size, array_to_string(ws[p:p + size - 1], ' ') as k from (
+    select item, ws, least(10, len(ws)) as size, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as p from b where len(ws) > 0)
+), dw as (
+  select doc_id, p, size, array_to_string(ws[p:p + size - 1], ' ') as k from (
+    select doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) as p from d, (select distinct size from bw))
+), m as (
+  select doc_id, p, dw.size, item from dw join bw on dw.k = bw.k and dw.size = bw.size
+), h as (
+  select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + size)) as q from m) group by doc_id
+), i as (
+  select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from m group by doc_id
+)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h on d.doc_id = h.doc_id left join i on d.doc_id = i.doc_id
+"""
+
+_SUBSTRING = f"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), {_BLANKS}) as ws from documents
+), w as (
+  select doc_id, p, array_to_string(ws[p:p + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from d)
+), r as (
+  select doc_id, p from (select doc_id, p, min(doc_id) over (partition by k) as low from w) where doc_id > low
+), gone as (
+  select distinct doc_id, unnest(range(p, p + 13)) as q from r
+), kept as (
+  select x.doc_id, count(*) as n, string_agg(x.word, ' ' order by x.q) as t
+  from (select doc_id, q, ws[q] as word from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as q from d)) x
+  anti join gone on x.doc_id = gone.doc_id and x.q = gone.q group by x.doc_id
+)
+select d.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept on d.doc_id = kept.doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_jaccard": _JACCARD,
+    "op6_decontaminate": _DECONTAMINATE,
     "op7_licenses": licenses.oracle_sql(),
+    "op8_substring": _SUBSTRING,
 }
