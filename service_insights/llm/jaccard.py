@@ -14,8 +14,10 @@ lost. At the last hash empty parts give signatures too.
 Signatures go to their hash bucket, packed. There each group of sets with one
 signature links its members to two of them only (the best connected one, and the
 smallest), not to one another. Links are verified on the whole sets and joined to
-components; only members of one group that still lie in different components are
-then paired and verified. Equal sets are one node throughout.
+components. Members of one group that still lie in different components are then
+compared by parity sketches, whose difference is never larger than that of the
+sets, in blocks, and the few pairs within reach are verified too. No pairs within
+a component are made. Equal sets are one node throughout.
 
 Null ids link with nothing and have no component. Null texts and texts without
 words have no shingles, and are their own component. Rows that share an id are
@@ -171,6 +173,40 @@ def stars(nodes: np.ndarray, sigs: np.ndarray) -> tuple[tuple[np.ndarray, np.nda
     return (a[differ], b[differ]), (name[group[own]], nodes[own])
 
 
+def sketches(keys: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Parity sketch of each set: each feature flips one bit, so two sketches differ in no more bits than the sets in features.
+
+    1024 bits for sets of up to 1000 features, four times as many for each further factor of four.
+    """
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        bits = 1024
+        while (b - a) > bits:
+            bits *= 4
+        place = (flat.mix((keys[a:b] & _LOW) * flat._P) & _U(bits - 1)).astype(np.int64)
+        out.append(np.packbits(np.bincount(place, minlength=bits) & 1, bitorder="little").tobytes())
+    return out
+
+
+def _signs(cells: list[bytes]) -> np.ndarray:
+    """Sketches as rows of +1 and -1, folded to the shortest one's length (folding keeps the bound)."""
+    size = min(map(len, cells))
+    out = np.empty((len(cells), size * 8), np.float32)
+    for k, cell in enumerate(cells):
+        x = np.frombuffer(cell, np.uint8)
+        out[k] = np.unpackbits(np.bitwise_xor.reduce(x.reshape(-1, size), axis=0), bitorder="little")
+    return 1 - 2 * out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ, all rows of x against all of y."""
+    return (x.shape[1] - x @ y.T) / 2
+
+
+#: Members of a group that are compared in one piece; larger groups are cut to blocks.
+BLOCK = 2048
+
+
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable by links of num / den and more)."""
     spark = docs.sparkSession
@@ -204,50 +240,94 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     signed = plain.where("id is not null").mapInArrow(sign, packed.SCHEMA)
     found = saved(signed.groupBy("bucket").applyInArrow(meet, "grp long, a long, b long"))
 
-    # From set digests to nodes (the smallest id of equal sets), with sizes.
-    of = nodes.select("s1", "node", "n")
-    pairs = found.where("grp is null").select("a", "b").distinct()
-    pairs = pairs.join(of.select(F.col("s1").alias("a"), F.col("node").alias("u"), F.col("n").alias("nu")), "a").join(of.select(F.col("s1").alias("b"), F.col("node").alias("v"), F.col("n").alias("nv")), "b")
-    fits = (F.least("nu", "nv") * den >= F.greatest("nu", "nv") * num) & (F.col("u") != F.col("v"))
-    pairs = saved(pairs.where(fits).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    # Texts and sketches of the sets in any group, under their node (the smallest id of equal sets).
+    grouped = found.select(F.col("a").alias("s1")).union(found.select(F.col("b").alias("s1"))).distinct()
+    of = saved(nodes.join(grouped, "s1").select("s1", "node", "n"))
 
-    chosen = nodes.select(F.col("node").alias("id"), "s1", "s2", "n")
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in flat.pieces(batches, "text"):
+            keys, bounds = shingle_sets(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds)), pa.array(sketches(keys, bounds), pa.binary())], names=["node", "text", "n", "sketch"])
+
+    texts = plain.join(of.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text")
+    texts = saved(texts.mapInArrow(sketch, "node long, text string, n long, sketch binary").where("n > 0"))
+    drawn = texts.select("node", "n", "sketch")
+
+    def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.select(F.col("node").alias(name), *[F.col(c).alias(c + name) for c in columns])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, na, nb, sketches) whose sizes and sketches allow a link."""
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
+            own = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            for k in np.flatnonzero(own).tolist():
+                size = min(len(x[k]), len(y[k]))
+                bits = np.bitwise_xor.reduce(np.concatenate([np.frombuffer(x[k], "<u8").reshape(-1, size // 8), np.frombuffer(y[k], "<u8").reshape(-1, size // 8)]), axis=0)
+                own[k] = int(np.bitwise_count(bits).sum()) * (den + num) <= (na[k] + nb[k]) * (den - num)
+            keep = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b, texts) that meet the threshold, on their whole sets."""
+        for whole in flat.pieces(batches, "texta"):
+            for batch in flat.pieces(iter([whole]), "textb"):
+                x, xb = shingle_sets(batch.column(2), shingle)
+                y, yb = shingle_sets(batch.column(3), shingle)
+                both = np.sort(np.concatenate([x, y]))
+                same = both[1:][both[1:] == both[:-1]]
+                inter = np.bincount((same >> _U(52)).astype(np.int64), minlength=batch.num_rows)
+                union = np.diff(xb) + np.diff(yb) - inter
+                own = pa.array((inter * den >= union * num) & (inter > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), batch.column(1).filter(own)], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs of nodes that meet the threshold, on their whole sets."""
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = plain.join(wanted, "id", "left_semi").select("id", "text").dropDuplicates(["id", "text"])
-        rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
-
-        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in flat.pieces(batches, "ta"):
-                for batch in flat.pieces(iter([batch]), "tb"):
-                    x, xb = shingle_sets(batch.column(2), shingle)
-                    y, yb = shingle_sets(batch.column(3), shingle)
-                    both = np.sort(np.concatenate([x, y]))
-                    same = both[1:][both[1:] == both[:-1]]
-                    inter = np.bincount((same >> _U(52)).astype(np.int64), minlength=batch.num_rows)
-                    union = np.diff(xb) + np.diff(yb) - inter
-                    own = pa.array((inter * den >= union * num) & (inter > 0))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), batch.column(1).filter(own)], names=["a", "b"])
-
-        return rows.mapInArrow(test, "a long, b long")
-
-    links = saved(verified(pairs))
+        rows = pairs.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
+        return saved(rows.select("a", "b", "texta", "textb").mapInArrow(test, "a long, b long").distinct())
+
+    pairs = found.where("grp is null").select("a", "b").distinct()
+    pairs = pairs.join(of.select(F.col("s1").alias("a"), F.col("node").alias("u")), "a").join(of.select(F.col("s1").alias("b"), F.col("node").alias("v")), "b")
+    pairs = saved(pairs.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
+    maybe = pairs.join(side(drawn, "b", "n", "sketch"), "b").join(side(drawn, "a", "n", "sketch"), "a").select("a", "b", "na", "nb", "sketcha", "sketchb")
+    links = verified(saved(maybe.mapInArrow(near, "a long, b long").distinct()))
     labels = saved(components(links))
 
-    # Members of one group in different components, not tried yet.
-    members = found.where("grp is not null").select("grp", F.col("a").alias("s1")).distinct().join(of, "s1").select("grp", "node", "n")
-    members = members.join(labels, "node", "left").select("grp", "node", "n", F.coalesce("label", "node").alias("label"))
-    split = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("grp")
-    open_ = saved(members.join(split, "grp"))
-    x, y = open_.select("grp", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), open_.select("grp", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    rest = x.join(y, "grp").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    rest = saved(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
+    # Members of one group that lie in different components: compared by their sketches, in blocks.
+    members = found.where("grp is not null").select("grp", F.col("a").alias("s1")).distinct().join(of.select("s1", "node"), "s1").select("grp", "node").distinct()
+    members = members.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
+    split = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = members.join(split.select("grp", blocks.alias("blocks")), "grp")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    open_ = open_.select("grp", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    open_ = open_.select("grp", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    open_ = open_.join(drawn, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, label, block, size = (table.column(c).to_numpy() for c in ("node", "label", "own", "n"))
+        signs = _signs(table.column("sketch").to_pylist())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+        for k in range(0, len(left), 512):
+            rows = left[k:k + 512]
+            total = size[rows][:, None] + size[right][None, :]
+            ok = _apart(signs[rows], signs[right]) * (den + num) <= total * (den - num)
+            ok &= (label[rows][:, None] != label[right][None, :]) & (node[rows][:, None] != node[right][None, :])
+            low = np.minimum(size[rows][:, None], size[right][None, :])
+            ok &= low * den >= (total - low) * num
+            x, y = np.nonzero(ok)
+            out.append(np.stack([node[rows[x]], node[right[y]]], 1))
+        both = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+
+    rest = open_.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    rest = saved(rest.join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = saved(verified(rest))
+        more = verified(rest)
         if not more.isEmpty():
             labels = saved(components(links.union(more)))
 
-    own = digests.join(nodes, ["s1", "s2", "n"], "left").join(labels, "node", "left")
-    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
+    done = digests.join(nodes, ["s1", "s2", "n"], "left").join(labels, "node", "left")
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "node", "id")).alias("component_id"))
