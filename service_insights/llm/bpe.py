@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer as Library
 
 from . import flat
 from .common import free_name, ship
@@ -30,18 +31,32 @@ _NONE = np.int32(np.iinfo(np.int32).max)
 SLOT_BITS, CACHE_IDS = 20, 8_000_000
 
 
-def _unicode_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: class (0 blank, 1 letter, 2 number, 3 other), lower case, random word."""
+#: White space of Unicode, as the split pattern's \\s takes it.
+_SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+
+
+def _unicode_tables(library: Library) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: class (0 blank, 1 letter, 2 number, 3 other), lower case, random word, and whether Python's Unicode lacks it.
+
+    The library's Unicode may be newer than Python's. Of the characters that
+    Python doesn't know, those that might be letters or numbers are put to the
+    library's own pre-tokenizer.
+    """
+    category = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
+    first, unknown = category.astype("U1"), category == "Cn"
     kind = np.full(0x110000, 3, np.uint8)
-    chars = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    for k, p in ((0, r"\s"), (1, r"\p{L}"), (2, r"\p{N}")):
-        kind[np.frombuffer("".join(regex.findall(p, chars)).encode("utf-32-le"), np.uint32)] = k
+    kind[first == "L"], kind[first == "N"], kind[_SPACES] = 1, 2, 0
+    for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, np.flatnonzero(unknown).tolist()))):
+        if len(library.pre_tokenizer.pre_tokenize_str("a" + c)) == 1:
+            kind[ord(c)] = 1
+        elif len(library.pre_tokenizer.pre_tokenize_str(":" + c)) == 2:
+            kind[ord(c)] = 2
     low = np.arange(0x110000, dtype=np.uint32)
-    for ch in chars:
-        x = ch.lower()
-        if x != ch and len(x) == 1:
-            low[ord(ch)] = ord(x)
-    return kind, low, flat.mix(np.arange(1, 0x110001, dtype=np.uint64) * flat._P)
+    for c in np.flatnonzero(np.isin(first, ["L", "N", "S"])).tolist():
+        x = chr(c).lower()
+        if len(x) == 1:
+            low[c] = ord(x)
+    return kind, low, flat.mix(np.arange(1, 0x110001, dtype=np.uint64) * flat._P), unknown
 
 
 def byte_chars() -> list[str]:
@@ -82,7 +97,9 @@ class Tokenizer:
         if (np.maximum(born[left], born[right]) >= np.arange(len(made))).any():
             raise ValueError("a merge uses a symbol that a later merge makes; rounds would not be exact")
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.kind, self.low, self.random = _unicode_tables()
+        library = Library.from_file(path)
+        self.normalize = library.normalizer.normalize_str
+        self.kind, self.low, self.random, self.unknown = _unicode_tables(library)
         self._forget()
 
     def _forget(self) -> None:
@@ -96,7 +113,7 @@ class Tokenizer:
     def _words(self, joined: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Lower-cased code points, starts and ends of words, and bounds of words by text.
 
-        ``joined`` holds texts of ``sizes`` characters in normal form C, without the letter İ.
+        ``joined`` holds texts of ``sizes`` characters in normal form C, without the letter İ (its lower case has two characters).
         """
         rows = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=rows[1:])
@@ -241,7 +258,10 @@ class Tokenizer:
         data = raw[flat.gather_ranges(starts, size)]
         joined = data.tobytes().decode("utf-8")
         chars = np.add.reduceat((data & 0xC0) != 0x80, np.cumsum(size) - size, dtype=np.int64)
-        if not joined.isascii() and (not unicodedata.is_normalized("NFC", joined) or "İ" in joined) or "<|" in joined:
+        odd = "<|" in joined
+        if not joined.isascii() and not odd:
+            odd = "İ" in joined or not unicodedata.is_normalized("NFC", joined) or self.unknown[np.frombuffer(joined.encode("utf-32-le"), np.uint32)].any()
+        if odd:
             cut = np.concatenate([[0], np.cumsum(chars)])
             return self._encode_odd([joined[a:b] for a, b in zip(cut[:-1], cut[1:])])
         return self._encode_plain(joined, chars)
@@ -260,9 +280,9 @@ class Tokenizer:
         return ids[flat.gather_ranges(at, lens)], total[rows]
 
     def _encode_odd(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts that may hold special tokens or need their normal form; what lies between special tokens stands for itself."""
+        """Texts that may hold special tokens or that Python can't bring to normal form alone; what lies between special tokens stands for itself."""
         pieces = [self.split.split(t) for t in texts]
-        clean = [unicodedata.normalize("NFC", p).replace("İ", "i̇") if not k % 2 else "" for x in pieces for k, p in enumerate(x)]
+        clean = [self.normalize(p) if not k % 2 else "" for x in pieces for k, p in enumerate(x)]
         ids, rows = self._encode_plain("".join(clean), np.array([len(c) for c in clean], np.int64))
         out, bounds, at = [np.zeros(0, np.int32)], [0], 0
         for x in pieces:

@@ -63,8 +63,9 @@ def dedup_lines(docs: DataFrame, size: int = 3, id_column: str = "doc_id", colum
     merged = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1)))))
     joined = rows.join(covered.select("id", "th", merged.alias("covered")), ["id", "th"], "left")
     kept = F.when(F.size("lines") > 0, F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("covered", F.array().cast("array<int>")))).otherwise(F.array().cast("array<int>"))
-    out = joined.select("row", "lines", F.size("lines").cast("long").alias("n"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("r"), kept.alias("kept"))
-    return out.select("row.*", F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n").alias(names[0]), F.col("n").alias(names[1]), F.when(F.col("r") > 0, F.col("r")).otherwise(0).cast("long").alias(names[2]))
+    text = F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n")
+    out = joined.select("row", text.alias("__text"), F.size("lines").cast("long").alias("__n"), F.coalesce(F.array_size("covered"), F.lit(0)).cast("long").alias("__removed"))
+    return out.select("row.*", F.col("__text").alias(names[0]), F.col("__n").alias(names[1]), F.col("__removed").alias(names[2]))
 
 
 ORACLE_SQL = """
