@@ -40,7 +40,7 @@ _U = np.uint64
 BITS = 256
 #: Characters fall into so many classes, and steps repeat after so many places.
 CLASSES, PERIOD = 64, 4096
-SLAB = 12 << 20
+SLAB = 5 << 20
 #: Below so many texts still walking, they are walked one by one.
 FEW = 24
 NO_ID = -(2**63)
