@@ -128,7 +128,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     n = partitions(spark)
-    block, buckets = (window + 1) // 2, n
+    block, buckets = (window + 1) // 2, 2 * n
     plain = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(column, F.lit("")).alias("text"))
     frequent_blocks, frequent_windows = _frequent(plain, window, block)
     frequent_windows, smallest = _smallest(plain, window, block, frequent_windows)
