@@ -202,13 +202,12 @@ EMAIL_PROMPT_INTRO = (
 )
 EMAIL_PROMPT_OUTRO = ". Keep it concise, warm, and trust-building."
 
-# Scoring options pinned by the reference for each call kind.
+# Model options of each call kind; scoring adds tokens for each component.
 SCORING_OPTIONS = {"temperature": 0.0, "max_tokens": 256}
 EMAIL_OPTIONS = {"temperature": 0.3, "max_tokens": 1024}
 
-# Sample size defaults: default rows, UI range, partition cap for a test run.
+# Sample size and fan-out defaults (arguments override them).
 DEFAULT_SAMPLE_ROWS = 50
-MAX_SAMPLE_ROWS = 200
 MAX_TEST_PARTITIONS = 32
 FULL_RUN_PARTITIONS = 32
 

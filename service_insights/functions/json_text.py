@@ -40,9 +40,9 @@ def slug(name: Column) -> Column:
 
 
 def output_prefix(name: Column, config_id: Column) -> Column:
-    """Slug plus the first 8 characters of the config id, so two configs
-    whose names slug alike do not overwrite each other's tables."""
-    return F.concat(slug(name), F.lit("_"), F.substring(F.coalesce(config_id, F.lit("")), 1, 8))
+    """Slug plus the whole config id, so two configs whose names slug alike
+    do not overwrite each other's tables."""
+    return F.concat(slug(name), F.lit("_"), F.coalesce(config_id, F.lit("")))
 
 
 def config_components(components_json: Column) -> Column:
@@ -50,7 +50,3 @@ def config_components(components_json: Column) -> Column:
     return F.coalesce(F.from_json(components_json, schemas.CONFIG_COMPONENTS),
                       F.array().cast(schemas.CONFIG_COMPONENTS))
 
-
-def response(raw: Column) -> Column:
-    """Parse an answer into the assessment struct (bad text -> NULL list)."""
-    return F.from_json(raw, schemas.RESPONSE)

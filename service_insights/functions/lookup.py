@@ -32,3 +32,10 @@ def jvm_cached(fn):
             cache[key] = fn(*args)
         return cache[key]
     return wrapper
+
+
+def zero_padded(c: Column, width: int) -> Column:
+    """A number as text with leading zeros up to ``width``; longer numbers
+    stay whole (``lpad`` alone would cut them)."""
+    t = c.cast("string")
+    return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)

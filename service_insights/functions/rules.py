@@ -7,7 +7,7 @@ Thresholds are per configuration (``balanced`` equals the data generator,
 """
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +39,6 @@ class Thresholds:
     ac_good_max: int = 48
     ac_upcoming_max: int = 60
 
-    def as_row(self) -> dict:
-        return asdict(self)
-
 
 BALANCED = Thresholds()
 STRICT = Thresholds(
@@ -52,12 +49,11 @@ STRICT = Thresholds(
     battery_upcoming_volts_below=12.4, battery_upcoming_age_min=3,
     ac_good_max=44, ac_upcoming_max=55,
 )
-THRESHOLDS = {t.name: t for t in (BALANCED, STRICT)}
 
 
 def _num(s: Column, typ: str) -> Column:
-    # ANSI casts of '' raise, so empty matches become NULL first.
-    return F.nullif(s, F.lit("")).cast(typ)
+    # No sentence, no reading; a number beyond the type is no reading either.
+    return F.nullif(s, F.lit("")).try_cast(typ)
 
 
 # The scorer runs in three projections, so that each regex scans the notes

@@ -9,7 +9,7 @@ functions, O(n log n) in the answer length: entries are sorted by
 is shuffled, so a hot service is just a longer row.
 
 Frames whose answers come from different sources (stored runs) go
-through ``assess.dedupe_latest`` / ``compare.compare_tagged``, which group
+through ``assess.dedupe_latest`` / ``compare.compare_keyed``, which group
 by the key.
 
 Each sorted array is its own column in its own projection: a lambda that
@@ -46,7 +46,7 @@ def latest_per_key(df: DataFrame, entries_col: str, out_col: str) -> DataFrame:
     """Keep, per component key, the entry of the latest (run, position) in
     ``entries_col`` (an array of :func:`tagged` entries); sorted by key."""
     srt = f"{out_col}__sorted"
-    df = df.withColumn(srt, F.array_sort(F.col(entries_col)))
+    df = df.withColumn(srt, F.sort_array(F.col(entries_col)))
     s = F.col(srt)
     last = F.filter(s, lambda x, i: ~_same_key(x, F.get(s, i + 1)))
     return df.withColumn(out_col, last).drop(srt)
@@ -72,7 +72,7 @@ def compare_answers(df: DataFrame, a_col: str, b_col: str, keep: list[str]) -> D
     d = latest_per_key(d, "_a", "_la")
     d = latest_per_key(d, "_b", "_lb")
     # Each key now has at most one A and one B entry; sorted, A comes first.
-    d = d.withColumn("_ab", F.array_sort(F.concat("_la", "_lb")))
+    d = d.withColumn("_ab", F.sort_array(F.concat("_la", "_lb")))
     ab = F.col("_ab")
     pairs = F.transform(ab, lambda x, i: F.struct(
         x.alias("x"),

@@ -84,12 +84,31 @@ def restrict_components(rows: DataFrame, selected: list[str] | DataFrame) -> Dat
     return rows.filter(F.col("component_key").isin(*selected))
 
 
-def _order_key(seq: Column, pos: Column) -> Column:
-    """Total order used for 'later wins'; text fields break remaining ties
-    deterministically (NULL ranks below any text)."""
-    return F.struct(seq, pos,
-                    F.col("classification").isNotNull(), F.coalesce(F.col("classification"), F.lit("")),
-                    F.col("reasoning").isNotNull(), F.coalesce(F.col("reasoning"), F.lit("")))
+def order_key(seq: Column, pos: Column) -> Column:
+    """One number for 'later wins': run (below 2^21), then position in the
+    answer (below 2^20; larger ones are an error), then a hash of the text, so
+    that rows of one run and position have an order too. A fixed-width number
+    keeps the aggregation a hash aggregation."""
+    text = F.xxhash64(F.coalesce(F.col("classification"), F.lit("\0")),
+                      F.coalesce(F.col("reasoning"), F.lit("\0")))
+    key = seq.cast("long") * (1 << 42) + pos.cast("long") * (1 << 22) + F.pmod(text, F.lit(1 << 22))
+    return F.when((seq >= 1 << 21) | (pos >= 1 << 20), F.raise_error(F.lit("run or position too large")).cast("long")) \
+        .otherwise(key)
+
+
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of the highest ``order`` in each group of ``keys`` (NULL keys
+    form a group; rows alike in all columns are one).
+
+    Only keys and the number are aggregated, and combined before the shuffle;
+    the winners are then picked by a semi-join, whose large side keeps its
+    rows where they are if the keys' table is small, and can be split by AQE
+    if one key is hot."""
+    top = rows.groupBy(*keys).agg(F.max(order).alias("_top"))
+    on = F.col(f"_r.{order}") == F.col("_t._top")
+    for k in keys:
+        on = on & F.col(f"_r.{k}").eqNullSafe(F.col(f"_t.{k}"))
+    return rows.alias("_r").join(top.alias("_t"), on, "left_semi").distinct()
 
 
 def dedupe_latest(rows: DataFrame, seq_col: str | None = None, pos_col: str = "pos",
@@ -97,15 +116,12 @@ def dedupe_latest(rows: DataFrame, seq_col: str | None = None, pos_col: str = "p
     """One row per (service_id, component_key): the later one wins.
 
     'Later' is (``seq_col``, ``pos_col``): run order, then position in the
-    answer. Implemented as ``max_by`` in a group-by, which combines map-side,
-    so one service holding a third of all rows is reduced before shuffling."""
-    extra = extra or []
+    answer. For stored rows: they are read once for the keys and once for the
+    payload."""
+    cols = ["classification", "reasoning", *(extra or [])]
     seq = F.col(seq_col) if seq_col else F.lit(0)
-    payload = F.struct(*[F.col(c) for c in ["classification", "reasoning", *extra]])
-    out = (rows.groupBy("service_id", "component_key")
-           .agg(F.max_by(payload, _order_key(seq, F.col(pos_col))).alias("w")))
-    return out.select("service_id", "component_key",
-                      *[F.col(f"w.{c}").alias(c) for c in ["classification", "reasoning", *extra]])
+    keyed = rows.select("service_id", "component_key", *cols, order_key(seq, F.col(pos_col)).alias("_o"))
+    return latest(keyed, ["service_id", "component_key"], "_o").select("service_id", "component_key", *cols)
 
 
 def parse_status(scored: DataFrame) -> DataFrame:

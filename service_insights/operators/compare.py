@@ -3,57 +3,67 @@
 Semantics: keys are the union of both sides' (service_id, component_key),
 NULL keys match each other; each side is first reduced to its latest row
 per key; a missing row counts as a NULL class; ``differs`` is NULL-safe
-inequality of the classes; notes come from A when A has the key, else B.
+inequality of the classes; notes come from A when A has the service's key,
+else B.
 
-Plan: instead of dedupe(A) + dedupe(B) + a full outer join (three
-shuffles), both sides are tagged, unioned and reduced in ONE group-by.
-Grouping already treats NULL keys as equal, and ``max_by`` combines
-map-side, so a hot service id is collapsed before the shuffle.
+Plan: each side's winners are found over keys and order numbers alone (hash
+aggregation, combined before the shuffle); the winners meet in one full outer
+join. Notes are not carried with every component: they are reduced to one row
+per service and side, and joined to the result.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assess import _order_key
+from .assess import latest, order_key
 
-_PAYLOAD = ["classification", "reasoning", "service_performed"]
+_KEYS = ["service_id", "component_key"]
 
 
-def _side(rows: DataFrame, side: int, seq_col: str | None) -> DataFrame:
+def _winners(rows: DataFrame, seq_col: str | None) -> DataFrame:
     seq = F.col(seq_col) if seq_col else F.lit(0)
-    return rows.select("service_id", "component_key", "service_performed", "classification",
-                       "reasoning", "pos", seq.alias("seq"), F.lit(side).alias("side"))
+    keyed = rows.select(*_KEYS, "classification", "reasoning", order_key(seq, F.col("pos")).alias("_o"))
+    return latest(keyed, _KEYS, "_o").select(*_KEYS, "classification", "reasoning")
+
+
+def compare_keyed(a_rows: DataFrame, b_rows: DataFrame, seq_col: str | None = None) -> DataFrame:
+    """The comparison without notes. Both frames need service_id,
+    component_key, classification, reasoning and pos (place in the answer)."""
+    a, b = _winners(a_rows, seq_col).alias("a"), _winners(b_rows, seq_col).alias("b")
+    on = F.col("a.service_id").eqNullSafe(F.col("b.service_id")) \
+        & F.col("a.component_key").eqNullSafe(F.col("b.component_key"))
+    a = a.withColumn("_in", F.lit(True)).alias("a")
+    both = a.join(b, on, "full_outer")
+    has_a = F.col("a._in").isNotNull()
+    return both.select(
+        *[F.when(has_a, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in _KEYS],
+        has_a.alias("in_a"),
+        F.col("a.classification").alias("a_classification"), F.col("a.reasoning").alias("a_reasoning"),
+        F.col("b.classification").alias("b_classification"), F.col("b.reasoning").alias("b_reasoning"),
+        (~F.col("a.classification").eqNullSafe(F.col("b.classification"))).alias("differs"))
+
+
+def with_notes(compared: DataFrame, a_notes: DataFrame, b_notes: DataFrame | None = None) -> DataFrame:
+    """Add ``service_performed`` from tables with one row per service: A's for
+    keys that A has, else B's (one table may serve both)."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("service_id").alias(f"_sid{name}"), F.col("service_performed").alias(f"_n{name}"))
+
+    out = compared.join(side(a_notes, "a"), F.col("service_id").eqNullSafe(F.col("_sida")), "left")
+    notes = F.col("_na")
+    if b_notes is not None:
+        out = out.join(side(b_notes, "b"), F.col("service_id").eqNullSafe(F.col("_sidb")), "left")
+        notes = F.when(F.col("in_a"), notes).otherwise(F.col("_nb"))
+    return out.select("service_id", "component_key", notes.alias("service_performed"), "a_classification",
+                      "a_reasoning", "b_classification", "b_reasoning", "differs")
 
 
 def compare_rows(a_rows: DataFrame, b_rows: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Row-level comparison of two assessment frames; both need service_id,
-    component_key, service_performed, classification, reasoning and pos
-    (position in the answer)."""
-    return compare_tagged(_side(a_rows, 0, seq_col).unionByName(_side(b_rows, 1, seq_col)))
-
-
-def compare_tagged(rows: DataFrame) -> DataFrame:
-    """Compare rows that carry ``side`` (0 = A, 1 = B), ``pos`` and
-    optionally ``seq``; one group-by on (service_id, component_key)."""
-    seq = F.col("seq") if "seq" in rows.columns else F.lit(0)
-    t = rows.select("service_id", "component_key", "side",
-                    F.struct(*[F.col(c) for c in _PAYLOAD]).alias("v"),
-                    _order_key(seq, F.col("pos")).alias("o"))
-    is_a, is_b = F.col("side") == 0, F.col("side") == 1
-    g = (t.groupBy("service_id", "component_key")
-         .agg(F.max_by(F.when(is_a, F.col("v")), F.when(is_a, F.col("o"))).alias("a"),
-              F.max_by(F.when(is_b, F.col("v")), F.when(is_b, F.col("o"))).alias("b"),
-              F.count_if(is_a).alias("na")))
-    a_cls, b_cls = F.col("a.classification"), F.col("b.classification")
-    return g.select(
-        "service_id", "component_key",
-        F.when(F.col("na") > 0, F.col("a.service_performed"))
-         .otherwise(F.col("b.service_performed")).alias("service_performed"),
-        a_cls.alias("a_classification"), F.col("a.reasoning").alias("a_reasoning"),
-        b_cls.alias("b_classification"), F.col("b.reasoning").alias("b_reasoning"),
-        (~a_cls.eqNullSafe(b_cls)).alias("differs"),
-    )
+    """Row-level comparison of two assessment frames that carry their notes
+    (``service_performed``, the same in all rows of a service)."""
+    notes = [r.select("service_id", "service_performed").distinct() for r in (a_rows, b_rows)]
+    return with_notes(compare_keyed(a_rows, b_rows, seq_col), *notes)
 
 
 def diffs_only(compared: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def urgent_reasons(recommendations: DataFrame) -> DataFrame:
     piece = F.concat(F.col("component_key"), F.lit(": "), F.col("reasoning"))
     return (recommendations.filter(F.col("classification") == "Urgent")
             .groupBy("service_id", "vehicle_id")
-            .agg(F.array_join(F.array_sort(F.collect_list(piece)), "; ").alias("urgent_reasons")))
+            .agg(F.array_join(F.sort_array(F.collect_list(piece)), "; ").alias("urgent_reasons")))
 
 
 def urgent_reasons_on_row(scored: DataFrame, answer: str = "result.assessments",
@@ -44,7 +44,7 @@ def urgent_reasons_on_row(scored: DataFrame, answer: str = "result.assessments",
     pieces = F.filter(F.transform(F.col("_urgent"), lambda a: F.concat(
         a["component"], F.lit(": "), a["reasoning"])), lambda p: p.isNotNull())
     text = F.when(F.size(F.col("_urgent")) > 0,
-                  F.array(F.array_join(F.array_sort(pieces), "; ")))
+                  F.array(F.array_join(F.sort_array(pieces), "; ")))
     return explode_rows(u.select(*keep, text.alias("_text")), list(keep), F.col("_text"),
                         val="urgent_reasons")
 

@@ -8,9 +8,9 @@ Two kinds of scorer share one output contract, a ``result`` column of type
   ``as_text=True`` it emits the JSON answer a model would send (``raw``) and
   goes through the same parse tail as a model answer.
 * :class:`EndpointScorer` -- a model behind an HTTP endpoint, called from
-  ``mapInPandas`` once per row, one client per task. The input is
-  round-robin repartitioned *below* the Python stage, so calls fan out over
-  ``partitions`` tasks and a hot key cannot pile up in one task.
+  ``mapInArrow`` once per row, with a bounded number of calls at a time in a
+  task. The input is round-robin repartitioned *below* the Python stage, so
+  calls fan out over ``partitions`` tasks and a hot key cannot pile up in one.
 
 Model answers must be written before they are used twice (see
 ``plans.pipelines``): every action on a lazy scored frame calls the model
@@ -18,52 +18,102 @@ again.
 """
 from __future__ import annotations
 
+import http.client
 import json
+import threading
 import time
+import urllib.parse
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from ..constants import (FULL_RUN_PARTITIONS, MAX_TEST_PARTITIONS, NOTES_SEPARATOR,
-                         SCORING_OPTIONS)
+from ..constants import (CLASSES, EMAIL_OPTIONS, FULL_RUN_PARTITIONS, MAX_TEST_PARTITIONS,
+                         NOTES_SEPARATOR, SCORING_OPTIONS)
 from ..functions import json_text
 from ..functions.rules import BALANCED, Thresholds, assessments, with_signals
+from .prompts import prompt_texts
+
+#: What a model must answer: a list of assessments with a fixed class enum.
+RESPONSE_FORMAT = {
+    "type": "json_schema",
+    "json_schema": {
+        "name": "assessments",
+        "strict": True,
+        "schema": {
+            "type": "object",
+            "required": ["assessments"],
+            "properties": {"assessments": {"type": "array", "items": {
+                "type": "object",
+                "required": ["component", "classification", "reasoning"],
+                "properties": {
+                    "component": {"type": "string"},
+                    "classification": {"type": "string", "enum": list(CLASSES)},
+                    "reasoning": {"type": "string"},
+                },
+            }}},
+        },
+    },
+}
 
 
 @dataclass
 class RuleScorer:
-    """Offline scorer over the notes text.
-
-    ``as_text``   emit the answer as JSON text (``raw``) and parse it back;
-    ``max_chars`` cut the text like a token cap cuts a model answer;
-    ``fence``     wrap the text in a markdown code fence, as chat models do.
-    """
+    """Offline scorer over the notes text; ``as_text`` emits the answer as
+    JSON text (``raw``) and parses it back."""
     thresholds: Thresholds = BALANCED
     as_text: bool = False
-    max_chars: int | None = None
-    fence: bool = False
 
     def raw(self, keys: list[str]) -> Column:
         """The answer text over the columns of ``rules.with_signals``."""
-        txt = F.to_json(F.struct(assessments(keys, self.thresholds).alias("assessments")))
-        if self.max_chars is not None:
-            txt = F.substring(txt, 1, int(self.max_chars))
-        if self.fence:
-            txt = F.concat(F.lit("```json\n"), txt, F.lit("\n```"))
-        return txt
+        return F.to_json(F.struct(assessments(keys, self.thresholds).alias("assessments")))
+
+
+class ClientError(Exception):
+    """The endpoint refused the request; the same request would fail again."""
+
+
+def post_json(url: str, headers: dict, timeout_s: float) -> Callable[[dict], dict]:
+    """Sends a body and returns the answer, over one kept connection per thread."""
+    at = urllib.parse.urlsplit(url)
+    kept = threading.local()
+
+    def send(body: dict) -> dict:
+        if getattr(kept, "conn", None) is None:
+            kind = http.client.HTTPSConnection if at.scheme == "https" else http.client.HTTPConnection
+            kept.conn = kind(at.netloc, timeout=timeout_s)
+        try:
+            kept.conn.request("POST", at.path or "/", json.dumps(body).encode(), headers)
+            got = kept.conn.getresponse()
+            data = got.read()
+        except Exception:
+            kept.conn.close()
+            kept.conn = None
+            raise
+        if 400 <= got.status < 500 and got.status not in (408, 429):
+            raise ClientError(f"{got.status} {got.reason}")
+        if got.status >= 300:
+            raise OSError(f"{got.status} {got.reason}")
+        return json.loads(data)
+
+    return send
 
 
 @dataclass
 class EndpointScorer:
-    """Chat-completions endpoint scorer (OpenAI-compatible JSON over HTTP).
+    """Chat-completions endpoint (a JSON API over HTTP).
 
     A picklable factory: ``client()`` runs once per task on the executor and
-    returns ``list[str] -> list[str | None]``. Failed calls give NULL, which
-    the parse tail reports through ``parse_status``.
+    returns ``list[str | None] -> list[(text, error)]``. A NULL input is not
+    sent. A failed call gives (NULL, why); refused requests (4xx) are not
+    tried again. ``concurrency`` calls are open at a time in a task, at most
+    ``per_second`` of them started each second (0: no limit). ``transport``
+    replaces the HTTP call: a picklable function from a body to an answer.
     """
     url: str
     model: str
@@ -71,38 +121,74 @@ class EndpointScorer:
     separator: str = NOTES_SEPARATOR
     token: str | None = None
     response_format: dict | None = None
-    options: dict = field(default_factory=lambda: dict(SCORING_OPTIONS))
+    options: dict = field(default_factory=dict)
     retries: int = 3
     timeout_s: float = 60.0
-
-    def client(self) -> Callable[[list[str]], list[str | None]]:
-        import urllib.request
-
+    concurrency: int = 4
+    per_second: float = 0.0
+    transport: Callable[[dict], dict] | None = None
+
+    def body(self, text: str) -> dict:
+        out = {"model": self.model,
+               "messages": [{"role": "user", "content": self.prompt + self.separator + text}],
+               **self.options}
+        if self.response_format:
+            out["response_format"] = self.response_format
+        return out
+
+    def client(self) -> Callable[[list[str | None]], list[tuple[str | None, str | None]]]:
         headers = {"Content-Type": "application/json"}
         if self.token:
             headers["Authorization"] = f"Bearer {self.token}"
-
-        def one(notes: str | None) -> str | None:
-            if notes is None:
-                return None
-            body = {"model": self.model,
-                    "messages": [{"role": "user",
-                                  "content": self.prompt + self.separator + notes}],
-                    **self.options}
-            if self.response_format:
-                body["response_format"] = self.response_format
-            data = json.dumps(body).encode()
+        send = self.transport or post_json(self.url, headers, self.timeout_s)
+        lock, due = threading.Lock(), [0.0]
+
+        def wait_turn() -> None:
+            if self.per_second > 0:
+                with lock:
+                    now = time.monotonic()
+                    due[0] = max(now, due[0]) + 1 / self.per_second
+                    pause = due[0] - 1 / self.per_second - now
+                time.sleep(max(0.0, pause))
+
+        def one(text: str | None) -> tuple[str | None, str | None]:
+            if text is None:
+                return None, None
+            why = "no try"
             for attempt in range(self.retries):
+                if attempt:
+                    time.sleep(2 ** (attempt - 1))
                 try:
-                    req = urllib.request.Request(self.url, data=data, headers=headers)
-                    with urllib.request.urlopen(req, timeout=self.timeout_s) as r:
-                        payload = json.loads(r.read())
-                    return payload["choices"][0]["message"]["content"]
-                except Exception:  # noqa: BLE001 - any failure is retried, then NULL
-                    time.sleep(2 ** attempt)
-            return None
+                    wait_turn()
+                    return send(self.body(text))["choices"][0]["message"]["content"], None
+                except ClientError as e:
+                    return None, f"refused: {e}"
+                except Exception as e:  # noqa: BLE001 - tried again, then reported
+                    why = f"{type(e).__name__}: {e}"
+            return None, f"failed: {why}"
 
-        return lambda batch: [one(n) for n in batch]
+        pool = ThreadPoolExecutor(max(1, self.concurrency))
+        return lambda batch: list(pool.map(one, batch))
+
+
+def scoring_options(n_keys: int, tokens_per_key: int = SCORING_OPTIONS["max_tokens"]) -> dict:
+    """Options of a scoring call: room for one reasoning per component."""
+    return {**SCORING_OPTIONS, "max_tokens": max(1, n_keys) * tokens_per_key}
+
+
+def config_scorer(spark: SparkSession, config, url: str, **client) -> EndpointScorer:
+    """The scorer of a configuration: its model, its full prompt, the answer
+    contract, and a token limit that grows with its components."""
+    return EndpointScorer(
+        url=url, model=config.model_endpoint,
+        prompt=prompt_texts(spark, config.components, config.prompt_text),
+        response_format=RESPONSE_FORMAT, options=scoring_options(len(config.keys)), **client)
+
+
+def text_drafter(url: str, model: str, **client) -> EndpointScorer:
+    """Free-text mode: the input is the whole prompt."""
+    return EndpointScorer(url=url, model=model, prompt="", separator="",
+                          options=dict(EMAIL_OPTIONS), **client)
 
 
 @dataclass
@@ -114,53 +200,60 @@ class CannedScorer:
     default: str | None = None
     calls: object = None
 
-    def client(self) -> Callable[[list[str]], list[str | None]]:
+    def client(self) -> Callable[[list[str | None]], list[tuple[str | None, str | None]]]:
         answers, default, calls = self.answers, self.default, self.calls
 
-        def call(batch: list[str]) -> list[str | None]:
+        def call(batch: list[str | None]) -> list[tuple[str | None, str | None]]:
             if calls is not None:
                 calls.add(len(batch))
-            return [answers.get(n, default) for n in batch]
+            return [(answers.get(n, default), None) for n in batch]
         return call
 
 
-def full_run_partitions(df: DataFrame) -> int:
-    """Fan-out for scoring a whole table: at least the reference's 32
-    tasks, and never fewer than the input already has -- the input's split
-    count grows with the data (scan splits of maxPartitionBytes, or the
-    shuffle partitions of a derived table), so tasks keep a bounded size at
-    any scale. Reading the count plans the frame; it runs nothing."""
-    return max(FULL_RUN_PARTITIONS, df.rdd.getNumPartitions())
+def full_run_partitions(spark: SparkSession) -> int:
+    """Fan-out for scoring a whole table: the session's shuffle partitions,
+    which grow with the data, and no fewer than 32. Starts no job."""
+    return max(FULL_RUN_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def sample_partitions(limit: int) -> int:
-    """Fan-out for a sample of ``limit`` rows: one row per task, capped."""
-    return max(1, min(int(limit), MAX_TEST_PARTITIONS))
+def sample_partitions(limit: int, most: int = MAX_TEST_PARTITIONS) -> int:
+    """Fan-out for a sample of ``limit`` rows: one row per task, ``most`` at most."""
+    return max(1, min(int(limit), most))
 
 
-def score_python(df: DataFrame, factory: Callable[[], Callable[[list[str]], list]],
+def score_python(df: DataFrame, factory: Callable[[], Callable[[list], list]],
                  notes_col: str = "service_performed", partitions: int | None = None,
-                 out_col: str = "raw") -> DataFrame:
-    """Call a Python scorer over ``notes_col``; adds a string column.
+                 out_col: str = "raw", error_col: str | None = None) -> DataFrame:
+    """Call a Python scorer over ``notes_col``; adds a string column, and with
+    ``error_col`` why a call gave none. All other columns pass untouched.
 
-    The exchange sits below ``mapInPandas`` (not above it, as a SQL
+    The exchange sits below ``mapInArrow`` (not above it, as a SQL
     REPARTITION hint on the projection would place it)."""
     if partitions:
         df = df.repartition(int(partitions))
-    out_schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+    added = [out_col, *([error_col] if error_col else [])]
+    out_schema = T.StructType(df.schema.fields + [T.StructField(c, T.StringType()) for c in added])
 
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = factory()
-        for pdf in batches:
-            pdf[out_col] = call(pdf[notes_col].tolist())
-            yield pdf
+        for batch in batches:
+            notes = batch.column(batch.schema.get_field_index(notes_col)).to_pylist()
+            got = call(notes)
+            new = [pa.array([g[k] for g in got], pa.string()) for k in range(len(added))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+
+    return df.mapInArrow(run, out_schema)
 
-    return df.mapInPandas(run, out_schema)
+
+def parsed(df: DataFrame, clean: bool = False, result_col: str = "result", raw_col: str = "raw") -> DataFrame:
+    """Add the parsed answer of a text column (bad text gives a NULL list)."""
+    raw = json_text.strip_fence(F.col(raw_col)) if clean else F.col(raw_col)
+    return df.withColumn(result_col, F.from_json(raw, schemas.RESPONSE))
 
 
 def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service_performed",
           partitions: int | None = None, clean: bool = False, result_col: str = "result",
-          raw_col: str = "raw") -> DataFrame:
+          raw_col: str = "raw", error_col: str | None = None) -> DataFrame:
     """Add ``result`` (parsed answer) to every row of ``df``.
 
     ``keys`` are the component keys the answer must cover, in config order.
@@ -176,6 +269,5 @@ def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service
             return out.drop(*added)
         out = base.withColumn(raw_col, scorer.raw(keys)).drop(*added)
     else:
-        out = score_python(df, scorer.client, notes_col, partitions, out_col=raw_col)
-    raw = json_text.strip_fence(F.col(raw_col)) if clean else F.col(raw_col)
-    return out.withColumn(result_col, F.from_json(raw, schemas.RESPONSE))
+        out = score_python(df, scorer.client, notes_col, partitions, out_col=raw_col, error_col=error_col)
+    return parsed(out, clean, result_col, raw_col)

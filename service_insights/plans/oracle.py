@@ -8,8 +8,9 @@ same CASE blocks recur in many queries.
 """
 from __future__ import annotations
 
-from ..constants import (AC_VENT_TEMPS, COMPONENT_KEYS, EMAIL_PROMPT_INTRO, EMAIL_PROMPT_OUTRO,
-                         MODEL_TYPES, NO_SIGNAL_REASONING, PHRASES, SERVICE_TYPES,
+from ..constants import (AC_VENT_TEMPS, COMPONENT_KEYS, CONTRACT_PREFIX, CONTRACT_SUFFIX,
+                         DEFAULT_PROMPT_FOOTER, DEFAULT_PROMPT_HEADER, EMAIL_PROMPT_INTRO, EMAIL_PROMPT_OUTRO,
+                         MODEL_TYPES, NO_SIGNAL_REASONING, PHRASES, SEED_COMPONENTS, SERVICE_TYPES,
                          SPECIALIZATIONS, VEHICLE_MAKE)
 from ..functions.rules import AC_RE, BALANCED, BATTERY_RE, BRAKES_RE, STRICT, TIRES_RE, Thresholds
 from . import queries as Q
@@ -143,7 +144,7 @@ veh AS (
   SELECT o_orderkey AS vehicle_id, o_custkey AS customer_id, {lit(VEHICLE_MAKE)} AS make,
          ({lst(MODEL_TYPES)})[o_orderkey % 6 + 1] AS model,
          CAST(2018 + o_orderkey % 7 AS INTEGER) AS year,
-         '1HGBH41JX' || lpad({vc('o_orderkey')}, 8, '0') AS vin,
+         '1HGBH41JX' || CASE WHEN length({vc('o_orderkey')}) < 8 THEN lpad({vc('o_orderkey')}, 8, '0') ELSE {vc('o_orderkey')} END AS vin,
          o_orderdate, o_orderstatus
   FROM orders
 ),
@@ -163,7 +164,7 @@ tech AS (
 # --- rule scorer in SQL -----------------------------------------------------
 
 def _num(s: str, pattern: str, i: int, typ: str) -> str:
-    return f"CAST(NULLIF(regexp_extract({s}, {lit(pattern)}, {i}), '') AS {typ})"
+    return f"TRY_CAST(NULLIF(regexp_extract({s}, {lit(pattern)}, {i}), '') AS {typ})"
 
 
 def _sentence(notes: str, pattern: str) -> str:
@@ -226,6 +227,45 @@ def _q(body: str, *scored: tuple[str, list[str], Thresholds]) -> str:
     return _with(fixture_ctes(), *[scored_cte(n, k, t) for n, k, t in scored]) + body
 
 
+def response_ctes(run: int, name: str) -> str:
+    """CTEs ``<name>_b`` (a row per service with its case ``c``) and ``name``
+    (the entries that a cleaned answer of that case has, for c >= 4)."""
+    second = ("brakes", "wipers")[run]
+    levels = "['Good', 'Upcoming', 'Urgent']"
+    return f"""
+{name}_b AS (
+  SELECT l_orderkey * 10 + ln AS service_id, l_orderkey AS vehicle_id, q, d,
+         (l_orderkey * 10 + ln + {5 * run}) % 13 AS c,
+         ({levels})[(q + {run}) % 3 + 1] AS t, ({levels})[(d + {run}) % 3 + 1] AS b FROM g
+),
+{name} AS (
+  SELECT service_id, vehicle_id, c, 0 AS pos, CASE WHEN c = 10 THEN '' ELSE 'tires' END AS component_key,
+         CASE WHEN c = 7 THEN 'URGENT!' WHEN c = 10 THEN NULL ELSE t END AS classification,
+         CASE WHEN c = 9 THEN NULL WHEN c = 10 THEN 'x' ELSE 'tread ' || q END AS reasoning FROM {name}_b
+  UNION ALL SELECT service_id, vehicle_id, c, 1, {lit(second)}, b, 'seen ' || d FROM {name}_b WHERE c <> 5
+  UNION ALL SELECT service_id, vehicle_id, c, 2, 'horn', 'Good', 'loud' FROM {name}_b WHERE c = 6
+  UNION ALL SELECT service_id, vehicle_id, c, 2, 'tires', 'Good', 'second look' FROM {name}_b WHERE c = 8
+)"""
+
+
+def config_cte() -> str:
+    """CTE cfg: a row per part with its name, prompt, number of components,
+    their keys (ks) and prompt lines (ls)."""
+    n = len(SEED_COMPONENTS)
+    keys, names, descs, rubrics = (lst([c[i] for c in SEED_COMPONENTS]) for i in range(4))
+    at = f"((p_partkey + i) % {n} + 1)"
+    line = (f"'- ' || ({names})[{at}] || ' (' || ({keys})[{at}] || ')' "
+            f"|| CASE WHEN p_partkey % 5 = 0 OR ({descs})[{at}] = '' THEN '' ELSE ': ' || ({descs})[{at}] END "
+            f"|| CASE WHEN p_partkey % 4 = 0 OR ({rubrics})[{at}] = '' THEN '' ELSE chr(10) || '    Rubric: ' || ({rubrics})[{at}] END")
+    return f"""cfg AS (
+  SELECT config_id, name, prompt_text, n,
+         list_transform(range(n), lambda i: ({keys})[{at}]) AS ks, list_transform(range(n), lambda i: {line}) AS ls
+  FROM (SELECT *, '0000000000cfg' || p_partkey AS config_id, 'Assess part ' || p_partkey || '.' AS prompt_text,
+               CASE p_partkey % 11 WHEN 0 THEN NULL WHEN 1 THEN '!!!' WHEN 2 THEN 'My Config' WHEN 3 THEN 'my-config' ELSE p_name END AS name,
+               CASE WHEN p_partkey % 7 <= 2 THEN 0 ELSE p_partkey % 3 + 1 END AS n FROM part)
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     catch = "(NOT technician_flagged AND classification IN ('Urgent', 'Upcoming'))"
     out: dict[str, str] = {}
@@ -376,27 +416,62 @@ SELECT table_name, n, bool_and(coalesce(n, 0) > 0) OVER () AS ready FROM (
   UNION ALL SELECT 'vehicle', CAST(count(*) AS BIGINT) FROM veh
   UNION ALL SELECT 'technician', CAST(count(*) AS BIGINT) FROM tech
   UNION ALL SELECT 'service', CAST(count(*) AS BIGINT) FROM svc) x"""
-    out["clean_responses"] = _q("""
-SELECT service_id, component_key, classification, reasoning FROM a""", ("a", DEMO, BALANCED))
-    # Answer text length: fixed JSON framing plus the variable fields.
-    answer = f"""
-alen AS (
-  SELECT service_id,
-         {len('{"assessments":[]}')} + count(*) - 1
-         + sum({len('{"component":"","classification":"","reasoning":""}')}
-               + length(component_key) + length(classification) + length(reasoning)) AS len
-  FROM a GROUP BY service_id
-)"""
-    capped = _with(fixture_ctes(), scored_cte("a", ALL, BALANCED), answer)
-    cap = Q.MAX_ANSWER_CHARS
-    out["parse_status"] = capped + f"""
-SELECT CASE WHEN len <= {cap} THEN 'ok' ELSE 'unparsed' END AS status,
+    clean = response_ctes(0, "x")
+    out["clean_responses"] = _with(fixture_ctes(), clean) + """
+SELECT service_id, component_key, classification, reasoning FROM x WHERE c >= 4"""
+    out["parse_status"] = _with(fixture_ctes(), clean) + """
+SELECT CASE WHEN c = 0 THEN 'no_answer' WHEN c IN (1, 2, 4) THEN 'unparsed' WHEN c = 3 THEN 'empty' ELSE 'ok' END AS status,
        CAST(count(*) AS BIGINT) AS services,
-       CAST(sum(CASE WHEN len <= {cap} THEN {len(ALL)} ELSE 0 END) AS BIGINT) AS assessments
-FROM alen GROUP BY 1"""
-    out["contract_violations"] = capped + f"""
-SELECT service_id, unnest({lst(ALL)}) AS component_key, 'missing' AS violation
-FROM alen WHERE len > {cap}"""
+       CAST(sum(CASE WHEN c < 5 THEN 0 WHEN c = 5 THEN 1 WHEN c IN (6, 8) THEN 3 ELSE 2 END) AS BIGINT) AS assessments
+FROM x_b GROUP BY 1"""
+    out["contract_violations"] = _with(fixture_ctes(), clean) + """
+SELECT service_id, unnest(['tires', 'brakes']) AS component_key, 'missing' AS violation FROM x_b WHERE c < 5
+UNION ALL SELECT service_id, 'brakes', 'missing' FROM x_b WHERE c = 5
+UNION ALL SELECT service_id, 'horn', 'unexpected' FROM x_b WHERE c = 6
+UNION ALL SELECT service_id, 'tires', 'bad_class' FROM x_b WHERE c = 7
+UNION ALL SELECT service_id, unnest(['tires', '', '']), unnest(['missing', 'unexpected', 'bad_class']) FROM x_b WHERE c = 10"""
+    out["response_distribution"] = _with(fixture_ctes(), clean) + """
+SELECT coalesce(NULLIF(component_key, ''), '?') AS component_key,
+       coalesce(NULLIF(classification, ''), '?') AS classification, CAST(count(*) AS BIGINT) AS n
+FROM x WHERE c >= 4 GROUP BY 1, 2"""
+    two = _with(fixture_ctes(), clean, response_ctes(1, "y"), """
+ra AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service_id, component_key ORDER BY pos DESC) AS rn
+                      FROM x WHERE c >= 4) WHERE rn = 1),
+rb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY service_id, component_key ORDER BY pos DESC) AS rn
+                      FROM y WHERE c >= 4) WHERE rn = 1)""")
+    out["dedupe_stored"] = two + """
+SELECT service_id, component_key, classification, reasoning FROM rb
+UNION ALL SELECT service_id, component_key, classification, reasoning FROM ra
+WHERE NOT EXISTS (SELECT 1 FROM rb WHERE rb.service_id = ra.service_id AND rb.component_key = ra.component_key)"""
+    out["compare_stored"] = two + """
+SELECT coalesce(ra.service_id, rb.service_id) AS service_id, coalesce(ra.component_key, rb.component_key) AS component_key,
+       svc.service_performed,
+       ra.classification AS a_classification, ra.reasoning AS a_reasoning,
+       rb.classification AS b_classification, rb.reasoning AS b_reasoning,
+       ra.classification IS DISTINCT FROM rb.classification AS differs
+FROM ra FULL OUTER JOIN rb ON ra.service_id = rb.service_id AND ra.component_key = rb.component_key
+LEFT JOIN svc ON svc.service_id = coalesce(ra.service_id, rb.service_id)"""
+    out["urgent_findings_stored"] = _with(fixture_ctes(), clean, """
+urg AS (
+  SELECT service_id, vehicle_id,
+         coalesce(string_agg(component_key || ': ' || reasoning, '; '
+                             ORDER BY component_key || ': ' || reasoning), '') AS urgent_reasons
+  FROM x WHERE c >= 4 AND classification = 'Urgent' GROUP BY service_id, vehicle_id
+)""") + """
+SELECT u.service_id, u.vehicle_id, c.customer_id, c.first_name, c.last_name, c.email, v.make, v.model, u.urgent_reasons
+FROM urg u JOIN veh v ON u.vehicle_id = v.vehicle_id JOIN cust c ON v.customer_id = c.customer_id
+WHERE v.o_orderdate < TIMESTAMP '1999-01-01 00:00:00'"""
+    out["config_components"] = "WITH " + config_cte() + """
+SELECT config_id, CAST(n AS INTEGER) AS n, array_to_string(ks, ',') AS keys FROM cfg"""
+    out["composed_prompts"] = "WITH " + config_cte() + f"""
+SELECT config_id, prompt_text || {lit(CONTRACT_PREFIX)} || array_to_string(ks, ', ') || {lit(CONTRACT_SUFFIX)} AS full_prompt FROM cfg"""
+    header, footer = chr(10).join(DEFAULT_PROMPT_HEADER), chr(10).join(DEFAULT_PROMPT_FOOTER)
+    out["default_prompts"] = "WITH " + config_cte() + f"""
+SELECT config_id, {lit(header)} || CASE WHEN n > 0 THEN chr(10) || array_to_string(ls, chr(10)) ELSE '' END
+       || chr(10) || {lit(footer)} AS default_prompt FROM cfg"""
+    out["output_prefixes"] = "WITH " + config_cte() + """
+SELECT config_id, coalesce(NULLIF(lower(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')), ''), 'config')
+       || '_' || config_id AS output_prefix FROM cfg"""
     out["confusion"] = _q("""
 SELECT component_key,
        coalesce(json_extract_string(ground_truth, '$.' || component_key), 'Good') AS truth,

@@ -2,15 +2,17 @@
 (C2) and the full-table run with outreach (C5)."""
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENT_KEYS, SEED_COMPONENTS
+from ..functions.json_text import output_prefix
 from ..functions.rules import BALANCED, STRICT, Thresholds, with_signals
 from ..operators import answers, assess, outreach, scoring
-from ..operators.prompts import compose_full_prompt, default_prompt
+from ..sources import catalog, registry
 
 
 def catalog_entry(key: str) -> dict:
@@ -38,11 +40,6 @@ class Config:
     def keys(self) -> list[str]:
         return [c["component_key"] for c in self.components]
 
-    @property
-    def full_prompt(self) -> str:
-        text = self.prompt_text if self.prompt_text is not None else default_prompt(self.components)
-        return compose_full_prompt(text, self.keys)
-
 
 def seed_configs() -> dict[str, Config]:
     demo = [catalog_entry("tires"), catalog_entry("brakes")]
@@ -62,11 +59,15 @@ def restrict_config(config: Config, selected: list[str]) -> Config:
 
 
 def sample(service: DataFrame, limit: int | None) -> DataFrame:
-    """``ORDER BY service_id LIMIT n`` (a top-n, no global sort) or the
-    whole table when ``limit`` is None; NULL flags become []."""
+    """``ORDER BY service_id LIMIT n`` (a top-n, no global sort; 0 gives no
+    rows) or the whole table when ``limit`` is None; NULL flags become []."""
     base = service.select("service_id", "vehicle_id", "service_type", "service_performed",
                           assess.flagged_array().alias("flagged_components"), "ground_truth")
-    return base.orderBy("service_id").limit(int(limit)) if limit else base
+    return base.orderBy("service_id").limit(int(limit)) if limit is not None else base
+
+
+def _fan_out(df: DataFrame, limit: int | None) -> int:
+    return scoring.full_run_partitions(df.sparkSession) if limit is None else scoring.sample_partitions(limit)
 
 
 def run_config(service: DataFrame, config: Config, limit: int | None = 50, scorer=None,
@@ -79,7 +80,7 @@ def run_config(service: DataFrame, config: Config, limit: int | None = 50, score
     scorer = scorer or scoring.RuleScorer(config.thresholds)
     base = sample(service, limit)
     if partitions is None and not isinstance(scorer, scoring.RuleScorer):
-        partitions = scoring.sample_partitions(limit) if limit else scoring.full_run_partitions(base)
+        partitions = _fan_out(base, limit)
     scored = scoring.score(base, config.keys, scorer, partitions=partitions)
     return assess.explode_assessments(scored, with_pos=with_pos, components=components)
 
@@ -87,13 +88,15 @@ def run_config(service: DataFrame, config: Config, limit: int | None = 50, score
 def compare_configs(service: DataFrame, a: Config, b: Config, limit: int | None = 50,
                     scorer_a=None, scorer_b=None, partitions: int | None = None) -> DataFrame:
     """C2: both configs score the same sampled rows in one pass (the sample
-    is read once) and the two answers are compared on each row."""
+    is read once) and the two answers are compared on each row. The table
+    must have one row per service id, as the derived one has; stored runs
+    with repeated ids are compared by ``compare.compare_rows``."""
     scorer_a = scorer_a or scoring.RuleScorer(a.thresholds)
     scorer_b = scorer_b or scoring.RuleScorer(b.thresholds)
     python = not (isinstance(scorer_a, scoring.RuleScorer) and isinstance(scorer_b, scoring.RuleScorer))
     base = sample(service, limit)
     if partitions is None and python:
-        partitions = scoring.sample_partitions(limit) if limit else scoring.full_run_partitions(base)
+        partitions = _fan_out(base, limit)
     if python and partitions:
         base = base.repartition(int(partitions))
     if not python:
@@ -113,7 +116,7 @@ def recommendations(service: DataFrame, config: Config, scorer=None,
     """First half of C5: every service row scored, one row per component."""
     scorer = scorer or scoring.RuleScorer(config.thresholds)
     if partitions is None and not isinstance(scorer, scoring.RuleScorer):
-        partitions = scoring.full_run_partitions(service)
+        partitions = scoring.full_run_partitions(service.sparkSession)
     scored = scoring.score(service, config.keys, scorer, partitions=partitions)
     return assess.explode_assessments(
         scored, keep=["service_id", "vehicle_id", "service_performed"], where=where)
@@ -121,18 +124,52 @@ def recommendations(service: DataFrame, config: Config, scorer=None,
 
 def full_run(spark: SparkSession, service: DataFrame, vehicle: DataFrame, customer: DataFrame,
              config: Config, out_dir: str, scorer=None, drafter=None,
-             partitions: int | None = None) -> dict:
-    """C5: score the whole table, write recommendations, read them back
-    (the model is called once per row, never again for a second action),
-    then draft one email per urgent visit and write those."""
-    from ..functions.json_text import output_prefix
+             partitions: int | None = None, max_failed: float = 0.0) -> dict:
+    """C5: score the whole table, keep the answers, publish recommendations,
+    then draft one email per urgent visit and write those.
+
+    Every answer is written first, raw and with the error of a failed call, so
+    that the model is called once per row whatever follows. Where more than
+    ``max_failed`` of the sent rows have no answer, nothing is published: the
+    last good tables stay, and the answers are there to look at."""
     prefix = spark.range(1).select(output_prefix(F.lit(config.name), F.lit(config.config_id))) \
         .first()[0]
-    rec_path = f"{out_dir.rstrip('/')}/{prefix}_recommendations"
-    recommendations(service, config, scorer, partitions).write.mode("overwrite").parquet(rec_path)
+    base = f"{out_dir.rstrip('/')}/{prefix}"
+    scorer = scorer or scoring.RuleScorer(config.thresholds, as_text=True)
+    if partitions is None and not isinstance(scorer, scoring.RuleScorer):
+        partitions = scoring.full_run_partitions(spark)
+    rows = service.select("service_id", "vehicle_id", "service_performed",
+                          assess.flagged_array().alias("flagged_components"))
+    scored = scoring.score(rows, config.keys, scorer, partitions=partitions, error_col="error")
+    scored.drop("result").write.mode("overwrite").parquet(f"{base}_answers")
+    kept = scoring.parsed(spark.read.parquet(f"{base}_answers"))
+    status = {r["status"]: r["services"] for r in assess.parse_status(
+        kept.where("service_performed is not null")).collect()}
+    sent, failed = sum(status.values()), status.get("no_answer", 0)
+    if failed > max_failed * sent:
+        raise RuntimeError(f"{failed} of {sent} calls gave no answer; nothing was published ({base}_answers has them)")
+    rec_path, emails_path = f"{base}_recommendations", f"{base}_emails"
+    assess.explode_assessments(kept, keep=["service_id", "vehicle_id", "service_performed"]) \
+        .write.mode("overwrite").parquet(rec_path)
     recs = spark.read.parquet(rec_path)
-    emails_path = f"{out_dir.rstrip('/')}/{prefix}_emails"
     findings = outreach.urgent_findings(recs, vehicle, customer)
     outreach.followup_emails(findings, drafter, partitions).write.mode("overwrite").parquet(emails_path)
-    return {"recommendations": rec_path, "n_recommendations": recs.count(),
+    return {"answers": f"{base}_answers", "status": status,
+            "recommendations": rec_path, "n_recommendations": recs.count(),
             "emails": emails_path, "n_emails": spark.read.parquet(emails_path).count()}
+
+
+def persist_run(spark: SparkSession, rows: DataFrame, out_dir: str, config: Config, limit: int | None,
+                source_table: str = "service") -> str:
+    """S9: append a run row and its result rows; returns the run id."""
+    run_id = uuid.uuid4().hex
+    run, results = catalog.run_rows(spark, rows, run_id, config.config_id, config.name,
+                                    config.model_endpoint, source_table, limit)
+    registry.append(results, f"{out_dir.rstrip('/')}/run_results")
+    registry.append(run, f"{out_dir.rstrip('/')}/runs")
+    return run_id
+
+
+def in_order(rows: DataFrame, *keys: str) -> DataFrame:
+    """O2, O5: result order at the edge, NULL keys first."""
+    return rows.orderBy(*[F.col(k).asc_nulls_first() for k in (keys or ("service_id", "component_key"))])

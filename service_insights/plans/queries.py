@@ -8,19 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules
-from ..operators import answers, assess, compare, outreach, scoring, summarize
-from ..sources import fixtures, generate, registry
+from ..functions import json_text, rules
+from ..operators import answers, assess, compare, outreach, prompts, scoring, summarize
+from ..sources import catalog, fixtures, generate, registry
 from ..sources.tables import read_table
 from . import pipelines
 
 CONFIGS = pipelines.seed_configs()
 SELECTED = ["battery", "ac", "wipers"]
 RUN_ID = "run-0001"
-# Answer size cap of the offline scorer in text mode, a stand-in for a token
-# cap (~300 tokens). 12-component answers are 1.1k-1.3k characters, so near
-# half of them are cut and lost by the parser, as a too-small cap does.
-MAX_ANSWER_CHARS = 1200
 
 
 def _service(spark, sf):
@@ -130,10 +126,10 @@ def followup_emails(spark, sf):
 
 
 def run_results(spark, sf):
-    rows = _balanced_rows(spark, sf)
-    return rows.select(F.lit(RUN_ID).alias("run_id"),
-                       F.coalesce(F.col("service_id"), F.lit(0)).cast("long").alias("service_id"),
-                       "component_key", "classification", "reasoning")
+    cfg = CONFIGS["balanced"]
+    _, results = catalog.run_rows(spark, _balanced_rows(spark, sf), RUN_ID, cfg.config_id, cfg.name,
+                                  cfg.model_endpoint, "service", None)
+    return results
 
 
 def selected_components(spark, sf):
@@ -185,28 +181,63 @@ def table_status(spark, sf):
     return registry.table_status(spark, {k: f(spark, sf) for k, f in fixtures.DERIVED.items()})
 
 
-def clean_responses(spark, sf):
-    cfg = CONFIGS["balanced"]
-    scorer = scoring.RuleScorer(cfg.thresholds, as_text=True, fence=True)
-    scored = scoring.score(pipelines.sample(_service(spark, sf), None), cfg.keys, scorer, clean=True)
-    return assess.explode_assessments(scored).select(
-        "service_id", "component_key", "classification", "reasoning")
+# Answers of a model with defects in every row's own way (``fixtures.responses``).
+def _stored(spark, sf, run=0):
+    """Rows of a stored run: its answers, cleaned, one row per component."""
+    answers_ = scoring.parsed(fixtures.responses(spark, sf, run), clean=True)
+    return assess.explode_assessments(answers_, keep=["service_id", "vehicle_id"], with_pos=True)
 
 
-def _capped_scored(spark, sf):
-    cfg = CONFIGS["all_components"]
-    scorer = scoring.RuleScorer(cfg.thresholds, as_text=True, max_chars=MAX_ANSWER_CHARS)
-    return scoring.score(pipelines.sample(_service(spark, sf), None), cfg.keys, scorer), cfg
+def clean_responses(spark, sf):
+    return _stored(spark, sf).select("service_id", "component_key", "classification", "reasoning")
 
 
 def parse_status(spark, sf):
-    scored, _ = _capped_scored(spark, sf)
-    return assess.parse_status(scored)
+    return assess.parse_status(scoring.parsed(fixtures.responses(spark, sf)))
 
 
 def contract_violations(spark, sf):
-    scored, cfg = _capped_scored(spark, sf)
-    return assess.contract_violations(scored, cfg.keys)
+    return assess.contract_violations(scoring.parsed(fixtures.responses(spark, sf)),
+                                      list(fixtures.RESPONSE_KEYS[0]))
+
+
+def response_distribution(spark, sf):
+    return summarize.distribution(_stored(spark, sf))
+
+
+def dedupe_stored(spark, sf):
+    both = _stored(spark, sf, 0).withColumn("run", F.lit(0)).unionByName(
+        _stored(spark, sf, 1).withColumn("run", F.lit(1)))
+    return assess.dedupe_latest(both, seq_col="run")
+
+
+def compare_stored(spark, sf):
+    compared = compare.compare_keyed(_stored(spark, sf, 0), _stored(spark, sf, 1))
+    return compare.with_notes(compared, _service(spark, sf))
+
+
+def urgent_findings_stored(spark, sf):
+    """Stored rows grouped by visit; visits of vehicles not loaded yet drop out."""
+    return outreach.urgent_findings(_stored(spark, sf), _vehicle_target(spark, sf), fixtures.customer(spark, sf))
+
+
+def config_components(spark, sf):
+    c = fixtures.configs(spark, sf).select("config_id", json_text.config_components(F.col("components")).alias("c"))
+    return c.select("config_id", F.size("c").alias("n"),
+                    F.array_join(F.transform("c", lambda x: x["component_key"]), ",").alias("keys"))
+
+
+def composed_prompts(spark, sf):
+    return prompts.composed_prompts(fixtures.configs(spark, sf)).select("config_id", "full_prompt")
+
+
+def default_prompts(spark, sf):
+    return prompts.default_prompts(fixtures.configs(spark, sf)).select("config_id", "default_prompt")
+
+
+def output_prefixes(spark, sf):
+    return fixtures.configs(spark, sf).select(
+        "config_id", json_text.output_prefix(F.col("name"), F.col("config_id")).alias("output_prefix"))
 
 
 def confusion(spark, sf):
@@ -249,6 +280,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_responses": clean_responses,
     "parse_status": parse_status,
     "contract_violations": contract_violations,
+    "response_distribution": response_distribution,
+    "dedupe_stored": dedupe_stored,
+    "compare_stored": compare_stored,
+    "urgent_findings_stored": urgent_findings_stored,
+    "config_components": config_components,
+    "composed_prompts": composed_prompts,
+    "default_prompts": default_prompts,
+    "output_prefixes": output_prefixes,
     "confusion": confusion,
     "generate_sample": generate_sample,
 }

@@ -89,8 +89,6 @@ ASSESSMENT = T.StructType([
 RESPONSE = T.StructType([
     T.StructField("assessments", T.ArrayType(ASSESSMENT)),
 ])
-RESPONSE_DDL = ("STRUCT<assessments: ARRAY<STRUCT<"
-                "component: STRING, classification: STRING, reasoning: STRING>>>")
 
 # Component list stored as JSON text inside a config row.
 CONFIG_COMPONENT = T.StructType([

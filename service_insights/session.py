@@ -1,10 +1,7 @@
-"""Session helpers: a local session for tests and benches, and the shared
-scratch location taken from ``spark.checkpoint.dir``."""
+"""A local session for tests and benches."""
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,25 +35,4 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only when unset
-    (tests and local benches). On a cluster the job names the folder."""
-    current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return spark.sparkContext.getCheckpointDir() or current
-    local = tempfile.mkdtemp(prefix="si-ckpt-", dir=os.environ.get("SI_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

@@ -39,10 +39,10 @@ def delete_components(components: DataFrame, keys: list[str], spark: SparkSessio
 
 
 def lookup_config(spark: SparkSession, configs_view: str, config_id: str) -> dict:
-    """One saved config by id, with a bound parameter; missing is an error."""
-    rows = spark.sql(
-        f"SELECT config_id, name, model_endpoint, prompt_text, components FROM {configs_view} "
-        "WHERE config_id = :cid", args={"cid": config_id}).take(1)
+    """One saved config by id; missing is an error. The id is a literal of the
+    plan, never part of a statement's text."""
+    rows = (spark.table(configs_view).filter(F.col("config_id") == F.lit(config_id))
+            .select("config_id", "name", "model_endpoint", "prompt_text", "components").take(1))
     if not rows:
         raise KeyError(f"config {config_id} not found")
     r = rows[0].asDict()
@@ -71,16 +71,25 @@ def new_config_row(spark: SparkSession, name: str, model_endpoint: str, componen
 
 def run_rows(spark: SparkSession, rows: DataFrame, run_id: str, config_id: str | None,
              config_name: str, model_endpoint: str, source_table: str,
-             limit: int) -> tuple[DataFrame, DataFrame]:
+             limit: int | None) -> tuple[DataFrame, DataFrame]:
     """(run row, result rows) to append. ``row_count`` stores the requested
-    limit, not the rows produced; NULL service ids become 0 and a missing
+    limit (0 for a whole table), not the rows produced; NULL service ids become 0 and a missing
     config id ''. Results keep only the five stored columns."""
     run = spark.range(1).select(
         F.lit(run_id).alias("run_id"), F.lit(config_id or "").alias("config_id"),
         F.lit(config_name).alias("config_name"), F.lit(model_endpoint).alias("model_endpoint"),
-        F.lit(source_table).alias("source_table"), F.lit(int(limit)).cast("int").alias("row_count"),
+        F.lit(source_table).alias("source_table"), F.lit(int(limit or 0)).cast("int").alias("row_count"),
         F.current_timestamp().alias("created_at"))
-    results = rows.select(F.lit(run_id).alias("run_id"),
-                          F.coalesce(F.col("service_id"), F.lit(0)).cast("long").alias("service_id"),
-                          "component_key", "classification", "reasoning")
-    return run, results
+    return run, result_rows(rows, run_id)
+
+
+def result_rows(rows: DataFrame, run_id: str) -> DataFrame:
+    """The five stored columns of a run's rows."""
+    return rows.select(F.lit(run_id).alias("run_id"),
+                       F.coalesce(F.col("service_id"), F.lit(0)).cast("long").alias("service_id"),
+                       "component_key", "classification", "reasoning")
+
+
+def append_config(configs_path: str, row: DataFrame) -> None:
+    """S8: append one new config row to the stored configs."""
+    registry.append(row, configs_path)

@@ -20,11 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..constants import (AC_VENT_TEMPS, DEMO_DATE, DEMO_SERVICE_TYPE, DEMO_SERVICES,
+from ..constants import (SEED_COMPONENTS, AC_VENT_TEMPS, DEMO_DATE, DEMO_SERVICE_TYPE, DEMO_SERVICES,
                          MODEL_TYPES, PHRASES, SERVICE_TYPES, SPECIALIZATIONS, VEHICLE_MAKE)
 from ..functions.rules import (BALANCED, ac_class, battery_class, brakes_class,
                                tires_class)
-from ..functions.lookup import jvm_cached, pick
+from ..functions.lookup import jvm_cached, pick, zero_padded
 from .tables import read_table
 
 _LEVELS = ("Good", "Upcoming", "Urgent")
@@ -96,21 +96,96 @@ def _pieces(ln: Column, q: Column, d: Column, t: Column, pk: Column, sk: Column,
     return out
 
 
-def service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``service`` table, one row per distinct (l_orderkey, l_linenumber)."""
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per distinct (l_orderkey, l_linenumber)."""
     li = read_table(spark, sf_dir, "lineitem")
     # min(l_returnflag) is taken over the flag's code point: equal to the
-    # string minimum for the CHAR(1) flag column, and a fixed-width buffer
-    # keeps the aggregation a HashAggregate (a string min forces a sort-based
-    # aggregate, i.e. an extra full sort of lineitem before the shuffle).
-    g = (li.groupBy("l_orderkey", "l_linenumber")
+    # string minimum for a one-character flag (a longer one is an error),
+    # and a fixed-width buffer keeps the aggregation a HashAggregate (a
+    # string min forces a sort-based aggregate, i.e. an extra full sort of
+    # lineitem before the shuffle).
+    flag = F.when(F.length("l_returnflag") > 1, F.raise_error(F.lit("l_returnflag has more than one character"))
+                  .cast("int")).otherwise(F.ascii("l_returnflag"))
+    return (li.groupBy("l_orderkey", "l_linenumber")
          .agg(F.min("l_quantity").alias("mq"), F.min("l_discount").alias("md"),
               F.min("l_tax").alias("mt"), F.min("l_partkey").alias("pk"),
-              F.min("l_suppkey").alias("sk"), F.min(F.ascii("l_returnflag")).alias("rf_code"),
+              F.min("l_suppkey").alias("sk"), F.min(flag).alias("rf_code"),
               F.min("l_shipdate").alias("ship"))
          .withColumn("rf", F.when(F.col("rf_code") == 0, F.lit(""))
                      .otherwise(F.chr(F.col("rf_code")))))
-    return g.select(*_service_columns())
+
+
+def service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``service`` table, one row per distinct (l_orderkey, l_linenumber)."""
+    return _lines(spark, sf_dir).select(*_service_columns())
+
+
+#: Keys of the two answer tables: they share tires only.
+RESPONSE_KEYS = (("tires", "brakes"), ("tires", "wipers"))
+RESPONSE_CASES = 13
+
+
+def responses(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
+    """Answers of a model to every service (``raw``), with its defects: case
+    ``(service_id + 5 * run) % 13`` is 0 no answer, 1 prose, 2 cut off, 3 an
+    empty list, 4 in a code fence, 5 without the second key, 6 with a key not
+    asked for, 7 with an unknown class, 8 with the first key twice, 9 without
+    a reasoning, 10 without a name and class; the others are as they should."""
+    g = _lines(spark, sf_dir)
+    sid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    q, d = F.col("mq").cast("int"), F.round(F.col("md") * 100).cast("int")
+    case = (sid + 5 * run) % RESPONSE_CASES
+    first, second = RESPONSE_KEYS[run]
+
+    def entry(component, classification, reasoning) -> Column:
+        return F.to_json(F.struct(component.alias("component"), classification.alias("classification"),
+                                  reasoning.alias("reasoning")))
+
+    t, b = pick(_LEVELS, (q + run) % 3 + 1), pick(_LEVELS, (d + run) % 3 + 1)
+    none = F.lit(None).cast("string")
+    one = entry(F.when(case == 10, F.lit("")).otherwise(F.lit(first)),
+                F.when(case == 7, F.lit("URGENT!")).when(case == 10, none).otherwise(t),
+                F.when(case == 9, none).when(case == 10, F.lit("x"))
+                .otherwise(F.concat(F.lit("tread "), q.cast("string"))))
+    two = entry(F.lit(second), b, F.concat(F.lit("seen "), d.cast("string")))
+    more = F.when(case == 6, entry(F.lit("horn"), F.lit("Good"), F.lit("loud"))) \
+        .when(case == 8, entry(F.lit(first), F.lit("Good"), F.lit("second look")))
+    body = F.concat(F.lit('{"assessments":['), F.concat_ws(",", one, F.when(case != 5, two), more), F.lit("]}"))
+    raw = (F.when(case == 0, none)
+           .when(case == 1, F.lit("The tires look worn."))
+           .when(case == 2, F.concat(F.lit('{"assessments":['), one, F.lit(',{"component":"bra')))
+           .when(case == 3, F.lit('{"assessments":[]}'))
+           .when(case == 4, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+           .otherwise(body))
+    return g.select(sid.alias("service_id"), F.col("l_orderkey").alias("vehicle_id"),
+                    F.array().cast("array<string>").alias("flagged_components"), raw.alias("raw"))
+
+
+def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved configs, one per part: one to three seed components each, with
+    bad and NULL component lists, empty descriptions and rubrics, and names
+    that are NULL, without a letter, or alike but for signs."""
+    p = read_table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    seeds = F.array(*[F.struct(F.lit(key).alias("component_key"), F.lit(name).alias("display_name"),
+                               F.lit(desc).alias("description"), F.lit(rubric).alias("rubric"))
+                      for key, name, desc, rubric, _ in SEED_COMPONENTS])
+
+    def chosen(i: Column) -> Column:
+        c = F.get(seeds, ((k + i) % len(SEED_COMPONENTS)).cast("int"))
+        return F.struct(c["component_key"].alias("component_key"), c["display_name"].alias("display_name"),
+                        F.when(k % 5 == 0, F.lit("")).otherwise(c["description"]).alias("description"),
+                        F.when(k % 4 == 0, F.lit("")).otherwise(c["rubric"]).alias("rubric"))
+
+    comps = F.to_json(F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), chosen))
+    name = (F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 11 == 1, F.lit("!!!"))
+            .when(k % 11 == 2, F.lit("My Config")).when(k % 11 == 3, F.lit("my-config"))
+            .otherwise(F.col("p_name")))
+    return p.select(
+        F.concat(F.lit("0000000000cfg"), k.cast("string")).alias("config_id"), name.alias("name"),
+        F.when(k % 7 == 0, F.lit("{not json")).when(k % 7 == 1, F.lit(None).cast("string"))
+         .when(k % 7 == 2, F.lit("[]")).otherwise(comps).alias("components"),
+        F.concat(F.lit("Assess part "), k.cast("string"), F.lit(".")).alias("prompt_text"))
 
 
 @jvm_cached
@@ -153,7 +228,7 @@ def vehicle_from_orders(o: DataFrame) -> DataFrame:
         F.lit(VEHICLE_MAKE).alias("make"),
         pick(MODEL_TYPES, k % 6 + 1).alias("model"),
         (F.lit(2018) + k % 7).cast("int").alias("year"),
-        F.concat(F.lit("1HGBH41JX"), F.lpad(k.cast("string"), 8, "0")).alias("vin"),
+        F.concat(F.lit("1HGBH41JX"), zero_padded(k, 8)).alias("vin"),
     )
 
 
@@ -165,7 +240,7 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("c_name", r"[0-9]+", 0).alias("last_name"),
         F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))),
                  F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("555-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("phone"),
+        F.concat(F.lit("555-"), zero_padded(F.col("c_custkey"), 7)).alias("phone"),
         F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("address"),
     )
 

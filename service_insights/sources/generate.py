@@ -20,7 +20,7 @@ from ..constants import (AC_VENT_TEMPS, BATTERY_AGE_YEARS, BATTERY_VOLTS, COMPON
                          PHRASES, REAR_PAD_CHOICES, SERVICE_DAYS_BACK, SERVICE_TYPES,
                          SERVICES_PER_VEHICLE, SPECIALIZATIONS, TREAD_CHOICES, VEHICLE_MAKE,
                          VEHICLE_YEARS, VEHICLES_PER_CUSTOMER)
-from ..functions.lookup import pick
+from ..functions.lookup import pick, zero_padded
 from ..functions.rules import BALANCED, ac_class, battery_class, brakes_class, tires_class
 from .fixtures import demo_services
 
@@ -47,7 +47,7 @@ def customers(customer_keys: DataFrame) -> DataFrame:
         k.alias("customer_id"), F.lit("Customer").alias("first_name"),
         k.cast("string").alias("last_name"),
         F.concat(F.lit("customer."), k.cast("string"), F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("555-"), F.lpad(k.cast("string"), 7, "0")).alias("phone"),
+        F.concat(F.lit("555-"), zero_padded(k, 7)).alias("phone"),
         F.concat(F.lit("Street "), k.cast("string")).alias("address"))
 
 
@@ -62,7 +62,7 @@ def vehicles(customer_keys: DataFrame, seed: int = 42) -> DataFrame:
         vid.alias("vehicle_id"), "customer_id", F.lit(VEHICLE_MAKE).alias("make"),
         _pick(MODEL_TYPES, seed, vid, "model").alias("model"),
         _between(*VEHICLE_YEARS, seed, vid, "year").alias("year"),
-        F.concat(F.lit("1HGBH41JX"), F.lpad(vid.cast("string"), 8, "0")).alias("vin"))
+        F.concat(F.lit("1HGBH41JX"), zero_padded(vid, 8)).alias("vin"))
 
 
 def technicians(spark: SparkSession, seed: int = 42) -> DataFrame:
@@ -122,7 +122,7 @@ def services(spark: SparkSession, customer_keys: DataFrame, seed: int = 42,
     # 3..6 distinct components: sort all observations by a per-service hash
     # of their key (the key breaks ties), keep a prefix. Each observation is
     # built once per service.
-    ranked = F.array_sort(F.array(*[
+    ranked = F.sort_array(F.array(*[
         F.struct(F.xxhash64(F.lit(seed), sid, F.lit(k)).alias("h"), F.lit(k).alias("k"),
                  _observation(k, sid, seed).alias("o"))
         for k in COMPONENT_KEYS]))

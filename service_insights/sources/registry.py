@@ -25,32 +25,35 @@ def _keys_not_null(keys: list[str]):
 def merge_insert_only(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Insert update rows whose key is not in the target; matched target rows
     stay untouched. NULL keys never match, so such update rows are inserted.
-    One anti-join of the batch against the target's keys."""
-    new_rows = updates.join(target.select(*keys), keys, "left_anti")
+
+    The target's keys are first cut down to the batch's (a semi-join, with the
+    batch as the build side); the batch is then anti-joined against what is
+    left, which is never larger than the batch's keys. So a small batch never
+    moves the target."""
+    matched = target.select(*keys).join(updates.select(*keys), keys, "left_semi").distinct()
+    new_rows = updates.join(matched, keys, "left_anti")
     return target.unionByName(new_rows.select(*target.columns))
 
 
-def check_unique_keys(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The update batch with a runtime error if a non-NULL key repeats.
-    One group-by on the key (combined map-side); the join that follows
-    reuses its partitioning."""
-    values = [c for c in updates.columns if c not in keys]
-    keyed = (updates.filter(_keys_not_null(keys))
-             .groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*values)).alias("_v")))
-    checked = keyed.select(
-        *keys,
-        F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate key in merge source")))
-         .otherwise(F.col("_v")).alias("_v")).select(*keys, "_v.*")
-    return checked.unionByName(updates.filter(~_keys_not_null(keys)).select(*checked.columns))
+def repeated_keys(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Non-NULL keys that the batch has more than once: a count over the keys alone."""
+    return (updates.filter(_keys_not_null(keys)).groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
 
 
 def merge_upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Matched keys take the update row, new keys are inserted. The batch
-    must have unique keys (raises otherwise)."""
-    checked = check_unique_keys(updates, keys)
-    kept = target.join(checked.select(*keys), keys, "left_anti")
-    return kept.unionByName(checked.select(*target.columns))
+    must have unique keys (raises otherwise).
+
+    The batch is read twice: once for its rows, once for its keys, counted in a
+    hash aggregation that raises on a repeat and is the anti-join's build side.
+    NULL keys match nothing and are inserted."""
+    counted = (updates.filter(_keys_not_null(keys)).groupBy(*keys)
+               .agg(F.count(F.lit(1)).alias("_n")))
+    checked = counted.filter(F.when(F.col("_n") > 1, F.raise_error(F.lit("duplicate key in merge source"))
+                                    .cast("boolean")).otherwise(F.lit(True))).select(*keys)
+    kept = target.join(checked, keys, "left_anti")
+    return kept.unionByName(updates.select(*target.columns))
 
 
 def delete_by_keys(target: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,13 +66,41 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def replace_table(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """Overwrite a catalog table with ``df`` even when ``df`` reads it: write
-    a new table, drop the old one, rename the new one into place."""
-    tmp = f"{name}__next"
-    spark.sql(f"DROP TABLE IF EXISTS {tmp}")
-    df.write.mode("overwrite").saveAsTable(tmp)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {tmp} RENAME TO {name}")
+    """Overwrite a catalog table with ``df`` even when ``df`` reads it: the
+    new table is written beside it, the old one is set aside by a rename, and
+    goes only when the new one is in place. After a crash between the two
+    renames the old rows are in ``<name>__last`` and the next call puts them
+    back first."""
+    new, last = f"{name}__next", f"{name}__last"
+    if spark.catalog.tableExists(last) and not spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {last} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {new}")
+    df.write.mode("overwrite").saveAsTable(new)
+    spark.sql(f"DROP TABLE IF EXISTS {last}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {last}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {last}")
+
+
+def create_if_missing(spark: SparkSession, database: str, tables: dict) -> list[str]:
+    """S7: the database and each missing table of (name -> schema); existing
+    tables stay as they are. Returns the names created."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    made = []
+    for name, schema in tables.items():
+        if not spark.catalog.tableExists(f"{database}.{name}"):
+            spark.createDataFrame([], schema).write.saveAsTable(f"{database}.{name}")
+            made.append(name)
+    return made
+
+
+def present_tables(spark: SparkSession, database: str, expected: list[str] = SAMPLE_TABLES) -> dict[str, DataFrame | None]:
+    """P6: the expected tables of a database, found whatever the case of its
+    name or theirs; a missing one (or a missing database) is None."""
+    found = next((d.name for d in spark.catalog.listDatabases() if d.name.lower() == database.lower()), None)
+    names = {t.name.lower(): t.name for t in spark.catalog.listTables(found)} if found else {}
+    return {t: spark.table(f"{found}.{names[t.lower()]}") if t.lower() in names else None for t in expected}
 
 
 def table_status(spark: SparkSession, tables: dict[str, DataFrame | None],

@@ -16,9 +16,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one supplied table; Catalyst prunes columns and pushes filters
     into this scan, so callers select only what they need."""
     return spark.read.parquet(table_path(sf_dir, name))
-
-
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a table as parquet. Overwrites go to a path that is not being
-    read in the same job (parquet cannot overwrite itself while read)."""
-    df.write.mode(mode).parquet(path)

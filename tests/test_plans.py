@@ -2,7 +2,7 @@
 pruned scans, one model call per row."""
 from service_insights.operators import scoring
 from service_insights.plans import pipelines, queries
-from service_insights.sources import fixtures
+from service_insights.sources import fixtures, registry
 
 from conftest import SF0001
 
@@ -18,7 +18,7 @@ def test_exchange_below_python_scorer(spark):
     rows = pipelines.run_config(s, CFG["balanced"], limit=20,
                                 scorer=scoring.CannedScorer({}, default='{"assessments":[]}'))
     plan = _plan(rows)
-    i_map, i_ex = plan.find("MapInPandas"), plan.find("RoundRobinPartitioning(20)")
+    i_map, i_ex = plan.find("MapInArrow"), plan.find("RoundRobinPartitioning(20)")
     assert i_map >= 0 and i_ex > i_map, plan  # parent printed first: exchange is below
     assert "TakeOrderedAndProject" in plan
 
@@ -26,7 +26,7 @@ def test_exchange_below_python_scorer(spark):
 def test_rule_scorer_has_no_python(spark):
     for name in ["assessments", "compare_rows", "urgent_findings", "confusion"]:
         plan = _plan(queries.QUERIES[name](spark, SF0001))
-        for node in ("MapInPandas", "BatchEvalPython", "ArrowEvalPython"):
+        for node in ("MapInPandas", "MapInArrow", "BatchEvalPython", "ArrowEvalPython"):
             assert node not in plan, (name, node)
 
 
@@ -77,11 +77,35 @@ def test_scorer_is_not_inlined_into_filters(spark):
         assert len(optimized) < 100_000, name
 
 
-def test_full_run_fan_out_grows_with_input(spark):
-    s = fixtures.service(spark, SF0001)
-    assert scoring.full_run_partitions(s) >= 32
-    wide = s.repartition(80)
-    assert scoring.full_run_partitions(wide) == 80
+def test_full_run_fan_out_starts_no_job(spark):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    assert scoring.full_run_partitions(spark) == 32  # shuffle partitions are fewer here
+    spark.conf.set("spark.sql.shuffle.partitions", "80")
+    try:
+        assert scoring.full_run_partitions(spark) == 80
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
+
+
+def test_keyed_operators_aggregate_no_payload(spark):
+    for name in ["dedupe_stored", "compare_stored"]:
+        plan = _plan(queries.QUERIES[name](spark, SF0001))
+        assert "SortAggregate" not in plan, name
+
+
+def test_insert_only_merge_does_not_move_the_target(spark):
+    target = spark.range(200000).selectExpr("id AS vehicle_id", "repeat('x', 50) AS pay")
+    batch = spark.range(199990, 200010).selectExpr("id AS vehicle_id", "'new' AS pay")
+    for merged in (registry.merge_insert_only(target, batch, ["vehicle_id"]),
+                   registry.merge_upsert(target, batch, ["vehicle_id"])):
+        rows = {r.vehicle_id: r.pay for r in merged.filter("vehicle_id >= 199990").collect()}
+        assert len(rows) == 20 and rows[200005] == "new"
+        assert merged.count() == 200010
+        plan = _plan(merged)
+        assert "SortAggregate" not in plan, plan
+    small = registry.merge_upsert(target, batch, ["vehicle_id"])
+    assert _plan(small).count("Range (") <= 3  # the target once, the batch twice
 
 
 def test_urgent_reasons_do_not_shuffle(spark):

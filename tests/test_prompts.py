@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from service_insights.constants import (CONTRACT_PREFIX, CONTRACT_SUFFIX, DEFAULT_PROMPT_FOOTER,
+                                        DEFAULT_PROMPT_HEADER)
 from service_insights.functions.json_text import output_prefix, slug
 from service_insights.operators import prompts
 from service_insights.plans import pipelines
@@ -12,27 +14,28 @@ from service_insights.sources import catalog
 CFG = pipelines.seed_configs()
 
 
+TWO = [{"component_key": "k1", "display_name": "One", "description": "first", "rubric": "r1"},
+       {"component_key": "k2", "display_name": "Two", "description": "", "rubric": None}]
+HEAD, FOOT = "\n".join(DEFAULT_PROMPT_HEADER), "\n".join(DEFAULT_PROMPT_FOOTER)
+
+
 def _configs(spark):
-    rows = [(c.config_id, c.name, prompts.default_prompt(c.components), json.dumps(c.components))
-            for c in CFG.values()]
-    rows.append(("bad", "bad json", "Plain prompt.", "{not json"))
-    rows.append(("null", "null json", "Plain prompt.", None))
+    rows = [("two", "two", "Plain prompt.", json.dumps(TWO)), ("bad", "bad json", "Plain prompt.", "{not json"),
+            ("null", "null json", "Plain prompt.", None)]
     return spark.createDataFrame(rows, "config_id string, name string, prompt_text string, components string")
 
 
-def test_composed_prompts_match_python(spark):
+def test_composed_prompts(spark):
     got = {r.config_id: r.full_prompt for r in prompts.composed_prompts(_configs(spark)).collect()}
-    for c in CFG.values():
-        assert got[c.config_id] == c.full_prompt
-    assert got["bad"] == prompts.compose_full_prompt("Plain prompt.", [])
-    assert got["null"] == prompts.compose_full_prompt("Plain prompt.", [])
+    assert got["two"] == "Plain prompt." + CONTRACT_PREFIX + "k1, k2" + CONTRACT_SUFFIX
+    assert got["bad"] == got["null"] == "Plain prompt." + CONTRACT_PREFIX + CONTRACT_SUFFIX
 
 
-def test_default_prompts_match_python(spark):
+def test_default_prompts(spark):
     got = {r.config_id: r.default_prompt for r in prompts.default_prompts(_configs(spark)).collect()}
-    for c in CFG.values():
-        assert got[c.config_id] == prompts.default_prompt(c.components)
-    assert got["bad"] == prompts.default_prompt([])
+    assert got["two"] == HEAD + "\n- One (k1): first\n    Rubric: r1\n- Two (k2)\n" + FOOT
+    assert got["bad"] == got["null"] == HEAD + "\n" + FOOT
+    assert prompts.prompt_texts(spark, TWO, None) == got["two"] + CONTRACT_PREFIX + "k1, k2" + CONTRACT_SUFFIX
 
 
 @pytest.mark.parametrize("name,expected", [
@@ -45,7 +48,7 @@ def test_slug(spark, name, expected):
 def test_output_prefix_keeps_configs_apart(spark):
     r = spark.range(1).select(output_prefix(F.lit("A b"), F.lit("0123456789")).alias("a"),
                               output_prefix(F.lit("a-b"), F.lit("abcdefghij")).alias("b")).first()
-    assert r.a == "a_b_01234567" and r.b == "a_b_abcdefgh"
+    assert r.a == "a_b_0123456789" and r.b == "a_b_abcdefghij"
 
 
 def test_catalog_seed_upsert_delete(spark):
