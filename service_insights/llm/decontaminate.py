@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flat
+from . import bitmap, flat
 from .common import saved, ship
 
 _U = np.uint64
@@ -40,21 +40,6 @@ def _key(h: np.ndarray, size: int) -> np.ndarray:
     return flat.mix(h ^ flat.mix(np.full(1, 31 + size, _U)))
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """One bit for each key; at most 2^LOG_BITS / 64 rows come to the driver."""
-    bit = F.shiftrightunsigned("key", 64 - LOG_BITS)
-    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - LOG_BITS}) & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(1 << (LOG_BITS - 6), np.int64)
-    for r in words:
-        out[r["word"]] = r["bits"]
-    return out.view(_U)
-
-
-def _may(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bit = keys >> _U(64 - LOG_BITS)
-    return (bitmap[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1) > 0
-
-
 def _windows(benchmark: DataFrame, window: int, shingle: int, item_column: str, column: str) -> DataFrame:
     """(item, size, h, c, q, keys): one row per window of each item; h and c are its hash, keys those of its shingles in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +73,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     all_windows = saved(_windows(benchmark, window, shingle, item_column, column))
     kinds = all_windows.select("size", "h", "c", "q", "keys").dropDuplicates(["h", "c", "size"])
     keyed = kinds.select("size", "h", "c", F.size("keys").alias("n_keys"), F.posexplode("keys").alias("offset", "key"))
-    bitmap = _bitmap(keyed.select("key").distinct())
+    bits = bitmap.build(keyed.select("key").distinct(), "key", LOG_BITS)
     lengths = sorted(r["q"] for r in all_windows.select("q").distinct().collect())  # 1 to ``shingle``
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +84,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             for q in lengths:
                 at = flat.window_rows(words.bounds, q)
                 key = _key(flat.windows(h, q)[at], q)
-                own = _may(bitmap, key)
+                own = bitmap.may(bits, key)
                 row = words.row()[at[own]]
                 if len(row):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key[own].view(np.int64)), pa.array((at[own] - words.bounds[row]).astype(np.int32))], names=["id", "key", "pos"])

@@ -12,8 +12,8 @@ two sets the one that ends first shares that hash with the other, so nothing is
 lost. At the last hash empty parts give signatures too.
 
 Signatures go to their hash bucket, packed. There each group of sets with one
-signature links its members to two of them only (the best connected one, and the
-smallest), not to one another. Links are verified on the whole sets and joined to
+signature links its members to one of them only (the one with the most company in all
+groups), not to one another. Links are verified on the whole sets and joined to
 components. Members of one group that still lie in different components are then
 compared by parity sketches, whose difference is never larger than that of the
 sets, in blocks, and the few pairs within reach are verified too. No pairs within
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import flat, packed
+from . import bitmap, flat, packed
 from .common import partitions, saved, ship
 from .components import components
 
@@ -140,37 +140,28 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return first[one], second[one]
 
 
-def stars(nodes: np.ndarray, sigs: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Links (a < b) of each signature's members to two of them; (group, member) of groups of three and more."""
+def groups(nodes: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, member, size) of the sets that share a signature, two and more.
+
+    A group's name is a hash of its members: groups of the same members say the
+    same, and one of them stays.
+    """
     sigs, nodes = _distinct(sigs, nodes)
     cuts = np.flatnonzero(np.diff(sigs.astype(np.int64), prepend=-1))
     size = np.diff(cuts, append=len(sigs))
     many = np.repeat(size > 1, size)
-    sigs, nodes, size = sigs[many], nodes[many], size[size > 1]
-    if not len(sigs):
-        none = np.zeros(0, np.int64)
-        return (none, none), (none, none)
-    group = np.repeat(np.arange(len(size)), size)
-    _, who = np.unique(nodes, return_inverse=True)
-    score = np.bincount(who, weights=size[group])[who]
-    order = np.lexsort((nodes, -score, group))
+    nodes, size = nodes[many], size[size > 1]
+    if not len(nodes):
+        return (np.zeros(0, np.int64),) * 3
     head = np.cumsum(size) - size
-    links = []
-    for hub in (nodes[order][head], nodes[head]):
-        a, b = hub[group], nodes
-        links.append((np.minimum(a, b), np.maximum(a, b)))
-    a, b = _distinct(np.concatenate([x[0] for x in links]), np.concatenate([x[1] for x in links]))
-    # Groups with the same members say the same: one of them stays.
     member = np.zeros(len(nodes) + 1, _U)
     np.cumsum(flat.mix(nodes.view(_U)), out=member[1:])
     name = flat.mix(member[head + size] - member[head]).view(np.int64)
     _, first = np.unique(name, return_index=True)
     chosen = np.zeros(len(size), bool)
     chosen[first] = True
-    chosen &= size > 2
-    own = chosen[group]
-    differ = a != b
-    return (a[differ], b[differ]), (name[group[own]], nodes[own])
+    own = np.repeat(chosen, size)
+    return np.repeat(name, size)[own], nodes[own], np.repeat(size, size)[own]
 
 
 def sketches(keys: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -205,6 +196,8 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 #: Members of a group that are compared in one piece; larger groups are cut to blocks.
 BLOCK = 2048
+#: Bits of the bitmap of grouped documents: 1 MB, whatever the table.
+LOG_BITS = 23
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -234,22 +227,28 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
 
     def meet(table: pa.Table) -> pa.Table:
         ids, sigs, _ = packed.unpack(table, "<u4", "u1")
-        (a, b), (group, member) = stars(ids, sigs)
-        return pa.table({"grp": pa.array(np.concatenate([np.zeros(len(a), np.int64), group]), mask=np.arange(len(a) + len(group)) < len(a)), "a": np.concatenate([a, member]), "b": pa.array(np.concatenate([b, member]))})
+        group, member, size = groups(ids, sigs)
+        return pa.table({"grp": group, "s1": member, "size": size})
 
     signed = plain.where("id is not null").mapInArrow(sign, packed.SCHEMA)
-    found = saved(signed.groupBy("bucket").applyInArrow(meet, "grp long, a long, b long"))
+    members = saved(signed.groupBy("bucket").applyInArrow(meet, "grp long, s1 long, size long").distinct())
 
     # Texts and sketches of the sets in any group, under their node (the smallest id of equal sets).
-    grouped = found.select(F.col("a").alias("s1")).union(found.select(F.col("b").alias("s1"))).distinct()
-    of = saved(nodes.join(grouped, "s1").select("s1", "node", "n"))
+    # The bitmap spares the join the texts of all others.
+    of = saved(nodes.join(members.select("s1").distinct(), "s1").select("s1", "node", "n"))
+    bits = bitmap.build(of.select(F.xxhash64("node").alias("h")), "h", LOG_BITS)
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitmap.may(bits, batch.column(2).to_numpy().view(_U))))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
             keys, bounds = shingle_sets(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds)), pa.array(sketches(keys, bounds), pa.binary())], names=["node", "text", "n", "sketch"])
 
-    texts = plain.join(of.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("node"), "text")
+    few = plain.where("id is not null").select(F.col("id").alias("node"), "text", F.xxhash64("id").alias("h")).mapInArrow(grouped, "node long, text string, h long")
+    texts = few.join(of.select("node").distinct(), "node", "left_semi").select("node", "text")
     texts = saved(texts.mapInArrow(sketch, "node long, text string, n long, sketch binary").where("n > 0"))
     drawn = texts.select("node", "n", "sketch")
 
@@ -286,7 +285,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
         rows = pairs.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
         return saved(rows.select("a", "b", "texta", "textb").mapInArrow(test, "a long, b long").distinct())
 
-    pairs = found.where("grp is null").select("a", "b").distinct()
+    # Each group's hub is its member with the most company in all groups; the others are tried against it.
+    score = members.groupBy("s1").agg((F.sum("size") * (1 << 20) + F.pmod(F.xxhash64("s1"), F.lit(1 << 20))).alias("score"))
+    hubs = members.join(score, "s1").groupBy("grp").agg(F.max_by("s1", "score").alias("hub"))
+    pairs = members.join(hubs, "grp").where("s1 <> hub").select(F.col("s1").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = pairs.join(of.select(F.col("s1").alias("a"), F.col("node").alias("u")), "a").join(of.select(F.col("s1").alias("b"), F.col("node").alias("v")), "b")
     pairs = saved(pairs.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct())
     maybe = pairs.join(side(drawn, "b", "n", "sketch"), "b").join(side(drawn, "a", "n", "sketch"), "a").select("a", "b", "na", "nb", "sketcha", "sketchb")
@@ -294,11 +296,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     labels = saved(components(links))
 
     # Members of one group that lie in different components: compared by their sketches, in blocks.
-    members = found.where("grp is not null").select("grp", F.col("a").alias("s1")).distinct().join(of.select("s1", "node"), "s1").select("grp", "node").distinct()
-    members = members.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
-    split = members.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    placed = members.where("size > 2").select("grp", "s1").join(of.select("s1", "node"), "s1").select("grp", "node").distinct()
+    placed = placed.join(labels, "node", "left").select("grp", "node", F.coalesce("label", "node").alias("label"))
+    split = placed.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = members.join(split.select("grp", blocks.alias("blocks")), "grp")
+    open_ = placed.join(split.select("grp", blocks.alias("blocks")), "grp")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     open_ = open_.select("grp", "node", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     open_ = open_.select("grp", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
