@@ -8,11 +8,17 @@ same CASE blocks recur in many queries.
 """
 from __future__ import annotations
 
-from ..constants import (AC_VENT_TEMPS, COMPONENT_KEYS, CONTRACT_PREFIX, CONTRACT_SUFFIX,
+import json
+
+from ..constants import (AC_VENT_TEMPS, BATTERY_AGE_YEARS, BATTERY_VOLTS, COMPONENTS_PER_SERVICE,
+                         DEMO_DATE, DEMO_SERVICE_TYPE, DEMO_SERVICES, FRONT_PAD_CHOICES, N_TECHNICIANS,
+                         REAR_PAD_CHOICES, SERVICE_DAYS_BACK, SERVICES_PER_VEHICLE, TREAD_CHOICES,
+                         VEHICLES_PER_CUSTOMER, COMPONENT_KEYS, CONTRACT_PREFIX, CONTRACT_SUFFIX,
                          DEFAULT_PROMPT_FOOTER, DEFAULT_PROMPT_HEADER, EMAIL_PROMPT_INTRO, EMAIL_PROMPT_OUTRO,
                          MODEL_TYPES, NO_SIGNAL_REASONING, PHRASES, SEED_COMPONENTS, SERVICE_TYPES,
                          SPECIALIZATIONS, VEHICLE_MAKE)
 from ..functions.rules import AC_RE, BALANCED, BATTERY_RE, BRAKES_RE, STRICT, TIRES_RE, Thresholds
+from ..sources import generate
 from . import queries as Q
 
 
@@ -266,6 +272,78 @@ def config_cte() -> str:
 )"""
 
 
+def _mix(of: str, field: str, i: int = 0, seed: int = 42) -> str:
+    """The generator's integer mix."""
+    p, c = generate.PRIME, generate.salt(seed, field, i)
+    x = f"((({of}) % {p}) * {generate.FACTOR} + {c}) % {p}"
+    return f"((({x}) * (({x}) % 65536 + 1) + {c}) % {p})"
+
+
+def generator_ctes() -> str:
+    """CTEs gveh (vehicles), gsvc (generated services) and demo (curated ones)."""
+    n_demo, (vlo, vhi), (slo, shi) = generate.N_DEMO, VEHICLES_PER_CUSTOMER, SERVICES_PER_VEHICLE
+    sid = "service_id"
+
+    def choice(items, field, i=0):
+        return f"({lst(items)})[{_mix(sid, field, i)} % {len(items)} + 1]"
+
+    tr = [choice(TREAD_CHOICES, "tires", i) for i in range(4)]
+    fi = f"[{_mix(sid, 'brakes front')} % {len(FRONT_PAD_CHOICES)} + 1]"
+    front = f"({lst([float(x) for x in FRONT_PAD_CHOICES])}){fi}"
+    front_txt = f"({lst([str(x) for x in FRONT_PAD_CHOICES])}){fi}"
+    rear = choice(REAR_PAD_CHOICES, "brakes rear")
+    lo, hi = (round(v * 10) for v in BATTERY_VOLTS)
+    v10 = f"({lo} + {_mix(sid, 'battery v')} % {hi - lo + 1})"
+    alo, ahi = BATTERY_AGE_YEARS
+    age = f"({alo} + {_mix(sid, 'battery age')} % {ahi - alo + 1})"
+    temp = choice(AC_VENT_TEMPS, "ac")
+    made = {
+        "tires": (f"'Tread depth (32nds): LF ' || {tr[0]} || ', RF ' || {tr[1]} || ', LR ' || {tr[2]} || ', RR ' || {tr[3]} || '.'",
+                  _tires_sql(*tr, BALANCED)),
+        "brakes": (f"'Brake pad thickness: front ' || {front_txt} || 'mm, rear ' || {rear} || 'mm.'",
+                   _brakes_sql(front, f"CAST({rear} AS DOUBLE)", BALANCED)),
+        "battery": (f"'Battery: ' || ({v10} // 10) || '.' || ({v10} % 10) || 'V resting, age ' || {age} || ' yr.'",
+                    _battery_sql(f"(CAST({v10} AS DOUBLE) / 10.0)", age, BALANCED)),
+        "ac": (f"'A/C: vent temp ' || {temp} || '°F at max cool.'", _ac_sql(temp, BALANCED)),
+    }
+    obs = []
+    for key in COMPONENT_KEYS:
+        text, sev = made.get(key) or (f"({lst(PHRASES[key])})[{_mix(sid, key)} % 3 + 1]",
+                                      f"(['Good', 'Upcoming', 'Urgent'])[{_mix(sid, key)} % 3 + 1]")
+        obs.append(f"{{'h': {_mix(sid, 'rank ' + key)}, 'k': {lit(key)}, 't': {text}, 's': {sev}}}")
+    clo, chi = COMPONENTS_PER_SERVICE
+    demo = ", ".join(
+        f"({i + 1}, {i + 1}, {i % 10 + 1}, {lit(DEMO_DATE)}, {lit(DEMO_SERVICE_TYPE)}, {lit(notes)}, {lit(','.join(flagged or []))}, {lit(json.dumps(gt))})"
+        for i, (notes, flagged, gt) in enumerate(DEMO_SERVICES))
+    cols = "service_id, vehicle_id, technician_id, service_date, service_type, service_performed, flagged_keys, ground_truth"
+    return f"""
+gown AS (
+  SELECT c_custkey AS customer_id, c_custkey * {vhi} + unnest(range(1, {vlo} + {_mix('c_custkey', 'nv')} % {vhi - vlo + 1} + 1)) + {n_demo} AS vehicle_id FROM customer
+),
+gveh AS (
+  SELECT vehicle_id, customer_id FROM gown
+  UNION ALL SELECT unnest(range(1, {n_demo + 1})), (SELECT min(c_custkey) FROM customer)
+),
+gids AS (
+  SELECT vehicle_id, vehicle_id * {shi} + unnest(range(1, {slo} + {_mix('vehicle_id', 'ns')} % {shi - slo + 1} + 1)) + {n_demo} AS service_id FROM gown
+),
+gobs AS (
+  SELECT service_id, vehicle_id,
+         list_sort([{', '.join(obs)}])[1:{clo} + {_mix(sid, 'n')} % {chi - clo + 1}] AS obs FROM gids
+),
+gurg AS (SELECT *, list_filter(obs, lambda o: o.s = 'Urgent') AS urgent FROM gobs),
+gsvc AS (
+  SELECT service_id, vehicle_id, 1 + {_mix(sid, 'tech')} % {N_TECHNICIANS} AS technician_id,
+         CAST(DATE {lit(generate.AS_OF)} - CAST({_mix(sid, 'day')} % {SERVICE_DAYS_BACK + 1} AS INTEGER) AS VARCHAR) AS service_date,
+         {choice(SERVICE_TYPES, 'type')} AS service_type,
+         array_to_string(list_transform(obs, lambda o: o.t), ' ') AS service_performed,
+         CASE WHEN len(urgent) > 0 THEN urgent[{_mix(sid, 'flag')} % greatest(len(urgent), 1) + 1].k ELSE '' END AS flagged_keys,
+         '{{' || array_to_string(list_transform(obs, lambda o: '"' || o.k || '": "' || o.s || '"'), ', ') || '}}' AS ground_truth
+  FROM gurg
+),
+demo AS (SELECT * FROM (VALUES {demo}) AS v({cols}))"""
+
+
 def oracle_sql() -> dict[str, str]:
     catch = "(NOT technician_flagged AND classification IN ('Urgent', 'Upcoming'))"
     out: dict[str, str] = {}
@@ -472,6 +550,16 @@ SELECT config_id, {lit(header)} || CASE WHEN n > 0 THEN chr(10) || array_to_stri
     out["output_prefixes"] = "WITH " + config_cte() + """
 SELECT config_id, coalesce(NULLIF(lower(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g')), ''), 'config')
        || '_' || config_id AS output_prefix FROM cfg"""
+    out["generate_sample"] = _with(generator_ctes()) + """
+SELECT service_id, vehicle_id, CAST(technician_id AS INTEGER) AS technician_id, service_date, service_type,
+       service_performed, flagged_keys, ground_truth FROM gsvc
+UNION ALL SELECT service_id, vehicle_id, technician_id, service_date, service_type, service_performed, flagged_keys, ground_truth FROM demo"""
+    pad = "CASE WHEN length(CAST({0} AS VARCHAR)) < {1} THEN lpad(CAST({0} AS VARCHAR), {1}, '0') ELSE CAST({0} AS VARCHAR) END"
+    out["generate_linked"] = _with(generator_ctes()) + f"""
+SELECT s.service_id, s.vehicle_id, v.customer_id, '1HGBH41JX' || {pad.format('s.vehicle_id', 8)} AS vin,
+       '555-' || {pad.format('v.customer_id', 7)} AS phone
+FROM (SELECT service_id, vehicle_id FROM gsvc UNION ALL SELECT service_id, vehicle_id FROM demo) s
+LEFT JOIN gveh v ON s.vehicle_id = v.vehicle_id"""
     out["confusion"] = _q("""
 SELECT component_key,
        coalesce(json_extract_string(ground_truth, '$.' || component_key), 'Good') AS truth,

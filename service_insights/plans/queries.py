@@ -248,7 +248,19 @@ def confusion(spark, sf):
 
 
 def generate_sample(spark, sf):
-    return generate.services(spark, read_table(spark, sf, "customer").select("c_custkey"))
+    s = generate.services(spark, read_table(spark, sf, "customer").select("c_custkey"))
+    return s.select("service_id", "vehicle_id", "technician_id", F.col("service_date").cast("string").alias("service_date"),
+                    "service_type", "service_performed",
+                    F.array_join("flagged_components", ",").alias("flagged_keys"), "ground_truth")
+
+
+def generate_linked(spark, sf):
+    """Every generated service with its vehicle's customer: none is dropped."""
+    keys = read_table(spark, sf, "customer").select("c_custkey")
+    t = generate.generate(spark, keys)
+    return (t["service"].select("service_id", "vehicle_id").join(t["vehicle"].select("vehicle_id", "customer_id", "vin"), "vehicle_id")
+            .join(t["customer"].select("customer_id", "phone"), "customer_id")
+            .select("service_id", "vehicle_id", "customer_id", "vin", "phone"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -290,4 +302,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "output_prefixes": output_prefixes,
     "confusion": confusion,
     "generate_sample": generate_sample,
+    "generate_linked": generate_linked,
 }

@@ -1,17 +1,20 @@
 """Synthetic service-shop data, generated by Spark at any size.
 
 Fan-out per customer key (vehicles) and per vehicle (services) is an
-``explode(sequence(..))``; every random choice is ``pmod(xxhash64(seed,
-id, field), k)``, so a row depends only on (seed, its ids): the same seed
-gives the same rows for any partitioning, and nothing goes through the
-driver except the 8 curated rows. Sizes: about 2 vehicles and 5 services
-per customer, plus the 8 curated services.
+``explode(sequence(..))``; every random choice is an integer mix of (seed,
+id, field) that any engine can compute, so a row depends only on (seed, its
+ids): the same seed gives the same rows for any partitioning, and nothing
+goes through the driver except the 8 curated rows. Sizes: about 2 vehicles
+and 5 services per customer, plus the 8 curated services, whose vehicles
+1 to 8 belong to the customer of the smallest key.
 
 Not copied: dates relative to today (a fixed ``as_of`` date is used) and
-5-digit VINs that run out at 100k vehicles (the VIN carries the id).
+5-digit VINs that run out at 100k vehicles (the VIN carries the whole id).
 """
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +31,27 @@ AS_OF = "2024-06-30"
 N_DEMO = 8
 
 
-def _h(seed: int, *parts) -> Column:
-    return F.xxhash64(F.lit(seed), *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+#: The mix works modulo this prime; all products stay below 2^63.
+PRIME, FACTOR = 2147483647, 48271
+
+
+def salt(seed: int, field: str, i: int = 0) -> int:
+    return zlib.crc32(f"{seed}/{field}/{i}".encode()) % PRIME
 
 
-def _pick(choices: list, seed: int, *parts) -> Column:
-    idx = F.pmod(_h(seed, *parts), F.lit(len(choices))) + 1
-    return pick(choices, idx)
+def _h(seed: int, of: Column, field: str, i: int = 0) -> Column:
+    """A number below PRIME for (seed, id, field, i)."""
+    c = salt(seed, field, i)
+    x = (F.pmod(of, F.lit(PRIME).cast("long")) * FACTOR + c) % PRIME
+    return (x * (x % 65536 + 1) + c) % PRIME
 
 
-def _between(lo: int, hi: int, seed: int, *parts) -> Column:
-    return (F.lit(lo) + F.pmod(_h(seed, *parts), F.lit(hi - lo + 1))).cast("int")
+def _pick(choices: list, seed: int, of: Column, field: str, i: int = 0) -> Column:
+    return pick(choices, _h(seed, of, field, i) % len(choices) + 1)
+
+
+def _between(lo: int, hi: int, seed: int, of: Column, field: str) -> Column:
+    return (F.lit(lo) + _h(seed, of, field) % (hi - lo + 1)).cast("int")
 
 
 def customers(customer_keys: DataFrame) -> DataFrame:
@@ -57,9 +70,12 @@ def vehicles(customer_keys: DataFrame, seed: int = 42) -> DataFrame:
     v = customer_keys.select(c.alias("customer_id"),
                              F.explode(F.sequence(F.lit(1), _between(lo, hi, seed, c, "nv")))
                              .alias("vi"))
-    vid = F.col("customer_id") * hi + F.col("vi")
-    return v.select(
-        vid.alias("vehicle_id"), "customer_id", F.lit(VEHICLE_MAKE).alias("make"),
+    own = v.select((F.col("customer_id") * hi + F.col("vi") + N_DEMO).alias("vehicle_id"), "customer_id")
+    demo = customer_keys.agg(F.min("c_custkey").alias("customer_id")).where("customer_id is not null").select(
+        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(N_DEMO).cast("long"))).alias("vehicle_id"), "customer_id")
+    vid = F.col("vehicle_id")
+    return own.unionByName(demo).select(
+        "vehicle_id", "customer_id", F.lit(VEHICLE_MAKE).alias("make"),
         _pick(MODEL_TYPES, seed, vid, "model").alias("model"),
         _between(*VEHICLE_YEARS, seed, vid, "year").alias("year"),
         F.concat(F.lit("1HGBH41JX"), zero_padded(vid, 8)).alias("vin"))
@@ -83,17 +99,17 @@ def _observation(key: str, sid: Column, seed: int) -> Column:
                         F.lit(", LR "), txt(tr[2]), F.lit(", RR "), txt(tr[3]), F.lit("."))
         sev = tires_class(*tr, BALANCED)
     elif key == "brakes":
-        i = F.pmod(_h(seed, sid, key, "front"), F.lit(len(FRONT_PAD_CHOICES))) + 1
+        i = _h(seed, sid, f"{key} front") % len(FRONT_PAD_CHOICES) + 1
         front = pick([float(x) for x in FRONT_PAD_CHOICES], i)
         front_txt = pick([str(x) for x in FRONT_PAD_CHOICES], i)
-        rear = _pick(REAR_PAD_CHOICES, seed, sid, key, "rear")
+        rear = _pick(REAR_PAD_CHOICES, seed, sid, f"{key} rear")
         text = F.concat(F.lit("Brake pad thickness: front "), front_txt, F.lit("mm, rear "),
                         txt(rear), F.lit("mm."))
         sev = brakes_class(front, rear.cast("double"), BALANCED)
     elif key == "battery":
         lo, hi = (round(BATTERY_VOLTS[0] * 10), round(BATTERY_VOLTS[1] * 10))
-        v10 = _between(lo, hi, seed, sid, key, "v")
-        age = _between(*BATTERY_AGE_YEARS, seed, sid, key, "age")
+        v10 = _between(lo, hi, seed, sid, f"{key} v")
+        age = _between(*BATTERY_AGE_YEARS, seed, sid, f"{key} age")
         text = F.concat(F.lit("Battery: "), txt(F.floor(v10 / 10)), F.lit("."), txt(v10 % 10),
                         F.lit("V resting, age "), txt(age), F.lit(" yr."))
         sev = battery_class(v10.cast("double") / 10.0, age, BALANCED)
@@ -102,7 +118,7 @@ def _observation(key: str, sid: Column, seed: int) -> Column:
         text = F.concat(F.lit("A/C: vent temp "), txt(t), F.lit("°F at max cool."))
         sev = ac_class(t, BALANCED)
     else:
-        i = (F.pmod(_h(seed, sid, key), F.lit(3)) + 1).cast("int")
+        i = (_h(seed, sid, key) % 3 + 1).cast("int")
         text = pick(PHRASES[key], i)
         sev = pick(("Good", "Upcoming", "Urgent"), i)
     return F.struct(F.lit(key).alias("key"), text.alias("text"), sev.alias("sev"))
@@ -111,7 +127,7 @@ def _observation(key: str, sid: Column, seed: int) -> Column:
 def services(spark: SparkSession, customer_keys: DataFrame, seed: int = 42,
              as_of: str = AS_OF, with_demo: bool = True) -> DataFrame:
     """The ``service`` table for the given customer keys (``c_custkey``)."""
-    v = vehicles(customer_keys, seed).select("vehicle_id")
+    v = vehicles(customer_keys, seed).where(F.col("vehicle_id") > N_DEMO).select("vehicle_id")
     lo, hi = SERVICES_PER_VEHICLE
     vid = F.col("vehicle_id")
     s = v.select("vehicle_id", F.explode(F.sequence(F.lit(1), _between(lo, hi, seed, vid, "ns")))
@@ -123,14 +139,14 @@ def services(spark: SparkSession, customer_keys: DataFrame, seed: int = 42,
     # of their key (the key breaks ties), keep a prefix. Each observation is
     # built once per service.
     ranked = F.sort_array(F.array(*[
-        F.struct(F.xxhash64(F.lit(seed), sid, F.lit(k)).alias("h"), F.lit(k).alias("k"),
+        F.struct(_h(seed, sid, f"rank {k}").alias("h"), F.lit(k).alias("k"),
                  _observation(k, sid, seed).alias("o"))
         for k in COMPONENT_KEYS]))
     n = _between(*COMPONENTS_PER_SERVICE, seed, sid, "n")
     obs = F.transform(F.slice(ranked, 1, n), lambda r: r["o"])
     s = s.select("service_id", "vehicle_id", obs.alias("obs"))
     urgent = F.filter(F.col("obs"), lambda o: o["sev"] == "Urgent")
-    flag_i = (F.pmod(_h(seed, sid, "flag"), F.greatest(F.size(urgent), F.lit(1))) + 1).cast("int")
+    flag_i = (_h(seed, sid, "flag") % F.greatest(F.size(urgent), F.lit(1)) + 1).cast("int")
     out = s.select(
         "service_id", "vehicle_id",
         _between(1, N_TECHNICIANS, seed, sid, "tech").alias("technician_id"),
