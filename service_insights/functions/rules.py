@@ -7,6 +7,8 @@ Thresholds are per configuration (``balanced`` equals the data generator,
 """
 from __future__ import annotations
 
+import os
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -100,10 +102,13 @@ def _signal(key: str, notes: Column) -> Column:
     if key in MEASURED:
         return F.regexp_extract(notes, _PATTERNS[key], 0)
     good, upcoming, urgent = PHRASES[key]
-    # Most severe phrase first when a note holds several.
-    return (F.when(notes.contains(urgent), F.lit(2))
-            .when(notes.contains(upcoming), F.lit(1))
-            .when(notes.contains(good), F.lit(0)))
+    # Most severe phrase first when a note holds several. What the three
+    # phrases begin with is looked for once; most notes end there.
+    level = (F.when(notes.contains(urgent), F.lit(2))
+             .when(notes.contains(upcoming), F.lit(1))
+             .when(notes.contains(good), F.lit(0)))
+    lead = os.path.commonprefix([good, upcoming, urgent])
+    return F.when(notes.contains(lead), level) if lead else level
 
 
 def _group(key: str, i: int, typ: str) -> Column:
