@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import flat
-from .common import partitions, saved, ship
+from .common import partitions, saved, ship, thinned
 from .components import components
 
 _U = np.uint64
@@ -44,6 +44,8 @@ SLAB = 5 << 20
 #: Below so many texts still walking, they are walked one by one.
 FEW = 24
 NO_ID = -(2**63)
+#: Ids of which the ranges' bounds are quantiles.
+RANGE_SAMPLE = 200_000
 
 
 @lru_cache(1)
@@ -205,8 +207,10 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", column: str = "text")
     ship(spark)
     n = partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(column, F.lit("")).alias("text"))
-    ends = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.percentile_approx("id", [k / (2 * n) for k in range(1, 2 * n)], 10_000).alias("mid")).first()
-    heads = np.array(sorted({ends["hi"], *ends["mid"]}) if ends["hi"] is not None else [0], np.int64)  # a range's largest id
+    highest = rows.agg(F.max("id").alias("hi")).first()["hi"]
+    few = thinned(rows.select("id"), "id", RANGE_SAMPLE)
+    mid = few.agg(F.percentile_approx("id", [k / (2 * n) for k in range(1, 2 * n)], 10_000).alias("mid")).first()["mid"]
+    heads = np.array(sorted({highest, *(mid or [])}) if highest is not None else [0], np.int64)  # a range's largest id
     kind = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("also", T.IntegerType())])
 
     @F.pandas_udf(kind)

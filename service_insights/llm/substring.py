@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat, packed
-from .common import partitions, ship
+from .common import partitions, ship, thinned
 
 #: Documents of the sample that shows frequent sequences, the share of them from
 #: which a sequence is frequent, and the most sequences held.
@@ -82,7 +82,7 @@ class _Slab:
 
 def _frequent(docs: DataFrame, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the blocks and windows that many documents of the sample have."""
-    picked = docs.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
+    picked = thinned(docs, "id", SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):

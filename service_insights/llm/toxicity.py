@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import free_name, ship
+from .common import free_name, ship, thinned
 
 _U = np.uint64
 #: Bounds of what is learned: labelled rows in the sample (those of the smallest
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     ship(spark)
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
     known = known.groupBy(F.col(id_column).cast("long").alias("id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    picked = thinned(known, "id", sample_rows).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(column, F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(picked), "id")  # sample_rows rows of two numbers
 
