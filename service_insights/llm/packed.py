@@ -32,8 +32,9 @@ def unpack(table: pa.Table, key: str, extra: str) -> tuple[np.ndarray, np.ndarra
 
 
 def answers(ids: np.ndarray, keys: np.ndarray) -> pa.Table:
-    order = np.argsort(ids, kind="stable")
+    """Distinct (id, key), a row each."""
+    order = np.lexsort((keys, ids))
     ids, keys = ids[order], keys[order]
-    cuts = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1 if len(ids) else 0))
-    ends = [*cuts[1:], len(ids)]
-    return pa.table({"id": pa.array(ids[cuts], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())})
+    one = np.ones(len(ids), bool)
+    one[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+    return pa.table({"id": pa.array(ids[one], pa.int64()), "key": pa.array(keys[one].astype(np.uint64).view(np.int64))})

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,14 @@ class _Slab:
         return at, row, flat.windows(self.h, self.window)[at], check
 
 
+def _told(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of a column of lists."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(col)), size), col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
 def _frequent(docs: DataFrame, window: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the blocks and windows that many documents of the sample have."""
     picked = thinned(docs, "id", SAMPLE_DOCS)
@@ -162,13 +171,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
         bucket = np.uint64(table.column("bucket")[0].as_py())
         return packed.answers(ids_[own], ((bucket << np.uint64(32)) | keys_[own].astype(np.uint64)).astype("<u8"))
 
-    hits = base.mapInArrow(anchors, packed.SCHEMA).groupBy("bucket").applyInArrow(meet, "id long, keys binary")
-    hits = hits.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    hits = base.mapInArrow(anchors, packed.SCHEMA).groupBy("bucket").applyInArrow(meet, "id long, key long")
+    hits = hits.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
             slab = _Slab(batch, window, block)
-            answered = np.unique(np.frombuffer(b"".join(x for row in batch.column(3).to_pylist() for x in row or ()), "<u8"))
+            answered = np.unique(_told(batch.column(3))[1])
             at, _, h = slab.probes()
             key = (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
             hit = np.zeros(slab.words.n + 1, np.int64)
@@ -188,16 +197,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_column: str = "doc_id",
         own = ids > np.repeat(low, np.diff(cuts, append=len(h)))
         return packed.answers(ids[own], h[own])
 
-    later = base.join(hits, "id", "left").mapInArrow(extend, packed.SCHEMA).groupBy("bucket").applyInArrow(repeated, "id long, keys binary")
-    later = later.groupBy("id").agg(F.collect_list("keys").alias("keys"))
+    later = base.join(hits, "id", "left").mapInArrow(extend, packed.SCHEMA).groupBy("bucket").applyInArrow(repeated, "id long, key long")
+    later = later.groupBy("id").agg(F.collect_list("key").alias("keys"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
             slab = _Slab(batch, window, block)
             words, bounds = slab.words, slab.bounds
             n_words = np.diff(bounds)
-            own = [np.frombuffer(b"".join(x or ()), "<u8") for x in batch.column(3).to_pylist()]
-            told = np.concatenate([flat.mix(x ^ flat.mix(np.full(1, k, np.uint64))) for k, x in enumerate(own)])
+            whose, told = _told(batch.column(3))
+            told = flat.mix(told ^ flat.mix(whose.astype(np.uint64)))
             at, row, h, _ = slab.full()
             gone = _isin(flat.mix(h ^ flat.mix(row.astype(np.uint64))), np.unique(told))
             if len(frequent_windows):
