@@ -28,7 +28,7 @@ from .common import free_name, ship
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: A Python worker remembers 2^SLOT_BITS parts of text at most, and no more than CACHE_IDS ids.
-SLOT_BITS, CACHE_IDS = 20, 8_000_000
+SLOT_BITS, CACHE_IDS = 19, 3_000_000
 
 
 #: White space of Unicode, as the split pattern's \\s takes it.
@@ -42,17 +42,17 @@ def _unicode_tables(library: Library) -> tuple[np.ndarray, np.ndarray, np.ndarra
     Python doesn't know, those that might be letters or numbers are put to the
     library's own pre-tokenizer.
     """
-    category = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
-    first, unknown = category.astype("U1"), category == "Cn"
+    category = np.fromiter((int.from_bytes(unicodedata.category(chr(c)).encode()) for c in range(0x110000)), np.uint16, 0x110000)
+    first, unknown = category >> 8, category == int.from_bytes(b"Cn")
     kind = np.full(0x110000, 3, np.uint8)
-    kind[first == "L"], kind[first == "N"], kind[_SPACES] = 1, 2, 0
+    kind[first == ord("L")], kind[first == ord("N")], kind[_SPACES] = 1, 2, 0
     for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, np.flatnonzero(unknown).tolist()))):
         if len(library.pre_tokenizer.pre_tokenize_str("a" + c)) == 1:
             kind[ord(c)] = 1
         elif len(library.pre_tokenizer.pre_tokenize_str(":" + c)) == 2:
             kind[ord(c)] = 2
     low = np.arange(0x110000, dtype=np.uint32)
-    for c in np.flatnonzero(np.isin(first, ["L", "N", "S"])).tolist():
+    for c in np.flatnonzero(np.isin(first, [ord(c) for c in "LNS"])).tolist():
         x = chr(c).lower()
         if len(x) == 1:
             low[c] = ord(x)

@@ -18,7 +18,7 @@ _P = _U(0x9E3779B97F4A7C15)
 _P_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 #: Bytes of text handled at a time; the arrays of a slab take about 50 times this at most.
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
