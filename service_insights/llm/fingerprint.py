@@ -10,9 +10,10 @@ most of their places. The likeness of two fingerprints is the agreement of the
 places that both have, less what chance gives, times the ratio of the lengths.
 
 ``near_duplicates`` bands such bits: each band takes the bits at some shared
-places below a power of two that the embedding covers, texts that agree in a
-band are linked to the smallest of them, links are verified by the likeness of
-whole fingerprints, and linked texts are joined to components.
+places below a power of two that the embedding covers. Texts that agree in a band
+are tried against the smallest of them, and then, in blocks, against those of the
+band that still lie in other components. Links are verified by the likeness of
+whole fingerprints. Bits and bands grow with the number of texts.
 
 Null texts are empty. Two empty texts are wholly alike, an empty and another one
 not at all. Equal texts have equal fingerprints. Null ids stand last in
@@ -22,6 +23,7 @@ one. Whole texts are walked, however long.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +48,8 @@ FEW = 24
 NO_ID = -(2**63)
 #: Ids of which the ranges' bounds are quantiles.
 RANGE_SAMPLE = 200_000
+#: Texts of a band's group that are compared in one piece; larger groups are cut to blocks.
+BLOCK = 2048
 
 
 @lru_cache(1)
@@ -257,11 +261,75 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", column: str = "text")
     return put.mapInArrow(run, "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def banding(count: int, threshold: float, bands: int, bits: int) -> tuple[int, int]:
+    """Bands and bits for so many texts: a value of a band for each text, and bands to miss a pair no more often."""
+    agree = (1 + threshold) / 2  # of the bits of a pair at the threshold
+    more = max(bits, int(max(count, 1) - 1).bit_length())
+    if not 0 < agree < 1:
+        return bands, more
+    return math.ceil(bands * math.log1p(-agree**bits) / math.log1p(-agree**more)), more
+
+
+@lru_cache(64)
+def _band_places(power: int, bands: int, bits: int) -> np.ndarray:
+    """Each band's places below 2^power: those of the smallest keys, of a long embedding some random ones."""
+    if power <= 12:
+        return np.stack([_candidates(power, 100 + b, bits) for b in range(bands)])
+    key = flat.mix(np.arange(bands * bits, dtype=_U) * flat._M2 + _U(100 + power))
+    return (key & _U((1 << power) - 1)).astype(np.int64).reshape(bands, bits)
+
+
+def _forest(prints: list[str], labels: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (by place in the lists) that join whatever links of the threshold and more join, texts of one label being joined already.
+
+    From a joined text to all that are not joined yet, so there are fewer links
+    than texts. A fingerprint is +1 or -1 at its places and 0 at others.
+    """
+    lengths = np.array([int(x.split(":")[0]) for x in prints], np.int64)
+    every = np.unique(np.concatenate([places(n) for n in np.unique(lengths).tolist()]))
+    signs = np.zeros((len(prints), len(every)), np.float32)
+    for k, x in enumerate(prints):
+        at = places(int(lengths[k]))
+        signs[k, np.searchsorted(every, at)] = 1 - 2.0 * np.unpackbits(np.frombuffer(bytes.fromhex(x.split(":")[1]), np.uint8))[:len(at)]
+    has = np.abs(signs)
+    order = np.argsort(labels, kind="stable")
+    same = np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)
+    group = np.zeros(len(prints), np.int64)
+    for g, own in enumerate(same):
+        group[own] = g
+    out, rest, done = [], np.arange(len(prints)), np.zeros(len(same), bool)
+    for first in range(len(same)):
+        if done[first]:
+            continue
+        done[first] = True
+        queue = same[first].tolist()
+        rest = rest[~done[group[rest]]]
+        while queue and len(rest):
+            k = queue.pop()
+            both = np.maximum(has[rest] @ has[k], 1)
+            ratio = np.minimum(lengths[rest], lengths[k]) / np.maximum(np.maximum(lengths[rest], lengths[k]), 1)
+            alike = np.maximum(signs[rest] @ signs[k] / both, 0) * ratio
+            near = rest[alike >= threshold - 1e-5]
+            found = [j for j in near.tolist() if likeness(prints[k], prints[j]) >= threshold]
+            for j in found:
+                if not done[group[j]]:
+                    done[group[j]] = True
+                    out.append((k, j))
+                    queue += same[group[j]].tolist()
+            if found:
+                rest = rest[~done[group[rest]]]
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, bits: int = 12, id_column: str = "doc_id", column: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint, class_id (smallest id reachable by verified links), n_links (links that gave the class)."""
+    """One row per document: doc_id, fingerprint, class_id (smallest id reachable by verified links), n_links (links that gave the class).
+
+    ``bands`` and ``bits`` are the least; ``banding`` raises them.
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(column, F.lit("")).alias("text"))
+    bands, bits = banding(rows.count(), threshold, bands, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
@@ -278,7 +346,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, bi
                     for power in (top, top - 1):
                         if power < 0:
                             continue
-                        at = np.stack([_candidates(power, 100 + b, bits)[:bits] for b in range(bands)])
+                        at = _band_places(power, bands, bits)
                         bit = _bits(cp[starts[k] + np.searchsorted(own, at.ravel(), "right")], at.ravel()).reshape(at.shape)
                         value = np.zeros(bands, _U)
                         for j in range(at.shape[1]):
@@ -290,17 +358,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 24, bi
     prints = saved(rows.mapInArrow(run, "id long, fingerprint string, keys array<long>"))
     # Equal fingerprints are one node; its smallest id stands for it.
     nodes = prints.groupBy("fingerprint").agg(F.min("id").alias("node"))
-    keyed = prints.join(nodes, "fingerprint").where("id = node").select("node", "fingerprint", F.explode("keys").alias("key")).distinct()
-    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most")
-    pairs = keyed.join(hubs, "key").where("node > hub").select("node", "fingerprint", "hub").distinct()
-    pairs = pairs.join(nodes.select(F.col("node").alias("hub"), F.col("fingerprint").alias("other")), "hub")
+    keyed = prints.join(nodes, "fingerprint").where("id = node").select("node", F.explode("keys").alias("key")).distinct()
+    hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("most"), F.count("*").alias("size")).where("hub < most")
+    members = saved(keyed.join(hubs.drop("most"), "key"))
+    pairs = members.where("node > hub").select("node", "hub").distinct()
+    pairs = pairs.join(nodes, "node").join(nodes.select(F.col("node").alias("hub"), F.col("fingerprint").alias("other")), "hub")
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64")
 
     links = saved(pairs.where(alike("fingerprint", "other") >= threshold).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    labels = components(links)
+    labels = saved(components(links))
+
+    # Members of one group that lie in different components: compared with one another, in blocks.
+    placed = members.where("size > 2").join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
+    split = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    open_ = placed.join(split, "key").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    open_ = open_.select("key", "node", "label", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    open_ = open_.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(nodes, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        got = np.array(_forest(table.column("fingerprint").to_pylist(), table.column("label").to_numpy(), threshold), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[got].min(1), pa.int64()), "b": pa.array(node[got].max(1), pa.int64())})
+
+    more = saved(open_.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct())
+    if not more.isEmpty():
+        links = links.union(more)
+        labels = components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     own = prints.select("id", "fingerprint").join(nodes, "fingerprint", "left").join(labels, "node", "left").join(degree, "node", "left")
     return own.select(F.col("id").alias("doc_id"), "fingerprint", F.when(F.col("id").isNotNull(), F.coalesce("label", "node")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))

@@ -230,6 +230,47 @@ def test_near_duplicates(spark):
     assert sum(got[k * 10 + 2] == k * 10 for k in range(10)) >= 9
 
 
+def test_near_duplicates_behind_an_unlike_hub(spark):
+    """Thousands of texts share a head (unlike as wholes) and fill the bands' groups; the planted pairs have the largest ids."""
+    rnd = random.Random(12)
+    some = lambda n: "".join(rnd.choice("abcdefgh ijklmno") for _ in range(n))
+    head = some(120)
+    rows = [(k, head + some(80)) for k in range(3000)]
+    for k in range(30):
+        text = head + some(80)
+        rows += [(10_000 + 2 * k, text), (10_001 + 2 * k, text[:190] + "x" + text[191:])]
+    prints = dict(zip([d for d, _ in rows], fingerprint.fingerprints([t for _, t in rows])))
+    alike = [d for d in range(10_000, 10_060, 2) if fingerprint.likeness(prints[d], prints[d + 1]) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in fingerprint.near_duplicates(H.frame(spark, rows)).collect()}
+    assert len(alike) >= 25 and sum(got[d] == got[d + 1] for d in alike) >= len(alike) - 1
+    assert len({got[k] for k in range(3000)}) > 2900
+
+
+def test_forest_joins_what_all_pairs_join():
+    rnd = random.Random(4)
+    base = "".join(rnd.choice("abcdefgh") for _ in range(150))
+    texts = [base[:rnd.randint(60, 150)] + "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 60))) for _ in range(80)]
+    prints = fingerprint.fingerprints(texts)
+    labels = np.array([k // 2 if k < 6 else k for k in range(len(texts))])
+
+    def classes(links):
+        root = labels.tolist()
+        for a, b in links:
+            root = [root[a] if x == root[b] else x for x in root]
+        return {tuple(k for k in range(len(root)) if root[k] == r) for r in root}
+
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if fingerprint.likeness(prints[a], prints[b]) >= 0.7]
+    got = fingerprint._forest(prints, labels, 0.7)
+    assert 5 < len(got) < len(texts) and classes(got) == classes(pairs)
+
+
+def test_banding_grows_with_the_texts():
+    assert fingerprint.banding(0, 0.8, 24, 12) == fingerprint.banding(4096, 0.8, 24, 12) == (24, 12)
+    for count in (20_000, 200_000, 1_000_000, 1_000_000_000):
+        bands, bits = fingerprint.banding(count, 0.8, 24, 12)
+        assert count <= 2**bits and (1 - 0.9**bits) ** bands <= (1 - 0.9**12) ** 24 * 1.0001
+
+
 def test_queries_digest(spark):
     """The registered digests are those of the operators' real outputs."""
     from service_insights.llm import queries
