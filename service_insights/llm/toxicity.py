@@ -1,19 +1,23 @@
 """Operator 3: toxicity by the nearest labelled examples.
 
 Features are whole words and word beginnings of 4, 5 and 6 bytes, lower-cased.
-The vocabulary holds the features that go with a label in a bounded sample of the
-labelled rows (most by chi-square, and at least 5 times as frequent in one class
-as in the other). Examples and documents are TF-IDF vectors over it. The index is
-inverted, its postings cut into blocks of examples; a block's highest weight for
-each term bounds the cosine of any example in it, so that blocks are scored from
-the highest bound down until none can reach the k-th best: the cosines and the
-neighbours are exact. A neighbour votes with weight cosine^4; a vote of the
-prior's rate joins in, so that a score tends to the rate of its neighbourhood.
+The vocabulary holds every feature of a bounded sample of the labelled rows, and
+examples and documents are TF-IDF vectors over it. Features that go with a label
+(by chi-square, and at least 5 times as frequent in one class as in the other)
+weigh ``LIFT`` times as much; no feature is left out.
+
+The index is inverted. Rare terms are scored by their postings; the commonest lie
+in a dense matrix, cut into blocks of examples, where a block's highest weight for
+each term bounds the cosine of any example in it: only blocks that can reach the
+k-th best are scored. The cosines and the neighbours are exact. A neighbour votes
+with weight cosine^4; a vote of the sample's rate joins in, so that a score tends
+to the rate of its neighbourhood.
 
 Documents without any feature of the vocabulary (empty and null texts too) get
-the toxic rate of such examples. Labels that are null aren't used; a document
-with several labels counts as toxic if half of them are. Without labels, every
-score is 0.5 times nothing known: the prior of one toxic in four.
+the toxic rate of such examples, with one vote of the sample's rate. Labels that
+are null aren't used; a document with several labels counts as toxic if half of
+them are. Without labels, every score is 0.5 times nothing known: the prior of one
+toxic in four.
 """
 from __future__ import annotations
 
@@ -21,16 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import free_name, ship, thinned
+from .common import free_name, saved, ship, thinned
 
 _U = np.uint64
-#: Bounds of what is learned: labelled rows in the sample (those of the smallest
-#: hash of their id), terms of the vocabulary.
-SAMPLE_ROWS, VOCABULARY = 20_000, 1024
+#: Labelled rows in the sample (those of the smallest hash of their id).
+SAMPLE_ROWS = 20_000
+#: Weight of a feature that goes with a label; terms kept dense; documents scored at a time.
+LIFT, COMMON, CHUNK = 10.0, 1024, 64
+#: More than single precision loses in a cosine.
+ROUND = 1e-4
 NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.5
 PREFIXES = (4, 5, 6)
 
@@ -56,7 +64,7 @@ def _counted(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Vectors:
-    """TF-IDF vectors of length 1 over a sorted vocabulary of feature hashes."""
+    """TF-IDF vectors of length 1 over a sorted vocabulary of feature hashes; idf includes the lift."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
         self.vocabulary, self.idf = vocabulary, idf
@@ -81,45 +89,82 @@ class Vectors:
 
 
 class Index:
-    """Block-max inverted index of examples; ``neighbours`` gives the exact best by cosine."""
+    """Block-max inverted index of examples; ``neighbours`` gives the exact best by cosine.
+
+    Postings are given by example. Those of a term lie between two bounds, in steps of ``blocks``.
+    """
+
+    blocks = 1
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
-        self.n, self.blocks = n, max(1, -(-n // BLOCK))
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        cell = term[order] * self.blocks + self.example // BLOCK
-        self.bounds = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1))
-        self.highest = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.highest, cell, self.weight)
-        self.highest = self.highest.reshape(n_terms, self.blocks)
+        self.n, cuts = n, max(1, -(-n // BLOCK))
+        df = np.bincount(term, minlength=n_terms)
+        self.bounds = np.concatenate([[0], np.cumsum(df)])
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        del order
+        common = np.argsort(-df, kind="stable")[:COMMON]
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        self.dense = np.zeros((cuts * BLOCK, len(common)), np.float32)
+        for k, t in enumerate(common.tolist()):
+            own = slice(self.bounds[t], self.bounds[t + 1])
+            self.dense[self.example[own], k] = self.weight[own]
+        self.highest = self.dense.reshape(cuts, BLOCK, -1).max(1)
 
     def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k best (cosine over 0), ties by the smaller example."""
-        bound = weights @ self.highest[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, cosine, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < cosine[-1] - 1e-12:
-                break
-            take = order[at:at + step]
-            at, step = at + step, step * 2
-            cells = (terms[:, None] * self.blocks + take[None, :]).ravel()
-            size = self.bounds[cells + 1] - self.bounds[cells]
-            post = flat.gather_ranges(self.bounds[cells], size)
-            who, where = np.unique(self.example[post], return_inverse=True)
-            got = np.bincount(where, weights=np.repeat(np.repeat(weights, len(take)), size) * self.weight[post], minlength=len(who))
-            best, cosine = np.concatenate([best, who]), np.concatenate([cosine, got])
-            top = np.lexsort((best, -np.round(cosine, 12)))[:k]
-            best, cosine = best[top], cosine[top]
-        return best, cosine
+        return self.neighbours_of(np.zeros(len(terms), np.int64), terms, weights, 1, k)[0]
+
+    def neighbours_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for m vectors at once."""
+        wide, cuts, place = len(self.dense), len(self.highest), self.place[term]
+        dense = np.zeros((m, self.dense.shape[1]))
+        own = place >= 0
+        dense[row[own], place[own]] = weight[own]
+        row, term, weight = row[~own], term[~own], weight[~own]
+        size, heads = self.bounds[term + 1] - self.bounds[term], np.searchsorted(row, np.arange(m + 1))
+        rare = np.zeros((m, wide))
+        for r, a, b in zip(range(m), heads[:-1].tolist(), heads[1:].tolist()):
+            if a < b:
+                parts = [slice(i, j) for i, j in zip(self.bounds[term[a:b]].tolist(), self.bounds[term[a:b] + 1].tolist())]
+                cells = np.concatenate([self.weight[x] for x in parts]) * np.repeat(weight[a:b], size[a:b])
+                rare[r] = np.bincount(np.concatenate([self.example[x] for x in parts]), weights=cells, minlength=wide)
+        narrow, blocks = dense.astype(np.float32), rare.reshape(m, cuts, BLOCK)
+        bound = narrow @ self.highest.T + blocks.max(2)
+        got = np.zeros((m, cuts, BLOCK), np.float32)  # cosines but for rounding; 0 where a block isn't scored
+
+        def fill(need: np.ndarray) -> None:
+            if need.mean() > 0.2:
+                got[...] = (narrow @ self.dense.T).reshape(got.shape) + blocks
+                return
+            for c in np.flatnonzero(need.any(0)).tolist():
+                r = np.flatnonzero(need[:, c])
+                got[r, c] = narrow[r] @ self.dense[c * BLOCK:(c + 1) * BLOCK].T + blocks[r, c]
+
+        first = np.argpartition(-bound, min(2, cuts - 1), axis=1)[:, :2]
+        need = np.zeros((m, cuts), bool)
+        np.put_along_axis(need, first, True, axis=1)
+        fill(need)
+        some = np.take_along_axis(got, first[:, :, None], axis=1).reshape(m, -1)
+        least = np.partition(some, -k, axis=1)[:, -k, None] - ROUND if some.shape[1] >= k else 0.0
+        fill(~need & (bound > 0) & (bound >= least))
+        flat_got, at = got.reshape(m, wide), max(0, wide - k)
+        least = np.partition(flat_got, at, axis=1)[:, at] - ROUND
+        out = []
+        for r in range(m):
+            who = np.flatnonzero((flat_got[r] >= least[r]) & (flat_got[r] > 0))
+            cosine = rare[r, who] + self.dense[who].astype(float) @ dense[r]
+            top = np.lexsort((who, -np.round(cosine, 12)))[:k]
+            out.append((who[top], cosine[top]))
+        return out
 
 
 class Model:
-    """Vocabulary, index, labels and the rate of examples without features."""
+    """Vocabulary, index, labels, the rate of examples without features and that of all."""
 
-    def __init__(self, vectors: Vectors, index: Index, ids: np.ndarray, labels: np.ndarray, empty_rate: float):
-        self.vectors, self.index, self.ids, self.labels, self.empty_rate = vectors, index, ids, labels, empty_rate
+    def __init__(self, vectors: Vectors, index: Index, ids: np.ndarray, labels: np.ndarray, empty_rate: float, rate: float):
+        self.vectors, self.index, self.ids, self.labels, self.empty_rate, self.rate = vectors, index, ids, labels, empty_rate, rate
 
     def score(self, col: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
         """Scores, and the neighbours' ids and cosines as evidence."""
@@ -128,12 +173,15 @@ class Model:
         who: list[list[int]] = [[] for _ in range(len(col))]
         how: list[list[float]] = [[] for _ in range(len(col))]
         cuts = np.flatnonzero(np.diff(row, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(row)]):
-            best, cosine = self.index.neighbours(term[a:b], weight[a:b], NEIGHBOURS)
-            votes = cosine ** 4
-            r = row[a]
-            scores[r] = (votes @ self.labels[best] + PRIOR_VOTES * self.empty_rate) / (votes.sum() + PRIOR_VOTES)
-            who[r], how[r] = self.ids[best].tolist(), np.round(cosine, 6).tolist()
+        ends = np.append(cuts[1:], len(row))
+        for k in range(0, len(cuts), CHUNK):
+            mine = cuts[k:k + CHUNK]
+            a, b = int(mine[0]), int(ends[k + len(mine) - 1])
+            local = np.repeat(np.arange(len(mine)), ends[k:k + CHUNK] - mine)
+            for r, (best, cosine) in zip(row[mine].tolist(), self.index.neighbours_of(local, term[a:b], weight[a:b], len(mine), NEIGHBOURS)):
+                votes = cosine ** 4
+                scores[r] = (votes @ self.labels[best] + PRIOR_VOTES * self.rate) / (votes.sum() + PRIOR_VOTES)
+                who[r], how[r] = self.ids[best].tolist(), np.round(cosine, 6).tolist()
         return np.clip(scores, 0, 1), who, how
 
 
@@ -161,45 +209,58 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
 
     # h = 0 counts the documents themselves
     counted = sample.mapInArrow(count, "h long, pos long, every long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("every").alias("every"))
-    counted = counted.where("every >= 3 or h = 0")
+    counted = saved(counted)
     totals = {r["h"]: r for r in counted.where("h = 0").collect()}
     pos, every = (totals[0]["pos"], totals[0]["every"]) if totals else (0, 0)
     neg = every - pos
     if not pos or not neg:
         empty = (pos + 0.25) / (every + 1)
-        return Model(Vectors(np.zeros(0, _U), np.zeros(0)), Index(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 1), np.zeros(0, np.int64), np.zeros(0), empty)
+        return Model(Vectors(np.zeros(0, _U), np.zeros(0)), Index(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 1), np.zeros(0, np.int64), np.zeros(0), empty, empty)
     a, b = F.col("pos"), F.col("every") - F.col("pos")
     rate1, rate0 = (a + 0.25) / (pos + 0.5), (b + 0.25) / (neg + 0.5)
     expected = F.col("every") * pos / every
     chi = (a - expected) ** 2 / expected + (b - (F.col("every") - expected)) ** 2 / (F.col("every") - expected)
-    chosen = counted.where("h <> 0").where((chi >= 12) & ((rate1 >= 5 * rate0) | (rate0 >= 5 * rate1))).select("h", "every", chi.alias("chi")).orderBy(F.desc("chi"), "h").limit(VOCABULARY).collect()
-    terms = np.array([r["h"] for r in chosen], np.int64).view(_U)
+    apart = F.coalesce((chi >= 12) & ((rate1 >= 5 * rate0) | (rate0 >= 5 * rate1)), F.lit(False))
+    chosen = counted.where("h <> 0").select("h", "every", ((F.col("every") >= 3) & apart).alias("lifted")).toArrow()  # the sample's features, three numbers each
+    terms = chosen["h"].to_numpy().view(_U)
     order = np.argsort(terms)
-    vectors = Vectors(terms[order], np.log((every + 1) / (np.array([r["every"] for r in chosen], float)[order] + 1)) + 1 if len(chosen) else np.zeros(0))
+    idf = np.log((every + 1) / (chosen["every"].to_numpy() + 1)) + 1
+    vectors = Vectors(terms[order], (idf * np.where(chosen["lifted"].to_numpy(), LIFT, 1.0))[order])
+    del chosen
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
             batch = batch.select(["id", "text", "y"])
             row, term, weight = vectors.of(batch.column(1))
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), flat.list_array(term, bounds, pa.int64()), flat.list_array(weight, bounds, pa.float64())], names=["id", "y", "terms", "weights"])
+            term, weight = term.astype("<i4"), weight.astype("<f4")
+            cells = [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (term, weight)]
+            heavy = [np.lexsort((term[i:j], -weight[i:j]))[:8] + i for i, j in zip(bounds[:-1], bounds[1:])]
+            heavy = pa.array([term[x].astype(">i4").tobytes() for x in heavy], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), heavy, *cells], names=["id", "y", "heavy", "terms", "weights"])
+
+    # At most sample_rows, with 8 bytes for each distinct feature of their texts.
+    rows = sample.mapInArrow(vectorise, "id long, y int, heavy binary, terms binary, weights binary").toArrow().combine_chunks()
+    size = pc.binary_length(rows["terms"]).to_numpy() // 4
+    none = rows.filter(pa.array(size == 0))["y"].to_numpy()
+    rows = rows.filter(pa.array(size > 0)).sort_by([("y", "ascending"), ("heavy", "ascending"), ("id", "ascending")]).combine_chunks()  # alike examples in one block
+    ids, y, size = rows["id"].to_numpy(), rows["y"].to_numpy().astype(float), pc.binary_length(rows["terms"]).to_numpy() // 4
+
+    def numbers(name: str, kind: str) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows[name]]) if rows.num_rows else np.zeros(0, kind)
 
-    rows = sample.mapInArrow(vectorise, "id long, y int, terms array<long>, weights array<double>")
-    found = rows.where("size(terms) > 0").collect()  # at most sample_rows, with VOCABULARY numbers each at most
-    found.sort(key=lambda r: (r["y"], sorted(r["terms"]), r["id"]))  # alike examples in one block
-    none = rows.where("size(terms) = 0").agg(F.coalesce(F.sum("y"), F.lit(0)).alias("pos"), F.count("*").alias("n")).first()
-    size = [len(r["terms"]) for r in found]
-    example = np.repeat(np.arange(len(found)), size)
-    flat_of = lambda name, kind: np.concatenate([np.array(r[name], kind) for r in found]) if found else np.zeros(0, kind)
-    index = Index(example, flat_of("terms", np.int64), flat_of("weights", float), len(found), max(1, len(terms)))
-    return Model(vectors, index, np.array([r["id"] for r in found], np.int64), np.array([r["y"] for r in found], float), (none["pos"] + 0.25) / (none["n"] + 1))
+    term, weight = numbers("terms", "<i4"), numbers("weights", "<f4")
+    del rows
+    index = Index(np.repeat(np.arange(len(ids), dtype=np.int32), size), term, weight, len(ids), max(1, len(terms)))
+    rate = (pos + 0.25) / (every + 1)
+    return Model(vectors, index, ids, y, (none.sum() + rate) / (len(none) + 1), rate)
 
 
 def score(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """Appends score (0 to 1), neighbours (ids of the examples) and cosines. Row-local; other columns pass unchanged."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE_ROWS and VOCABULARY
+    shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE_ROWS and their texts
     names = [free_name(docs, x) for x in ("score", "neighbours", "cosines")]
     schema = docs.select("*", F.lit(0.0).alias(names[0]), F.array(F.lit(0).cast("long")).alias(names[1]), F.array(F.lit(0.0)).alias(names[2])).schema
     for field in schema.fields:

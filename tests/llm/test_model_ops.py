@@ -123,6 +123,21 @@ def test_toxicity_neighbours_are_exact(spark):
         assert best.tolist() == want.tolist() and np.allclose(cosine, every[want])
 
 
+def test_toxicity_finds_examples_by_rare_words(spark):
+    """Words of a single example are in no selection by label, and yet its near copies find it."""
+    docs, labels = labelled()
+    rare = "zorbulate quindrax vemtilo harbwick"
+    ids = [d for d in range(5000, 5020) if zlib.crc32(str(d).encode()) % 5][:2]
+    docs += [(ids[0], rare), (ids[1], "plinkert osswald"), (6000, rare + " fenn"), (6001, "plinkert osswald")]
+    labels += [(ids[0], 1), (ids[1], 0)]
+    frame = H.frame(spark, docs)
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rows = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}
+    assert rows[6000]["neighbours"][0] == ids[0] and rows[6000]["score"] > 0.5
+    assert rows[6001]["neighbours"][0] == ids[1] and rows[6001]["score"] < 0.5
+    assert all(r["neighbours"] for r in rows.values())
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(H.frame(spark, H.ODD, True), none)
