@@ -5,9 +5,9 @@ and checks. A conditional random field over word shapes adds what their
 leftmost-longest matching misses, such as a card beside another number or a phone
 without a country code. It is trained by its exact likelihood on a small labelled
 table that ``labelled`` makes from a seed, and decoded by Viterbi in numpy
-batches. Its sequences are the words of a text that hold a digit or @, with two
-words on either side; no other word can be part of the four kinds. An added span
-must pass its kind's check and touch no base span.
+batches. Its sequences are the words of a text that hold a digit, @, (at) or [at],
+with two words on either side; no span passes its kind's check without such a
+word. An added span must pass that check and touch no base span.
 
 Places are code points, ends exclusive. Null and empty texts have no spans.
 Repeated rows are marked alike. Row-local: nothing is shuffled.
@@ -92,7 +92,7 @@ def passes(kind: int, text: str) -> bool:
 # -- words and features ------------------------------------------------------
 
 _WORD = re.compile(r"\S+")
-_HOT = re.compile(r"[0-9@]")
+_HOT = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _RUNS = re.compile(r"[0-9]+|[A-Za-z\u0080-\U0010ffff]+|.", re.DOTALL)
 
 
@@ -319,7 +319,7 @@ def trained(rows: int = ROWS, steps: int = STEPS, penalty: float = 0.002) -> Fie
 
 
 def _segments(text: str) -> Iterator[tuple[list[str], list[int]]]:
-    """Words with a digit or @ and their neighbours, as runs of (words, starts)."""
+    """Words with a digit, @, (at) or [at] and their neighbours, as runs of (words, starts)."""
     at, end, hot = 0, len(text), _HOT.search(text)
     while hot:
         a = hot.start()
@@ -354,6 +354,15 @@ def _segments(text: str) -> Iterator[tuple[list[str], list[int]]]:
         hot = _HOT.search(text, at)
 
 
+def _hot_bytes(raw: np.ndarray) -> np.ndarray:
+    """Bytes at which _HOT matches."""
+    out = ((raw >= 48) & (raw <= 57)) | (raw == 64)
+    if len(raw) > 3:
+        at = (raw[1:-2] == ord("a")) & (raw[2:-1] == ord("t"))
+        out[:-3] |= at & (((raw[:-3] == ord("(")) & (raw[3:] == ord(")"))) | ((raw[:-3] == ord("[")) & (raw[3:] == ord("]"))))
+    return out
+
+
 def spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]]]:
     """(kind, start, end, base) of each text, in order of kind and start."""
     base = [base_spans(t) for t in texts]
@@ -412,7 +421,7 @@ def find(docs: DataFrame, column: str = "text") -> DataFrame:
         for batch in flat.pieces(batches, column):
             col = batch.column(batch.schema.get_field_index(column))
             raw, rows = flat.flat_bytes(col)
-            sign = np.concatenate([[0], np.cumsum(((raw >= 48) & (raw <= 57)) | (raw == 64))])
+            sign = np.concatenate([[0], np.cumsum(_hot_bytes(raw))])
             own = np.flatnonzero(np.diff(sign[rows]))
             got: list[list[dict]] = [[] for _ in range(len(col))]
             for k, s in zip(own.tolist(), spans(col.take(pa.array(own)).to_pylist(), field)):

@@ -177,6 +177,20 @@ def test_field_is_exact_and_learns():
     assert score(tuple(field.decode([pii.features(words)])[0])) == pytest.approx(score(best))
 
 
+SPELLED = ["write to john(at)example.com", "please write to maria[at]site.org or not", "left (at) home [at] last", "é (at)"]
+
+
+def test_spelled_addresses_without_digits():
+    got = pii.spans(SPELLED, pii.trained())
+    assert got[0] == [(0, 9, 28, False)] and got[1] == [(0, 16, 33, False)] and got[2] == got[3] == []
+
+
+def test_pii_rows_with_spelled_addresses(spark):
+    rows = [*enumerate(SPELLED), (10, "(at"), (11, ")"), (12, "("), (13, "at)x")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in r["pii"]] for r in pii.find(H.frame(spark, rows)).collect()}
+    assert got == {k: [("email", 9, 28, False)] if k == 0 else [("email", 16, 33, False)] if k == 1 else [] for k, _ in rows}
+
+
 def test_pii_rows(spark):
     rows = [*H.ODD, (20, "call +1 (269) 555-3296 4524132264652876 now"), (21, "mail a.b@c.example, at 10.0.0.1 or 300.1.1.1"), (22, "1" * 100000 + "@" * 1000)]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in r["_pii"]] for r in pii.find(H.frame(spark, rows, True)).collect()}
