@@ -12,9 +12,13 @@ an id have the notices of all of them. Empty tables give no rows.
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licence_texts as texts
+
 NO_ID = -(2**63)
 
 # Public licence texts and notices, as published.
@@ -65,7 +69,18 @@ LICENCES = [
     ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_END),
     ("Zlib", _ZLIB),
     ("Apache-2.0", _APACHE_HEADER),
+    ("Artistic-1.0-Perl", texts.ARTISTIC_1_0),
+    ("BSD-3-Clause", texts.BSD_REGENTS),
+    ("CC0-1.0", texts.CC0_1_0),
+    ("GFDL-1.2", texts.GFDL_1_2),
+    ("GFDL-1.3", texts.GFDL_1_3),
+    ("LGPL-3.0", texts.LGPL_3_0),
+    ("MPL-1.1", texts.MPL_1_1),
+    ("MPL-2.0", texts.MPL_2_0),
 ]
+_END = "END OF TERMS AND CONDITIONS"
+for _name, _text in [("Apache-2.0", texts.APACHE_2_0), ("GPL-1.0", texts.GPL_1_0), ("GPL-2.0", texts.GPL_2_0), ("GPL-3.0", texts.GPL_3_0), ("LGPL-2.0", texts.LGPL_2_0), ("LGPL-2.1", texts.LGPL_2_1)]:
+    LICENCES += [(_name, _text), (_name, _text[:_text.index(_END) + len(_END)])]  # with and without the advice on how to apply it
 #: (licence, line): notices.
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -83,6 +98,42 @@ NOTICES = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 ]
+#: (licence, further SPDX ids, names in a sentence): GNU licences have one name here, whether later versions are allowed or not.
+NAMES = [
+    ("Apache-1.1", [], ["the Apache License, Version 1.1", "the Apache Software License, Version 1.1"]),
+    ("Apache-2.0", [], ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"]),
+    ("MIT", [], ["the MIT License", "the MIT Licence (MIT)"]),
+    ("MIT-0", [], ["the MIT No Attribution License"]),
+    ("ISC", [], ["the ISC License"]),
+    ("0BSD", [], ["the Zero-Clause BSD License", "the 0BSD License", "the BSD Zero Clause License"]),
+    ("BSD-2-Clause", [], ["the BSD 2-Clause License", "the Simplified BSD License", "the 2-Clause BSD License"]),
+    ("BSD-3-Clause", [], ["the BSD 3-Clause License", "the New BSD License", "the 3-Clause BSD License", "the Modified BSD License"]),
+    ("BSD-4-Clause", [], ["the BSD 4-Clause License"]),
+    ("Zlib", [], ["the zlib License"]),
+    ("BSL-1.0", [], ["the Boost Software License, Version 1.0", "the Boost Software License 1.0"]),
+    ("Unlicense", [], ["the Unlicense"]),
+    ("WTFPL", [], []),
+    ("Artistic-1.0-Perl", [], ["the Artistic License"]),
+    ("Artistic-2.0", [], ["the Artistic License 2.0", "the Artistic License, Version 2.0"]),
+    ("EPL-1.0", [], ["the Eclipse Public License 1.0", "the Eclipse Public License, Version 1.0"]),
+    ("EPL-2.0", [], ["the Eclipse Public License 2.0", "the Eclipse Public License, Version 2.0"]),
+    ("EUPL-1.2", [], ["the European Union Public Licence 1.2", "the EUPL 1.2"]),
+    ("MPL-1.1", [], ["the Mozilla Public License 1.1", "the Mozilla Public License, Version 1.1"]),
+    ("MPL-2.0", ["MPL-2.0-no-copyleft-exception"], ["the Mozilla Public License 2.0", "the Mozilla Public License, Version 2.0", "the Mozilla Public License, v. 2.0"]),
+    ("CC0-1.0", [], ["CC0 1.0", "CC0 1.0 Universal"]),
+]
+for _kind, _full, _versions in [("GPL", "General Public License", ["1.0", "2.0", "3.0"]), ("LGPL", "Library General Public License", ["2.0"]), ("LGPL", "Lesser General Public License", ["2.1", "3.0"]), ("AGPL", "Affero General Public License", ["3.0"]), ("GFDL", "Free Documentation License", ["1.1", "1.2", "1.3"])]:
+    for _v in _versions:
+        _short = _v.removesuffix(".0")
+        _said = [f"the GNU {_full}{x}" for _n in dict.fromkeys([_short, _v]) for x in (f", version {_n}", f" version {_n}", f" v{_n}", f", version {_n} or later", f", version {_n} only")]
+        NAMES.append((f"{_kind}-{_v}", [f"{_kind}-{_v}-only", f"{_kind}-{_v}-or-later"], [*_said, f"the {_kind}v{_short}", f"the GNU {_kind}v{_short}"]))
+for _kind, _full in [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]:
+    for _v in ["3.0", "4.0"]:
+        _port = "Unported" if _v == "3.0" else "International"
+        NAMES.append((f"CC-{_kind}-{_v}", [], [f"CC {_kind} {_v}", f"a Creative Commons {_full} {_v} {_port} License", f"the Creative Commons {_full} {_v} {_port} License", f"Creative Commons {_full} {_v} {_port}"]))
+for _name, _ids, _said in NAMES:
+    NOTICES += [(_name, f"SPDX-License-Identifier: {x}") for x in (_name, *_ids)]
+    NOTICES += [(_name, f"{x} under {y}.") for y in _said for x in ("Licensed", "Released", "Distributed", "This work is licensed", "This project is licensed", "This software is licensed", "This program is licensed", "This file is licensed")]
 #: (pattern, replacement) in this order; both sides of a join go through them, so a rule may be coarse.
 RULES = [
     (r"(^|\n)[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|[0-9]{4}|by )|\(c\)|©)[^\n]*", "\n"),
@@ -112,7 +163,7 @@ def canonical(text: Column) -> Column:
 
 
 def _known(spark: SparkSession, rows: list[tuple[str, str]], name: str) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(F.lit(licence).alias(name), F.lit(text).alias("text")) for licence, text in rows]))
+    each = F.explode(F.from_json(F.lit(json.dumps([{name: licence, "text": text} for licence, text in rows])), f"array<struct<{name}:string,text:string>>"))
     return spark.range(1).select(each.alias("x")).select(F.col(f"x.{name}"), F.sha2(canonical(F.col("x.text")), 256).alias("digest")).distinct()
 
 

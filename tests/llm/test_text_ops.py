@@ -115,6 +115,21 @@ def test_line_dedup_plan_has_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_public_licence_texts(spark):
+    from service_insights.llm import licence_texts as L
+
+    whole = [("Apache-2.0", L.APACHE_2_0), ("GPL-1.0", L.GPL_1_0), ("GPL-2.0", L.GPL_2_0), ("GPL-3.0", L.GPL_3_0), ("LGPL-2.0", L.LGPL_2_0), ("LGPL-2.1", L.LGPL_2_1), ("LGPL-3.0", L.LGPL_3_0), ("MPL-2.0", L.MPL_2_0), ("CC0-1.0", L.CC0_1_0), ("GFDL-1.3", L.GFDL_1_3)]
+    rows = [(k, "\n\n" + text.replace("    ", "\t").upper()) for k, (_, text) in enumerate(whole)]
+    lines = [("GPL-2.0", "// SPDX-License-Identifier: GPL-2.0-or-later"), ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."), ("MPL-2.0", "# SPDX-License-Identifier: MPL-2.0"), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.")]
+    rows += [(100 + k, "text\n" + line) for k, (_, line) in enumerate(lines)]
+    got = {r["doc_id"]: r for r in licenses.scan(H.frame(spark, rows)).collect()}
+    assert [got[k]["licence"] for k in range(len(whole))] == [name for name, _ in whole]
+    assert [got[100 + k]["notices"] for k in range(len(lines))] == [[name] for name, _ in lines]
+    for known, name in ((licenses.LICENCES, "licence"), (licenses.NOTICES, "notice")):
+        table = licenses._known(spark, known, name).collect()
+        assert len(table) == len({r["digest"] for r in table})
+
+
 def test_licences(spark):
     mit = licenses.LICENCES[0][1]
     rows = [
