@@ -97,11 +97,11 @@ _RUNS = re.compile(r"[0-9]+|[A-Za-z\u0080-\U0010ffff]+|.", re.DOTALL)
 
 
 def trimmed(word: str, start: int) -> tuple[str, int]:
-    """Without the punctuation around it (8 signs on either side at most); a bracket stays if its partner does."""
+    """Without the punctuation around it; a bracket stays if its partner does."""
     a, b, paired = 0, len(word), "(" in word and ")" in word
-    while a < min(b, 8) and (word[a] in ".,;:!?\"'<>|*" or word[a] == "(" and not paired):
+    while a < b and (word[a] in ".,;:!?\"'<>|*" or word[a] == "(" and not paired):
         a += 1
-    while b > max(a, len(word) - 8) and (word[b - 1] in ".,;:!?\"'<>|*" or word[b - 1] == ")" and not paired):
+    while b > a and (word[b - 1] in ".,;:!?\"'<>|*" or word[b - 1] == ")" and not paired):
         b -= 1
     return word[a:b], start + a
 

@@ -191,6 +191,14 @@ def test_pii_rows_with_spelled_addresses(spark):
     assert got == {k: [("email", 9, 28, False)] if k == 0 else [("email", 16, 33, False)] if k == 1 else [] for k, _ in rows}
 
 
+def test_words_are_trimmed_whole():
+    for n in (1, 9, 300):
+        assert pii.trimmed('"' * n + "212.555.0199" + "!" * n, 5) == ("212.555.0199", 5 + n)
+        text = "call me at " + "(" * n + "212.555.0199" + '"' * n + " today"
+        assert pii.spans([text], pii.trained())[0] == [(3, 11 + n, 23 + n, False)]
+    assert pii.trimmed("<" * 100_000, 0) == ("", 100_000)
+
+
 def test_pii_rows(spark):
     rows = [*H.ODD, (20, "call +1 (269) 555-3296 4524132264652876 now"), (21, "mail a.b@c.example, at 10.0.0.1 or 300.1.1.1"), (22, "1" * 100000 + "@" * 1000)]
     got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["base"]) for s in r["_pii"]] for r in pii.find(H.frame(spark, rows, True)).collect()}
