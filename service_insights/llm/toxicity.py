@@ -193,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     known = known.groupBy(F.col(id_column).cast("long").alias("id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     picked = thinned(known, "id", sample_rows).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(column, F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(picked), "id")  # sample_rows rows of two numbers
+    # One row for each id: the text of the smallest hash, and one of its copies. Broadcast: sample_rows rows of two or three numbers.
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    first = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("hash").alias("hash"))
+    sample = texts.join(F.broadcast(first), ["id", "hash"]).select("id", "text", "y").dropDuplicates(["id"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):

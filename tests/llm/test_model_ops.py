@@ -138,6 +138,15 @@ def test_toxicity_finds_examples_by_rare_words(spark):
     assert all(r["neighbours"] for r in rows.values())
 
 
+def test_toxicity_learns_one_row_of_an_id(spark):
+    docs, labels = labelled()
+    one = next(d for d in range(400) if zlib.crc32(str(d).encode()) % 5)
+    docs += [(one, f"many rows of one id {k % 30}") for k in range(300)]
+    model = toxicity.fit(H.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert one in model.ids
+    assert model.index.n == len(set(model.ids.tolist()))
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(H.frame(spark, H.ODD, True), none)
