@@ -21,7 +21,9 @@ toxic in four.
 """
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +71,8 @@ class Vectors:
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
         self.vocabulary, self.idf = vocabulary, idf
 
-    def of(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, weight) of a column's texts, by row."""
+    def counts(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, how often) of a column's texts, by row."""
         words, kinds = _features(col)
         rows, terms = [], []
         if len(self.vocabulary):
@@ -81,8 +83,12 @@ class Vectors:
                 rows.append(owner[own])
                 terms.append(at[own])
         if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        row, term, tf = _counted(np.concatenate(rows), np.concatenate(terms))
+            return (np.zeros(0, np.int64),) * 3
+        return _counted(np.concatenate(rows), np.concatenate(terms))
+
+    def of(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of a column's texts, by row."""
+        row, term, tf = self.counts(col)
         weight = (1 + np.log(tf)) * self.idf[term]
         norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(col)))
         return row, term, weight / norm[row]
@@ -91,26 +97,46 @@ class Vectors:
 class Index:
     """Block-max inverted index of examples; ``neighbours`` gives the exact best by cosine.
 
-    Postings are given by example. Those of a term lie between two bounds, in steps of ``blocks``.
+    Counts are given by example. The postings of a term lie between two bounds, in steps of ``blocks``.
+    Only examples and counts travel, packed; weights and dense terms are made where they are used.
     """
 
     blocks = 1
 
-    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
-        self.n, cuts = n, max(1, -(-n // BLOCK))
-        df = np.bincount(term, minlength=n_terms)
-        self.bounds = np.concatenate([[0], np.cumsum(df)])
+    def __init__(self, example: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray):
         order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
-        del order
+        self.n, self.idf, self.example, self.tf = n, idf, example[order].astype(np.int32), tf[order].astype(np.int32)
+        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+
+    def __getstate__(self) -> dict:
+        gaps = np.diff(self.example, prepend=np.int32(0))
+        return {"n": self.n, "idf": self.idf, "bounds": self.bounds.astype(np.int32), "packed": [zlib.compress(x, 1) for x in (gaps, self.tf)]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.n, self.idf, self.bounds = state["n"], state["idf"], state["bounds"].astype(np.int64)
+        gaps, tf = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(state["packed"], (np.int32, np.int32)))
+        self.example, self.tf = np.cumsum(gaps, dtype=np.int32), tf
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        out = 1 + np.log(self.tf)
+        out *= np.repeat(self.idf, np.diff(self.bounds))
+        norm = np.sqrt(np.bincount(self.example, weights=out * out, minlength=self.n))
+        out /= norm[self.example]
+        return out.astype(np.float32)
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the commonest terms: place of each term (or -1), weights by example and place, and their highest in each block."""
+        df, cuts = np.diff(self.bounds), max(1, -(-self.n // BLOCK))
         common = np.argsort(-df, kind="stable")[:COMMON]
-        self.place = np.full(n_terms, -1, np.int32)
-        self.place[common] = np.arange(len(common))
-        self.dense = np.zeros((cuts * BLOCK, len(common)), np.float32)
+        place = np.full(len(df), -1, np.int32)
+        place[common] = np.arange(len(common))
+        dense = np.zeros((cuts * BLOCK, len(common)), np.float32)
         for k, t in enumerate(common.tolist()):
             own = slice(self.bounds[t], self.bounds[t + 1])
-            self.dense[self.example[own], k] = self.weight[own]
-        self.highest = self.dense.reshape(cuts, BLOCK, -1).max(1)
+            dense[self.example[own], k] = self.weight[own]
+        return place, dense, dense.reshape(cuts, BLOCK, -1).max(1)
 
     def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k best (cosine over 0), ties by the smaller example."""
@@ -118,8 +144,9 @@ class Index:
 
     def neighbours_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The same for m vectors at once."""
-        wide, cuts, place = len(self.dense), len(self.highest), self.place[term]
-        dense = np.zeros((m, self.dense.shape[1]))
+        places, matrix, highest = self.common
+        wide, cuts, place = len(matrix), len(highest), places[term]
+        dense = np.zeros((m, matrix.shape[1]))
         own = place >= 0
         dense[row[own], place[own]] = weight[own]
         row, term, weight = row[~own], term[~own], weight[~own]
@@ -131,16 +158,16 @@ class Index:
                 cells = np.concatenate([self.weight[x] for x in parts]) * np.repeat(weight[a:b], size[a:b])
                 rare[r] = np.bincount(np.concatenate([self.example[x] for x in parts]), weights=cells, minlength=wide)
         narrow, blocks = dense.astype(np.float32), rare.reshape(m, cuts, BLOCK)
-        bound = narrow @ self.highest.T + blocks.max(2)
+        bound = narrow @ highest.T + blocks.max(2)
         got = np.zeros((m, cuts, BLOCK), np.float32)  # cosines but for rounding; 0 where a block isn't scored
 
         def fill(need: np.ndarray) -> None:
             if need.mean() > 0.2:
-                got[...] = (narrow @ self.dense.T).reshape(got.shape) + blocks
+                got[...] = (narrow @ matrix.T).reshape(got.shape) + blocks
                 return
             for c in np.flatnonzero(need.any(0)).tolist():
                 r = np.flatnonzero(need[:, c])
-                got[r, c] = narrow[r] @ self.dense[c * BLOCK:(c + 1) * BLOCK].T + blocks[r, c]
+                got[r, c] = narrow[r] @ matrix[c * BLOCK:(c + 1) * BLOCK].T + blocks[r, c]
 
         first = np.argpartition(-bound, min(2, cuts - 1), axis=1)[:, :2]
         need = np.zeros((m, cuts), bool)
@@ -154,7 +181,7 @@ class Index:
         out = []
         for r in range(m):
             who = np.flatnonzero((flat_got[r] >= least[r]) & (flat_got[r] > 0))
-            cosine = rare[r, who] + self.dense[who].astype(float) @ dense[r]
+            cosine = rare[r, who] + matrix[who].astype(float) @ dense[r]
             top = np.lexsort((who, -np.round(cosine, 12)))[:k]
             out.append((who[top], cosine[top]))
         return out
@@ -218,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     neg = every - pos
     if not pos or not neg:
         empty = (pos + 0.25) / (every + 1)
-        return Model(Vectors(np.zeros(0, _U), np.zeros(0)), Index(*(np.zeros(0, np.int64),) * 2, np.zeros(0), 0, 1), np.zeros(0, np.int64), np.zeros(0), empty, empty)
+        return Model(Vectors(np.zeros(0, _U), np.zeros(0)), Index(*(np.zeros(0, np.int64),) * 3, 0, np.ones(1)), np.zeros(0, np.int64), np.zeros(0), empty, empty)
     a, b = F.col("pos"), F.col("every") - F.col("pos")
     rate1, rate0 = (a + 0.25) / (pos + 0.5), (b + 0.25) / (neg + 0.5)
     expected = F.col("every") * pos / every
@@ -234,16 +261,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
             batch = batch.select(["id", "text", "y"])
-            row, term, weight = vectors.of(batch.column(1))
+            row, term, tf = vectors.counts(batch.column(1))
+            weight = (1 + np.log(tf)) * vectors.idf[term]
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            term, weight = term.astype("<i4"), weight.astype("<f4")
-            cells = [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (term, weight)]
+            term, tf = term.astype("<i4"), tf.astype("<i4")
+            cells = [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (term, tf)]
             heavy = [np.lexsort((term[i:j], -weight[i:j]))[:8] + i for i, j in zip(bounds[:-1], bounds[1:])]
             heavy = pa.array([term[x].astype(">i4").tobytes() for x in heavy], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), heavy, *cells], names=["id", "y", "heavy", "terms", "weights"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), heavy, *cells], names=["id", "y", "heavy", "terms", "counts"])
 
     # At most sample_rows, with 8 bytes for each distinct feature of their texts.
-    rows = sample.mapInArrow(vectorise, "id long, y int, heavy binary, terms binary, weights binary").toArrow().combine_chunks()
+    rows = sample.mapInArrow(vectorise, "id long, y int, heavy binary, terms binary, counts binary").toArrow().combine_chunks()
     size = pc.binary_length(rows["terms"]).to_numpy() // 4
     none = rows.filter(pa.array(size == 0))["y"].to_numpy()
     rows = rows.filter(pa.array(size > 0)).sort_by([("y", "ascending"), ("heavy", "ascending"), ("id", "ascending")]).combine_chunks()  # alike examples in one block
@@ -252,9 +280,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
     def numbers(name: str, kind: str) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows[name]]) if rows.num_rows else np.zeros(0, kind)
 
-    term, weight = numbers("terms", "<i4"), numbers("weights", "<f4")
+    term, tf = numbers("terms", "<i4"), numbers("counts", "<i4")
     del rows
-    index = Index(np.repeat(np.arange(len(ids), dtype=np.int32), size), term, weight, len(ids), max(1, len(terms)))
+    index = Index(np.repeat(np.arange(len(ids), dtype=np.int32), size), term, tf, len(ids), vectors.idf if len(terms) else np.ones(1))
     rate = (pos + 0.25) / (every + 1)
     return Model(vectors, index, ids, y, (none.sum() + rate) / (len(none) + 1), rate)
 
