@@ -267,6 +267,8 @@ class Tokenizer:
         return self._encode_plain(joined, chars)
 
     def _encode_plain(self, joined: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64)
         cp, starts, ends, rows = self._words(joined, sizes)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(sizes) + 1, np.int64)

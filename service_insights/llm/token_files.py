@@ -14,6 +14,7 @@ empty manifest.
 """
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 from collections.abc import Iterator
@@ -35,7 +36,13 @@ READ_TOKENS = 1 << 20
 
 
 class LibraryWords(bpe.Tokenizer):
-    """Texts are split and remembered as in ``bpe``; the tokenizers library encodes every new word."""
+    """Parts between blanks are remembered as in ``bpe``; the tokenizers library encodes every new one.
+
+    No normal form, word or special token of the library reaches across an ASCII
+    blank, so a text's ids are those of its parts in a row. Parts of plain ASCII
+    go to the library as lower-cased words, which it leaves as they are, many to a
+    line; every other part as it stands.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -45,17 +52,36 @@ class LibraryWords(bpe.Tokenizer):
         self.library.no_padding()
         self.ends_word = np.array([str(x).endswith("</w>") for x in self.names])
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.array([len(x) for x in got], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(got), np.int32, int(n.sum())), n
+
+    def _encode_parts(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = ends - starts
+        data = raw[flat.gather_ranges(starts, size)]
+        odd = np.logical_or.reduceat((data >= 0x80) | (data == ord("<")), np.cumsum(size) - size)
+        lengths, ids = np.zeros(len(size), np.int64), []
+        for own, encode in ((np.flatnonzero(~odd), super()._encode_parts), (np.flatnonzero(odd), self._encode_as_they_stand)):
+            if len(own):
+                got, bounds = encode(raw, starts[own], ends[own])
+                lengths[own] = np.diff(bounds)
+                ids.append(got)
+        at = np.zeros(len(size), np.int64)
+        at[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.cumsum(np.concatenate([lengths[~odd], lengths[odd]])) - np.concatenate([lengths[~odd], lengths[odd]])
+        return np.concatenate(ids)[flat.gather_ranges(at, lengths)], np.concatenate([[0], np.cumsum(lengths)])
+
+    def _encode_as_they_stand(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = self._ids([raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())])
+        return ids, np.concatenate([[0], np.cumsum(n)])
+
     def encode_words(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sixty-four words to a line, set apart by blanks; an id that ends a word closes it."""
+        """Sixty-four ASCII words to a line, set apart by blanks; an id that ends a word closes it."""
         text = cp.astype("<u4").tobytes().decode("utf-32-le")
         words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        lines = [" ".join(words[i:i + 64]) for i in range(0, len(words), 64)]
-        got = self.library.encode_batch_fast(lines, add_special_tokens=False)
-        ids = np.concatenate([np.array(x.ids, np.int32) for x in got])
+        ids, _ = self._ids([" ".join(words[i:i + 64]) for i in range(0, len(words), 64)])
         last = np.flatnonzero(self.ends_word[ids])
-        if len(last) != len(words):
-            raise ValueError("the library split a word otherwise")
-        return ids, np.diff(last, prepend=-1)
+        return (ids, np.diff(last, prepend=-1)) if len(last) == len(words) else self._ids(words)
 
 
 _LOADED: dict[str, LibraryWords] = {}

@@ -19,21 +19,44 @@ from . import helpers as H
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(PATH)
 OWN = bpe.Tokenizer(PATH)
+BY_LIBRARY = token_files.LibraryWords(PATH)
 
 
 def ids_of(text):
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = "<|endoftext|>"
+#: Marks and letters whose normal form, lower case or order the encoders must leave to the library's rules.
+COMBINING = "\u0130\u094d\u0f73\u0301\u0323\u0345\u1e9b\u212bIi\u0307"
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(max_size=40), st.text("'stmdrevl aAéÉß1.!\n<|endoftext|>İΣ", max_size=40)), min_size=1, max_size=5))
-def test_bpe_equals_the_library(texts):
+@given(st.lists(st.one_of(st.text(max_size=40), st.text("'stmdrevl aAéÉß1.!\n<|endoftext|>İΣ", max_size=40), st.text(COMBINING + " a", max_size=12),
+                          st.lists(st.sampled_from([SPECIAL, "<|startoftext|>", "hello", " ", "a" + SPECIAL, "İ\u094d"]), max_size=6).map("".join)), min_size=1, max_size=5),
+       st.sampled_from([OWN, BY_LIBRARY]))
+def test_encoders_equal_the_library(texts, own):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
-    ids, rows = OWN.encode(texts)
+    ids, rows = own.encode(texts)
     for k, t in enumerate(texts):
-        own = ids[rows[k]:rows[k + 1]]
-        assert own.tolist() == ids_of(t)
-        assert OWN.decode(own) == LIBRARY.decode(ids_of(t), skip_special_tokens=False)
+        got = ids[rows[k]:rows[k + 1]]
+        assert got.tolist() == ids_of(t)
+        assert own.decode(got) == LIBRARY.decode(ids_of(t), skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("texts", [[SPECIAL], [SPECIAL * 2], [SPECIAL, None, ""], ["hello world", f"hello {SPECIAL} world"], [f"{SPECIAL} {SPECIAL}"], ["\u0130\u094d", "\u0130\u0f73"]])
+def test_special_tokens_alone_and_beside_remembered_words(spark, texts):
+    rows = list(enumerate(texts))
+    want = {k: ids_of(t or "") for k, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode_decode(docs, PATH).collect()} == want
+    folder = scratch(spark)
+    got = token_files.read(spark, folder, token_files.write(docs, folder, PATH)).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids_u32"], "<u4").tolist() for r in got} == {k: [*x, 1] for k, x in want.items()}
+    for coder in (OWN, BY_LIBRARY):
+        coder._forget()
+        for k, t in rows:  # one after the other: later texts meet remembered parts
+            assert coder.encode([t or ""])[0].tolist() == want[k]
 
 
 def test_bpe_forgets_without_harm(monkeypatch):
