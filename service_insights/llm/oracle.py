@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 from __future__ import annotations
 
-from . import licenses, line_dedup
+from . import licenses, line_dedup, merkle
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = r"'[^\x20\x09-\x0D]+'"
@@ -75,4 +75,5 @@ ORACLE: dict[str, str] = {
     "op6_decontaminate": _DECONTAMINATE,
     "op7_licenses": licenses.oracle_sql(),
     "op8_substring": _SUBSTRING,
+    "op11_merkle": merkle.oracle_sql(),
 }

@@ -1,13 +1,14 @@
 """Registered queries: each applies one operator, with production parameters, to its whole table."""
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, pii, substring, token_files, toxicity
+from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, merkle, pii, substring, token_files, toxicity
 from .common import documents, scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,6 +84,14 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(*[lowered if f == "text" else F.col(f) for f in fields]))
+    out = merkle.manifest(documents(spark, sf_dir), fields, offered=tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -94,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
+    "op11_merkle": op11_merkle,
 }
