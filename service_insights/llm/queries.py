@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, merkle, pii, substring, token_files, toxicity
+from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, merkle, pieces, pii, substring, token_files, toxicity
 from .common import documents, scratch
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(PIECES))
+    return out.select(
+        "doc_id",
+        F.floor(F.octet_length("ids_u32") / 4).alias("n_tokens"),
+        F.sha2("ids_u32", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -104,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_fingerprint": op10_fingerprint,
     "op11_merkle": op11_merkle,
+    "op12_sentencepiece": op12_sentencepiece,
 }
