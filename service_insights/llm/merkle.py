@@ -33,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import duck
 from .common import partitions, saved, ship
 
 #: Nodes that make one node of the next level, and levels that a superblock spans.
@@ -205,14 +206,6 @@ def manifest(docs: DataFrame, fields: list[str], id_column: str = "doc_id", grou
     return out.select(F.col("id").alias(id_column), shown.alias("group"), "rank", "leaf", "subroot", "root", "proof", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-#: Unsigned crc32 of text in DuckDB, which has no such function: ``_CRC_TABLE`` is a CTE, ``crc`` an expression over a list of bytes.
-CRC_TABLE = "crc_table as materialized (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) order by i) as t from range(256) r(i))"
-
-
-def crc(data: str) -> str:
-    return f"xor(list_reduce(list_prepend(4294967295::bigint, {data}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
-
-
 def oracle_sql(leaf_levels: int = 8, group_levels: int = 4) -> str:
     """DuckDB SQL of the query, with its levels written out: up to 8^8 documents a language and 8^4 languages."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -222,9 +215,9 @@ def oracle_sql(leaf_levels: int = 8, group_levels: int = 4) -> str:
         return f"sha256({' || '.join(cells)})"
 
     lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    ctes = [CRC_TABLE, f"""d as materialized (
+    ctes = [duck.CRC_TABLE, f"""d as materialized (
   select row_number() over (order by lang nulls first, doc_id nulls first, {of('text')}) as r, doc_id, lang, {of('text')} as leaf,
-    case when {crc("list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)")} % 3 = 0 then {of(lowered)} else {of('text')} end as offered
+    case when {duck.crc("doc_id::varchar")} % 3 = 0 then {of(lowered)} else {of('text')} end as offered
   from documents, crc_table)"""]
     ctes.append("""k0 as materialized (select r, coalesce('=' || lang, '') as g, row_number() over (partition by lang order by r) - 1 as i,
   offered as f, '' as proof from d)""")

@@ -1,7 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 from __future__ import annotations
 
-from . import licenses, line_dedup, merkle
+from . import duck, licenses, line_dedup, merkle
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = r"'[^\x20\x09-\x0D]+'"
@@ -69,6 +69,30 @@ select d.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(kept.n, 0))::bi
 from d left join kept on d.doc_id = kept.doc_id
 """
 
+_SPELLING = f"""
+with recursive {duck.CRC_TABLE}, r as (
+  select doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) as r from documents
+), h as (
+  select r, {duck.crc("coalesce(doc_id::varchar, 'null') || ':' || r")} as h from r, crc_table
+), w as materialized (
+  select w, count(*) as n from (select case when h % 97 = 0 then left(r, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as w from h)
+  where length(w) >= 5 group by w having count(*) >= 3
+), x as materialized (
+  select w, n, i, left(w, i - 1) || substr(w, i + 1) as d from (select w, n, unnest(range(1, length(w) + 1))::int as i from w)
+), p as materialized (
+  select a.w as u, b.w as v, b.n as n from x a join x b on a.d = b.d and a.i = b.i and a.w <> b.w
+  union select x.w, w.w, w.n from x join w on x.d = w.w
+  union select w.w, x.w, x.n from x join w on x.d = w.w
+), b as materialized (
+  select u, count(*) as n_near, max(n) as top_n, arg_min(v, (-n, v)) as top from p group by u
+), f as materialized (
+  select w.w, w.n, case when top_n >= 2 * n then top end as form, case when top_n >= 2 * n then top_n end as form_n, coalesce(n_near, 0) as n_near from w left join b on w.w = b.u
+), s(w, here, form) as (
+  select w, w, form from f union all select s.w, f.w, f.form from s join f on s.form = f.w
+)
+select f.w as word, f.form, s.here as root, f.n, f.n_near, f.form_n from f join s on f.w = s.w and s.form is null
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
     "op5_jaccard": _JACCARD,
@@ -76,4 +100,5 @@ ORACLE: dict[str, str] = {
     "op7_licenses": licenses.oracle_sql(),
     "op8_substring": _SUBSTRING,
     "op11_merkle": merkle.oracle_sql(),
+    "op13_spelling": _SPELLING,
 }

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, merkle, pieces, pii, substring, token_files, toxicity
-from .common import documents, scratch
+from . import bpe, decontaminate, fingerprint, jaccard, licenses, line_dedup, merkle, pieces, pii, spelling, substring, token_files, toxicity
+from .common import documents, saved, scratch
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -102,6 +102,11 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = saved(spelling.count_words(documents(spark, sf_dir)))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -115,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprint": op10_fingerprint,
     "op11_merkle": op11_merkle,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_spelling": op13_spelling,
 }
