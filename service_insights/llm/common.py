@@ -28,11 +28,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to scratch space and read back: cuts the lineage, and outlives any executor."""
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Written to scratch space and read back, and the folder: cuts the lineage, and outlives any executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``saved_at`` without the folder."""
+    return saved_at(df)[0]
 
 
 def partitions(spark: SparkSession) -> int:

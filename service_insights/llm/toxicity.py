@@ -4,45 +4,55 @@ Features are whole words and word beginnings of 4, 5 and 6 bytes, lower-cased.
 The vocabulary holds every feature of a bounded sample of the labelled rows, and
 examples and documents are TF-IDF vectors over it. Features that go with a label
 (by chi-square, and at least 5 times as frequent in one class as in the other)
-weigh ``LIFT`` times as much; no feature is left out.
-
-The index is inverted. Rare terms are scored by their postings; the commonest lie
-in a dense matrix, cut into blocks of examples, where a block's highest weight for
-each term bounds the cosine of any example in it: only blocks that can reach the
-k-th best are scored. The cosines and the neighbours are exact. A neighbour votes
-with weight cosine^4; a vote of the sample's rate joins in, so that a score tends
-to the rate of its neighbourhood.
-
-Documents without any feature of the vocabulary (empty and null texts too) get
-the toxic rate of such examples, with one vote of the sample's rate. Labels that
-are null aren't used; a document with several labels counts as toxic if half of
-them are. Without labels, every score is 0.5 times nothing known: the prior of one
-toxic in four.
+weigh ``LIFT`` times as much; no feature is left out. So the cosine is that of
+TF-IDF with a supervised weight; with ``LIFT`` 1 it is the plain one.
+
+The index is inverted and lies in shards, which tasks build and keep below the
+checkpoint folder; neither postings nor vocabulary pass the driver. A shard holds
+its examples in blocks, and for each term and block the highest weight, of all its
+postings. The sums of these bound the cosine of any example of a block, and only
+blocks that can reach the k-th best so far are scored: the commonest terms of a
+shard by a dense matrix, the others by their postings. Documents meet one shard
+after the other, and the best of all are merged by document. Cosines and
+neighbours are exact.
+
+A neighbour votes with weight cosine^4; a vote of the sample's rate joins in. The
+share of toxic votes is then calibrated: one fold of five of the sample is scored
+by an index of the others, and a logistic curve of its log odds is fitted to the
+labels; the curve's value is the score.
+
+Documents without any feature of the vocabulary (empty and null texts too) get the
+toxic rate of such examples, with one vote of the sample's rate. Labels that are
+null aren't used; a document with several labels counts as toxic if half of them
+are. Without labels, or with labels of one class only, there are no neighbours and
+every score is the sample's rate, one row of rate 1/4 added.
 """
 from __future__ import annotations
 
-import zlib
+import io
 from collections.abc import Iterator
-from functools import cached_property
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import free_name, saved, ship, thinned
+from .common import free_name, saved_at, ship, thinned
 
-_U = np.uint64
-#: Labelled rows in the sample (those of the smallest hash of their id).
-SAMPLE_ROWS = 20_000
-#: Weight of a feature that goes with a label; terms kept dense; documents scored at a time.
-LIFT, COMMON, CHUNK = 10.0, 1024, 64
+#: Labelled rows in the sample (picked by a hash of their id), and examples of a shard, about.
+SAMPLE_ROWS, SHARD = 4096, 1024
+#: Weight of a feature that goes with a label; terms of a shard kept dense; documents scored at a time.
+LIFT, COMMON, CHUNK = 10.0, 768, 64
 #: More than single precision loses in a cosine.
 ROUND = 1e-4
 NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.5
 PREFIXES = (4, 5, 6)
+#: Folds of the sample, one of which calibrates, and the fewest of its rows of either class that do.
+FOLDS, CALIBRATE = 5, 10
 
 
 def held_out(id_column) -> F.Column:
@@ -66,137 +76,163 @@ def _counted(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Vectors:
-    """TF-IDF vectors of length 1 over a sorted vocabulary of feature hashes; idf includes the lift."""
+    """TF-IDF vectors of length 1 over a sorted vocabulary of feature hashes (as signed numbers); ``idf`` includes the lift."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray):
         self.vocabulary, self.idf = vocabulary, idf
 
-    def counts(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, how often) of a column's texts, by row."""
+    def of(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, weight) of a column's texts, by row."""
         words, kinds = _features(col)
         rows, terms = [], []
         if len(self.vocabulary):
             owner = words.row()
             for h in kinds:
+                h = h.view(np.int64)
                 at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
                 own = self.vocabulary[at] == h
                 rows.append(owner[own])
                 terms.append(at[own])
         if not rows:
-            return (np.zeros(0, np.int64),) * 3
-        return _counted(np.concatenate(rows), np.concatenate(terms))
-
-    def of(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, term, weight) of a column's texts, by row."""
-        row, term, tf = self.counts(col)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        row, term, tf = _counted(np.concatenate(rows), np.concatenate(terms))
         weight = (1 + np.log(tf)) * self.idf[term]
         norm = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(col)))
         return row, term, weight / norm[row]
 
 
-class Index:
-    """Block-max inverted index of examples; ``neighbours`` gives the exact best by cosine.
-
-    Counts are given by example. The postings of a term lie between two bounds, in steps of ``blocks``.
-    Only examples and counts travel, packed; weights and dense terms are made where they are used.
-    """
+class Shard:
+    """Block-max inverted index of some examples, given by (example, term, weight)."""
 
-    blocks = 1
-
-    def __init__(self, example: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int, idf: np.ndarray):
-        order = np.argsort(term, kind="stable")
-        self.n, self.idf, self.example, self.tf = n, idf, example[order].astype(np.int32), tf[order].astype(np.int32)
-        self.bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
-
-    def __getstate__(self) -> dict:
-        gaps = np.diff(self.example, prepend=np.int32(0))
-        return {"n": self.n, "idf": self.idf, "bounds": self.bounds.astype(np.int32), "packed": [zlib.compress(x, 1) for x in (gaps, self.tf)]}
-
-    def __setstate__(self, state: dict) -> None:
-        self.n, self.idf, self.bounds = state["n"], state["idf"], state["bounds"].astype(np.int64)
-        gaps, tf = (np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(state["packed"], (np.int32, np.int32)))
-        self.example, self.tf = np.cumsum(gaps, dtype=np.int32), tf
-
-    @cached_property
-    def weight(self) -> np.ndarray:
-        out = 1 + np.log(self.tf)
-        out *= np.repeat(self.idf, np.diff(self.bounds))
-        norm = np.sqrt(np.bincount(self.example, weights=out * out, minlength=self.n))
-        out /= norm[self.example]
-        return out.astype(np.float32)
-
-    @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the commonest terms: place of each term (or -1), weights by example and place, and their highest in each block."""
-        df, cuts = np.diff(self.bounds), max(1, -(-self.n // BLOCK))
-        common = np.argsort(-df, kind="stable")[:COMMON]
-        place = np.full(len(df), -1, np.int32)
-        place[common] = np.arange(len(common))
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        order = np.lexsort((example, term))
+        example, term, weight = example[order], term[order], weight[order].astype(np.float32)
+        cuts = max(1, -(-len(ids) // BLOCK))
+        self.ids, self.labels = ids, labels
+        terms, first, df = np.unique(term, return_index=True, return_counts=True)
+        common = np.sort(np.argsort(-df, kind="stable")[:COMMON])
+        self.common = terms[common]
         dense = np.zeros((cuts * BLOCK, len(common)), np.float32)
-        for k, t in enumerate(common.tolist()):
-            own = slice(self.bounds[t], self.bounds[t + 1])
-            dense[self.example[own], k] = self.weight[own]
-        return place, dense, dense.reshape(cuts, BLOCK, -1).max(1)
-
-    def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k best (cosine over 0), ties by the smaller example."""
-        return self.neighbours_of(np.zeros(len(terms), np.int64), terms, weights, 1, k)[0]
-
-    def neighbours_of(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The same for m vectors at once."""
-        places, matrix, highest = self.common
-        wide, cuts, place = len(matrix), len(highest), places[term]
-        dense = np.zeros((m, matrix.shape[1]))
-        own = place >= 0
-        dense[row[own], place[own]] = weight[own]
-        row, term, weight = row[~own], term[~own], weight[~own]
-        size, heads = self.bounds[term + 1] - self.bounds[term], np.searchsorted(row, np.arange(m + 1))
-        rare = np.zeros((m, wide))
-        for r, a, b in zip(range(m), heads[:-1].tolist(), heads[1:].tolist()):
-            if a < b:
-                parts = [slice(i, j) for i, j in zip(self.bounds[term[a:b]].tolist(), self.bounds[term[a:b] + 1].tolist())]
-                cells = np.concatenate([self.weight[x] for x in parts]) * np.repeat(weight[a:b], size[a:b])
-                rare[r] = np.bincount(np.concatenate([self.example[x] for x in parts]), weights=cells, minlength=wide)
-        narrow, blocks = dense.astype(np.float32), rare.reshape(m, cuts, BLOCK)
-        bound = narrow @ highest.T + blocks.max(2)
-        got = np.zeros((m, cuts, BLOCK), np.float32)  # cosines but for rounding; 0 where a block isn't scored
+        at = np.searchsorted(self.common, term)
+        own = (at < len(self.common)) & (self.common[np.minimum(at, len(self.common) - 1)] == term) if len(common) else np.zeros(len(term), bool)
+        dense[example[own], at[own]] = weight[own]
+        self.dense, self.highest = dense, dense.reshape(cuts, BLOCK, -1).max(1)
+        # The other terms: a row for each term and block, with its highest weight and the bounds of its postings.
+        self.example, term, self.weight = example[~own].astype(np.int32), term[~own], weight[~own]
+        block = self.example // BLOCK
+        head = np.ones(len(term), bool)
+        head[1:] = (np.diff(term) != 0) | (np.diff(block) != 0)
+        start = np.flatnonzero(head)
+        self.block, self.bounds = block[start].astype(np.int32), np.append(start, len(term))
+        self.top = np.maximum.reduceat(self.weight, start) if len(start) else np.zeros(0, np.float32)
+        self.rare, self.heads = np.unique(term[start], return_index=True)
+        self.heads = np.append(self.heads, len(start))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **vars(self))
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Shard:
+        out = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as f:
+            vars(out).update({k: f[k] for k in f.files})
+        return out
+
+    def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of m vectors the k best examples with a cosine over 0 and not below ``least``: places and cosines, ties by the smaller id."""
+        wide, cuts = len(self.dense), len(self.highest)
+        dense = np.zeros((m, len(self.common)))
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, term), len(self.common) - 1)
+            own = self.common[at] == term
+            dense[row[own], at[own]] = weight[own]
+        narrow = dense.astype(np.float32)
+        some = np.zeros(0, np.int64)
+        if len(self.rare):
+            at = np.minimum(np.searchsorted(self.rare, term), len(self.rare) - 1)
+            some = np.flatnonzero(self.rare[at] == term)
+            at = at[some]
+        n = self.heads[at + 1] - self.heads[at] if len(some) else np.zeros(0, np.int64)
+        entry = flat.gather_ranges(self.heads[at], n) if len(some) else some
+        of, by = np.repeat(row[some], n), np.repeat(weight[some], n)
+        cell = of * cuts + self.block[entry]
+        bound = narrow @ self.highest.T + np.bincount(cell, weights=self.top[entry] * by, minlength=m * cuts).reshape(m, cuts)
+        rare, got = np.zeros(m * wide), np.zeros((m, cuts, BLOCK), np.float32)  # cosines but for rounding; 0 where a block isn't scored
 
         def fill(need: np.ndarray) -> None:
+            use = np.flatnonzero(need.ravel()[cell])
+            size = self.bounds[entry[use] + 1] - self.bounds[entry[use]]
+            j = flat.gather_ranges(self.bounds[entry[use]], size)
+            rare[:] += np.bincount(np.repeat(of[use], size) * wide + self.example[j], weights=self.weight[j] * np.repeat(by[use], size), minlength=m * wide)
+            blocks = rare.reshape(got.shape)
             if need.mean() > 0.2:
-                got[...] = (narrow @ matrix.T).reshape(got.shape) + blocks
+                got[...] = np.where(need[:, :, None], (narrow @ self.dense.T).reshape(got.shape) + blocks, got)
                 return
             for c in np.flatnonzero(need.any(0)).tolist():
                 r = np.flatnonzero(need[:, c])
-                got[r, c] = narrow[r] @ matrix[c * BLOCK:(c + 1) * BLOCK].T + blocks[r, c]
+                got[r, c] = narrow[r] @ self.dense[c * BLOCK:(c + 1) * BLOCK].T + blocks[r, c]
 
-        first = np.argpartition(-bound, min(2, cuts - 1), axis=1)[:, :2]
         need = np.zeros((m, cuts), bool)
-        np.put_along_axis(need, first, True, axis=1)
+        np.put_along_axis(need, np.argmax(bound, axis=1)[:, None], True, axis=1)
+        need &= bound >= least[:, None] - ROUND
         fill(need)
-        some = np.take_along_axis(got, first[:, :, None], axis=1).reshape(m, -1)
-        least = np.partition(some, -k, axis=1)[:, -k, None] - ROUND if some.shape[1] >= k else 0.0
-        fill(~need & (bound > 0) & (bound >= least))
-        flat_got, at = got.reshape(m, wide), max(0, wide - k)
-        least = np.partition(flat_got, at, axis=1)[:, at] - ROUND
+        if wide > k:
+            least = np.maximum(least, np.partition(got.reshape(m, wide), wide - k, axis=1)[:, wide - k])
+        fill(~need & (bound > 0) & (bound >= least[:, None] - ROUND))
+        cosines, at = got.reshape(m, wide), max(0, wide - k)
+        least = np.maximum(least, np.partition(cosines, at, axis=1)[:, at]) - ROUND
         out = []
         for r in range(m):
-            who = np.flatnonzero((flat_got[r] >= least[r]) & (flat_got[r] > 0))
-            cosine = rare[r, who] + matrix[who].astype(float) @ dense[r]
-            top = np.lexsort((who, -np.round(cosine, 12)))[:k]
+            who = np.flatnonzero((cosines[r] >= least[r]) & (cosines[r] > 0))
+            cosine = rare[r * wide + who] + self.dense[who].astype(float) @ dense[r]
+            top = np.lexsort((self.ids[who], -np.round(cosine, 12)))[:k]
             out.append((who[top], cosine[top]))
         return out
 
 
-class Model:
-    """Vocabulary, index, labels, the rate of examples without features and that of all."""
+def _read(folder: str) -> pa.Table:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    files = [x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".parquet")]
+    return pa.concat_tables([pq.read_table(f, filesystem=fs) for f in sorted(files)])
 
-    def __init__(self, vectors: Vectors, index: Index, ids: np.ndarray, labels: np.ndarray, empty_rate: float, rate: float):
-        self.vectors, self.index, self.ids, self.labels, self.empty_rate, self.rate = vectors, index, ids, labels, empty_rate, rate
 
-    def score(self, col: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
-        """Scores, and the neighbours' ids and cosines as evidence."""
+def _vectors(folder: str | None) -> Vectors:
+    if folder is None:
+        return Vectors(np.zeros(0, np.int64), np.zeros(0))
+    table = _read(folder)
+    h = table.column("h").to_numpy()
+    order = np.argsort(h)
+    return Vectors(h[order], table.column("idf").to_numpy()[order])
+
+
+class Index:
+    """A model's vocabulary and shards, as a worker reads them."""
+
+    def __init__(self, model: Model):
+        self.vectors = _vectors(model.vocabulary)
+        self.shards = [Shard.from_bytes(x.as_py()) for x in _read(model.shards).column("data")] if model.shards else []
+
+    def neighbours(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, labels and cosines of the k best examples of m vectors, ties by the smaller id."""
+        best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * m
+        least = np.zeros(m)
+        for shard in self.shards:
+            for r, (who, cosine) in enumerate(shard.search(row, term, weight, m, least, k)):
+                if not len(who):
+                    continue
+                ids, labels, all_ = (np.concatenate(x) for x in zip(best[r], (shard.ids[who], shard.labels[who], cosine)))
+                top = np.lexsort((ids, -np.round(all_, 12)))[:k]
+                best[r] = ids[top], labels[top], all_[top]
+                if len(top) == k:
+                    least[r] = all_[top[-1]]
+        return best
+
+    def votes(self, col: pa.Array, rate: float) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        """Toxic share of the neighbours' votes (nan without any feature), and the neighbours' ids and cosines."""
         row, term, weight = self.vectors.of(col)
-        scores = np.full(len(col), self.empty_rate)
+        share = np.full(len(col), np.nan)
         who: list[list[int]] = [[] for _ in range(len(col))]
         how: list[list[float]] = [[] for _ in range(len(col))]
         cuts = np.flatnonzero(np.diff(row, prepend=-1))
@@ -205,26 +241,64 @@ class Model:
             mine = cuts[k:k + CHUNK]
             a, b = int(mine[0]), int(ends[k + len(mine) - 1])
             local = np.repeat(np.arange(len(mine)), ends[k:k + CHUNK] - mine)
-            for r, (best, cosine) in zip(row[mine].tolist(), self.index.neighbours_of(local, term[a:b], weight[a:b], len(mine), NEIGHBOURS)):
-                votes = cosine ** 4
-                scores[r] = (votes @ self.labels[best] + PRIOR_VOTES * self.rate) / (votes.sum() + PRIOR_VOTES)
-                who[r], how[r] = self.ids[best].tolist(), np.round(cosine, 6).tolist()
-        return np.clip(scores, 0, 1), who, how
+            for r, (ids, labels, cosine) in zip(row[mine].tolist(), self.neighbours(local, term[a:b], weight[a:b], len(mine))):
+                power = cosine ** 4
+                share[r] = (power @ labels + PRIOR_VOTES * rate) / (power.sum() + PRIOR_VOTES)
+                who[r], how[r] = ids.tolist(), np.round(cosine, 6).tolist()
+        return share, who, how
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", column: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``sample_rows`` labelled documents that aren't held out."""
-    spark: SparkSession = docs.sparkSession
-    ship(spark)
-    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
-    known = known.groupBy(F.col(id_column).cast("long").alias("id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
-    picked = thinned(known, "id", sample_rows).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(column, F.lit("")).alias("text"))
-    # One row for each id: the text of the smallest hash, and one of its copies. Broadcast: sample_rows rows of two or three numbers.
-    texts = texts.withColumn("hash", F.xxhash64("text"))
-    first = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("hash").alias("hash"))
-    sample = texts.join(F.broadcast(first), ["id", "hash"]).select("id", "text", "y").dropDuplicates(["id"])
+@dataclass(frozen=True)
+class Model:
+    """Where vocabulary and shards lie, the rate of examples without features and that of all, and the calibrating curve."""
+
+    vocabulary: str | None
+    shards: str | None
+    empty_rate: float
+    rate: float
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def index(self) -> Index:
+        """One per Python worker, the last one used."""
+        if self.shards not in _LOADED:
+            _LOADED.clear()
+            _LOADED[self.shards] = Index(self)
+        return _LOADED[self.shards]
+
+    def score(self, col: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
+        share, who, how = self.index().votes(col, self.rate)
+        curve = 1 / (1 + np.exp(-(self.slope * _log_odds(share) + self.shift)))
+        return np.where(np.isnan(share), self.empty_rate, curve), who, how
+
+
+_LOADED: dict[str | None, Index] = {}
+
 
+def _log_odds(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
+def calibrated(share: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope (over 0) and shift of the logistic curve that fits labels to log odds, by Newton steps.
+
+    The labels are softened as if each class had one row more, so that the curve stays finite where the classes lie apart.
+    """
+    x, pos = _log_odds(share), y.sum()
+    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+    cells = np.stack([x, np.ones(len(x))], axis=1)
+    w = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(cells @ w, -30, 30)))
+        hess = cells.T @ (cells * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, cells.T @ (p - target) + 1e-3 * (w - [1, 0]))
+        w -= np.clip(step, -1, 1)
+    return max(float(w[0]), 0.05), float(w[1])
+
+
+def _built(sample: DataFrame, lift: float) -> Model:
+    """Vocabulary and shards of stored (id, text, y) rows."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in flat.pieces(batches, "text"):
             batch = batch.select(["id", "text", "y"])
@@ -239,68 +313,94 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str
 
     # h = 0 counts the documents themselves
     counted = sample.mapInArrow(count, "h long, pos long, every long").groupBy("h").agg(F.sum("pos").alias("pos"), F.sum("every").alias("every"))
-    counted = saved(counted)
-    totals = {r["h"]: r for r in counted.where("h = 0").collect()}
-    pos, every = (totals[0]["pos"], totals[0]["every"]) if totals else (0, 0)
-    neg = every - pos
+    counted, _ = saved_at(counted)
+    totals = counted.where("h = 0").first()
+    pos, every = (totals["pos"], totals["every"]) if totals else (0, 0)
+    neg, rate = every - pos, (pos + 0.25) / (every + 1)
     if not pos or not neg:
-        empty = (pos + 0.25) / (every + 1)
-        return Model(Vectors(np.zeros(0, _U), np.zeros(0)), Index(*(np.zeros(0, np.int64),) * 3, 0, np.ones(1)), np.zeros(0, np.int64), np.zeros(0), empty, empty)
+        return Model(None, None, rate, rate)
     a, b = F.col("pos"), F.col("every") - F.col("pos")
     rate1, rate0 = (a + 0.25) / (pos + 0.5), (b + 0.25) / (neg + 0.5)
     expected = F.col("every") * pos / every
     chi = (a - expected) ** 2 / expected + (b - (F.col("every") - expected)) ** 2 / (F.col("every") - expected)
-    apart = F.coalesce((chi >= 12) & ((rate1 >= 5 * rate0) | (rate0 >= 5 * rate1)), F.lit(False))
-    chosen = counted.where("h <> 0").select("h", "every", ((F.col("every") >= 3) & apart).alias("lifted")).toArrow()  # the sample's features, three numbers each
-    terms = chosen["h"].to_numpy().view(_U)
-    order = np.argsort(terms)
-    idf = np.log((every + 1) / (chosen["every"].to_numpy() + 1)) + 1
-    vectors = Vectors(terms[order], (idf * np.where(chosen["lifted"].to_numpy(), LIFT, 1.0))[order])
-    del chosen
+    apart = F.coalesce((F.col("every") >= 3) & (chi >= 12) & ((rate1 >= 5 * rate0) | (rate0 >= 5 * rate1)), F.lit(False))
+    idf = (F.log(F.lit(every + 1.0) / (F.col("every") + 1)) + 1) * F.when(apart, lift).otherwise(1.0)
+    _, vocabulary = saved_at(counted.where("h <> 0").select("h", idf.alias("idf")))
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = _vectors(vocabulary)
         for batch in flat.pieces(batches, "text"):
             batch = batch.select(["id", "text", "y"])
-            row, term, tf = vectors.counts(batch.column(1))
-            weight = (1 + np.log(tf)) * vectors.idf[term]
+            row, term, weight = vectors.of(batch.column(1))
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            term, tf = term.astype("<i4"), tf.astype("<i4")
-            cells = [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (term, tf)]
+            term, weight = term.astype("<i4"), weight.astype("<f4")
             heavy = [np.lexsort((term[i:j], -weight[i:j]))[:8] + i for i, j in zip(bounds[:-1], bounds[1:])]
             heavy = pa.array([term[x].astype(">i4").tobytes() for x in heavy], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), heavy, *cells], names=["id", "y", "heavy", "terms", "counts"])
+            cells = [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (term, weight)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), heavy, *cells], names=["id", "y", "heavy", "terms", "weights"])
+
+    shards = max(1, round(every / SHARD))
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("heavy", "ascending"), ("id", "ascending")])  # alike examples in one block
+        term, weight = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("terms", "<i4"), ("weights", "<f4")))
+        size = [len(x) // 4 for x in table.column("terms").to_pylist()]
+        ids, y = table.column("id").to_numpy(), table.column("y").to_numpy().astype(float)
+        own = Shard(ids, y, np.repeat(np.arange(len(ids)), size), term, weight)
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "data": pa.array([own.to_bytes()], pa.binary())})
 
-    # At most sample_rows, with 8 bytes for each distinct feature of their texts.
-    rows = sample.mapInArrow(vectorise, "id long, y int, heavy binary, terms binary, counts binary").toArrow().combine_chunks()
-    size = pc.binary_length(rows["terms"]).to_numpy() // 4
-    none = rows.filter(pa.array(size == 0))["y"].to_numpy()
-    rows = rows.filter(pa.array(size > 0)).sort_by([("y", "ascending"), ("heavy", "ascending"), ("id", "ascending")]).combine_chunks()  # alike examples in one block
-    ids, y, size = rows["id"].to_numpy(), rows["y"].to_numpy().astype(float), pc.binary_length(rows["terms"]).to_numpy() // 4
+    rows = sample.mapInArrow(vectorise, "id long, y int, heavy binary, terms binary, weights binary")
+    rows, _ = saved_at(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")))
+    bare = rows.where(F.octet_length("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    # At most about SHARD examples to a group.
+    _, folder = saved_at(rows.where(F.octet_length("terms") > 0).groupBy("shard").applyInArrow(build, "shard int, data binary"))
+    return Model(vocabulary, folder, (bare["pos"] + rate) / (bare["n"] + 1), rate)
 
-    def numbers(name: str, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows[name]]) if rows.num_rows else np.zeros(0, kind)
 
-    term, tf = numbers("terms", "<i4"), numbers("counts", "<i4")
-    del rows
-    index = Index(np.repeat(np.arange(len(ids), dtype=np.int32), size), term, tf, len(ids), vectors.idf if len(terms) else np.ones(1))
-    rate = (pos + 0.25) / (every + 1)
-    return Model(vectors, index, ids, y, (none.sum() + rate) / (len(none) + 1), rate)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_column: str = "doc_id", column: str = "text", sample_rows: int = SAMPLE_ROWS, lift: float = LIFT) -> Model:
+    """Learns from at most ``sample_rows`` labelled documents that aren't held out."""
+    spark: SparkSession = docs.sparkSession
+    ship(spark)
+    known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(id_column))
+    known = known.groupBy(F.col(id_column).cast("long").alias("id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
+    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(column, F.lit("")).alias("text"))
+    picked, _ = saved_at(thinned(saved_at(known)[0], "id", sample_rows).orderBy(F.xxhash64("id"), "id").limit(sample_rows))
+    # One row for each id: the text of the smallest hash, and one of its copies. Broadcast: sample_rows rows of two or three numbers.
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    first = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("hash").alias("hash"))
+    sample, _ = saved_at(texts.join(F.broadcast(first), ["id", "hash"]).select("id", "text", "y").dropDuplicates(["id"]))
+    model = _built(sample, lift)
+    fold = F.pmod(F.xxhash64(F.col("id") + 1), F.lit(FOLDS)) == 0
+    part = _built(sample.where(~fold), lift) if model.shards else model
+    if not part.shards:
+        return model
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in flat.pieces(batches, "text"):
+            batch = batch.select(["text", "y"])
+            share, _, _ = part.index().votes(batch.column(0), part.rate)
+            yield pa.RecordBatch.from_arrays([pa.array(share), batch.column(1)], names=["share", "y"])
+
+    got = sample.where(fold).mapInArrow(vote, "share double, y int").toArrow()  # two numbers for each row of a fold of the sample
+    share, y = got.column("share").to_numpy(), got.column("y").to_numpy()
+    share, y = share[~np.isnan(share)], y[~np.isnan(share)]
+    if min(y.sum(), len(y) - y.sum()) < CALIBRATE:
+        return model
+    slope, shift = calibrated(share, y)
+    return replace(model, slope=slope, shift=shift)
 
 
 def score(docs: DataFrame, model: Model, column: str = "text") -> DataFrame:
     """Appends score (0 to 1), neighbours (ids of the examples) and cosines. Row-local; other columns pass unchanged."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by SAMPLE_ROWS and their texts
+    ship(docs.sparkSession)
     names = [free_name(docs, x) for x in ("score", "neighbours", "cosines")]
     schema = docs.select("*", F.lit(0.0).alias(names[0]), F.array(F.lit(0).cast("long")).alias(names[1]), F.array(F.lit(0.0)).alias(names[2])).schema
     for field in schema.fields:
         field.nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in flat.pieces(batches, column):
-            got, who, how = own.score(batch.column(batch.schema.get_field_index(column)))
+            got, who, how = model.score(batch.column(batch.schema.get_field_index(column)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array(who, pa.list_(pa.int64())), pa.array(how, pa.list_(pa.float64()))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

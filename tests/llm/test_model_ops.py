@@ -110,6 +110,10 @@ def labelled(n=400, seed=1):
     return docs, labels
 
 
+def example_ids(model):
+    return [i for s in toxicity.Index(model).shards for i in s.ids.tolist()]
+
+
 def test_toxicity_held_out_accuracy(spark):
     docs, labels = labelled()
     frame = H.frame(spark, [*docs, (9001, None), (9002, ""), (None, "idiotra scumlen trashto")])
@@ -117,33 +121,70 @@ def test_toxicity_held_out_accuracy(spark):
     rows = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}
     held = [d for d, _ in docs if zlib.crc32(str(d).encode()) % 5 == 0]
     truth = dict(labels)
-    assert not set(model.ids.tolist()) & set(held)
+    assert not set(example_ids(model)) & set(held)
     assert np.mean([(rows[d]["score"] >= 0.5) == bool(truth[d]) for d in held]) > 0.95
     assert rows[None]["score"] > 0.5 and rows[9001]["score"] == rows[9002]["score"] < 0.5
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
-def test_toxicity_neighbours_are_exact(spark):
+@pytest.mark.parametrize("shard", [64, 1024])
+def test_toxicity_neighbours_are_exact(spark, monkeypatch, shard):
+    """Of one shard or several, the best by a dense product."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(toxicity, "SHARD", shard)
     docs, labels = labelled(seed=2)
     frame = H.frame(spark, docs)
     model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    import pyarrow as pa
-
-    texts = pa.array([t for _, t in docs])
-    row, term, weight = model.vectors.of(texts)
-    n = model.index.n
-    dense = np.zeros((n, len(model.vectors.vocabulary)))
-    cells = np.repeat(np.arange(dense.shape[1]), np.diff(model.index.bounds[::model.index.blocks]))
-    dense[model.index.example, cells] = model.index.weight
+    index = toxicity.Index(model)
+    assert (len(index.shards) > 2) == (shard == 64)
+    known = dict(docs)
+    ids = np.concatenate([s.ids for s in index.shards])
+    row, term, weight = index.vectors.of(pa.array([known[i] for i in ids.tolist()]))
+    dense = np.zeros((len(ids), len(index.vectors.vocabulary)), np.float32)
+    dense[row, term] = weight
+    row, term, weight = index.vectors.of(pa.array([t for _, t in docs]))
+    got = index.neighbours(row, term, weight, len(docs))
     for r in range(len(docs)):
-        own = row == r
-        if not own.any():
-            continue
-        best, cosine = model.index.neighbours(term[own], weight[own], toxicity.NEIGHBOURS)
-        every = dense[:, term[own]] @ weight[own]
-        want = np.lexsort((np.arange(n), -np.round(every, 12)))[:toxicity.NEIGHBOURS]
+        every = dense[:, term[row == r]].astype(float) @ weight[row == r]
+        want = np.lexsort((ids, -np.round(every, 12)))[:toxicity.NEIGHBOURS]
         want = want[every[want] > 0]
-        assert best.tolist() == want.tolist() and np.allclose(cosine, every[want])
+        assert np.allclose(got[r][2], every[want], atol=1e-6)
+        sure = np.abs(np.diff(every[want], append=0)) > 1e-6  # places that rounding can't swap
+        assert all(got[r][0][k] == ids[want[k]] for k in range(len(want)) if sure[k] and (k == 0 or sure[k - 1]))
+
+
+def test_toxicity_blocks_bound_their_examples():
+    """Every block's bound is at least its best cosine, for dense and for other terms, and skipped blocks change nothing."""
+    rnd = np.random.default_rng(3)
+    n, terms = 500, 3000
+    example = np.repeat(np.arange(n), 30)
+    term = (rnd.zipf(1.3, len(example)) % terms).astype(np.int64)
+    pairs = np.unique(np.stack([example, term]), axis=1)
+    weight = rnd.random(pairs.shape[1]).astype(np.float32) / 5
+    shard = toxicity.Shard(np.arange(n) * 3, np.zeros(n), pairs[0], pairs[1], weight)
+    dense = np.zeros((n, terms))
+    dense[pairs[0], pairs[1]] = weight
+    again = toxicity.Shard.from_bytes(shard.to_bytes())
+    for least in (0.0, 0.3):
+        got = again.search(pairs[0][:2000], pairs[1][:2000], weight[:2000].astype(float), n, np.full(n, least), 5)
+        for r in range(40):
+            every = dense @ dense[r] if r < pairs[0][1999] else None
+            if every is not None:
+                want = np.sort(every)[::-1][:5]
+                want = want[want > max(least, 0)]
+                assert np.allclose(np.sort(got[r][1])[::-1][:len(want)], want, atol=1e-6)
+
+
+def test_calibration_follows_the_labels():
+    rnd = np.random.default_rng(1)
+    true = rnd.random(4000)
+    y = (rnd.random(4000) < true).astype(int)
+    share = 1 / (1 + np.exp(-3 * np.log(true / (1 - true)) - 1))  # far too sure, and shifted
+    slope, shift = toxicity.calibrated(share, y)
+    assert slope == pytest.approx(1 / 3, abs=0.05) and shift == pytest.approx(-1 / 3, abs=0.15)
+    apart = toxicity.calibrated(np.array([0.1] * 50 + [0.9] * 50), np.array([0] * 50 + [1] * 50))
+    assert np.isfinite(apart).all()
 
 
 def test_toxicity_finds_examples_by_rare_words(spark):
@@ -166,8 +207,8 @@ def test_toxicity_learns_one_row_of_an_id(spark):
     one = next(d for d in range(400) if zlib.crc32(str(d).encode()) % 5)
     docs += [(one, f"many rows of one id {k % 30}") for k in range(300)]
     model = toxicity.fit(H.frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert one in model.ids
-    assert model.index.n == len(set(model.ids.tolist()))
+    assert one in example_ids(model)
+    assert len(example_ids(model)) == len(set(example_ids(model)))
 
 
 def test_toxicity_without_labels(spark):
