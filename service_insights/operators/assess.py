@@ -1,10 +1,10 @@
 """From a scored frame to one row per (service, component), and the checks
 around that step. All row-local work uses built-in and higher-order
-functions; the only shuffles are the keyed aggregations (dedupe, counts),
-which combine map-side before they shuffle."""
+functions; the only shuffles are those of keyed operators (dedupe, counts),
+which reduce the rows map-side before they shuffle."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES
@@ -84,31 +84,15 @@ def restrict_components(rows: DataFrame, selected: list[str] | DataFrame) -> Dat
     return rows.filter(F.col("component_key").isin(*selected))
 
 
-def order_key(seq: Column, pos: Column) -> Column:
-    """One number for 'later wins': run (below 2^21), then position in the
-    answer (below 2^20; larger ones are an error), then a hash of the text, so
-    that rows of one run and position have an order too. A fixed-width number
-    keeps the aggregation a hash aggregation."""
-    text = F.xxhash64(F.coalesce(F.col("classification"), F.lit("\0")),
-                      F.coalesce(F.col("reasoning"), F.lit("\0")))
-    key = seq.cast("long") * (1 << 42) + pos.cast("long") * (1 << 22) + F.pmod(text, F.lit(1 << 22))
-    return F.when((seq >= 1 << 21) | (pos >= 1 << 20), F.raise_error(F.lit("run or position too large")).cast("long")) \
-        .otherwise(key)
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per group of ``keys`` (NULL keys form a group): the last by the
+    ``order`` columns, compared one after the other, NULL before any value.
 
-
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The rows of the highest ``order`` in each group of ``keys`` (NULL keys
-    form a group; rows alike in all columns are one).
-
-    Only keys and the number are aggregated, and combined before the shuffle;
-    the winners are then picked by a semi-join, whose large side keeps its
-    rows where they are if the keys' table is small, and can be split by AQE
-    if one key is hot."""
-    top = rows.groupBy(*keys).agg(F.max(order).alias("_top"))
-    on = F.col(f"_r.{order}") == F.col("_t._top")
-    for k in keys:
-        on = on & F.col(f"_r.{k}").eqNullSafe(F.col(f"_t.{k}"))
-    return rows.alias("_r").join(top.alias("_t"), on, "left_semi").distinct()
+    A window with a limit of one row: Spark cuts each map task's rows down to
+    one per key before the exchange, so the payload is shuffled once, and a
+    hot key sends no more rows than there are map tasks."""
+    last_first = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return rows.withColumn("_place", F.row_number().over(last_first)).where("_place = 1").drop("_place")
 
 
 def dedupe_latest(rows: DataFrame, seq_col: str | None = None, pos_col: str = "pos",
@@ -116,12 +100,13 @@ def dedupe_latest(rows: DataFrame, seq_col: str | None = None, pos_col: str = "p
     """One row per (service_id, component_key): the later one wins.
 
     'Later' is (``seq_col``, ``pos_col``): run order, then position in the
-    answer. For stored rows: they are read once for the keys and once for the
-    payload."""
+    answer, of any size; a NULL run or position comes before all others. Rows
+    of one run and position are ordered by class, then reasoning."""
     cols = ["classification", "reasoning", *(extra or [])]
     seq = F.col(seq_col) if seq_col else F.lit(0)
-    keyed = rows.select("service_id", "component_key", *cols, order_key(seq, F.col(pos_col)).alias("_o"))
-    return latest(keyed, ["service_id", "component_key"], "_o").select("service_id", "component_key", *cols)
+    keyed = rows.select("service_id", "component_key", *cols, seq.alias("_run"), F.col(pos_col).alias("_pos"))
+    return latest(keyed, ["service_id", "component_key"], ["_run", "_pos", "classification", "reasoning"]) \
+        .select("service_id", "component_key", *cols)
 
 
 def parse_status(scored: DataFrame) -> DataFrame:

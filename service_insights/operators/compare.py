@@ -6,42 +6,41 @@ per key; a missing row counts as a NULL class; ``differs`` is NULL-safe
 inequality of the classes; notes come from A when A has the service's key,
 else B.
 
-Plan: each side's winners are found over keys and order numbers alone (hash
-aggregation, combined before the shuffle); the winners meet in one full outer
-join. Notes are not carried with every component: they are reduced to one row
-per service and side, and joined to the result.
+Plan: each side is shuffled once, by the whole key, after a limit of one row per
+key and map task; the join finds both sides where the windows left them. The key
+is one struct, equal where its fields are, NULLs included, so it is a plain join
+key. After the windows a key has one row a side: a hot service (0 stands for
+every NULL id in stored runs) is spread over the tasks by its components, and has
+no copies left for the join to pile up. Notes are not carried with every
+component: they are reduced to one row per service and side, and joined to the
+result.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .assess import latest, order_key
+from .assess import latest
 
 _KEYS = ["service_id", "component_key"]
 
 
-def _winners(rows: DataFrame, seq_col: str | None) -> DataFrame:
+def _winners(rows: DataFrame, seq_col: str | None, side: str) -> DataFrame:
     seq = F.col(seq_col) if seq_col else F.lit(0)
-    keyed = rows.select(*_KEYS, "classification", "reasoning", order_key(seq, F.col("pos")).alias("_o"))
-    return latest(keyed, _KEYS, "_o").select(*_KEYS, "classification", "reasoning")
+    keyed = rows.select(F.struct(*_KEYS).alias("_key"), "classification", "reasoning", seq.alias("_run"), F.col("pos").alias("_pos"))
+    return latest(keyed, ["_key"], ["_run", "_pos", "classification", "reasoning"]) \
+        .select("_key", F.lit(True).alias(f"in_{side}"), F.col("classification").alias(f"{side}_classification"),
+                F.col("reasoning").alias(f"{side}_reasoning"))
 
 
 def compare_keyed(a_rows: DataFrame, b_rows: DataFrame, seq_col: str | None = None) -> DataFrame:
     """The comparison without notes. Both frames need service_id,
     component_key, classification, reasoning and pos (place in the answer)."""
-    a, b = _winners(a_rows, seq_col).alias("a"), _winners(b_rows, seq_col).alias("b")
-    on = F.col("a.service_id").eqNullSafe(F.col("b.service_id")) \
-        & F.col("a.component_key").eqNullSafe(F.col("b.component_key"))
-    a = a.withColumn("_in", F.lit(True)).alias("a")
-    both = a.join(b, on, "full_outer")
-    has_a = F.col("a._in").isNotNull()
+    both = _winners(a_rows, seq_col, "a").join(_winners(b_rows, seq_col, "b"), "_key", "full_outer")
     return both.select(
-        *[F.when(has_a, F.col(f"a.{k}")).otherwise(F.col(f"b.{k}")).alias(k) for k in _KEYS],
-        has_a.alias("in_a"),
-        F.col("a.classification").alias("a_classification"), F.col("a.reasoning").alias("a_reasoning"),
-        F.col("b.classification").alias("b_classification"), F.col("b.reasoning").alias("b_reasoning"),
-        (~F.col("a.classification").eqNullSafe(F.col("b.classification"))).alias("differs"))
+        *[F.col(f"_key.{k}").alias(k) for k in _KEYS],
+        F.col("in_a").isNotNull().alias("in_a"), "a_classification", "a_reasoning", "b_classification", "b_reasoning",
+        (~F.col("a_classification").eqNullSafe(F.col("b_classification"))).alias("differs"))
 
 
 def with_notes(compared: DataFrame, a_notes: DataFrame, b_notes: DataFrame | None = None) -> DataFrame:

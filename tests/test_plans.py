@@ -1,6 +1,8 @@
 """Physical plan checks: where the exchange sits, Python only where needed,
 pruned scans, one model call per row."""
-from service_insights.operators import scoring
+from pyspark.sql import functions as F
+
+from service_insights.operators import assess, compare, scoring
 from service_insights.plans import pipelines, queries
 from service_insights.sources import fixtures, registry
 
@@ -88,10 +90,37 @@ def test_full_run_fan_out_starts_no_job(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) == before
 
 
-def test_keyed_operators_aggregate_no_payload(spark):
+def test_keyed_operators_shuffle_their_payload_once(spark):
+    """A limit of one row a key below each exchange, and no exchange between the windows and the join."""
+    rows = spark.range(1000).selectExpr("id % 10 AS service_id", "'tires' AS component_key", "'Good' AS classification",
+                                        "repeat('x', 20) AS reasoning", "cast(id as int) AS pos")
+    plan = _plan(assess.dedupe_latest(rows))
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Range (") == 1, plan
+    assert plan.rfind("WindowGroupLimit") > plan.find("Exchange hashpartitioning"), plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(compare.compare_keyed(rows, rows.withColumn("reasoning", F.lit("y"))))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("WindowGroupLimit") == 4 and "FullOuter" in plan, plan
     for name in ["dedupe_stored", "compare_stored"]:
         plan = _plan(queries.QUERIES[name](spark, SF0001))
-        assert "SortAggregate" not in plan, name
+        assert "SortAggregate" not in plan and "WindowGroupLimit" in plan, name
+
+
+def test_hot_service_is_no_hot_task(spark):
+    """Half the rows on one id: what is left after the map tasks' limit is a row a key and task, over all tasks."""
+    rows = spark.range(40_000).selectExpr("if(id % 2 = 0, 0, id) AS service_id", "concat('c', id % 24) AS component_key", "'Good' AS classification",
+                                          "cast(id as string) AS reasoning", "id AS pos").repartition(8)
+    other = rows.withColumn("classification", F.lit("Urgent"))
+    out = compare.compare_keyed(rows, other)
+    assert out.count() == 20_000 + 12 and out.where("differs").count() == 20_012
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in compare.compare_keyed(rows, other).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 1.5 * sorted(sizes)[len(sizes) // 2], sizes
 
 
 def test_insert_only_merge_does_not_move_the_target(spark):
