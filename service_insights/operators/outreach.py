@@ -86,12 +86,23 @@ def template_email() -> Column:
               "\n\nBest regards,\nYour service team"))
 
 
-def followup_emails(findings: DataFrame, drafter=None, partitions: int | None = None) -> DataFrame:
+def followup_emails(findings: DataFrame, drafter=None, partitions: int | None = None,
+                    error_col: str | None = None, ledger=None) -> DataFrame:
     """Add ``custom_email`` to every urgent visit: the template, or a model
-    call per visit through ``drafter`` (an EndpointScorer in text mode)."""
+    call per visit through ``drafter`` (an EndpointScorer in text mode).
+
+    ``error_col`` tells why a draft is missing (NULL where there is one, and
+    where a NULL part leaves no prompt to send). With a ``ledger`` each prompt
+    is sent once, however often this runs."""
     if drafter is None:
-        return findings.withColumn("custom_email", template_email())
-    from .scoring import score_python
+        out = findings.withColumn("custom_email", template_email())
+        return out.withColumn(error_col, F.lit(None).cast("string")) if error_col else out
     prompted = findings.withColumn("_prompt", email_prompt())
-    return score_python(prompted, drafter.client, "_prompt", partitions,
-                        out_col="custom_email").drop("_prompt")
+    if ledger is not None:
+        from .ledger import answered
+        drafted = answered(prompted, ledger, drafter, "_prompt", out_col="custom_email", error_col="_error", partitions=partitions)
+        drafted = drafted.withColumn(error_col, F.col("_error")) if error_col else drafted
+        return drafted.drop("_prompt", "_error")
+    from .scoring import score_python
+    return score_python(prompted, drafter.client, "_prompt", partitions, out_col="custom_email", error_col=error_col,
+                        per_second=getattr(drafter, "per_second", 0.0)).drop("_prompt")

@@ -26,8 +26,10 @@ import urllib.parse
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,6 +80,82 @@ class ClientError(Exception):
     """The endpoint refused the request; the same request would fail again."""
 
 
+class Throttled(OSError):
+    """The endpoint asks for a pause (429, 503): ``after`` seconds, None if it didn't say."""
+
+    def __init__(self, why: str, after: float | None = None):
+        super().__init__(why)
+        self.after = after
+
+
+def retry_after(value: str | None, now: float | None = None) -> float | None:
+    """Seconds of a Retry-After header: a number, or a date (then from ``now``, epoch seconds)."""
+    if not value:
+        return None
+    try:
+        return max(0.0, float(value))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(value).timestamp() - (time.time() if now is None else now))
+    except (TypeError, ValueError):
+        return None
+
+
+class Pace:
+    """Turns of one worker's calls, at least ``gap`` seconds apart, whatever tasks the worker runs one after the other.
+
+    The first turn comes after ``offset``, so that the workers of a stage don't all begin at once."""
+
+    def __init__(self, gap: float, offset: float = 0.0):
+        self.lock, self.gap = threading.Lock(), gap
+        self.due = time.monotonic() + offset
+
+    def wait(self) -> None:
+        with self.lock:
+            at = max(time.monotonic(), self.due)
+            self.due = at + self.gap
+        time.sleep(max(0.0, at - time.monotonic()))
+
+    def hold(self, seconds: float) -> None:
+        """No turn before then."""
+        with self.lock:
+            self.due = max(self.due, time.monotonic() + seconds)
+
+
+_PACES: dict[tuple, Pace] = {}
+
+
+def pace(url: str, model: str, per_second: float, slots: int) -> Pace:
+    """This worker's turns for an endpoint: its share of the budget. They outlive a task: the next one in this worker waits for them too."""
+    key = (url, model, per_second, slots)
+    if key not in _PACES:
+        task = TaskContext.get()
+        gap = slots / per_second
+        # The tasks that start together begin one after the other, none before its first turn is due.
+        _PACES[key] = Pace(gap, gap * (1 + task.partitionId() % slots) / slots if task else 0.0)
+    return _PACES[key]
+
+
+def task_slots(spark: SparkSession, partitions: int | None = None) -> int:
+    """Tasks that can run at a time: executors by cores where the session tells, no more than there are ``partitions``.
+
+    Executors that come and go count by their highest number; without one, every partition counts."""
+    def setting(name: str) -> int | None:
+        value = spark.conf.get(name, None)
+        return int(value) if value and value.isdigit() else None
+
+    cores = (setting("spark.executor.cores") or 1) // (setting("spark.task.cpus") or 1) or 1
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        most = setting("spark.dynamicAllocation.maxExecutors")
+        slots = most * cores if most else None
+    elif setting("spark.executor.instances"):
+        slots = setting("spark.executor.instances") * cores
+    else:
+        slots = spark.sparkContext.defaultParallelism
+    return max(1, min(x for x in (slots, partitions, 1 << 20) if x))
+
+
 def post_json(url: str, headers: dict, timeout_s: float) -> Callable[[dict], dict]:
     """Sends a body and returns the answer, over one kept connection per thread."""
     at = urllib.parse.urlsplit(url)
@@ -95,7 +173,9 @@ def post_json(url: str, headers: dict, timeout_s: float) -> Callable[[dict], dic
             kept.conn.close()
             kept.conn = None
             raise
-        if 400 <= got.status < 500 and got.status not in (408, 429):
+        if got.status in (429, 503):
+            raise Throttled(f"{got.status} {got.reason}", retry_after(got.getheader("Retry-After")))
+        if 400 <= got.status < 500 and got.status != 408:
             raise ClientError(f"{got.status} {got.reason}")
         if got.status >= 300:
             raise OSError(f"{got.status} {got.reason}")
@@ -109,10 +189,13 @@ class EndpointScorer:
     """Chat-completions endpoint (a JSON API over HTTP).
 
     A picklable factory: ``client()`` runs once per task on the executor and
-    returns ``list[str | None] -> list[(text, error)]``. A NULL input is not
-    sent. A failed call gives (NULL, why); refused requests (4xx) are not
-    tried again. ``concurrency`` calls are open at a time in a task, at most
-    ``per_second`` of them started each second (0: no limit). ``transport``
+    returns a :class:`Calls`: ``list[str | None] -> list[(text, error)]``. A
+    NULL input is not sent. A failed call gives (NULL, why); refused requests
+    (4xx) are not tried again; an endpoint that asks for a pause gets it, and
+    the worker's other calls wait too (a pause of more than ``max_pause``
+    seconds is a failure). ``concurrency`` calls are open at a time in a task.
+    ``per_second`` is the budget of the whole job (0: no limit); a task keeps
+    to its share of it, ``client(slots)`` of ``slots`` tasks. ``transport``
     replaces the HTTP call: a picklable function from a body to an answer.
     """
     url: str
@@ -126,6 +209,7 @@ class EndpointScorer:
     timeout_s: float = 60.0
     concurrency: int = 4
     per_second: float = 0.0
+    max_pause: float = 300.0
     transport: Callable[[dict], dict] | None = None
 
     def body(self, text: str) -> dict:
@@ -136,39 +220,48 @@ class EndpointScorer:
             out["response_format"] = self.response_format
         return out
 
-    def client(self) -> Callable[[list[str | None]], list[tuple[str | None, str | None]]]:
+    def client(self, slots: int = 1) -> Calls:
         headers = {"Content-Type": "application/json"}
         if self.token:
             headers["Authorization"] = f"Bearer {self.token}"
         send = self.transport or post_json(self.url, headers, self.timeout_s)
-        lock, due = threading.Lock(), [0.0]
-
-        def wait_turn() -> None:
-            if self.per_second > 0:
-                with lock:
-                    now = time.monotonic()
-                    due[0] = max(now, due[0]) + 1 / self.per_second
-                    pause = due[0] - 1 / self.per_second - now
-                time.sleep(max(0.0, pause))
+        turns = pace(self.url, self.model, self.per_second, slots) if self.per_second > 0 else Pace(0.0)
 
         def one(text: str | None) -> tuple[str | None, str | None]:
             if text is None:
                 return None, None
             why = "no try"
             for attempt in range(self.retries):
-                if attempt:
-                    time.sleep(2 ** (attempt - 1))
                 try:
-                    wait_turn()
+                    turns.wait()
                     return send(self.body(text))["choices"][0]["message"]["content"], None
                 except ClientError as e:
                     return None, f"refused: {e}"
+                except Throttled as e:
+                    why = f"{type(e).__name__}: {e}"
+                    if e.after is not None and e.after > self.max_pause:
+                        break
+                    turns.hold(2 ** attempt if e.after is None else e.after)
                 except Exception as e:  # noqa: BLE001 - tried again, then reported
                     why = f"{type(e).__name__}: {e}"
+                    if attempt + 1 < self.retries:
+                        time.sleep(2 ** attempt)
             return None, f"failed: {why}"
 
-        pool = ThreadPoolExecutor(max(1, self.concurrency))
-        return lambda batch: list(pool.map(one, batch))
+        return Calls(one, max(1, self.concurrency))
+
+
+class Calls:
+    """A task's calls, some at a time; ``close`` ends its threads."""
+
+    def __init__(self, one: Callable, concurrency: int):
+        self.one, self.pool = one, ThreadPoolExecutor(concurrency)
+
+    def __call__(self, batch: list[str | None]) -> list[tuple[str | None, str | None]]:
+        return list(self.pool.map(self.one, batch))
+
+    def close(self) -> None:
+        self.pool.shutdown(wait=False, cancel_futures=True)
 
 
 def scoring_options(n_keys: int, tokens_per_key: int = SCORING_OPTIONS["max_tokens"]) -> dict:
@@ -200,6 +293,9 @@ class CannedScorer:
     default: str | None = None
     calls: object = None
 
+    def body(self, text: str) -> dict:
+        return {"canned": sorted(self.answers.items()), "default": self.default, "text": text}
+
     def client(self) -> Callable[[list[str | None]], list[tuple[str | None, str | None]]]:
         answers, default, calls = self.answers, self.default, self.calls
 
@@ -223,24 +319,31 @@ def sample_partitions(limit: int, most: int = MAX_TEST_PARTITIONS) -> int:
 
 def score_python(df: DataFrame, factory: Callable[[], Callable[[list], list]],
                  notes_col: str = "service_performed", partitions: int | None = None,
-                 out_col: str = "raw", error_col: str | None = None) -> DataFrame:
+                 out_col: str = "raw", error_col: str | None = None, per_second: float = 0.0) -> DataFrame:
     """Call a Python scorer over ``notes_col``; adds a string column, and with
     ``error_col`` why a call gave none. All other columns pass untouched.
 
+    With a budget of calls ``per_second`` the factory is told how many tasks
+    can run at a time, among which the scorer divides it.
+
     The exchange sits below ``mapInArrow`` (not above it, as a SQL
     REPARTITION hint on the projection would place it)."""
     if partitions:
         df = df.repartition(int(partitions))
     added = [out_col, *([error_col] if error_col else [])]
     out_schema = T.StructType(df.schema.fields + [T.StructField(c, T.StringType()) for c in added])
+    shared = {"slots": task_slots(df.sparkSession, partitions)} if per_second > 0 else {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = factory()
-        for batch in batches:
-            notes = batch.column(batch.schema.get_field_index(notes_col)).to_pylist()
-            got = call(notes)
-            new = [pa.array([g[k] for g in got], pa.string()) for k in range(len(added))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+        call = factory(**shared)
+        try:
+            for batch in batches:
+                notes = batch.column(batch.schema.get_field_index(notes_col)).to_pylist()
+                got = call(notes)
+                new = [pa.array([g[k] for g in got], pa.string()) for k in range(len(added))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
+        finally:
+            getattr(call, "close", lambda: None)()
 
     return df.mapInArrow(run, out_schema)
 
@@ -269,5 +372,6 @@ def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service
             return out.drop(*added)
         out = base.withColumn(raw_col, scorer.raw(keys)).drop(*added)
     else:
-        out = score_python(df, scorer.client, notes_col, partitions, out_col=raw_col, error_col=error_col)
+        out = score_python(df, scorer.client, notes_col, partitions, out_col=raw_col, error_col=error_col,
+                           per_second=getattr(scorer, "per_second", 0.0))
     return parsed(out, clean, result_col, raw_col)

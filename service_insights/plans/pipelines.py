@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import COMPONENT_KEYS, SEED_COMPONENTS
 from ..functions.json_text import output_prefix
 from ..functions.rules import BALANCED, STRICT, Thresholds, with_signals
-from ..operators import answers, assess, outreach, scoring
+from ..operators import answers, assess, ledger, outreach, scoring
 from ..sources import catalog, registry
 
 
@@ -123,40 +123,52 @@ def recommendations(service: DataFrame, config: Config, scorer=None,
 
 
 def full_run(spark: SparkSession, service: DataFrame, vehicle: DataFrame, customer: DataFrame,
-             config: Config, out_dir: str, scorer=None, drafter=None,
-             partitions: int | None = None, max_failed: float = 0.0) -> dict:
-    """C5: score the whole table, keep the answers, publish recommendations,
-    then draft one email per urgent visit and write those.
-
-    Every answer is written first, raw and with the error of a failed call, so
-    that the model is called once per row whatever follows. Where more than
-    ``max_failed`` of the sent rows have no answer, nothing is published: the
-    last good tables stay, and the answers are there to look at."""
-    prefix = spark.range(1).select(output_prefix(F.lit(config.name), F.lit(config.config_id))) \
-        .first()[0]
+             config: Config, out_dir: str, scorer=None, drafter=None, partitions: int | None = None,
+             max_failed: float = 0.0, database: str = "default", slices: int = ledger.SLICES) -> dict:
+    """C5: score the whole table, draft one email per urgent visit, and publish
+    answers, recommendations and emails as tables of ``database``.
+
+    What a model answers goes to a ledger below ``out_dir`` first, slice by
+    slice. A run that was killed or refused half-way is run again: it sends only
+    what has no answer yet. Where more than ``max_failed`` of the sent rows (or
+    drafts) have no answer, nothing is published: the last good tables stay, and
+    the ledger tells why. All three tables are written to fresh folders before
+    the first of them is switched over, one catalog change each."""
+    prefix = spark.range(1).select(output_prefix(F.lit(config.name), F.lit(config.config_id))).first()[0]
     base = f"{out_dir.rstrip('/')}/{prefix}"
-    scorer = scorer or scoring.RuleScorer(config.thresholds, as_text=True)
-    if partitions is None and not isinstance(scorer, scoring.RuleScorer):
+    names = {what: f"{database}.`{prefix}_{what}`" for what in ("answers", "recommendations", "emails")}
+    paid = scorer is not None and not isinstance(scorer, scoring.RuleScorer)
+    if partitions is None and (paid or drafter is not None):
         partitions = scoring.full_run_partitions(spark)
     rows = service.select("service_id", "vehicle_id", "service_performed",
                           assess.flagged_array().alias("flagged_components"))
-    scored = scoring.score(rows, config.keys, scorer, partitions=partitions, error_col="error")
-    scored.drop("result").write.mode("overwrite").parquet(f"{base}_answers")
-    kept = scoring.parsed(spark.read.parquet(f"{base}_answers"))
+    if paid:
+        raw = ledger.answered(rows, ledger.Ledger(spark, f"{base}_ledger"), scorer, "service_performed", partitions=partitions, slices=slices)
+    else:
+        raw = scoring.score(rows, config.keys, scorer or scoring.RuleScorer(config.thresholds, as_text=True)).drop("result")
+        raw = raw.withColumn("error", F.lit(None).cast("string"))
+    staged = {"answers": registry.stage(raw, f"{base}_answers")}
+    kept = scoring.parsed(spark.read.parquet(staged["answers"]))
     status = {r["status"]: r["services"] for r in assess.parse_status(
         kept.where("service_performed is not null")).collect()}
-    sent, failed = sum(status.values()), status.get("no_answer", 0)
+    _enough(status.get("no_answer", 0), sum(status.values()), max_failed, "calls", f"{base}_ledger")
+    recs = assess.explode_assessments(kept, keep=["service_id", "vehicle_id", "service_performed"])
+    staged["recommendations"] = registry.stage(recs, f"{base}_recommendations")
+    findings = outreach.urgent_findings(spark.read.parquet(staged["recommendations"]), vehicle, customer)
+    drafts = ledger.Ledger(spark, f"{base}_drafts") if drafter is not None else None
+    staged["emails"] = registry.stage(outreach.followup_emails(findings, drafter, partitions, "error", drafts), f"{base}_emails")
+    emails = spark.read.parquet(staged["emails"])
+    drafted = emails.agg(F.count("*").alias("n"), F.count("error").alias("failed")).first()
+    _enough(drafted["failed"], drafted["n"], max_failed, "drafts", f"{base}_drafts")
+    for what, path in staged.items():
+        registry.switch(spark, names[what], path)
+    return {**names, "status": status, "n_recommendations": spark.table(names["recommendations"]).count(),
+            "n_emails": drafted["n"], "failed_drafts": drafted["failed"]}
+
+
+def _enough(failed: int, sent: int, max_failed: float, what: str, where: str) -> None:
     if failed > max_failed * sent:
-        raise RuntimeError(f"{failed} of {sent} calls gave no answer; nothing was published ({base}_answers has them)")
-    rec_path, emails_path = f"{base}_recommendations", f"{base}_emails"
-    assess.explode_assessments(kept, keep=["service_id", "vehicle_id", "service_performed"]) \
-        .write.mode("overwrite").parquet(rec_path)
-    recs = spark.read.parquet(rec_path)
-    findings = outreach.urgent_findings(recs, vehicle, customer)
-    outreach.followup_emails(findings, drafter, partitions).write.mode("overwrite").parquet(emails_path)
-    return {"answers": f"{base}_answers", "status": status,
-            "recommendations": rec_path, "n_recommendations": recs.count(),
-            "emails": emails_path, "n_emails": spark.read.parquet(emails_path).count()}
+        raise RuntimeError(f"{failed} of {sent} {what} gave no answer; nothing was published ({where} has them)")
 
 
 def persist_run(spark: SparkSession, rows: DataFrame, out_dir: str, config: Config, limit: int | None,

@@ -9,6 +9,8 @@ bound); above it the same plan runs as a sort-merge join.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,17 +67,20 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace_table(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """Overwrite a catalog table with ``df`` even when ``df`` reads it: the
-    new table is written beside it, the old one is set aside by a rename, and
-    goes only when the new one is in place. After a crash between the two
-    renames the old rows are in ``<name>__last`` and the next call puts them
-    back first."""
-    new, last = f"{name}__next", f"{name}__last"
+def _put_back(spark: SparkSession, name: str) -> None:
+    """After a crash between two renames the old rows are in ``<name>__last``: they get their name again."""
+    last = beside(name, "last")
     if spark.catalog.tableExists(last) and not spark.catalog.tableExists(name):
         spark.sql(f"ALTER TABLE {last} RENAME TO {name}")
-    spark.sql(f"DROP TABLE IF EXISTS {new}")
-    df.write.mode("overwrite").saveAsTable(new)
+
+
+def beside(name: str, what: str) -> str:
+    """``db.table`` -> ``db.table__what``, within the quotes of the last part if it has any."""
+    return f"{name[:-1]}__{what}`" if name.endswith("`") else f"{name}__{what}"
+
+
+def _swap(spark: SparkSession, name: str, new: str) -> None:
+    last = beside(name, "last")
     spark.sql(f"DROP TABLE IF EXISTS {last}")
     if spark.catalog.tableExists(name):
         spark.sql(f"ALTER TABLE {name} RENAME TO {last}")
@@ -83,6 +88,59 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {last}")
 
 
+def replace_table(spark: SparkSession, name: str, df: DataFrame) -> None:
+    """Overwrite a catalog table with ``df`` even when ``df`` reads it: the
+    new table is written beside it, the old one is set aside by a rename, and
+    goes only when the new one is in place. After a crash between the two
+    renames the next call puts the old rows back first."""
+    _put_back(spark, name)
+    new = beside(name, "next")
+    spark.sql(f"DROP TABLE IF EXISTS {new}")
+    df.write.mode("overwrite").saveAsTable(new)
+    _swap(spark, name, new)
+
+
+def stage(df: DataFrame, folder: str) -> str:
+    """Writes ``df`` to a fresh folder below ``folder``, which no table shows yet."""
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def switch(spark: SparkSession, name: str, path: str) -> None:
+    """Makes a table show the rows of a staged folder, by one change of its
+    location: a reader sees the old rows or the new ones. A table whose columns
+    change is swapped by renames instead, and put back first after a crash
+    between them. Old folders stay, for readers still on them."""
+    _put_back(spark, name)
+    schema = spark.read.parquet(path).schema
+    columns = lambda s: [(f.name, f.dataType) for f in s.fields]
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, path, "parquet", schema)
+    elif columns(spark.table(name).schema) == columns(schema):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{path.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}'")
+        spark.catalog.refreshTable(name)
+    else:
+        new = beside(name, "next")
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        spark.catalog.createTable(new, path, "parquet", schema)
+        _swap(spark, name, new)
+
+
+def publish(spark: SparkSession, name: str, df: DataFrame, folder: str) -> str:
+    """S5, S6: overwrite or create a table; ``df`` may read it. If the write
+    fails, the table shows what it showed before."""
+    path = stage(df, folder)
+    switch(spark, name, path)
+    return path
+
+
+def location(spark: SparkSession, name: str) -> str:
+    """The folder that a table shows."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
+
+
 def create_if_missing(spark: SparkSession, database: str, tables: dict) -> list[str]:
     """S7: the database and each missing table of (name -> schema); existing
     tables stay as they are. Returns the names created."""

@@ -88,22 +88,34 @@ def _tables(spark):
     return fixtures.service(spark, SF0001), fixtures.vehicle(spark, SF0001), fixtures.customer(spark, SF0001)
 
 
-def test_full_run_keeps_answers_and_publishes(spark, tmp_path):
+@pytest.fixture()
+def database(spark):
+    name = "model_path_test"
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+    spark.sql(f"CREATE DATABASE {name}")
+    yield name
+    spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
+
+
+def test_full_run_keeps_answers_and_publishes(spark, tmp_path, database):
     service, vehicle, customer = _tables(spark)
     cfg = CFG["balanced"]
     acc = spark.sparkContext.accumulator(0)
     scorer = scoring.CannedScorer({}, default=json.dumps(ONE), calls=acc)
-    out = pipelines.full_run(spark, service, vehicle, customer, cfg, str(tmp_path), scorer, partitions=4)
+    out = pipelines.full_run(spark, service, vehicle, customer, cfg, str(tmp_path), scorer, partitions=4, database=database)
     n = service.count()
     assert acc.value == n == out["n_recommendations"] and out["status"] == {"ok": n}
-    assert spark.read.parquet(out["answers"]).count() == n
-    assert cfg.config_id in out["recommendations"] and out["n_emails"] > 0
+    assert spark.table(out["answers"]).count() == n
+    assert cfg.config_id in out["recommendations"] and out["n_emails"] > 0 == out["failed_drafts"]
     # a model that is down publishes nothing and loses nothing
     with pytest.raises(RuntimeError, match="nothing was published"):
-        pipelines.full_run(spark, service, vehicle, customer, cfg, str(tmp_path), scoring.CannedScorer({}), partitions=4)
-    assert spark.read.parquet(out["recommendations"]).count() == n
+        pipelines.full_run(spark, service, vehicle, customer, cfg, str(tmp_path), scoring.CannedScorer({}), partitions=4, database=database)
+    assert spark.table(out["recommendations"]).count() == n
+    # run again, it sends nothing
+    again = pipelines.full_run(spark, service, vehicle, customer, cfg, str(tmp_path), scorer, partitions=4, database=database)
+    assert acc.value == n and again == out
     # rules need no model
-    assert pipelines.full_run(spark, service, vehicle, customer, CFG["strict"], str(tmp_path))["n_recommendations"] == 2 * n
+    assert pipelines.full_run(spark, service, vehicle, customer, CFG["strict"], str(tmp_path), database=database)["n_recommendations"] == 2 * n
 
 
 def test_limit_zero_gives_no_rows(spark):
