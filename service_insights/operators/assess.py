@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CLASSES
+from ..functions import json_text
 from ..functions.arrays import explode_rows  # noqa: F401 (re-exported)
 
 CATCH_CLASSES = ["Urgent", "Upcoming"]
@@ -125,6 +126,49 @@ def parse_status(scored: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("services"), F.sum("n").cast("long").alias("assessments")))
 
 
+#: A flat JSON object, its strings understood (possessive: no way back, whatever the length).
+_ENTRY = r'\{[^{}"]*+(?:"(?:[^"\\]++|\\.)*+"[^{}"]*+)*+\}'
+#: What an answer begins with, up to its list.
+_HEAD = r'^\s*+\{\s*+"assessments"\s*+:\s*+\['
+
+
+def answer_faults(df: DataFrame, raw_col: str = "raw", keep: tuple[str, ...] = ("service_id",)) -> DataFrame:
+    """Why an answer's text gives no rows, and how far it is whole: ``fault``,
+    ``whole_entries`` (before the first broken one) and ``broken_at`` (its place, from 0).
+
+    no_answer (NULL), prose (no JSON at all), fenced (in a code fence: the entries
+    counted are those inside), truncated (the text ends before its list does),
+    bad_json, wrong_shape (JSON, but no list of objects under ``assessments``),
+    empty (an empty list) and ok. Entries of valid JSON are objects of the list;
+    in broken text they are read one after the other from its beginning."""
+    text = F.col(raw_col)
+    fenced = F.coalesce(text.rlike(r"^\s*+```"), F.lit(False))
+    # Each step its own projection: the later ones use the earlier ones' columns more than once.
+    rows = df.select(*keep, text.alias("_raw"), fenced.alias("_fenced"), F.when(fenced, json_text.strip_fence(text)).otherwise(text).alias("_text"))
+    rows = rows.withColumn("_json", F.try_parse_json("_text"))
+    rows = rows.withColumn("_list", F.try_variant_get("_json", "$.assessments", "array<variant>"))
+    rows = rows.withColumn("_odd", F.array_position(F.transform("_list", lambda e: F.startswith(F.coalesce(F.schema_of_variant(e), F.lit("")), F.lit("OBJECT"))), False))
+    body = F.regexp_replace("_text", _HEAD, "")
+    rows = rows.withColumn("_body", F.when(F.col("_json").isNull() & F.col("_text").rlike(_HEAD), body))
+    # Whole entries in a row, each with the comma after it, or at the end of the list.
+    rows = rows.withColumn("_run", F.regexp_extract("_body", rf"^(?:\s*+{_ENTRY}\s*+(?:,|(?=\])|$))*+", 0))
+    rows = rows.withColumn("_entries", F.transform(F.regexp_extract_all("_run", F.lit(f"({_ENTRY})")), F.try_parse_json))
+    rows = rows.withColumn("_bad", F.array_position(F.transform("_entries", lambda e: e.isNull()), True))
+    rows = rows.withColumn("_whole", F.when(F.col("_bad") > 0, F.col("_bad") - 1).otherwise(F.size("_entries")))
+    # After the whole entries nothing: cut off between two of them.
+    cut = F.coalesce(F.trim(F.substr("_body", F.char_length("_run") + 1)) == "", F.lit(False))
+    n, odd = F.size("_list"), F.col("_odd") > 0
+    ends = F.col("_text").rlike(r"[}\]]\s*+$")
+    broken = (F.when(~F.col("_text").rlike(r"^\s*+[\[{]"), F.lit("prose")).when(ends & ~cut, F.lit("bad_json")).otherwise(F.lit("truncated")))
+    fault = (F.when(F.col("_raw").isNull(), F.lit("no_answer")).when(F.col("_fenced"), F.lit("fenced"))
+             .when(F.col("_json").isNull(), broken)
+             .when(F.col("_list").isNull() | odd, F.lit("wrong_shape"))
+             .when(n == 0, F.lit("empty")).otherwise(F.lit("ok")))
+    whole = F.when(odd, F.col("_odd") - 1).when(F.col("_list").isNotNull(), n).otherwise(F.coalesce("_whole", F.lit(0)))
+    place = F.when(odd, F.col("_odd") - 1).when(F.col("_body").isNotNull(), F.col("_whole"))
+    return rows.select(*keep, fault.alias("fault"), whole.cast("int").alias("whole_entries"), place.cast("int").alias("broken_at"))
+
+
 def contract_violations(scored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that break the answer contract: an expected key missing, a key
     not asked for, or a class outside the enum. Row-local (no join)."""

@@ -1,6 +1,9 @@
 """Summaries of assessment rows. Each is one group-by with map-side partial
 aggregation, so the shuffle carries at most (components x classes) rows per
-task regardless of input size or skew."""
+task regardless of input size or skew.
+
+With ``weight`` the rows are counts already (``sources.run_counts``), of that
+many rows each."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,19 +17,26 @@ def _or_unknown(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(UNKNOWN))
 
 
-def distribution(rows: DataFrame) -> DataFrame:
+def _rows(weight: str | None, where: Column | None = None) -> Column:
+    """How many rows (that fulfil a condition)."""
+    if weight is None:
+        return F.count(F.lit(1)) if where is None else F.count_if(where)
+    return F.coalesce(F.sum(F.col(weight) if where is None else F.when(where, F.col(weight))), F.lit(0).cast("long"))
+
+
+def distribution(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """Counts by (component, class); NULL or empty becomes '?' for both."""
     return (rows.select(_or_unknown(F.col("component_key")).alias("component_key"),
-                        _or_unknown(F.col("classification")).alias("classification"))
+                        _or_unknown(F.col("classification")).alias("classification"), *([weight] if weight else []))
             .groupBy("component_key", "classification")
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(_rows(weight).alias("n")))
 
 
-def distribution_share(rows: DataFrame) -> DataFrame:
+def distribution_share(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """Share of each shown class within its component. The total counts
     every class (including '?'); only Urgent, Upcoming, Good are shown, in
     that order, and zero counts are absent."""
-    dist = distribution(rows)
+    dist = distribution(rows, weight)
     total = F.sum("n").over(Window.partitionBy("component_key"))
     order = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("classification"))
     return (dist.withColumn("total", total)
@@ -36,23 +46,22 @@ def distribution_share(rows: DataFrame) -> DataFrame:
                     order.cast("int").alias("class_order")))
 
 
-def distribution_pivot(rows: DataFrame) -> DataFrame:
+def distribution_pivot(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """One row per component with a count column per class (0 when absent),
     ``other`` for classes outside the enum (and '?'), and the total."""
     cls = _or_unknown(F.col("classification"))
     return (rows.select(_or_unknown(F.col("component_key")).alias("component_key"),
-                        cls.alias("c"))
+                        cls.alias("c"), *([weight] if weight else []))
             .groupBy("component_key")
-            .agg(*[F.count_if(F.col("c") == k).alias(k.lower()) for k in CLASSES],
-                 F.count_if(~F.col("c").isin(*CLASSES)).alias("other"),
-                 F.count(F.lit(1)).alias("total")))
+            .agg(*[_rows(weight, F.col("c") == k).alias(k.lower()) for k in CLASSES],
+                 _rows(weight, ~F.col("c").isin(*CLASSES)).alias("other"),
+                 _rows(weight).alias("total")))
 
 
-def catch_count(rows: DataFrame) -> DataFrame:
+def catch_count(rows: DataFrame, weight: str | None = None) -> DataFrame:
     """AI catches per component (not flagged, class Urgent or Upcoming)."""
     return (rows.groupBy("component_key")
-            .agg(F.count_if(is_catch(F.col("technician_flagged"), F.col("classification")))
-                  .alias("n_catches")))
+            .agg(_rows(weight, is_catch(F.col("technician_flagged"), F.col("classification"))).alias("n_catches")))
 
 
 def compare_summary(compared: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from ..constants import (AC_VENT_TEMPS, BATTERY_AGE_YEARS, BATTERY_VOLTS, COMPONENTS_PER_SERVICE,
+from ..constants import (AC_VENT_TEMPS, BATTERY_AGE_YEARS, BATTERY_VOLTS, CLASSES, COMPONENTS_PER_SERVICE,
                          DEMO_DATE, DEMO_SERVICE_TYPE, DEMO_SERVICES, FRONT_PAD_CHOICES, N_TECHNICIANS,
                          REAR_PAD_CHOICES, SERVICE_DAYS_BACK, SERVICES_PER_VEHICLE, TREAD_CHOICES,
                          VEHICLES_PER_CUSTOMER, COMPONENT_KEYS, CONTRACT_PREFIX, CONTRACT_SUFFIX,
@@ -539,6 +539,30 @@ urg AS (
 SELECT u.service_id, u.vehicle_id, c.customer_id, c.first_name, c.last_name, c.email, v.make, v.model, u.urgent_reasons
 FROM urg u JOIN veh v ON u.vehicle_id = v.vehicle_id JOIN cust c ON v.customer_id = c.customer_id
 WHERE v.o_orderdate < TIMESTAMP '1999-01-01 00:00:00'"""
+    out["answer_faults"] = _with(fixture_ctes(), clean) + """
+SELECT service_id,
+       CASE c WHEN 0 THEN 'no_answer' WHEN 1 THEN 'prose' WHEN 2 THEN 'truncated' WHEN 3 THEN 'empty' WHEN 4 THEN 'fenced' ELSE 'ok' END AS fault,
+       CAST(CASE WHEN c IN (0, 1, 3) THEN 0 WHEN c IN (2, 5) THEN 1 WHEN c IN (6, 8) THEN 3 ELSE 2 END AS INTEGER) AS whole_entries,
+       CAST(CASE WHEN c = 2 THEN 1 END AS INTEGER) AS broken_at FROM x_b"""
+    runs = _with(fixture_ctes(), clean, response_ctes(1, "y"), """
+r AS (SELECT coalesce(NULLIF(component_key, ''), '?') AS k, coalesce(NULLIF(classification, ''), '?') AS cl, component_key, classification FROM x WHERE c >= 4
+      UNION ALL SELECT coalesce(NULLIF(component_key, ''), '?'), coalesce(NULLIF(classification, ''), '?'), component_key, classification FROM y WHERE c >= 4)""")
+    out["runs_distribution"] = runs + f"""
+SELECT k AS component_key, cl AS classification, n, total, CAST(n AS DOUBLE) / total AS share,
+       CAST(list_position({lst(CLASSES)}, cl) AS INTEGER) AS class_order
+FROM (SELECT k, cl, CAST(count(*) AS BIGINT) AS n, CAST(sum(count(*)) OVER (PARTITION BY k) AS BIGINT) AS total FROM r GROUP BY k, cl)
+WHERE cl IN ({', '.join(lit(c) for c in CLASSES)})"""
+    out["runs_pivot"] = runs + f"""
+SELECT k AS component_key, {', '.join(f"count(*) FILTER (cl = {lit(c)}) AS {c.lower()}" for c in CLASSES)},
+       count(*) FILTER (cl NOT IN ({', '.join(lit(c) for c in CLASSES)})) AS other, count(*) AS total FROM r GROUP BY k"""
+    out["runs_catches"] = runs + """
+SELECT component_key, count(*) FILTER (classification IN ('Urgent', 'Upcoming')) AS n_catches FROM r GROUP BY component_key"""
+    out["upsert_stored"], out["insert_stored"], out["delete_stored"] = out["merge_upsert"], out["merge_insert_only"], out["delete_by_keys"]
+    out["urgent_findings_bucketed"] = out["urgent_findings_stored"]
+    out["stored_status"] = """
+SELECT 'customer' AS table_name, CAST(count(*) AS BIGINT) AS n, false AS ready FROM customer
+UNION ALL SELECT 'vehicle', count(*), false FROM orders UNION ALL SELECT 'technician', count(*), false FROM supplier
+UNION ALL SELECT 'service', NULL, false"""
     out["config_components"] = "WITH " + config_cte() + """
 SELECT config_id, CAST(n AS INTEGER) AS n, array_to_string(ks, ',') AS keys FROM cfg"""
     out["composed_prompts"] = "WITH " + config_cte() + f"""

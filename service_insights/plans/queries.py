@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_text, rules
 from ..operators import answers, assess, compare, outreach, prompts, scoring, summarize
-from ..sources import catalog, fixtures, generate, registry
+from ..sources import catalog, fixtures, generate, keyed, registry, run_counts, scratch
 from ..sources.tables import read_table
 from . import pipelines
 
@@ -221,6 +221,70 @@ def urgent_findings_stored(spark, sf):
     return outreach.urgent_findings(_stored(spark, sf), _vehicle_target(spark, sf), fixtures.customer(spark, sf))
 
 
+def answer_faults(spark, sf):
+    return assess.answer_faults(fixtures.responses(spark, sf))
+
+
+def _added_runs(spark, sf):
+    path = scratch.folder(spark, "run-counts")
+    for run in (0, 1):
+        run_counts.add(_stored(spark, sf, run), f"run-{run}", path)
+    return run_counts.read(spark, path)
+
+
+def runs_distribution(spark, sf):
+    """Two stored runs, each counted when it was added."""
+    return summarize.distribution_share(_added_runs(spark, sf), weight="n")
+
+
+def runs_pivot(spark, sf):
+    return summarize.distribution_pivot(_added_runs(spark, sf), weight="n")
+
+
+def runs_catches(spark, sf):
+    return summarize.catch_count(_added_runs(spark, sf), weight="n")
+
+
+def _vehicle_table(spark, rows):
+    table = keyed.KeyedTable(spark, scratch.folder(spark, "vehicle"), ["vehicle_id"])
+    table.create(rows)
+    return table
+
+
+def upsert_stored(spark, sf):
+    table = _vehicle_table(spark, _vehicle_target(spark, sf))
+    table.upsert(_vehicle_batch(spark, sf))
+    return table.read()
+
+
+def insert_stored(spark, sf):
+    table = _vehicle_table(spark, _vehicle_target(spark, sf))
+    table.insert_new(_vehicle_batch(spark, sf))
+    return table.read()
+
+
+def delete_stored(spark, sf):
+    table = _vehicle_table(spark, fixtures.vehicle(spark, sf))
+    table.delete(read_table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("vehicle_id")))
+    return table.read()
+
+
+def urgent_findings_bucketed(spark, sf, buckets: int = 16):
+    """Recommendations and vehicles stored by vehicle: neither the group-by nor the first join shuffles."""
+    def stored(rows, what):
+        path = scratch.folder(spark, what)
+        return keyed.store_bucketed(rows, path.rsplit("/", 1)[-1].replace("-", "_"), "vehicle_id", buckets, path)
+
+    recs = stored(_stored(spark, sf).select("service_id", "vehicle_id", "component_key", "classification", "reasoning"), "recommendations")
+    return outreach.urgent_findings(recs, stored(_vehicle_target(spark, sf), "vehicles"), fixtures.customer(spark, sf))
+
+
+def stored_status(spark, sf):
+    """Tables as they are stored, one of them missing."""
+    paths = {"customer": f"{sf}/customer.parquet", "vehicle": f"{sf}/orders.parquet", "technician": f"{sf}/supplier.parquet", "service": f"{sf}/service.parquet"}
+    return registry.stored_status(spark, paths)
+
+
 def config_components(spark, sf):
     c = fixtures.configs(spark, sf).select("config_id", json_text.config_components(F.col("components")).alias("c"))
     return c.select("config_id", F.size("c").alias("n"),
@@ -296,6 +360,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dedupe_stored": dedupe_stored,
     "compare_stored": compare_stored,
     "urgent_findings_stored": urgent_findings_stored,
+    "answer_faults": answer_faults,
+    "runs_distribution": runs_distribution,
+    "runs_pivot": runs_pivot,
+    "runs_catches": runs_catches,
+    "upsert_stored": upsert_stored,
+    "insert_stored": insert_stored,
+    "delete_stored": delete_stored,
+    "urgent_findings_bucketed": urgent_findings_bucketed,
+    "stored_status": stored_status,
     "config_components": config_components,
     "composed_prompts": composed_prompts,
     "default_prompts": default_prompts,

@@ -10,9 +10,12 @@ bound); above it the same plan runs as a sort-merge join.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..constants import SAMPLE_TABLES
 
@@ -63,8 +66,33 @@ def delete_by_keys(target: DataFrame, doomed: DataFrame, keys: list[str]) -> Dat
     return target.join(doomed.select(*keys), keys, "left_anti")
 
 
+def reconciled(df: DataFrame, stored: T.StructType) -> DataFrame:
+    """``df`` with the columns of a stored schema, by name whatever the case, in
+    its order. Columns it lacks are NULL; one that the table doesn't have, or of
+    another type, is an error."""
+    own = {f.name.lower(): f for f in df.schema.fields}
+    if len(own) < len(df.columns):
+        raise ValueError("two columns have one name")
+    known = {f.name.lower(): f for f in stored.fields}
+    extra = [f.name for k, f in own.items() if k not in known]
+    drift = [f"{f.name} is {own[k].dataType.simpleString()}, stored as {f.dataType.simpleString()}" for k, f in known.items() if k in own and not _same_type(own[k].dataType, f.dataType)]
+    if extra or drift:
+        raise ValueError("; ".join(["columns the table doesn't have: " + ", ".join(extra)] * bool(extra) + drift))
+    return df.select(*[(F.col(f"`{own[k].name}`") if k in own else F.lit(None).cast(f.dataType)).alias(f.name) for k, f in known.items()])
+
+
+def _same_type(a: T.DataType, b: T.DataType) -> bool:
+    """Alike but for what may be NULL inside."""
+    return a.simpleString().lower() == b.simpleString().lower()
+
+
 def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+    """S8, S9: appends to a Parquet folder, in the columns it has already (``reconciled``); a new folder takes them as they are."""
+    try:
+        stored = df.sparkSession.read.parquet(path).schema
+    except AnalysisException:
+        stored = None
+    (df if stored is None else reconciled(df, stored)).write.mode("append").parquet(path)
 
 
 def _put_back(spark: SparkSession, name: str) -> None:
@@ -176,6 +204,45 @@ def table_status(spark: SparkSession, tables: dict[str, DataFrame | None],
     return joined.select("table_name", "n", ready.alias("ready"))
 
 
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]):
+    """Settings of the session that hold inside the block."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def from_footers(spark: SparkSession):
+    """Inside this block Parquet counts come from the files' footers: no column is read.
+
+    That is the newer file source with aggregates pushed down."""
+    v1 = spark.conf.get("spark.sql.sources.useV1SourceList").split(",")
+    return _set(spark, {"spark.sql.sources.useV1SourceList": ",".join(x for x in v1 if x != "parquet"), "spark.sql.parquet.aggregatePushdown": "true"})
+
+
+def row_count(spark: SparkSession, path: str) -> DataFrame:
+    """The number of rows of a Parquet folder (``n``); within ``from_footers`` it costs no scan."""
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_status(spark: SparkSession, paths: dict[str, str | None], expected: list[str] = SAMPLE_TABLES) -> DataFrame:
+    """``table_status`` of stored tables, counted from their footers; a missing folder (or None) is NULL."""
+    counts: dict[str, int | None] = {}
+    with from_footers(spark):
+        for name in expected:
+            try:
+                counts[name] = row_count(spark, paths[name]).first()["n"] if paths.get(name) else None
+            except AnalysisException:
+                counts[name] = None
+    ready = all((n or 0) > 0 for n in counts.values())
+    return spark.createDataFrame([(t, n, ready) for t, n in counts.items()], "table_name string, n long, ready boolean")
+
+
 def _union_all(dfs: list[DataFrame]) -> DataFrame:
     out = dfs[0]
     for d in dfs[1:]:
