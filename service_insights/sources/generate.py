@@ -23,7 +23,7 @@ from ..constants import (AC_VENT_TEMPS, BATTERY_AGE_YEARS, BATTERY_VOLTS, COMPON
                          PHRASES, REAR_PAD_CHOICES, SERVICE_DAYS_BACK, SERVICE_TYPES,
                          SERVICES_PER_VEHICLE, SPECIALIZATIONS, TREAD_CHOICES, VEHICLE_MAKE,
                          VEHICLE_YEARS, VEHICLES_PER_CUSTOMER)
-from ..functions.lookup import pick, zero_padded
+from ..functions.lookup import jvm_cached, pick, zero_padded
 from ..functions.rules import BALANCED, ac_class, battery_class, brakes_class, tires_class
 from .fixtures import demo_services
 
@@ -124,41 +124,49 @@ def _observation(key: str, sid: Column, seed: int) -> Column:
     return F.struct(F.lit(key).alias("key"), text.alias("text"), sev.alias("sev"))
 
 
-def services(spark: SparkSession, customer_keys: DataFrame, seed: int = 42,
-             as_of: str = AS_OF, with_demo: bool = True) -> DataFrame:
-    """The ``service`` table for the given customer keys (``c_custkey``)."""
-    v = vehicles(customer_keys, seed).where(F.col("vehicle_id") > N_DEMO).select("vehicle_id")
-    lo, hi = SERVICES_PER_VEHICLE
-    vid = F.col("vehicle_id")
-    s = v.select("vehicle_id", F.explode(F.sequence(F.lit(1), _between(lo, hi, seed, vid, "ns")))
-                 .alias("si"))
-    sid = F.col("vehicle_id") * hi + F.col("si") + N_DEMO
-    s = s.select(sid.alias("service_id"), "vehicle_id")
+@jvm_cached
+def _service_columns(seed: int, as_of: str) -> tuple[Column, Column, list[Column]]:
+    """The columns of three projections: the components a service has, in their order; what is observed of each; the table's row."""
     sid = F.col("service_id")
-    # 3..6 distinct components: sort all observations by a per-service hash
-    # of their key (the key breaks ties), keep a prefix. Each observation is
-    # built once per service.
-    ranked = F.sort_array(F.array(*[
-        F.struct(_h(seed, sid, f"rank {k}").alias("h"), F.lit(k).alias("k"),
-                 _observation(k, sid, seed).alias("o"))
-        for k in COMPONENT_KEYS]))
-    n = _between(*COMPONENTS_PER_SERVICE, seed, sid, "n")
-    obs = F.transform(F.slice(ranked, 1, n), lambda r: r["o"])
-    s = s.select("service_id", "vehicle_id", obs.alias("obs"))
-    urgent = F.filter(F.col("obs"), lambda o: o["sev"] == "Urgent")
+    rank = {k: F.struct(_h(seed, sid, f"rank {k}").alias("h"), F.lit(k).alias("k")) for k in COMPONENT_KEYS}
+    # 3 to 6 distinct components: the first ones by a hash of service and key (the key breaks ties).
+    kept = F.transform(F.slice(F.sort_array(F.array(*rank.values())), 1, _between(*COMPONENTS_PER_SERVICE, seed, sid, "n")), lambda r: r["k"])
+    # Only those are observed.
+    made = F.array(*[F.when(F.array_contains("kept", k), F.struct(rank[k].alias("rank"), _observation(k, sid, seed).alias("o"))) for k in COMPONENT_KEYS])
+    observed = F.transform(F.sort_array(F.filter(made, lambda r: r.isNotNull())), lambda r: r["o"])
+    obs = F.col("obs")
+    urgent = F.filter(obs, lambda o: o["sev"] == "Urgent")
     flag_i = (_h(seed, sid, "flag") % F.greatest(F.size(urgent), F.lit(1)) + 1).cast("int")
-    out = s.select(
-        "service_id", "vehicle_id",
+    return kept, observed, [
+        sid, F.col("vehicle_id"),
         _between(1, N_TECHNICIANS, seed, sid, "tech").alias("technician_id"),
         F.date_sub(F.lit(as_of).cast("date"), _between(0, SERVICE_DAYS_BACK, seed, sid, "day"))
          .alias("service_date"),
         _pick(SERVICE_TYPES, seed, sid, "type").alias("service_type"),
-        F.array_join(F.transform(F.col("obs"), lambda o: o["text"]), " ").alias("service_performed"),
+        F.array_join(F.transform(obs, lambda o: o["text"]), " ").alias("service_performed"),
         F.when(F.size(urgent) > 0, F.array(F.element_at(urgent, flag_i)["key"]))
          .otherwise(F.array().cast("array<string>")).alias("flagged_components"),
-        F.concat(F.lit("{"), F.array_join(F.transform(F.col("obs"), lambda o: F.concat(
+        F.concat(F.lit("{"), F.array_join(F.transform(obs, lambda o: F.concat(
             F.lit('"'), o["key"], F.lit('": "'), o["sev"], F.lit('"'))), ", "), F.lit("}"))
-         .alias("ground_truth"))
+         .alias("ground_truth")]
+
+
+def services(spark: SparkSession, customer_keys: DataFrame, seed: int = 42,
+             as_of: str = AS_OF, with_demo: bool = True) -> DataFrame:
+    """The ``service`` table for the given customer keys (``c_custkey``).
+
+    The keys are dealt out first: a file of keys is small, and what is made of
+    one is not."""
+    customer_keys = customer_keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    v = vehicles(customer_keys, seed).where(F.col("vehicle_id") > N_DEMO).select("vehicle_id")
+    lo, hi = SERVICES_PER_VEHICLE
+    vid = F.col("vehicle_id")
+    s = v.select("vehicle_id", F.explode(F.sequence(F.lit(1), _between(lo, hi, seed, vid, "ns")))
+                 .alias("si"))
+    sid = F.col("vehicle_id") * hi + F.col("si") + N_DEMO
+    s = s.select(sid.alias("service_id"), "vehicle_id")
+    kept, observed, rows = _service_columns(seed, as_of)
+    out = s.select("service_id", "vehicle_id", kept.alias("kept")).select("service_id", "vehicle_id", observed.alias("obs")).select(*rows)
     return demo_services(spark).unionByName(out) if with_demo else out
 
 
