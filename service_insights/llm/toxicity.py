@@ -1,6 +1,6 @@
 """Operator 3: toxicity by the nearest labelled examples.
 
-Features are whole words and word beginnings of 4, 5 and 6 bytes, lower-cased.
+Features are whole words and word beginnings of 5 bytes, lower-cased.
 The vocabulary holds every feature of a bounded sample of the labelled rows, and
 examples and documents are TF-IDF vectors over it. Features that go with a label
 (by chi-square, and at least 5 times as frequent in one class as in the other)
@@ -43,14 +43,14 @@ from pyspark.sql import functions as F
 from . import flat
 from .common import free_name, saved_at, ship, thinned
 
-#: Labelled rows in the sample (picked by a hash of their id), and examples of a shard, about.
-SAMPLE_ROWS, SHARD = 4096, 1024
+#: Labelled rows in the sample (picked by a hash of their id); examples of a shard on average, and most shards.
+SAMPLE_ROWS, SHARD, SHARDS = 2048, 512, 16
 #: Weight of a feature that goes with a label; terms of a shard kept dense; documents scored at a time.
-LIFT, COMMON, CHUNK = 10.0, 768, 64
+LIFT, COMMON, CHUNK = 10.0, 1024, 64
 #: More than single precision loses in a cosine.
 ROUND = 1e-4
 NEIGHBOURS, BLOCK, PRIOR_VOTES = 15, 64, 0.5
-PREFIXES = (4, 5, 6)
+PREFIXES = (5,)
 #: Folds of the sample, one of which calibrates, and the fewest of its rows of either class that do.
 FOLDS, CALIBRATE = 5, 10
 
@@ -134,60 +134,82 @@ class Shard:
         return out.getvalue()
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> Shard:
+    def from_bytes(cls, data: bytes, terms: int) -> Shard:
+        """``terms`` is the size of the vocabulary."""
         out = cls.__new__(cls)
         with np.load(io.BytesIO(data)) as f:
             vars(out).update({k: f[k] for k in f.files})
+        out.place = np.full(terms, -1, np.int32)  # by term: its column of the matrix, or after these its row of heads
+        out.place[out.common], out.place[out.rare] = np.arange(len(out.common)), len(out.common) + np.arange(len(out.rare))
         return out
 
-    def search(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each of m vectors the k best examples with a cosine over 0 and not below ``least``: places and cosines, ties by the smaller id."""
-        wide, cuts = len(self.dense), len(self.highest)
-        dense = np.zeros((m, len(self.common)))
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, term), len(self.common) - 1)
-            own = self.common[at] == term
-            dense[row[own], at[own]] = weight[own]
-        narrow = dense.astype(np.float32)
-        some = np.zeros(0, np.int64)
-        if len(self.rare):
-            at = np.minimum(np.searchsorted(self.rare, term), len(self.rare) - 1)
-            some = np.flatnonzero(self.rare[at] == term)
-            at = at[some]
-        n = self.heads[at + 1] - self.heads[at] if len(some) else np.zeros(0, np.int64)
-        entry = flat.gather_ranges(self.heads[at], n) if len(some) else some
-        of, by = np.repeat(row[some], n), np.repeat(weight[some], n)
-        cell = of * cuts + self.block[entry]
-        bound = narrow @ self.highest.T + np.bincount(cell, weights=self.top[entry] * by, minlength=m * cuts).reshape(m, cuts)
-        rare, got = np.zeros(m * wide), np.zeros((m, cuts, BLOCK), np.float32)  # cosines but for rounding; 0 where a block isn't scored
-
-        def fill(need: np.ndarray) -> None:
-            use = np.flatnonzero(need.ravel()[cell])
-            size = self.bounds[entry[use] + 1] - self.bounds[entry[use]]
-            j = flat.gather_ranges(self.bounds[entry[use]], size)
-            rare[:] += np.bincount(np.repeat(of[use], size) * wide + self.example[j], weights=self.weight[j] * np.repeat(by[use], size), minlength=m * wide)
-            blocks = rare.reshape(got.shape)
-            if need.mean() > 0.2:
-                got[...] = np.where(need[:, :, None], (narrow @ self.dense.T).reshape(got.shape) + blocks, got)
-                return
-            for c in np.flatnonzero(need.any(0)).tolist():
-                r = np.flatnonzero(need[:, c])
-                got[r, c] = narrow[r] @ self.dense[c * BLOCK:(c + 1) * BLOCK].T + blocks[r, c]
-
-        need = np.zeros((m, cuts), bool)
-        np.put_along_axis(need, np.argmax(bound, axis=1)[:, None], True, axis=1)
-        need &= bound >= least[:, None] - ROUND
-        fill(need)
-        if wide > k:
-            least = np.maximum(least, np.partition(got.reshape(m, wide), wide - k, axis=1)[:, wide - k])
-        fill(~need & (bound > 0) & (bound >= least[:, None] - ROUND))
-        cosines, at = got.reshape(m, wide), max(0, wide - k)
+    def met(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int) -> Met:
+        return Met(self, row, term, weight, m)
+
+
+class Met:
+    """A shard and m vectors: ``bound`` limits the cosine of a vector (row) and any example of a block (column)."""
+
+    def __init__(self, shard: Shard, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int):
+        self.shard, cuts = shard, len(shard.highest)
+        self.dense = np.zeros((m, len(shard.common)))
+        at = shard.place[term]
+        own = (at >= 0) & (at < len(shard.common))
+        self.dense[row[own], at[own]] = weight[own]
+        self.narrow = self.dense.astype(np.float32)
+        some = np.flatnonzero(at >= len(shard.common))
+        at = at[some] - len(shard.common)
+        self.row, self.weight = row[some], weight[some]
+        self.first, self.last = shard.bounds[shard.heads[at]], shard.bounds[shard.heads[at + 1]]  # all postings of a term
+        n = shard.heads[at + 1] - shard.heads[at]
+        self.entry = flat.gather_ranges(shard.heads[at], n)
+        self.of, self.by = np.repeat(row[some], n), np.repeat(weight[some].astype(np.float32), n)
+        self.block = shard.block[self.entry]
+        rare = np.bincount(self.of * cuts + self.block, weights=shard.top[self.entry] * self.by, minlength=m * cuts)
+        self.bound = self.narrow @ shard.highest.T + rare.reshape(m, cuts)
+
+    def whole(self, rows: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As ``best``, of all blocks: a term's postings lie in a row, and are taken as they lie."""
+        shard, m = self.shard, len(rows)
+        wide = len(shard.dense)
+        rare, cuts = np.zeros((m, wide)), np.searchsorted(self.row, [rows, rows + 1]).T.tolist()
+        for r, (a, b) in enumerate(cuts):
+            if a < b:
+                parts = [slice(i, j) for i, j in zip(self.first[a:b].tolist(), self.last[a:b].tolist())]
+                cells = np.concatenate([shard.weight[x] for x in parts]) * np.repeat(self.weight[a:b], self.last[a:b] - self.first[a:b])
+                rare[r] = np.bincount(np.concatenate([shard.example[x] for x in parts]), weights=cells, minlength=wide)
+        return self._top(rows, self.narrow[rows] @ shard.dense.T + rare.astype(np.float32), rare, np.zeros(m), k)
+
+    def best(self, rows: np.ndarray, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of some vectors the k best examples with a cosine over 0 and not below ``least``: places and cosines, ties by the smaller id.
+
+        Only blocks whose bound reaches ``least`` are scored."""
+        shard, m = self.shard, len(rows)
+        wide, cuts = len(shard.dense), len(shard.highest)
+        need = (self.bound[rows] > 0) & (self.bound[rows] >= least[:, None] - ROUND)
+        place = np.full(len(self.bound), -1)
+        place[rows] = np.arange(m)
+        of = place[self.of]
+        use = np.flatnonzero((of >= 0) & need[of, self.block])
+        entry, of = self.entry[use], of[use]
+        size = shard.bounds[entry + 1] - shard.bounds[entry]
+        j = flat.gather_ranges(shard.bounds[entry], size)
+        rare = np.bincount(np.repeat(of * wide, size) + shard.example[j], weights=shard.weight[j] * np.repeat(self.by[use], size), minlength=m * wide).reshape(m, wide)
+        narrow, got = self.narrow[rows], np.zeros((m, cuts, BLOCK), np.float32)  # cosines but for rounding; 0 where a block isn't scored
+        for c in np.flatnonzero(need.any(0)).tolist():
+            r = np.flatnonzero(need[:, c])
+            got[r, c] = narrow[r] @ shard.dense[c * BLOCK:(c + 1) * BLOCK].T + rare.reshape(got.shape)[r, c]
+        return self._top(rows, got.reshape(m, wide), rare, least, k)
+
+    def _top(self, rows: np.ndarray, cosines: np.ndarray, rare: np.ndarray, least: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The best of cosines in single precision, worked out again in double for those that may be among them."""
+        shard, at = self.shard, max(0, cosines.shape[1] - k)
         least = np.maximum(least, np.partition(cosines, at, axis=1)[:, at]) - ROUND
         out = []
-        for r in range(m):
+        for r in range(len(rows)):
             who = np.flatnonzero((cosines[r] >= least[r]) & (cosines[r] > 0))
-            cosine = rare[r * wide + who] + self.dense[who].astype(float) @ dense[r]
-            top = np.lexsort((self.ids[who], -np.round(cosine, 12)))[:k]
+            cosine = rare[r, who] + shard.dense[who].astype(float) @ self.dense[rows[r]]
+            top = np.lexsort((shard.ids[who], -np.round(cosine, 12)))[:k]
             out.append((who[top], cosine[top]))
         return out
 
@@ -212,21 +234,31 @@ class Index:
 
     def __init__(self, model: Model):
         self.vectors = _vectors(model.vocabulary)
-        self.shards = [Shard.from_bytes(x.as_py()) for x in _read(model.shards).column("data")] if model.shards else []
+        self.shards = [Shard.from_bytes(x.as_py(), len(self.vectors.vocabulary)) for x in _read(model.shards).column("data")] if model.shards else []
 
     def neighbours(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Ids, labels and cosines of the k best examples of m vectors, ties by the smaller id."""
         best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))] * m
         least = np.zeros(m)
-        for shard in self.shards:
-            for r, (who, cosine) in enumerate(shard.search(row, term, weight, m, least, k)):
-                if not len(who):
-                    continue
-                ids, labels, all_ = (np.concatenate(x) for x in zip(best[r], (shard.ids[who], shard.labels[who], cosine)))
-                top = np.lexsort((ids, -np.round(all_, 12)))[:k]
-                best[r] = ids[top], labels[top], all_[top]
-                if len(top) == k:
-                    least[r] = all_[top[-1]]
+        if not self.shards:
+            return best
+        met = [shard.met(row, term, weight, m) for shard in self.shards]
+        bound = np.stack([x.bound.max(1) for x in met])
+        home = bound.argmax(0)
+        # Each vector meets the shard of its highest bound first, as a whole: most of its blocks would be needed.
+        # What it finds there lets it pass over others, or over most of their blocks.
+        for first in (True, False):
+            for k_shard, x in enumerate(met):
+                rows = np.flatnonzero(((home == k_shard) == first) & (bound[k_shard] > 0) & (bound[k_shard] >= least - ROUND))
+                found = [] if not len(rows) else x.whole(rows, k) if first else x.best(rows, least[rows], k)
+                for r, (who, cosine) in zip(rows.tolist(), found):
+                    if not len(who):
+                        continue
+                    ids, labels, all_ = (np.concatenate(x) for x in zip(best[r], (x.shard.ids[who], x.shard.labels[who], cosine)))
+                    top = np.lexsort((ids, -np.round(all_, 12)))[:k]
+                    best[r] = ids[top], labels[top], all_[top]
+                    if len(top) == k:
+                        least[r] = all_[top[-1]]
         return best
 
     def votes(self, col: pa.Array, rate: float) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
@@ -327,32 +359,37 @@ def _built(sample: DataFrame, lift: float) -> Model:
     idf = (F.log(F.lit(every + 1.0) / (F.col("every") + 1)) + 1) * F.when(apart, lift).otherwise(1.0)
     _, vocabulary = saved_at(counted.where("h <> 0").select("h", idf.alias("idf")))
 
+    # Shards are the examples nearest to one of a few of them, so that a shard's texts share their commonest terms (those of a language, say).
+    _, leaders = saved_at(sample.orderBy(F.xxhash64(F.col("id") + 7), "id").limit(max(1, min(SHARDS, round(every / SHARD)))).select("id", "text"))
+
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _vectors(vocabulary)
+        texts = _read(leaders).sort_by("id")
+        row, term, weight = vectors.of(texts.column("text"))
+        lead = np.zeros((texts.num_rows, len(vectors.vocabulary)), np.float32)
+        lead[row, term] = weight
         for batch in flat.pieces(batches, "text"):
             batch = batch.select(["id", "text", "y"])
+            n = batch.num_rows
             row, term, weight = vectors.of(batch.column(1))
-            bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            bounds = np.searchsorted(row, np.arange(n + 1))
+            shard = np.argmax([np.bincount(row, weights=weight * own[term], minlength=n) for own in lead], axis=0)
             term, weight = term.astype("<i4"), weight.astype("<f4")
-            heavy = [np.lexsort((term[i:j], -weight[i:j]))[:8] + i for i, j in zip(bounds[:-1], bounds[1:])]
-            heavy = pa.array([term[x].astype(">i4").tobytes() for x in heavy], pa.binary())
             cells = [pa.array([x[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for x in (term, weight)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), heavy, *cells], names=["id", "y", "heavy", "terms", "weights"])
-
-    shards = max(1, round(every / SHARD))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(shard.astype(np.int32)), *cells], names=["id", "y", "shard", "terms", "weights"])
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("y", "ascending"), ("heavy", "ascending"), ("id", "ascending")])  # alike examples in one block
+        size = np.array([len(x) // 4 for x in table.column("terms").to_pylist()])
+        order = np.lexsort((table.column("id").to_numpy(), size))  # texts of like length in one block: their weights are of like height
+        table, size = table.take(order), size[order]
         term, weight = (np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]) for name, kind in (("terms", "<i4"), ("weights", "<f4")))
-        size = [len(x) // 4 for x in table.column("terms").to_pylist()]
         ids, y = table.column("id").to_numpy(), table.column("y").to_numpy().astype(float)
         own = Shard(ids, y, np.repeat(np.arange(len(ids)), size), term, weight)
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "data": pa.array([own.to_bytes()], pa.binary())})
 
-    rows = sample.mapInArrow(vectorise, "id long, y int, heavy binary, terms binary, weights binary")
-    rows, _ = saved_at(rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")))
+    rows, _ = saved_at(sample.mapInArrow(vectorise, "id long, y int, shard int, terms binary, weights binary"))
     bare = rows.where(F.octet_length("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
-    # At most about SHARD examples to a group.
+    # A group holds no more than the sample.
     _, folder = saved_at(rows.where(F.octet_length("terms") > 0).groupBy("shard").applyInArrow(build, "shard int, data binary"))
     return Model(vocabulary, folder, (bare["pos"] + rate) / (bare["n"] + 1), rate)
 
