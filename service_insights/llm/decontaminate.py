@@ -87,15 +87,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
                 own = bitmap.may(bits, key)
                 row = words.row()[at[own]]
                 if len(row):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(key[own].view(np.int64)), pa.array((at[own] - words.bounds[row]).astype(np.int32))], names=["id", "key", "pos"])
-
-    # A shingle's occurrences beside bits that others set are dropped by this join.
-    seen = plain.mapInArrow(occurrences, "id long, key long, pos int").distinct()
+                    # One row for each key of the slab, however often it occurs there.
+                    order = np.argsort(key[own], kind="stable")
+                    mine, row, pos = key[own][order].view(np.int64), row[order], (at[own] - words.bounds[row])[order].astype(np.int32)
+                    first = np.flatnonzero(np.diff(mine, prepend=~mine[0]))
+                    bounds = np.append(first, len(mine))
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[first]), pa.array(np.diff(bounds)), flat.list_array(ids[row], bounds, pa.int64()), flat.list_array(pos, bounds, pa.int32())], names=["key", "n", "ids", "places"])
+
+    # A shingle's occurrences beside bits that others set are dropped by this join. A shingle that very many documents
+    # have comes as a row for each slab of text, so no task gets a row for each of them.
+    seen = plain.mapInArrow(occurrences, "key long, n long, ids array<long>, places array<int>")
     seen = saved(seen.join(keyed.select("key").distinct(), "key", "left_semi"))
-    rarity = seen.groupBy("key").agg(F.count("*").alias("n"))
+    rarity = seen.groupBy("key").agg(F.sum("n").alias("n"))
     prefix = keyed.join(rarity, "key").groupBy("h", "c", "size", "n_keys").agg(F.count("*").alias("found"), F.min(F.struct("n", "key", "offset")).alias("rarest"))
     prefix = prefix.where("found = n_keys").select("h", "c", "size", "rarest.key", "rarest.offset")
-    candidates = seen.join(prefix, "key").select("id", (F.col("pos") - F.col("offset")).alias("start"), "size", "h", "c").where("start >= 0").distinct()
+    met = seen.drop("n").join(prefix, "key").select(F.explode(F.arrays_zip("ids", "places")).alias("at"), "offset", "size", "h", "c")
+    candidates = met.select(F.col("at.ids").alias("id"), (F.col("at.places") - F.col("offset")).alias("start"), "size", "h", "c").where("start >= 0").distinct()
     by_doc = candidates.groupBy("id").agg(F.collect_list(F.struct("start", "size", "h", "c")).alias("cands"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

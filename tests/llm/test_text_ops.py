@@ -164,3 +164,14 @@ def test_empty_tables(spark):
     for df in (jaccard.jaccard_components(docs), substring.remove_repeats(docs), decontaminate.decontaminate(docs, bench), line_dedup.dedup_lines(docs), licenses.scan(docs)):
         assert df.collect() == []
     assert [r["n_hit"] for r in decontaminate.decontaminate(H.frame(spark, [(1, "a b")]), bench).collect()] == [0]
+
+
+def test_decontaminate_with_shared_windows_and_a_full_bitmap(spark, monkeypatch):
+    """Two items of one window, one very common shingle, and a bitmap that lets everything through."""
+    monkeypatch.setattr(decontaminate, "LOG_BITS", 7)
+    common = "the same common words"
+    items = [("a", "one two three four five six seven eight nine ten eleven"), ("b", "one two three four five six seven eight nine ten"), ("c", common), ("d", common + " again and " + common), ("e", "one two")]
+    docs = [(k, f"x{k} {common} y{k} {common}") for k in range(300)] + [(1000, "so one two three four five six seven eight nine ten end"), (1001, f"{common} again and {common}"), (1002, "one  TWO"), (1003, " ".join([common] * 400))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.decontaminate(H.frame(spark, docs), bench).collect()}
+    assert got == H.contained(docs, items)
