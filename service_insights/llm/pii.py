@@ -125,19 +125,29 @@ def shape_features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+#: Neighbours that a word's features tell of, by their distance.
+AROUND = {"p": -1, "q": -2, "s": 1, "t": 2}
+
+
+def fours(words: list[str]) -> Iterator[int]:
+    """Places of four groups of four that pass the card check."""
+    short = [len(w) == 4 and w.isdecimal() and w.isascii() for w in words]
+    for k in range(len(words) - 3):
+        if short[k] and all(short[k:k + 4]) and luhn("".join(words[k:k + 4])):
+            yield k
+
+
 def features(words: list[str]) -> list[list[str]]:
     own = [shape_features(w) for w in words]
     out = []
     for k, x in enumerate(own):
         f = ["bias", *x]
-        for name, j in (("p", k - 1), ("q", k - 2), ("s", k + 1), ("t", k + 2)):
-            f += [f"{name}:{y}" for y in own[j][:2]] if 0 <= j < len(own) else [f"{name}:none"]
+        for name, step in AROUND.items():
+            f += [f"{name}:{y}" for y in own[k + step][:2]] if 0 <= k + step < len(own) else [f"{name}:none"]
         out.append(f)
-    for k in range(len(words) - 3):  # four groups of four that pass the card check
-        four = words[k:k + 4]
-        if all(len(w) == 4 and w.isdecimal() and w.isascii() for w in four) and luhn("".join(four)):
-            for j in range(4):
-                out[k + j].append(f"four:{j}")
+    for k in fours(words):
+        for j in range(4):
+            out[k + j].append(f"four:{j}")
     return out
 
 
@@ -169,6 +179,7 @@ def labelled(rows: int = ROWS, seed: int = 11) -> list[tuple[list[str], list[int
         (0, lambda: [f"{name()}{rnd.choice(['.', '_', '', '+'])}{name()}{rnd.choice(['', num(2)])}@{site()}"]),
         (0, lambda: [f"{name()}{rnd.choice(['(at)', '[at]'])}{site()}"]),
         (0, lambda: [name(), "@", site()]),
+        (0, lambda: [name(), rnd.choice(["(at)", "[at]"]), site()]),
         (1, lambda: [quad(255)]),
         (2, lambda: [card(rnd.choice([16, 16, 16, 17, 18, 19]))]),
         (2, lambda: ["-".join(four(card(16)))]),
@@ -188,6 +199,7 @@ def labelled(rows: int = ROWS, seed: int = 11) -> list[tuple[list[str], list[int
         lambda: [f"{some(3)}-{num(2)}"], lambda: [f"@{name()}"], lambda: [f"{name()}@{name()}"], lambda: [some(rnd.randint(1, 12))],
         lambda: [some(rnd.randint(20, 30))], lambda: [f"{some(2)}%"], lambda: [f"#{num(4)}"], lambda: [some(1), some(2), some(3)],
         lambda: four(card(16, False)), lambda: [f"{quad(255)}.{some(1)}"], lambda: [name(), "@", name()],
+        lambda: [name(), rnd.choice(["(at)", "[at]"]), name()],
     ]
     out = []
     for _ in range(rows):
@@ -234,9 +246,43 @@ class Field:
         np.add.at(out, rows, self.state[ids])
         return out.reshape(len(sequences), width, -1), np.arange(width) < np.array(size)[:, None]
 
+    def _sum(self, names: list[str]) -> np.ndarray:
+        return self.state[[self.names[f] for f in names if f in self.names]].sum(0)
+
+    def scores(self, sequences: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``emissions`` gives for the words' features: each distinct word's part is summed up once, as itself and as a neighbour."""
+        known: dict[str, int] = {}
+        ids = [known.setdefault(w, len(known)) for words in sequences for w in words]
+        parts = {name: np.zeros((len(known) + 1, len(LABELS))) for name in ("", *AROUND)}
+        for word, k in known.items():
+            own = shape_features(word)
+            parts[""][k] = self._sum(["bias", *own])
+            for name in AROUND:
+                parts[name][k] = self._sum([f"{name}:{y}" for y in own[:2]])
+        for name in AROUND:
+            parts[name][-1] = self._sum([f"{name}:none"])
+        size = np.array([len(words) for words in sequences])
+        width = int(size.max())
+        mask = np.arange(width) < size[:, None]
+        place = np.full((len(sequences), width + 4), len(known))  # two places without a word on either side
+        place[:, 2:-2][mask] = ids
+        out = parts[""][place[:, 2:-2]]
+        for name, step in AROUND.items():
+            out += parts[name][place[:, 2 + step:width + 2 + step]]
+        for j in range(4):
+            four = self._sum([f"four:{j}"])
+            for b, words in enumerate(sequences):
+                for k in fours(words):
+                    out[b, k + j] += four
+        out[~mask] = 0
+        return out, mask
+
     def decode(self, sequences: list[list[list[str]]]) -> list[np.ndarray]:
+        """The best paths of sequences of features."""
+        return self.paths(*self.emissions(sequences))
+
+    def paths(self, e: np.ndarray, mask: np.ndarray) -> list[np.ndarray]:
         """Viterbi over all sequences at once (of like length, as ``spans`` deals them)."""
-        e, mask = self.emissions(sequences)
         n, width, _ = e.shape
         best, back = self.first + e[:, 0], np.zeros((n, width, len(LABELS)), np.int8)
         for t in range(1, width):
@@ -366,20 +412,19 @@ def _hot_bytes(raw: np.ndarray) -> np.ndarray:
 def spans(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]]]:
     """(kind, start, end, base) of each text, in order of kind and start."""
     base = [base_spans(t) for t in texts]
-    owner, words, starts, feats = [], [], [], []
+    owner, words, starts = [], [], []
     for k, text in enumerate(texts):
         for w, s in _segments(text):
             owner.append(k)
             words.append(w)
             starts.append(s)
-            feats.append(features(w))
     added: dict[int, list[tuple[int, int, int]]] = {}
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     while order:
         longest = max(2 * len(words[order[0]]), 16)
         cut = next((i for i, j in enumerate(order) if len(words[j]) > longest), len(order))
         part, order = order[:cut], order[cut:]
-        for i, path in zip(part, field.decode([feats[j] for j in part])):
+        for i, path in zip(part, field.paths(*field.scores([words[j] for j in part]))):
             t = 0
             while t < len(path):
                 if path[t] and path[t] % 2:
