@@ -464,6 +464,7 @@ SELECT *,
   {lit("." + chr(10) * 2 + "Please reply to this message to schedule the work at a time that suits you."
        + chr(10) * 2 + "Best regards," + chr(10) + "Your service team")} AS custom_email
 FROM uf"""
+    out["full_run_emails"] = out["followup_emails"]
     out["run_results"] = _q(f"""
 SELECT {lit(Q.RUN_ID)} AS run_id, CAST(coalesce(service_id, 0) AS BIGINT) AS service_id,
        component_key, classification, reasoning
@@ -529,6 +530,10 @@ SELECT coalesce(ra.service_id, rb.service_id) AS service_id, coalesce(ra.compone
        ra.classification IS DISTINCT FROM rb.classification AS differs
 FROM ra FULL OUTER JOIN rb ON ra.service_id = rb.service_id AND ra.component_key = rb.component_key
 LEFT JOIN svc ON svc.service_id = coalesce(ra.service_id, rb.service_id)"""
+    out["runs_compare_totals"] = two + """
+SELECT CAST((SELECT count(*) FROM ra FULL OUTER JOIN rb ON ra.service_id = rb.service_id AND ra.component_key = rb.component_key) + (SELECT count(*) FROM ra) AS BIGINT) AS total,
+       CAST((SELECT count(*) FROM ra FULL OUTER JOIN rb ON ra.service_id = rb.service_id AND ra.component_key = rb.component_key
+             WHERE ra.classification IS DISTINCT FROM rb.classification) AS BIGINT) AS disagreements"""
     out["urgent_findings_stored"] = _with(fixture_ctes(), clean, """
 urg AS (
   SELECT service_id, vehicle_id,

@@ -125,6 +125,13 @@ def followup_emails(spark, sf):
     return outreach.followup_emails(urgent_findings(spark, sf))
 
 
+def full_run_emails(spark, sf):
+    """C5: the whole run into published tables, and the emails as their readers see them."""
+    out = pipelines.full_run(spark, _service(spark, sf), fixtures.vehicle(spark, sf), fixtures.customer(spark, sf),
+                             CONFIGS["all_components"], scratch.folder(spark, "full-run"))
+    return spark.table(out["emails"]).drop("error")
+
+
 def run_results(spark, sf):
     cfg = CONFIGS["balanced"]
     _, results = catalog.run_rows(spark, _balanced_rows(spark, sf), RUN_ID, cfg.config_id, cfg.name,
@@ -245,6 +252,14 @@ def runs_catches(spark, sf):
     return summarize.catch_count(_added_runs(spark, sf), weight="n")
 
 
+def runs_compare_totals(spark, sf):
+    """Two comparisons, each kept as its totals."""
+    path = scratch.folder(spark, "compared")
+    for a, b in ((0, 1), (0, 0)):
+        run_counts.add_comparison(compare.compare_keyed(_stored(spark, sf, a), _stored(spark, sf, b)), f"run-{a}", f"run-{b}", path)
+    return run_counts.compare_totals(spark, path)
+
+
 def _vehicle_table(spark, rows):
     table = keyed.KeyedTable(spark, scratch.folder(spark, "vehicle"), ["vehicle_id"])
     table.create(rows)
@@ -347,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "email_prompts": email_prompts,
     "recommendations": recommendations,
     "followup_emails": followup_emails,
+    "full_run_emails": full_run_emails,
     "run_results": run_results,
     "selected_components": selected_components,
     "merge_insert_only": merge_insert_only,
@@ -364,6 +380,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "runs_distribution": runs_distribution,
     "runs_pivot": runs_pivot,
     "runs_catches": runs_catches,
+    "runs_compare_totals": runs_compare_totals,
     "upsert_stored": upsert_stored,
     "insert_stored": insert_stored,
     "delete_stored": delete_stored,
