@@ -8,8 +8,9 @@ back. The table only grows; a request has any number of failures and at most one
 answer.
 
 The work is cut into slices by the request's hash, each one job whose rows are
-committed when it ends. A run that is killed loses the answers of the slices that
-were open, not those before.
+committed when it ends. A run that is killed loses the answers of the slice that
+was open, not those before. One run at a time may use a ledger: two at once would
+both send what neither has found.
 """
 from __future__ import annotations
 

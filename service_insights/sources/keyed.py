@@ -4,7 +4,10 @@ A table is a Parquet folder partitioned by ``key_bucket``, a hash of the key mod
 the number of buckets. The merges are the operators of ``registry``, run over the
 touched buckets alone (partition pruning) and written back by dynamic partition
 overwrite: Spark writes aside first and then replaces just the partitions of the
-result. A bucket that a delete leaves without rows is overwritten with none.
+result. A bucket that a delete leaves without rows is overwritten with none. Lost
+executors cost a retry; a driver that dies while Spark moves finished buckets in may
+leave some of them old and some new, so a table that must change as one is published
+whole (``registry.publish``).
 """
 from __future__ import annotations
 
