@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
@@ -39,9 +40,9 @@ class LibraryWords(bpe.Tokenizer):
     """Parts between blanks are remembered as in ``bpe``; the tokenizers library encodes every new one.
 
     No normal form, word or special token of the library reaches across an ASCII
-    blank, so a text's ids are those of its parts in a row. Parts of plain ASCII
-    go to the library as lower-cased words, which it leaves as they are, many to a
-    line; every other part as it stands.
+    blank, so a text's ids are those of its parts in a row. Parts that the library's
+    normal form leaves alone, before and after lower-casing, go to it as lower-cased
+    words, many to a line; every other part as it stands.
     """
 
     def __init__(self, path: str):
@@ -60,23 +61,35 @@ class LibraryWords(bpe.Tokenizer):
     def _encode_parts(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = ends - starts
         data = raw[flat.gather_ranges(starts, size)]
-        odd = np.logical_or.reduceat((data >= 0x80) | (data == ord("<")), np.cumsum(size) - size)
+        first = np.cumsum(size) - size
+        odd = np.logical_or.reduceat(data >= 0x80, first)
+        if odd.any() and self._settled(data[np.repeat(odd, size)].tobytes().decode("utf-8")):
+            odd[:] = False
+        odd |= np.logical_or.reduceat(data == ord("<"), first)
         lengths, ids = np.zeros(len(size), np.int64), []
         for own, encode in ((np.flatnonzero(~odd), super()._encode_parts), (np.flatnonzero(odd), self._encode_as_they_stand)):
             if len(own):
                 got, bounds = encode(raw, starts[own], ends[own])
                 lengths[own] = np.diff(bounds)
                 ids.append(got)
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
         at = np.zeros(len(size), np.int64)
-        at[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.cumsum(np.concatenate([lengths[~odd], lengths[odd]])) - np.concatenate([lengths[~odd], lengths[odd]])
+        at[order] = np.cumsum(lengths[order]) - lengths[order]
         return np.concatenate(ids)[flat.gather_ranges(at, lengths)], np.concatenate([[0], np.cumsum(lengths)])
 
+    def _settled(self, text: str) -> bool:
+        """The library's normal form changes nothing, neither now nor after lower-casing."""
+        if "İ" in text or not unicodedata.is_normalized("NFC", text):
+            return False
+        cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return not self.unknown[cp].any() and unicodedata.is_normalized("NFC", self.low[cp].astype("<u4").tobytes().decode("utf-32-le"))
+
     def _encode_as_they_stand(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, n = self._ids([raw[a:b].tobytes().decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())])
         return ids, np.concatenate([[0], np.cumsum(n)])
 
     def encode_words(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sixty-four ASCII words to a line, set apart by blanks; an id that ends a word closes it."""
+        """Sixty-four words to a line, set apart by blanks; an id that ends a word closes it."""
         text = cp.astype("<u4").tobytes().decode("utf-32-le")
         words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         ids, _ = self._ids([" ".join(words[i:i + 64]) for i in range(0, len(words), 64)])

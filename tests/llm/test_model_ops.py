@@ -28,7 +28,7 @@ def ids_of(text):
 
 SPECIAL = "<|endoftext|>"
 #: Marks and letters whose normal form, lower case or order the encoders must leave to the library's rules.
-COMBINING = "\u0130\u094d\u0f73\u0301\u0323\u0345\u1e9b\u212bIi\u0307"
+COMBINING = "\u0130\u094d\u0f73\u0301\u0323\u0345\u1e9b\u212bIi\u0307J\u030cWHT\u030a\u0331\u0308éÉü"
 
 
 @settings(max_examples=300, deadline=None)
