@@ -139,7 +139,7 @@ def switch(spark: SparkSession, name: str, path: str) -> None:
     """Makes a table show the rows of a staged folder, by one change of its
     location: a reader sees the old rows or the new ones. A table whose columns
     change is swapped by renames instead, and put back first after a crash
-    between them. Old folders stay, for readers still on them."""
+    between them. Old folders stay, for readers still on them (``clean``)."""
     _put_back(spark, name)
     schema = spark.read.parquet(path).schema
     columns = lambda s: [(f.name, f.dataType) for f in s.fields]
@@ -169,6 +169,21 @@ def location(spark: SparkSession, name: str) -> str:
     return rows[0]["data_type"]
 
 
+def clean(spark: SparkSession, name: str, folder: str, keep: int = 1) -> list[str]:
+    """Removes folders staged below ``folder`` that the table ``name`` doesn't show,
+    but for the ``keep`` newest ones (readers may still be on them). Returns their names.
+
+    Call it between runs: a folder that is staged and not yet switched to counts as one of the others."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    shown = location(spark, name).rstrip("/").rsplit("/", 1)[-1]
+    old = sorted((x.getModificationTime(), x.getPath().getName()) for x in fs.listStatus(top) if x.isDirectory())
+    gone = [n for _, n in old if n != shown][:-keep or None]
+    for n in gone:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(top, n), True)
+    return gone
+
+
 def create_if_missing(spark: SparkSession, database: str, tables: dict) -> list[str]:
     """S7: the database and each missing table of (name -> schema); existing
     tables stay as they are. Returns the names created."""

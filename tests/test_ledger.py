@@ -173,6 +173,15 @@ def test_failed_write_leaves_the_old_rows(spark, folders, database):
     assert spark.table(name).count() == 2
 
 
+def test_old_folders_go_but_the_newest(spark, folders, database):
+    name = f"{database}.t"
+    paths = [registry.publish(spark, name, spark.range(k), folders["out"]) for k in range(5)]
+    names = [p.rsplit("/", 1)[-1] for p in paths]
+    assert sorted(registry.clean(spark, name, folders["out"])) == sorted(names[:3])
+    assert sorted(os.listdir(folders["out"])) == sorted(names[3:]) and spark.table(name).count() == 4
+    assert registry.clean(spark, name, folders["out"], keep=0) == [names[3]] and registry.clean(spark, name, folders["out"]) == []
+
+
 def test_budget_holds_over_all_tasks(spark, folders):
     """40 calls at 20 a second in 8 tasks: never more than the budget since the first task began, but for the start of a second."""
     df = spark.range(40).selectExpr("id AS service_id", "concat('n ', id) AS service_performed")
