@@ -344,6 +344,24 @@ def test_near_duplicates(spark):
     assert sum(got[k * 10 + 2] == k * 10 for k in range(10)) >= 9
 
 
+def test_near_duplicates_of_nothing_and_of_one(spark):
+    assert fingerprint.near_duplicates(H.empty(spark)).collect() == []
+    assert [r["class_id"] for r in fingerprint.near_duplicates(H.frame(spark, [(4, "alone")])).collect()] == [4]
+
+
+def test_very_long_texts(spark):
+    """One text of two million characters among short ones, and one of a single letter."""
+    rnd = random.Random(9)
+    docs, labels = labelled(200)
+    long = " ".join("".join(rnd.choice("abcdefghijk") for _ in range(6)) for _ in range(300_000))
+    docs += [(7001, long + " idiotra scumlen"), (7002, "z" * 300_000)]
+    model = toxicity.fit(H.frame(spark, docs), spark.createDataFrame(labels + [(7001, 1)], "doc_id long, toxic int"))
+    rows = {r["doc_id"]: r for r in toxicity.score(H.frame(spark, docs), model).collect()}
+    assert len(rows) == len(docs) and all(0 <= r["score"] <= 1 for r in rows.values())
+    prints = {r["doc_id"]: r for r in fingerprint.with_next(H.frame(spark, docs)).collect()}
+    assert prints[7001]["n_chars"] == len(docs[-2][1]) and prints[7001]["near_edited"] > prints[7001]["near_next"]
+
+
 def test_near_duplicates_behind_an_unlike_hub(spark):
     """Thousands of texts share a head (unlike as wholes) and fill the bands' groups; the planted pairs have the largest ids."""
     rnd = random.Random(12)
