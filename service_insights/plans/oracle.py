@@ -465,6 +465,9 @@ SELECT *,
        + chr(10) * 2 + "Best regards," + chr(10) + "Your service team")} AS custom_email
 FROM uf"""
     out["full_run_emails"] = out["followup_emails"]
+    out["ledger_answers"] = _with(fixture_ctes()) + """
+SELECT service_id, 'tires' AS component_key, 'Good' AS classification, substr(service_performed, 1, 24) AS reasoning,
+       coalesce(flag1 = 'tires', false) AS technician_flagged FROM svc"""
     out["run_results"] = _q(f"""
 SELECT {lit(Q.RUN_ID)} AS run_id, CAST(coalesce(service_id, 0) AS BIGINT) AS service_id,
        component_key, classification, reasoning

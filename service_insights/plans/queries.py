@@ -3,13 +3,15 @@
 tables. Their DuckDB oracles live in ``plans.oracle``."""
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import NOTES_SEPARATOR
 from ..functions import json_text, rules
-from ..operators import answers, assess, compare, outreach, prompts, scoring, summarize
+from ..operators import answers, assess, compare, ledger, outreach, prompts, scoring, summarize
 from ..sources import catalog, fixtures, generate, keyed, registry, run_counts, scratch
 from ..sources.tables import read_table
 from . import pipelines
@@ -132,6 +134,23 @@ def full_run_emails(spark, sf):
     return spark.table(out["emails"]).drop("error")
 
 
+def echo_notes(body: dict) -> dict:
+    """Stands for an endpoint: one assessment, whose reasoning is the beginning of the notes."""
+    notes = body["messages"][0]["content"].split(NOTES_SEPARATOR, 1)[1]
+    text = json.dumps({"assessments": [{"component": "tires", "classification": "Good", "reasoning": notes[:24]}]})
+    return {"choices": [{"message": {"content": text}}]}
+
+
+def ledger_answers(spark, sf):
+    """L1, L3, L4: a run over a third of the services, then one over all, which sends the rest; rows from the answers kept."""
+    rows = _service(spark, sf).select("service_id", "service_performed", "flagged_components")
+    scorer = scoring.EndpointScorer("local", "echo", transport=echo_notes)
+    book = ledger.Ledger(spark, scratch.folder(spark, "ledger"))
+    ledger.answered(rows.where("service_id % 3 = 0"), book, scorer, "service_performed", slices=2)
+    scored = scoring.parsed(ledger.answered(rows, book, scorer, "service_performed", slices=2))
+    return assess.explode_assessments(scored, keep=["service_id"])
+
+
 def run_results(spark, sf):
     cfg = CONFIGS["balanced"]
     _, results = catalog.run_rows(spark, _balanced_rows(spark, sf), RUN_ID, cfg.config_id, cfg.name,
@@ -363,6 +382,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommendations": recommendations,
     "followup_emails": followup_emails,
     "full_run_emails": full_run_emails,
+    "ledger_answers": ledger_answers,
     "run_results": run_results,
     "selected_components": selected_components,
     "merge_insert_only": merge_insert_only,
