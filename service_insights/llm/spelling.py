@@ -16,8 +16,8 @@ one place leaves no more than one word for each character, so no group stays lar
 whatever the words are.
 
 Small groups share a tile, where only words of one key count. From each tile only
-sums come back: for each of its words how many are near and the
-most frequent of them. No pairs are shuffled.
+sums come back: for each of its words how many are near and the most frequent of
+them. No pairs are shuffled.
 
 Words: runs of letters of the documents, A-Z lower-cased. Counting starts inside
 the slabs of text, so a word travels once for each slab. Null and empty texts hold
@@ -42,7 +42,6 @@ from .common import partitions, saved, ship
 ROWS, BLOCK, CELLS = 2048, 256, 1 << 22
 #: Runs of at most this many bytes are hashed together.
 SHORT = 48
-_U = np.uint64
 
 _CRC = np.arange(256, dtype=np.uint32)
 for _ in range(8):
