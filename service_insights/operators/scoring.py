@@ -23,6 +23,7 @@ import json
 import threading
 import time
 import urllib.parse
+from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -113,9 +114,11 @@ class Pace:
 
     def wait(self) -> None:
         with self.lock:
-            at = max(time.monotonic(), self.due)
+            now = time.monotonic()
+            at = max(now, self.due)
             self.due = at + self.gap
-        time.sleep(max(0.0, at - time.monotonic()))
+        if at > now:  # a sleep of no time would still hand the interpreter to another thread, at every call
+            time.sleep(max(0.0, at - time.monotonic()))
 
     def hold(self, seconds: float) -> None:
         """No turn before then."""
@@ -252,15 +255,38 @@ class EndpointScorer:
 
 
 class Calls:
-    """A task's calls, some at a time; ``close`` ends its threads."""
+    """A task's calls, some at a time; ``close`` ends its threads.
+
+    Each thread takes the next row of the batch when its last call is done: a
+    batch costs one future a thread, not one a row."""
 
     def __init__(self, one: Callable, concurrency: int):
-        self.one, self.pool = one, ThreadPoolExecutor(concurrency)
+        self.one, self.concurrency, self.pool = one, concurrency, ThreadPoolExecutor(concurrency)
+        self.open: deque[int] = deque()
 
     def __call__(self, batch: list[str | None]) -> list[tuple[str | None, str | None]]:
-        return list(self.pool.map(self.one, batch))
+        out: list = [None] * len(batch)
+        self.open.extend(range(len(batch)))
+
+        def work() -> None:
+            while True:
+                try:
+                    k = self.open.popleft()
+                except IndexError:
+                    return
+                out[k] = self.one(batch[k])
+
+        threads = [self.pool.submit(work) for _ in range(min(self.concurrency, len(batch)))]
+        try:
+            for t in threads:
+                t.result()
+        except BaseException:
+            self.open.clear()  # nothing more is sent
+            raise
+        return out
 
     def close(self) -> None:
+        self.open.clear()
         self.pool.shutdown(wait=False, cancel_futures=True)
 
 
