@@ -40,6 +40,7 @@ from ..constants import (CLASSES, EMAIL_OPTIONS, FULL_RUN_PARTITIONS, MAX_TEST_P
                          NOTES_SEPARATOR, SCORING_OPTIONS)
 from ..functions import json_text
 from ..functions.rules import BALANCED, Thresholds, assessments, with_signals
+from ..session import small_methods
 from .prompts import prompt_texts
 
 #: What a model must answer: a list of assessments with a fixed class enum.
@@ -391,6 +392,7 @@ def score(df: DataFrame, keys: list[str], scorer=None, notes_col: str = "service
     """
     scorer = scorer or RuleScorer()
     if isinstance(scorer, RuleScorer):
+        small_methods(df.sparkSession)
         base, added = with_signals(df, keys, notes_col)
         if not scorer.as_text:
             out = base.withColumn(

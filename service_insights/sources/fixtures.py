@@ -25,6 +25,7 @@ from ..constants import (SEED_COMPONENTS, AC_VENT_TEMPS, DEMO_DATE, DEMO_SERVICE
 from ..functions.rules import (BALANCED, ac_class, battery_class, brakes_class,
                                tires_class)
 from ..functions.lookup import jvm_cached, pick, zero_padded
+from ..session import small_methods
 from .tables import read_table
 
 _LEVELS = ("Good", "Upcoming", "Urgent")
@@ -98,6 +99,7 @@ def _pieces(ln: Column, q: Column, d: Column, t: Column, pk: Column, sk: Column,
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct (l_orderkey, l_linenumber)."""
+    small_methods(spark)
     li = read_table(spark, sf_dir, "lineitem")
     # min(l_returnflag) is taken over the flag's code point: equal to the
     # string minimum for a one-character flag (a longer one is an error),
