@@ -6,15 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
-_FENCE = "```"
+# A run of blanks is tried at its first one only: tried at each of them, it costs the square of its length.
+_END = r"(?<!\s)\s++\z"
 
 
 def _strip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
-def _rstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s+$", "")
+    return F.regexp_replace(c, rf"^\s++|{_END}", "")
 
 
 def strip_fence(text: Column) -> Column:
@@ -22,15 +19,18 @@ def strip_fence(text: Column) -> Column:
 
     Trim; if it opens with three backticks drop the first line (or only the
     backticks when there is no newline), then a closing fence; trim again.
-    NULL gives ''."""
-    t0 = _strip_ws(F.coalesce(text, F.lit("")))
-    opened = t0.startswith(_FENCE)
-    t1 = (F.when(opened & t0.contains("\n"), F.regexp_replace(t0, r"^[^\n]*\n", ""))
-          .when(opened, F.substring(t0, 4, 1 << 30))
-          .otherwise(t0))
-    rt = _rstrip_ws(t1)
-    t2 = F.when(opened & rt.endswith(_FENCE), F.regexp_replace(rt, r"```$", "")).otherwise(t1)
-    return _strip_ws(t2)
+    NULL gives ''.
+
+    A text from brace to brace has nothing to remove and is not searched. Each
+    step uses the one before once: ``from_json`` evaluates its input as it is
+    written, and a step used twice would run twice."""
+    t = F.coalesce(text, F.lit(""))
+    t0 = _strip_ws(t)
+    t1 = F.regexp_replace(t0, r"^(?:[^\n]*+\n|```)", "")
+    t2 = F.regexp_replace(F.regexp_replace(t1, _END, ""), r"```\z", "")
+    return (F.when(t.startswith("{") & t.endswith("}"), t)
+            .when(t.rlike(r"^\s*+```"), _strip_ws(t2))
+            .otherwise(t0))
 
 
 def slug(name: Column) -> Column:
