@@ -110,16 +110,22 @@ def dedupe_latest(rows: DataFrame, seq_col: str | None = None, pos_col: str = "p
         .select("service_id", "component_key", *cols)
 
 
+OUTCOMES = ("no_answer", "unparsed", "empty", "ok")
+
+
+def outcome() -> Column:
+    """What became of a parsed answer: no_answer (NULL text), unparsed (bad
+    JSON, truncated, fenced, wrong shape), empty (an empty list) or ok."""
+    return (F.when(F.col("raw").isNull(), F.lit("no_answer"))
+            .when(F.col("result.assessments").isNull(), F.lit("unparsed"))
+            .when(F.size(F.col("result.assessments")) == 0, F.lit("empty"))
+            .otherwise(F.lit("ok")))
+
+
 def parse_status(scored: DataFrame) -> DataFrame:
-    """Per-row outcome of parsing an answer, and counts per outcome:
-    no_answer (NULL text), unparsed (bad JSON, truncated, fenced, wrong
-    shape), empty (an empty list) and ok."""
+    """Counts per outcome of parsing an answer (``outcome``), and of the assessments it gave."""
     n = F.size(F.col("result.assessments"))
-    status = (F.when(F.col("raw").isNull(), F.lit("no_answer"))
-              .when(F.col("result.assessments").isNull(), F.lit("unparsed"))
-              .when(n == 0, F.lit("empty"))
-              .otherwise(F.lit("ok")))
-    return (scored.select(status.alias("status"),
+    return (scored.select(outcome().alias("status"),
                           F.when(F.col("result.assessments").isNotNull(), n)
                            .otherwise(F.lit(0)).alias("n"))
             .groupBy("status")

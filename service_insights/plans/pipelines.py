@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENT_KEYS, SEED_COMPONENTS
@@ -148,12 +148,16 @@ def full_run(spark: SparkSession, service: DataFrame, vehicle: DataFrame, custom
         raw = scoring.score(rows, config.keys, scorer or scoring.RuleScorer(config.thresholds, as_text=True)).drop("result")
         raw = raw.withColumn("error", F.lit(None).cast("string"))
     staged = {"answers": registry.stage(raw, f"{base}_answers")}
-    kept = scoring.parsed(spark.read.parquet(staged["answers"]))
-    status = {r["status"]: r["services"] for r in assess.parse_status(
-        kept.where("service_performed is not null")).collect()}
-    _enough(status.get("no_answer", 0), sum(status.values()), max_failed, "calls", f"{base}_ledger")
+    answers_ = spark.read.parquet(staged["answers"])
+    sent = answers_.where("service_performed is not null").agg(F.count("*").alias("n"), F.count("raw").alias("got")).first()
+    _enough(sent["n"] - sent["got"], sent["n"], max_failed, "calls", f"{base}_ledger")
+    # The outcomes are counted on the way to the recommendations: each answer is parsed once.
+    counted = Observation()
+    kept = scoring.parsed(answers_).observe(counted, *[
+        F.count_if(F.col("service_performed").isNotNull() & (assess.outcome() == s)).alias(s) for s in assess.OUTCOMES])
     recs = assess.explode_assessments(kept, keep=["service_id", "vehicle_id", "service_performed"])
     staged["recommendations"] = registry.stage(recs, f"{base}_recommendations")
+    status = {s: n for s, n in counted.get.items() if n}
     findings = outreach.urgent_findings(spark.read.parquet(staged["recommendations"]), vehicle, customer)
     drafts = ledger.Ledger(spark, f"{base}_drafts") if drafter is not None else None
     staged["emails"] = registry.stage(outreach.followup_emails(findings, drafter, partitions, "error", drafts), f"{base}_emails")
