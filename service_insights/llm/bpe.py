@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer as Library
 
 from . import flat
-from .common import free_name, ship
+from .common import free_name, held, ship
 
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: A Python worker remembers 2^SLOT_BITS parts of text at most, and no more than CACHE_IDS ids.
@@ -300,14 +300,9 @@ class Tokenizer:
         return " ".join(self.names[ids].tolist())
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def tokenizer(path: str) -> Tokenizer:
-    """One per Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Tokenizer(path)
-    return _LOADED[path]
+    """Kept by the Python worker until another operator's large object is used."""
+    return held(("bpe", path), lambda: Tokenizer(path))
 
 
 def encode_decode(docs: DataFrame, path: str, column: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -5,6 +5,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_Held = TypeVar("_Held")
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], _Held]) -> _Held:
+    """A large object that a Python worker keeps between tasks: the last one used, of whichever operator.
+
+    Workers outlive a stage and are used by the next one, so that what each stage leaves would add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 #: Bytes of an Arrow batch between Spark and a Python worker, unless the session has a setting of its own.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"

@@ -238,18 +238,17 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     of = saved(nodes.join(members.select("s1").distinct(), "s1").select("s1", "node", "n"))
     bits = bitmap.build(of.select(F.xxhash64("node").alias("h")), "h", LOG_BITS)
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bitmap.may(bits, batch.column(2).to_numpy().view(_U))))
-
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in flat.pieces(batches, "text"):
-            keys, bounds = shingle_sets(batch.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds)), pa.array(sketches(keys, bounds), pa.binary())], names=["node", "text", "n", "sketch"])
-
-    few = plain.where("id is not null").select(F.col("id").alias("node"), "text", F.xxhash64("id").alias("h")).mapInArrow(grouped, "node long, text string, h long")
-    texts = few.join(of.select("node").distinct(), "node", "left_semi").select("node", "text")
-    texts = saved(texts.mapInArrow(sketch, "node long, text string, n long, sketch binary").where("n > 0"))
+        for whole in batches:
+            own = whole.filter(pa.array(bitmap.may(bits, whole.column(2).to_numpy().view(_U))))
+            for batch in flat.pieces(iter([own]), "text"):
+                keys, bounds = shingle_sets(batch.column(1), shingle)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(sketches(keys, bounds), pa.binary())], names=["node", "text", "n", "sketch"])
+
+    # One step in Python: a second one after a broadcast join would start a second worker for each core, which Spark keeps.
+    few = plain.where("id is not null").select(F.col("id").alias("node"), "text", F.xxhash64("id").alias("h"))
+    few = few.mapInArrow(sketch, "node long, text string, n long, sketch binary").where("n > 0")
+    texts = saved(few.join(of.select("node").distinct(), "node", "left_semi").select("node", "text", "n", "sketch"))
     drawn = texts.select("node", "n", "sketch")
 
     def side(df: DataFrame, name: str, *columns: str) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import free_name, saved_at, ship, thinned
+from .common import free_name, held, saved_at, ship, thinned
 
 #: Labelled rows in the sample (picked by a hash of their id); examples of a shard on average, and most shards.
 SAMPLE_ROWS, SHARD, SHARDS = 2048, 512, 16
@@ -292,11 +292,8 @@ class Model:
     shift: float = 0.0
 
     def index(self) -> Index:
-        """One per Python worker, the last one used."""
-        if self.shards not in _LOADED:
-            _LOADED.clear()
-            _LOADED[self.shards] = Index(self)
-        return _LOADED[self.shards]
+        """Kept by the Python worker until another one, or another operator's large object, is used."""
+        return held(("toxicity", self.shards), lambda: Index(self))
 
     def score(self, col: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[float]]]:
         share, who, how = self.index().votes(col, self.rate)
@@ -304,9 +301,6 @@ class Model:
         return np.where(np.isnan(share), self.empty_rate, curve), who, how
 
 
-_LOADED: dict[str | None, Index] = {}
-
-
 def _log_odds(share: np.ndarray) -> np.ndarray:
     share = np.clip(share, 1e-6, 1 - 1e-6)
     return np.log(share / (1 - share))
