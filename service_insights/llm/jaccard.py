@@ -132,6 +132,25 @@ def signatures(keys: np.ndarray, bounds: np.ndarray, rows: np.ndarray, num: int,
     return np.concatenate(out_row), np.concatenate(out_sig)
 
 
+def signed_slabs(batches: Iterator[pa.RecordBatch], shingle: int, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, signature) and the digests of the rows, of so many slabs at a time that they have ``SIGNATURES``, or of the rest."""
+    rows, ids, sigs, at, size = [], [], [], 0, 0
+    for batch in flat.pieces(batches, "text"):
+        keys, bounds = shingle_sets(batch.column(1), shingle)
+        s1, _ = _digests(keys, bounds)
+        _, first = np.unique(s1, return_index=True)  # copies in one slab sign once
+        row, sig = signatures(keys, bounds, first, num, den)
+        rows.append(row + at)
+        ids.append(s1)
+        sigs.append(sig)
+        at, size = at + len(s1), size + len(sig)
+        if size >= SIGNATURES:
+            yield np.concatenate(rows), np.concatenate(ids), np.concatenate(sigs)
+            rows, ids, sigs, at, size = [], [], [], 0, 0
+    if size:
+        yield np.concatenate(rows), np.concatenate(ids), np.concatenate(sigs)
+
+
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((second, first))
     first, second = first[order], second[order]
@@ -196,8 +215,10 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 #: Members of a group that are compared in one piece; larger groups are cut to blocks.
 BLOCK = 2048
-#: Bits of the bitmap of grouped documents: 1 MB, whatever the table.
-LOG_BITS = 23
+#: Bits of the bitmaps of grouped documents and of ends of pairs: half a million rows at most, whatever the table.
+LOG_BITS = 25
+#: Signatures of a task that are packed at a time. A row for each bucket costs the same however few it holds.
+SIGNATURES = 1 << 19
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", column: str = "text") -> DataFrame:
@@ -217,13 +238,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     nodes = digests.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in flat.pieces(batches, "text"):
-            keys, bounds = shingle_sets(batch.column(1), shingle)
-            s1, _ = _digests(keys, bounds)
-            _, first = np.unique(s1, return_index=True)  # copies in one slab sign once
-            row, sig = signatures(keys, bounds, first, num, den)
-            bucket = ((sig >> _U(32)) % _U(n)).astype(np.int32)
-            yield from packed.pack(bucket, row, s1, sig.astype("<u4"), np.zeros(len(sig), np.uint8))
+        for rows, ids, sigs in signed_slabs(batches, shingle, num, den):
+            bucket = ((sigs >> _U(32)) % _U(n)).astype(np.int32)
+            yield from packed.pack(bucket, rows, ids, sigs.astype("<u4"), np.zeros(len(sigs), np.uint8))
 
     def meet(table: pa.Table) -> pa.Table:
         ids, sigs, _ = packed.unpack(table, "<u4", "u1")
@@ -234,21 +251,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     members = saved(signed.groupBy("bucket").applyInArrow(meet, "grp long, s1 long, size long").distinct())
 
     # Texts and sketches of the sets in any group, under their node (the smallest id of equal sets).
-    # The bitmap spares the join the texts of all others.
+    # The bitmap lets a few others through, which no pair names: no text is shuffled to tell them apart.
     of = saved(nodes.join(members.select("s1").distinct(), "s1").select("s1", "node", "n"))
-    bits = bitmap.build(of.select(F.xxhash64("node").alias("h")), "h", LOG_BITS)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            own = whole.filter(pa.array(bitmap.may(bits, whole.column(2).to_numpy().view(_U))))
-            for batch in flat.pieces(iter([own]), "text"):
-                keys, bounds = shingle_sets(batch.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(sketches(keys, bounds), pa.binary())], names=["node", "text", "n", "sketch"])
-
-    # One step in Python: a second one after a broadcast join would start a second worker for each core, which Spark keeps.
-    few = plain.where("id is not null").select(F.col("id").alias("node"), "text", F.xxhash64("id").alias("h"))
-    few = few.mapInArrow(sketch, "node long, text string, n long, sketch binary").where("n > 0")
-    texts = saved(few.join(of.select("node").distinct(), "node", "left_semi").select("node", "text", "n", "sketch"))
+        for batch in flat.pieces(batches, "text"):
+            keys, bounds = shingle_sets(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(sketches(keys, bounds), pa.binary())], names=["node", "text", "n", "sketch"])
+
+    few = bitmap.kept(plain.where("id is not null").select(F.col("id").alias("node"), "text"), of, "node", LOG_BITS)
+    texts = saved(few.mapInArrow(sketch, "node long, text string, n long, sketch binary").where("n > 0"))
     drawn = texts.select("node", "n", "sketch")
 
     def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -281,7 +293,9 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(own), batch.column(1).filter(own)], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        own = bitmap.kept(texts.select("node", "text"), ends, "node", LOG_BITS)
+        rows = pairs.join(side(own, "b", "text"), "b").join(side(own, "a", "text"), "a")
         return saved(rows.select("a", "b", "texta", "textb").mapInArrow(test, "a long, b long").distinct())
 
     # Each group's hub is its member with the most company in all groups; the others are tried against it.
