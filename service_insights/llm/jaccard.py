@@ -218,7 +218,7 @@ BLOCK = 2048
 #: Bits of the bitmaps of grouped documents and of ends of pairs: half a million rows at most, whatever the table.
 LOG_BITS = 25
 #: Signatures of a task that are packed at a time. A row for each bucket costs the same however few it holds.
-SIGNATURES = 1 << 19
+SIGNATURES = 1 << 17
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_column: str = "doc_id", column: str = "text") -> DataFrame:
