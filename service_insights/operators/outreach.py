@@ -8,6 +8,8 @@ and splits skewed partitions of the sort-merge join otherwise.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,24 @@ def urgent_findings(recommendations: DataFrame, vehicle: DataFrame, customer: Da
     return join_findings(urgent_reasons(recommendations), vehicle, customer)
 
 
+#: Shares that a full run's visits are drafted in.
+SLICES = 4
+
+
+def urgent_findings_in_slices(recommendations: DataFrame, vehicle: DataFrame, customer: DataFrame,
+                              slices: int = SLICES) -> Iterator[DataFrame]:
+    """:func:`urgent_findings` as one frame for each share of the visits; together they have its rows.
+
+    Grouping and joining shuffle the reasons' texts three times. Written one after
+    the other, the frames have a share of those files on disk at a time, and read
+    the recommendations once each. A visit's rows are all in one share, and a hot
+    vehicle is in all of them."""
+    urgent = recommendations.filter(F.col("classification") == "Urgent")
+    share = F.pmod(F.xxhash64("service_id", "vehicle_id"), F.lit(slices))
+    for i in range(slices):
+        yield urgent_findings(urgent.filter(share == i) if slices > 1 else urgent, vehicle, customer)
+
+
 def join_findings(u: DataFrame, vehicle: DataFrame, customer: DataFrame) -> DataFrame:
     """(service_id, vehicle_id, urgent_reasons) joined through vehicle to customer."""
     v = vehicle.select("vehicle_id", "customer_id", "make", "model")

@@ -10,6 +10,7 @@ bound); above it the same plan runs as a sort-merge join.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -128,10 +129,26 @@ def replace_table(spark: SparkSession, name: str, df: DataFrame) -> None:
     _swap(spark, name, new)
 
 
-def stage(df: DataFrame, folder: str) -> str:
-    """Writes ``df`` to a fresh folder below ``folder``, which no table shows yet."""
+#: How staged tables are stored: their texts have much in common from row to row, which this codec finds and Snappy
+#: doesn't. A smaller file holds more rows, so row groups are smaller too.
+STORED = {"compression": "zstd", "parquet.page.size": str(4 << 20), "parquet.block.size": str(32 << 20)}
+
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame | Iterable[DataFrame], folder: str, level: int = 3) -> str:
+    """Writes ``df`` to a fresh folder below ``folder``, which no table shows yet.
+
+    Several frames are written one after the other. The shuffle files of each
+    write are removed when it ends, so that they don't lie beside the next one's;
+    a frame that is used again afterwards shuffles again. ``level`` is the
+    codec's: from 6 on it takes more time than Snappy, at 3 less."""
     path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    options = {**STORED, "parquet.compression.codec.zstd.level": str(level)}
+    for part in [df] if isinstance(df, DataFrame) else df:
+        with _set(part.sparkSession, {_FILE_CLEANUP: "true"}):
+            # A frame keeps the setting it was made under.
+            part.select("*").write.options(**options).mode("append").parquet(path)
     return path
 
 
