@@ -147,7 +147,7 @@ def full_run(spark: SparkSession, service: DataFrame, vehicle: DataFrame, custom
     else:
         raw = scoring.score(rows, config.keys, scorer or scoring.RuleScorer(config.thresholds, as_text=True)).drop("result")
         raw = raw.withColumn("error", F.lit(None).cast("string"))
-    staged = {"answers": registry.stage(raw, f"{base}_answers", level=6)}
+    staged = {"answers": registry.stage(raw, f"{base}_answers", level=7)}
     answers_ = spark.read.parquet(staged["answers"])
     sent = answers_.where("service_performed is not null").agg(F.count("*").alias("n"), F.count("raw").alias("got")).first()
     _enough(sent["n"] - sent["got"], sent["n"], max_failed, "calls", f"{base}_ledger")
@@ -159,8 +159,8 @@ def full_run(spark: SparkSession, service: DataFrame, vehicle: DataFrame, custom
     staged["recommendations"] = registry.stage(recs, f"{base}_recommendations", level=6)
     status = {s: n for s, n in counted.get.items() if n}
     # Calls to a drafter have slices of their own, in the ledger.
-    findings = outreach.urgent_findings_in_slices(spark.read.parquet(staged["recommendations"]), vehicle, customer,
-                                                  outreach.SLICES if drafter is None else 1)
+    shares = outreach.SLICES if drafter is None else 1
+    findings = outreach.urgent_findings_in_slices(spark.read.parquet(staged["recommendations"]), vehicle, customer, shares)
     drafts = ledger.Ledger(spark, f"{base}_drafts") if drafter is not None else None
     staged["emails"] = registry.stage((outreach.followup_emails(f, drafter, partitions, "error", drafts) for f in findings), f"{base}_emails")
     emails = spark.read.parquet(staged["emails"])
